@@ -201,17 +201,23 @@ def normalise_instants(df: DataFrame, text: str, time_zone: str, date_order: str
 def same_statement_pairs(df: DataFrame, group: str, key: str, text: str, stated: str) -> DataFrame:
     """Pairs of rows of one group that state the same thing in different words: columns key_a < key_b.
 
-    Rows with a null group or a null statement take no part. The join is an equi-join on (group, statement), so its
-    output is exactly what is asked for and Spark spreads it by both keys; a group that holds very many rows is spread
-    over its different statements, and AQE splits what is left of it.
+    Rows with a null group or a null statement take no part. Texts that differ are paired first, once each however
+    many rows repeat them, and only then joined with their rows: the joins produce exactly the pairs asked for, and a
+    group full of equal texts costs nothing. All joins are equi-joins that AQE can split.
     """
     rows = df.where(F.col(group).isNotNull() & F.col(stated).isNotNull()).select(
         F.col(group).alias("_g"), F.col(stated).alias("_s"), F.col(key).alias("_k"), F.col(text).alias("_t")
     )
-    a = rows.select("_g", "_s", F.col("_k").alias("key_a"), F.col("_t").alias("_ta"))
-    b = rows.select("_g", "_s", F.col("_k").alias("key_b"), F.col("_t").alias("_tb"))
+    texts = rows.select("_g", "_s", "_t").distinct()
+    differing = (
+        texts.withColumnRenamed("_t", "_ta")
+        .join(texts.withColumnRenamed("_t", "_tb"), ["_g", "_s"])
+        .where(F.col("_ta") < F.col("_tb"))
+    )
+    a = rows.select("_g", "_s", F.col("_t").alias("_ta"), F.col("_k").alias("_ka"))
+    b = rows.select("_g", "_s", F.col("_t").alias("_tb"), F.col("_k").alias("_kb"))
     return (
-        a.join(b, ["_g", "_s"])
-        .where((F.col("key_a") < F.col("key_b")) & (F.col("_ta") != F.col("_tb")))
-        .select("key_a", "key_b")
+        differing.join(a, ["_g", "_s", "_ta"])
+        .join(b, ["_g", "_s", "_tb"])
+        .select(F.least("_ka", "_kb").alias("key_a"), F.greatest("_ka", "_kb").alias("key_b"))
     )
