@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tendrel.llm import visual
+from tendrel.llm import encoding, visual
 from tendrel.plans.registry import Registry
 from tendrel.sources.tables import table
 
@@ -23,3 +23,15 @@ def p2_forms(spark: SparkSession, folder: str) -> DataFrame:
     quotes = table(spark, folder, "evidence").selectExpr("'quote' AS kind", "evidence_key AS key", "quote AS text")
     texts = table(spark, folder, "chunks").selectExpr("'chunk' AS kind", "chunk_key AS key", "text")
     return visual.normalise_text(quotes.unionByName(texts), {"text": "text"})
+
+
+@QUERIES.query("p8_found")
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a passage decoded with the wrong encoding."""
+    return encoding.repair_encoding(table(spark, folder, "documents"), "doc_id").select("doc_id")
+
+
+@QUERIES.query("p8_restored")
+def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """The affected documents with their original text, as far as it can be regained."""
+    return encoding.repair_encoding(table(spark, folder, "documents"), "doc_id")
