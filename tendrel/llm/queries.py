@@ -4,13 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tendrel.llm import encoding, visual
+from tendrel.llm import encoding, leakage, splitting, visual
 from tendrel.plans.registry import Registry
 from tendrel.sources.tables import table
 
 QUERIES = Registry()
 
 
+@QUERIES.query("p1_found")
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks over the limit: those that come out in more than one piece, each by its second piece."""
+    return splitting.split_texts(table(spark, folder, "chunks")).where("piece_no = 2").select("chunk_key")
+
+
+@QUERIES.query("p1_pieces")
+def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Every chunk in pieces of at most 1,000 characters that share 200, with the pages they stem from."""
+    return splitting.split_texts(table(spark, folder, "chunks"))
+
+
 @QUERIES.query("p2_found")
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Quotes that are in their chunk, but spelt with other characters."""
@@ -35,3 +47,9 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
     """The affected documents with their original text, as far as it can be regained."""
     return encoding.repair_encoding(table(spark, folder, "documents"), "doc_id")
+
+
+@QUERIES.query("p6_found")
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and the evaluation items that leaked into them."""
+    return leakage.found_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
