@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tendrel.llm import encoding, leakage, splitting, visual
+from tendrel.llm import boilerplate, encoding, leakage, splitting, visual
 from tendrel.plans.registry import Registry
 from tendrel.sources.tables import table
 
@@ -49,6 +50,23 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.repair_encoding(table(spark, folder, "documents"), "doc_id")
 
 
+def _line_model(spark: SparkSession, folder: str) -> boilerplate.LineModel:
+    return boilerplate.fit_line_model(table(spark, folder, "sections"), table(spark, folder, "agencies"))
+
+
+@QUERIES.query("p5_found")
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of html sections that belong to the page and not to the notice."""
+    labelled = boilerplate.label_lines(table(spark, folder, "sections"), _line_model(spark, folder))
+    return labelled.select("section_key", F.explode("furniture").cast("long").alias("line_no"))
+
+
+@QUERIES.query("p5_bodies")
+def p5_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    """The main body of every html section."""
+    return boilerplate.main_body(table(spark, folder, "sections"), _line_model(spark, folder))
+
+
 @QUERIES.query("p6_found")
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents and the evaluation items that leaked into them."""
