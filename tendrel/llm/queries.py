@@ -58,7 +58,8 @@ def _line_model(spark: SparkSession, folder: str) -> boilerplate.LineModel:
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of html sections that belong to the page and not to the notice."""
     labelled = boilerplate.label_lines(table(spark, folder, "sections"), _line_model(spark, folder))
-    return labelled.select("section_key", F.explode("furniture").cast("long").alias("line_no"))
+    lines = F.explode(F.col("furniture").cast("array<long>")).alias("line_no")
+    return labelled.select("section_key", lines)
 
 
 @QUERIES.query("p5_bodies")
