@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +55,25 @@ def cut(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder, so that later steps read it again instead of computing it."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on the executors, once per application.
+
+    Nothing is done where the package's folder is on PYTHONPATH, as executors inherit it; else the code goes out as a
+    py-file, which Spark serves to every executor, also to those that join later.
+    """
+    root = Path(__file__).resolve().parent.parent
+    context = spark.sparkContext
+    on_path = {str(Path(p).resolve()) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if str(root) in on_path or context.applicationId in _shipped:
+        return
+    archive = Path(tempfile.mkdtemp(prefix="tendrel-code-")) / "tendrel.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted((root / "tendrel").rglob("*.py")):
+            z.write(path, path.relative_to(root))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
