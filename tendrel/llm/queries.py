@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tendrel.llm import boilerplate, encoding, leakage, splitting, visual
+from tendrel.llm import boilerplate, encoding, leakage, splitting, truncation, visual
 from tendrel.plans.registry import Registry
 from tendrel.sources.tables import table
 
@@ -50,6 +50,18 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.repair_encoding(table(spark, folder, "documents"), "doc_id")
 
 
+@QUERIES.query("p4_found")
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Sections whose text breaks off before its end."""
+    return truncation.cut_sections(table(spark, folder, "sections")).select("section_key")
+
+
+@QUERIES.query("p4_rates")
+def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of cut section rows of every feed."""
+    return truncation.cut_rates(table(spark, folder, "sections"))
+
+
 def _line_model(spark: SparkSession, folder: str) -> boilerplate.LineModel:
     return boilerplate.fit_line_model(table(spark, folder, "sections"), table(spark, folder, "agencies"))
 
