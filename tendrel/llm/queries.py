@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tendrel.llm import boilerplate, encoding, leakage, splitting, truncation, visual
+from tendrel.llm import boilerplate, encoding, leakage, mixing, splitting, truncation, visual
 from tendrel.plans.registry import Registry
 from tendrel.sources.tables import table
 
@@ -38,6 +38,18 @@ def p2_forms(spark: SparkSession, folder: str) -> DataFrame:
     return visual.normalise_text(quotes.unionByName(texts), {"text": "text"})
 
 
+@QUERIES.query("p7_mix")
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of the mix, with the copies that each contributes."""
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+@QUERIES.query("p7_shares")
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of all tokens that each source reaches, beside its target."""
+    return mixing.mix_shares(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
 @QUERIES.query("p8_found")
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a passage decoded with the wrong encoding."""
