@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tendrel.llm.arrowtext import by_batch
+from tendrel.session import cut
 
 #: An ending is usual for its kind if at least this many whole lines have it.
 USUAL = 2
@@ -33,6 +34,8 @@ FAMILY, FEW = 8, 3
 #: Lines that a label must have, none of them with a terminator, to be a label of values and not the begin of a sentence.
 LABELLED = 3
 
+BLANKS = " \t\r\n\f\u00a0\u200b"
+
 # Signs that stand behind a text that was cut off.
 _SIGN = re.compile(r"(?:\[(?:…|\.{3})\]|…|\.\.+|>>|\((?:more|continued|cont\.?)\)|\[(?:more|truncated|cut)\]|\bsee more(?: description)?|\bread more)\s*$", re.I)
 # Abbreviations and number words after which a full stop does not end a sentence.
@@ -44,7 +47,7 @@ _ENTRY = r"^(?:[-*•–]|\(?\d{1,3}[.)])\s"
 _ROW = r"^\d+\s*\|"
 _LABEL = r"^(\p{Lu}[\p{L}’' -]{1,28}): \S"
 _ENDED = r"[.!?。！？]['\"”’»)\]]*$"
-_STOP = re.compile(_ENDED)
+_STOP, _ROW_START, _ENTRY_START = re.compile(_ENDED), re.compile(_ROW), re.compile(_ENTRY)
 _OPEN = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "<": ">"}
 _CLOSE = {v: k for k, v in _OPEN.items()}
 
@@ -66,19 +69,20 @@ def unclosed(line: str) -> bool:
 
 def verdict(line: str) -> tuple[str, bool | None]:
     """(reason, whether it was cut off) of a last line; None where the baseline has to decide."""
-    if _SIGN.search(line):
+    tail = line[-40:]
+    if _SIGN.search(tail):
         return "sign", None
-    if _BROKEN.search(line):
+    if _BROKEN.search(tail):
         return "broken", True
-    if re.match(_ROW, line):
+    if _ROW_START.match(line):
         return "row", None
-    if re.match(_ENTRY, line):
+    if _ENTRY_START.match(line):
         return "entry", None
     if unclosed(line):
         return "open", None
-    if _ABBREVIATION.search(line) or _SECTION.search(line):
+    if _ABBREVIATION.search(tail) or _SECTION.search(tail):
         return "number", True
-    if _STOP.search(line):
+    if _STOP.search(tail):
         return "end", False
     return "bare", None
 
@@ -110,8 +114,7 @@ def _ending(line: Column, kind: Column) -> Column:
 
 def _family(line: Column, kind: Column) -> Column:
     """The kind, and for lines that are neither entry nor row how they begin: up to three words, masked."""
-    words = F.slice(F.split(_shape(line), r"\s+"), 1, 3)
-    begins = F.concat(F.lit("bare:"), F.array_join(words, " "))
+    begins = F.concat(F.lit("bare:"), F.substring_index(_shape(line), " ", 3))
     return F.when(kind == "bare", begins).when(kind == "label", F.concat(F.lit("label:"), _label(line))).otherwise(kind)
 
 
@@ -123,9 +126,9 @@ def cut_sections(sections: DataFrame, key: str = "section_key") -> DataFrame:
     such lines have one). Null and blank texts are not cut; a text of one line is its own last line. Copies of a section
     come out each. Whole texts are read. The order of rows does not matter, other columns are left aside.
     """
-    text = F.rtrim(F.regexp_replace("text", r"[\s ]+$", ""))
+    text = F.rtrim("text", F.lit(BLANKS))
     rows = sections.select(F.col(key).alias("_key"), "feed", text.alias("_text")).where("_text <> ''")
-    line = F.trim(F.element_at(F.split("_text", "\n"), -1))
+    line = F.trim(F.substring_index("_text", "\n", -1))
     last = rows.select("_key", "feed", line.alias("line"))
     schema = T.StructType([*last.schema.fields, T.StructField("reason", T.StringType()), T.StructField("cut", T.BooleanType())])
 
@@ -147,28 +150,39 @@ def cut_sections(sections: DataFrame, key: str = "section_key") -> DataFrame:
         F.regexp_extract("line", r"(?:^|[^\p{L}])(\p{Ll}\p{L}*)[^\p{L}]*$", 1).alias("word"),
     )
 
+    # All lines in one pass: the whole ones without a terminator, as running text needs no baseline of its own, and all
+    # label lines, as those often come last. They collapse to few phrases, which are kept for the joins below.
     lines = rows.select(F.split("_text", "\n").alias("all")).select(F.posexplode("all").alias("no", "line"), F.size("all").alias("of"))
     lines = lines.select(F.trim("line").alias("line"), (F.col("no") + 1 < F.col("of")).alias("inner")).where("line <> ''")
-    ended = F.col("line").rlike(_ENDED)
-    # Labels are counted over all lines, as label lines often come last; everything else over whole lines, without those
-    # that end with a terminator: running text needs no baseline of its own.
-    whole = lines.where(F.col("inner") & ~ended).withColumn("kind", kind)
-    labels = (
-        lines.where(F.col("line").rlike(_LABEL))
-        .groupBy(F.concat(F.lit("label:"), _label(F.col("line"))).alias("family"))
-        .agg(F.count("*").alias("labelled"), F.count_if(ended).alias("ended"))
+    stop = F.right("line", F.lit(1)).isin(*".!?。！？'\"”’»)]")
+    lines = lines.withColumn("ended", stop & F.col("line").rlike(_ENDED))
+    colon = F.instr("line", ": ").between(3, 30)
+    lines = lines.where((F.col("inner") & ~F.col("ended")) | (colon & F.col("line").rlike(_LABEL)))
+    phrase = (
+        F.when(F.col("kind") == "entry", F.substring_index("line", ",", 1))
+        .when(F.col("kind") == "row", F.get(F.split("line", r"\|"), F.lit(1)))
+        .otherwise(_shape(F.col("line")))
     )
-    whole = whole.select(
-        "line",
-        "kind",
-        _shape(F.col("line")).alias("shape"),
-        _family(F.col("line"), F.col("kind")).alias("family"),
-        _ending(F.col("line"), F.col("kind")).alias("ending"),
+    baseline = cut(
+        lines.withColumn("kind", kind)
+        .select(
+            "kind",
+            "inner",
+            "ended",
+            F.regexp_replace(phrase, r"^\W*\d+\W", "").alias("phrase"),
+            F.when(F.col("kind").isin("bare", "label"), _shape(F.col("line"))).alias("shape"),
+            _family(F.col("line"), F.col("kind")).alias("family"),
+            _ending(F.col("line"), F.col("kind")).alias("ending"),
+        )
+        .groupBy("kind", "inner", "ended", "phrase", "shape", "family", "ending")
+        .agg(F.count("*").alias("n"))
     )
-    shapes = whole.where("kind IN ('bare', 'label')").select("shape").distinct().withColumn("whole", F.lit(True))
-    endings = whole.groupBy("family", "ending").agg(F.count("*").alias("n"))
+    labels = baseline.where("kind = 'label'").groupBy("family").agg(F.sum("n").alias("labelled"), F.sum(F.when(F.col("ended"), F.col("n")).otherwise(0)).alias("ended"))
+    whole = baseline.where("inner AND NOT ended")
+    shapes = whole.where("shape IS NOT NULL").select("shape").distinct().withColumn("whole", F.lit(True))
+    endings = whole.groupBy("family", "ending").agg(F.sum("n").alias("n"))
     families = endings.groupBy("family").agg(F.sum("n").alias("lines"), F.count("*").alias("endings"))
-    words = whole.select(F.explode(F.split("line", r"[^\p{L}]+")).alias("word")).where("word <> ''").distinct().withColumn("known", F.lit(True))
+    words = whole.select(F.explode(F.split("phrase", r"[^\p{L}]+")).alias("word")).where("word <> ''").distinct().withColumn("known", F.lit(True))
     compared = (
         judged.join(shapes, "shape", "left")
         .join(families, "family", "left")
