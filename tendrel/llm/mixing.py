@@ -72,8 +72,9 @@ def plan_mix(counts: DataFrame, targets: DataFrame) -> DataFrame:
     size = counts.groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("source_tokens"))
     wanted = targets.where("source IS NOT NULL AND target_share > 0 AND max_repeats > 0").select("source", "target_share", "max_repeats")
     there = size.join(wanted, "source").where("source_tokens > 0")
-    bound = there.agg(F.min(F.col("source_tokens") * F.col("max_repeats") / F.col("target_share")).alias("_total"))
-    return there.crossJoin(F.broadcast(bound)).select(
+    # One row per source of the targets, so a window without partitions holds a short list.
+    total = F.min(F.col("source_tokens") * F.col("max_repeats") / F.col("target_share")).over(Window.partitionBy(F.lit(1)))
+    return there.withColumn("_total", total).select(
         "source",
         "documents",
         "source_tokens",
