@@ -83,7 +83,7 @@ def _kind(c: str) -> tuple[str, float]:
 _NEXT = {
     "lL": 6, "cC": 6, "lo": 7, "Lo": 7, "el": 0, "ol": 0, "co": 7, "Co": 7, "ec": 0, "es": 5, "se": 5, "eo": 5, "oo": 2, "oe": 5, "ee": 3,
     "lc": 9, "Lc": 9, "lC": 9, "LC": 9, "cl": 9, "cL": 9, "Cl": 9, "CL": 9, "gl": 4, "gL": 4, "lg": 6, "Lg": 6, "cg": 9, "gc": 9,
-    "lh": 8, "Lh": 8, "hl": 8, "hL": 8, "hh": -3, "ls": 3, "Ls": 3, "sl": 3, "sL": 3, "cs": 3, "sc": 3, "ss": 3, "bb": -6,
+    "lh": 8, "Lh": 8, "hl": 8, "hL": 8, "hh": -3, "ls": 3, "Ls": 3, "sl": 3, "sL": 3, "cs": 3, "sc": 3, "ss": 3, "bb": -3, "cb": 8, "Cb": 8, "bc": 8, "bC": 8,
     "lb": 8, "Lb": 8, "bl": 8, "bL": 8, "sb": 6, "bs": 6, "eb": 6, "be": 6, "bo": 6, "ob": 6, "Le": 1,
 }
 

@@ -99,10 +99,6 @@ def _compositions() -> tuple[np.ndarray, np.ndarray]:
     return keys, np.array([pairs[k] for k in keys.tolist()], np.uint32)
 
 
-def _owners(offsets: np.ndarray) -> np.ndarray:
-    return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-
-
 def _keep(points: np.ndarray, offsets: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return points[keep], np.concatenate(([0], np.cumsum(keep)))[offsets]
 
@@ -122,21 +118,31 @@ def _order_marks(points: np.ndarray, offsets: np.ndarray, rank: np.ndarray) -> N
 
 
 def _compose(points: np.ndarray, offsets: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bases joined with the mark behind them until nothing joins any more."""
+    """Bases joined with their marks until nothing joins any more.
+
+    In canonical order, a mark is kept from its base only by another mark of its own class right before it. One round
+    joins, for every base, the first mark that it can take.
+    """
     keys, made = _compositions()
     while len(points) > 1:
-        marks = np.flatnonzero(rank[points[1:]] > 0) + 1
-        marks = marks[~np.isin(marks, offsets)] if len(marks) else marks
+        order = rank[points]
+        at = np.arange(len(points))
+        base = order == 0
+        base[offsets[:-1][offsets[:-1] < len(points)]] = True
+        owner = np.maximum.accumulate(np.where(base, at, 0))
+        marks = np.flatnonzero(~base)
+        marks = marks[(owner[marks] == marks - 1) | (order[marks - 1] < order[marks])]
         if not len(marks):
             break
-        key = points[marks - 1].astype(np.int64) << 21 | points[marks].astype(np.int64)
+        key = points[owner[marks]].astype(np.int64) << 21 | points[marks].astype(np.int64)
         hit = np.searchsorted(keys, key)
         hit[hit == len(keys)] = 0
-        ok = keys[hit] == key
-        ok[1:] &= ~(ok[:-1] & (np.diff(marks) == 1))  # a mark just joined is no base
-        if not ok.any():
+        ok = np.flatnonzero(keys[hit] == key)
+        if not len(ok):
             break
-        points[marks[ok] - 1] = made[hit[ok]]
+        _, first = np.unique(owner[marks[ok]], return_index=True)
+        ok = ok[first]
+        points[owner[marks[ok]]] = made[hit[ok]]
         keep = np.ones(len(points), bool)
         keep[marks[ok]] = False
         points, offsets = _keep(points, offsets, keep)
