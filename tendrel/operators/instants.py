@@ -198,26 +198,22 @@ def normalise_instants(df: DataFrame, text: str, time_zone: str, date_order: str
     return df.withColumn(out, instant(F.col(text), F.col(time_zone), F.col(date_order)))
 
 
-def same_statement_pairs(df: DataFrame, group: str, key: str, text: str, stated: str) -> DataFrame:
-    """Pairs of rows of one group that state the same thing in different words: columns key_a < key_b.
+def same_statement_pairs(df: DataFrame, group: list[str], key: str, text: str, stated: str) -> DataFrame:
+    """Pairs of rows of one group that state the same thing in different words: the group's columns, key_a < key_b.
 
-    Rows with a null group or a null statement take no part. Texts that differ are paired first, once each however
+    Rows with a null in the group or a null statement take no part. Texts that differ are paired first, once each however
     many rows repeat them, and only then joined with their rows: the joins produce exactly the pairs asked for, and a
-    group full of equal texts costs nothing. All joins are equi-joins that AQE can split.
+    group full of equal texts costs nothing. All joins are equi-joins that AQE can split. df is read four times, so it
+    should be cheap to read (see `tendrel.session.cut`).
     """
-    rows = df.where(F.col(group).isNotNull() & F.col(stated).isNotNull()).select(
-        F.col(group).alias("_g"), F.col(stated).alias("_s"), F.col(key).alias("_k"), F.col(text).alias("_t")
-    )
-    texts = rows.select("_g", "_s", "_t").distinct()
-    differing = (
-        texts.withColumnRenamed("_t", "_ta")
-        .join(texts.withColumnRenamed("_t", "_tb"), ["_g", "_s"])
-        .where(F.col("_ta") < F.col("_tb"))
-    )
-    a = rows.select("_g", "_s", F.col("_t").alias("_ta"), F.col("_k").alias("_ka"))
-    b = rows.select("_g", "_s", F.col("_t").alias("_tb"), F.col("_k").alias("_kb"))
-    return (
-        differing.join(a, ["_g", "_s", "_ta"])
-        .join(b, ["_g", "_s", "_tb"])
-        .select(F.least("_ka", "_kb").alias("key_a"), F.greatest("_ka", "_kb").alias("key_b"))
-    )
+    there = F.col(stated).isNotNull()
+    for name in group:
+        there &= F.col(name).isNotNull()
+    rows = df.where(there).select(*group, F.col(stated).alias("_s"), F.col(key).alias("_k"), F.col(text).alias("_t"))
+    same = [*group, "_s"]
+    texts = rows.select(*same, "_t").distinct()
+    differing = texts.withColumnRenamed("_t", "_ta").join(texts.withColumnRenamed("_t", "_tb"), same).where(F.col("_ta") < F.col("_tb"))
+    a = rows.select(*same, F.col("_t").alias("_ta"), F.col("_k").alias("_ka"))
+    b = rows.select(*same, F.col("_t").alias("_tb"), F.col("_k").alias("_kb"))
+    pairs = differing.join(a, [*same, "_ta"]).join(b, [*same, "_tb"])
+    return pairs.select(*group, F.least("_ka", "_kb").alias("key_a"), F.greatest("_ka", "_kb").alias("key_b"))
