@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,13 +25,14 @@ def _blocks(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                if not part.num_rows:
-                    continue
-                flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                dim = len(flat) // part.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([flat.tobytes()], pa.binary()), pa.array([dim], pa.int32())], schema.names)
+            lengths = pc.list_value_length(batch.column(1))
+            for dim in pc.unique(lengths).to_pylist():
+                same = batch.filter(pc.equal(lengths, dim))
+                for at in range(0, same.num_rows, size):
+                    part = same.slice(at, size)
+                    flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                    ids = pa.array([part.column(0).to_pylist()], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([flat.tobytes()], pa.binary()), pa.array([dim], pa.int32())], schema.names)
 
     whole = F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull())
     return df.where(F.col(key).isNotNull() & whole).select(F.col(key).cast("long"), vector).mapInArrow(run, schema)
