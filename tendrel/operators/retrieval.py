@@ -1,7 +1,8 @@
 """Retrieval: a BM25 index per bid, hashed embeddings, rank fusion, field search and literal search.
 
 An index is three tables that are made once for all queries: postings, token weights and chunk lengths. All queries of
-all bids run as one plan of equi-joins on (bid_id, token). Statistics are those of the whole bid, whatever a search
+all bids run as one plan of equi-joins on (bid_id, token). What is read several times - postings, scores, ranks - is
+written to the checkpoint folder once. Statistics are those of the whole bid, whatever a search
 filters later.
 """
 
@@ -20,6 +21,7 @@ from pyspark.sql import types as T
 
 from tendrel import catalog as C
 from tendrel.functions import text as X
+from tendrel.session import cut
 
 #: Scores are compared to this many decimals, so that the order of summation can't decide a rank.
 EXACT = 9
@@ -56,7 +58,9 @@ def build_index(corpus: DataFrame) -> Index:
     """
     sized = corpus.select("bid_id", "chunk_id", "words", F.size("words").alias("len"))
     bids = sized.groupBy("bid_id").agg(F.count("*").alias("chunks"), F.avg("len").alias("avg_len"))
-    postings = sized.select("bid_id", "chunk_id", "len", F.explode("words").alias("token")).groupBy("bid_id", "chunk_id", "token", "len").agg(F.count("*").alias("tf"))
+    postings = cut(
+        sized.select("bid_id", "chunk_id", "len", F.explode("words").alias("token")).groupBy("bid_id", "chunk_id", "token", "len").agg(F.count("*").alias("tf"))
+    )
     spread = postings.groupBy("bid_id", "token").agg(F.count("*").alias("df")).join(bids, "bid_id")
     raw = spread.select("bid_id", "token", (F.log(F.col("chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.groupBy("bid_id").agg(F.avg("raw").alias("mean"))
@@ -78,7 +82,7 @@ def ranked(df: DataFrame, group: list[str], score: str, tie: str, out: str, buck
     """df with the rank (from 1) of every row in its group, by falling score, then rising tie.
 
     Rows are numbered within buckets of the group's range of scores (of the tie's first characters where all scores are
-    equal), and the buckets' counts are summed up: a group of any size is ranked by many tasks.
+    equal), and the buckets' counts are summed up: a group of any size is ranked by many tasks. df is read three times.
     """
     exact = F.round(score, EXACT)
     ends = df.groupBy(*group).agg(F.min(exact).alias("_lo"), F.max(exact).alias("_hi"))
@@ -112,13 +116,12 @@ def _residue(word: str) -> int:
 @lru_cache(maxsize=4)
 def _components(dim: int) -> np.ndarray:
     """The embedding of every residue, times 1,000: whole numbers, so that sums are exact in any order."""
-    return ((np.arange(MODULUS)[:, None] + STEP * np.arange(dim)[None, :]) % MODULUS - MODULUS // 2).astype(np.int64)
+    return ((np.arange(MODULUS)[:, None] + STEP * np.arange(dim)[None, :]) % MODULUS - MODULUS // 2).astype(np.int32)
 
 
 def embed(words: list[str] | None, dim: int = C.EMBEDDING_DIM) -> np.ndarray:
     """The sum of the words' hashed vectors, not normalised; a text without words counts as the word "empty"."""
-    counts = np.bincount([_residue(w) for w in words or ["empty"]], minlength=MODULUS)
-    return counts @ _components(dim)
+    return _components(dim)[[_residue(w) for w in words or ["empty"]]].sum(0, dtype=np.int64)
 
 
 def cosine_to(corpus: DataFrame, queries: list[tuple[str, list[str]]], dim: int = C.EMBEDDING_DIM) -> DataFrame:
@@ -150,7 +153,7 @@ def cosine_to(corpus: DataFrame, queries: list[tuple[str, list[str]]], dim: int
 
 def literal_search(chunks: DataFrame, queries: DataFrame, query: str, k: int = 5) -> DataFrame:
     """query, bid_id, rank, chunk_id, score: the k best chunks of its bid for every query text (columns query, bid_id, text)."""
-    index = build_index(corpus_of(chunks))
+    index = build_index(cut(corpus_of(chunks).select("bid_id", "chunk_id", "words")))
     hits = bm25(index, queries.select(query, "bid_id", X.tokens(F.col("text")).alias("words")), [query])
     return top(hits, [query], "score", "chunk_id", k).select(query, "bid_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
@@ -163,24 +166,24 @@ def field_search(chunks: DataFrame, top_k: int = C.TOP_K, floor: int = C.LEXICAL
     first `floor` lexical chunks come along even where they miss the first `top_k`.
     """
     group = ["bid_id", "field_name"]
-    corpus = corpus_of(chunks)
+    corpus = cut(corpus_of(chunks).select("bid_id", "chunk_id", "source_format", "section_identifier", "words"))
     index = build_index(corpus)
     aliases = [(f.name, k, a) for f in C.fields() for k, a in enumerate(f.aliases)]
     every = F.explode(F.array(*[F.struct(F.lit(n).alias("field_name"), F.lit(k).alias("alias_no"), F.lit(a).alias("alias")) for n, k, a in aliases])).alias("a")
     asked = corpus.select("bid_id").distinct().select("bid_id", every).select("bid_id", "a.field_name", "a.alias_no", X.tokens(F.col("a.alias")).alias("words"))
-    by_alias = ranked(bm25(index, asked, ["field_name", "alias_no"]), [*group, "alias_no"], "score", "chunk_id", "rank")
-    lexical = ranked(fused(by_alias, group, "chunk_id", "rank", "lexical"), group, "lexical", "chunk_id", "lexical_rank").drop("lexical")
+    by_alias = ranked(cut(bm25(index, asked, ["field_name", "alias_no"])), [*group, "alias_no"], "score", "chunk_id", "rank")
+    lexical = cut(ranked(cut(fused(by_alias, group, "chunk_id", "rank", "lexical")), group, "lexical", "chunk_id", "lexical_rank").drop("lexical"))
     questions = [(f.name, re.sub(_GAP, " ", f.question.lower()).split()) for f in C.fields()]
-    similar = cosine_to(corpus, questions).withColumnRenamed("query", "field_name")
-    semantic = ranked(similar, group, "similarity", "chunk_id", "semantic_rank").drop("similarity")
+    similar = cut(cosine_to(corpus, questions).withColumnRenamed("query", "field_name"))
+    semantic = cut(ranked(similar, group, "similarity", "chunk_id", "semantic_rank").drop("similarity"))
     names = F.array(*[F.struct(F.lit(f.name).alias("name"), F.array(*map(F.lit, map(str.lower, f.aliases))).alias("aliases")) for f in C.fields()])
     titled = corpus.where("source_format = 'html'").select("bid_id", "chunk_id", F.lower(F.trim("section_identifier")).alias("s")).where("length(s) >= 3")
     hits = F.filter(names, lambda f: F.exists(f["aliases"], lambda a: F.contains(F.col("s"), a) | F.contains(a, F.col("s"))))
     labelled = titled.select("bid_id", F.explode(hits).alias("f"), "chunk_id").select("bid_id", F.col("f.name").alias("field_name"), "chunk_id", F.lit(1.0).alias("one"))
-    labels = ranked(labelled, group, "one", "chunk_id", "label_rank").drop("one")
+    labels = cut(ranked(labelled, group, "one", "chunk_id", "label_rank").drop("one"))
     keys = [*group, "chunk_id"]
     lists = lexical.select(*keys, F.col("lexical_rank").alias("rank")).unionByName(semantic.select(*keys, F.col("semantic_rank").alias("rank")))
-    scores = fused(lists.unionByName(labels.select(*keys, F.col("label_rank").alias("rank"))), group, "chunk_id", "rank", "fused_score")
+    scores = cut(fused(lists.unionByName(labels.select(*keys, F.col("label_rank").alias("rank"))), group, "chunk_id", "rank", "fused_score"))
     # Only the first top_k and the lexical floor are needed from here on.
     first = top(scores, group, "fused_score", "chunk_id", top_k, "final_rank")
     floored = lexical.where(F.col("lexical_rank") <= floor).join(scores, keys)
