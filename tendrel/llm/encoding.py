@@ -33,19 +33,26 @@ SINGLE = (
     ("cp1252", "mac_roman"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1252", "cp1251"), ("cp1252", "cp1250"),
 )
 CLEAN, LOST = "clean", "lost"
-#: Bits to begin and to end a span; together what a span must save. A lost character (U+FFFD) proves a span by itself.
-BEGIN, END = 9.0, 3.0
+#: Readings of single bytes that are usual mistakes: of a whole alphabet by the default of another region.
+_LIKELY = ("cp1251>cp1252", "koi8-r>cp1252", "koi8-r>cp1251", "cp866>cp1251", "iso8859-2>latin-1", "cp1250>cp1252")
+#: Bits to begin and to end a span; together what a span must save. Text that comes out as valid UTF-8 can hardly be a
+#: coincidence, so such spans begin cheaply; readings between two rare single-byte encodings need more. A lost character
+#: (U+FFFD) proves a span by itself.
+BEGIN, BEGIN_SINGLE, BEGIN_RARE, END = 4.0, 8.0, 12.0, 2.0
 NEVER = 1e6
 
 # A no-break space belongs to a word only behind another such character: alone it is a plain gap.
 _WORD = re.compile(r"[0-9A-Za-z]*(?:[^\x00-\x7f\xa0][^\x00-\x7f]*[0-9A-Za-z]*)+")
 # Characters by how usual they are in clean text of the languages at hand, with their bits.
 _USUAL = {
-    4.0: "’“”–—•§€£°éèàáíóúçãñüöäßêôâ",
-    5.0: "ù½±µΩ…«»„‘¿¡ëîïûõœæąćęłńśźżåøìòÀÉÈÇÄÖÜÁÍÓÚÑÃÊÔÂÕ×·²³™®©№",
+    4.0: "’“”–—•§€£°éèàáíóúçãñüöäßêąćęłńśźż",
+    5.0: "ôâù½±µΩ…«»„‘¿¡ëîïûõœæåøìòÀÉÈÇÄÖÜÁÍÓÚÑÃÊÔÂÕ×·²³™®©№",
     6.5: "ÅØÆŒËÎÏÛÙŁŚŻŹĆĘĄŃ¼¾º",
 }
 _BITS = {c: bits for bits, chars in _USUAL.items() for c in chars}
+# Russian letters from the most to the least usual, in groups of about equal frequency.
+_CYRILLIC = {3.3: "о", 3.7: "еаи", 4.0: "нтс", 4.5: "рвл", 5.0: "кмдпу", 5.8: "яыьгзб", 6.3: "чйх", 7.0: "жшю", 8.0: "цщэф", 9.0: "ё", 11.0: "ъ"}
+_LETTER = {c: bits for bits, chars in _CYRILLIC.items() for c in chars}
 _OPENING, _CLOSING = "“„«¿¡‘•§€£", "’”»…°½¼¾²³ºª™®©"
 
 
@@ -65,11 +72,11 @@ def _kind(c: str) -> tuple[str, float]:
         if cp < 0x250:
             return "L" if category == "Lu" else "l", bits or 7.0
         if 0x400 <= cp < 0x530:
-            usual = 0x410 <= cp <= 0x44F or c in "ёЁ"
-            return "C" if category == "Lu" else "c", (5.0 if usual else 10.0)
+            upper = category == "Lu"
+            return "C" if upper else "c", _LETTER.get(c.lower(), 10.0) + (1.0 if upper else 0.0)
         if 0x370 <= cp < 0x400:
             return "g", bits or 8.0
-        return "h", 12.0
+        return "h", 16.0
     if 0x2500 <= cp < 0x2580:
         return "b", 9.0
     if category in ("Cc", "Cn", "Co", "Cs"):
@@ -83,7 +90,7 @@ def _kind(c: str) -> tuple[str, float]:
 _NEXT = {
     "lL": 6, "cC": 6, "lo": 7, "Lo": 7, "el": 0, "ol": 0, "co": 7, "Co": 7, "ec": 0, "es": 5, "se": 5, "eo": 5, "oo": 2, "oe": 5, "ee": 3,
     "lc": 9, "Lc": 9, "lC": 9, "LC": 9, "cl": 9, "cL": 9, "Cl": 9, "CL": 9, "gl": 4, "gL": 4, "lg": 6, "Lg": 6, "cg": 9, "gc": 9,
-    "lh": 8, "Lh": 8, "hl": 8, "hL": 8, "hh": -3, "ls": 3, "Ls": 3, "sl": 3, "sL": 3, "cs": 3, "sc": 3, "ss": 3, "bb": -3, "cb": 8, "Cb": 8, "bc": 8, "bC": 8,
+    "lh": 8, "Lh": 8, "hl": 8, "hL": 8, "hh": -6, "ls": 3, "Ls": 3, "sl": 3, "sL": 3, "cs": 3, "sc": 3, "ss": 3, "bb": -3, "cb": 8, "Cb": 8, "bc": 8, "bC": 8,
     "lb": 8, "Lb": 8, "bl": 8, "bL": 8, "sb": 6, "bs": 6, "eb": 6, "be": 6, "bo": 6, "ob": 6, "Le": 1,
 }
 
@@ -186,6 +193,14 @@ def states() -> tuple[tuple[str, Callable[[str], str | None]], ...]:
     return tuple(out)
 
 
+def _begin(label: str) -> float:
+    if label == CLEAN:
+        return 0.0
+    if label == LOST or label.startswith("utf-8>"):
+        return BEGIN
+    return BEGIN_SINGLE if label in _LIKELY else BEGIN_RARE
+
+
 @lru_cache(maxsize=400_000)
 def emissions(word: str) -> tuple[float, ...] | None:
     """Bits of a word in every state, or None where no state is cheaper than the clean one."""
@@ -238,7 +253,7 @@ def label(text: str) -> list[tuple[int, int, int]]:
             costs.append(_within(word))
     # A state that no word is cheaper in than in the clean one is on no cheapest path.
     alive = sorted(live)
-    begin, end = [BEGIN if s else 0.0 for s in alive], [END if s else 0.0 for s in alive]
+    begin, end = [_begin(states()[s][0]) for s in alive], [END if s else 0.0 for s in alive]
     score, back = begin, []
     for k, cost in enumerate(costs):
         if k:

@@ -12,7 +12,10 @@ from tendrel.sources.tables import table
 QUERIES = Registry()
 
 
-@QUERIES.query("p1_found")
+@QUERIES.query(
+    "p1_found",
+    "SELECT chunk_key FROM chunks WHERE length(trim(text, concat(' ', chr(9), chr(10), chr(13)))) > 1000",
+)
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks over the limit: those that come out in more than one piece, each by its second piece."""
     return splitting.split_texts(table(spark, folder, "chunks")).where("piece_no = 2").select("chunk_key")
@@ -92,7 +95,13 @@ def p5_bodies(spark: SparkSession, folder: str) -> DataFrame:
     return boilerplate.main_body(table(spark, folder, "sections"), _line_model(spark, folder))
 
 
-@QUERIES.query("p6_found")
+_NGRAMS = r"SELECT DISTINCT {0}, array_to_string(w[k:k + 11], ' ') AS gram FROM (SELECT {0}, w, unnest(range(1, len(w) - 10)) AS k FROM (SELECT {0}, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM {1}))"
+
+
+@QUERIES.query(
+    "p6_found",
+    f"SELECT DISTINCT doc_id, item_id FROM ({_NGRAMS.format('doc_id', 'documents')}) JOIN ({_NGRAMS.format('item_id', 'eval_items')}) USING (gram)",
+)
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents and the evaluation items that leaked into them."""
     return leakage.found_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
