@@ -99,3 +99,44 @@ def same_pages(chunks: DataFrame, asked: DataFrame) -> DataFrame:
     left = asked.select("doc_id", F.col("chunk_key").alias("asked_key"), pages)
     right = chunks.select("doc_id", F.col("chunk_key").alias("near_key"), pages)
     return left.join(right, ["doc_id", "page"]).where("asked_key <> near_key").select("asked_key", "near_key").distinct()
+
+
+def quote_pages(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
+    """evidence_key and pages: the pages that a quote can stand on, as far as its chunk tells.
+
+    One page is that page. Of several, separated by form feeds in the text, it is the only one that contains the quote,
+    else all. Chunks without pages, unknown chunks and null quotes give no row; of a repeated chunk_id the first row counts.
+    """
+    rows = first_by(chunks.where("chunk_id IS NOT NULL").select("chunk_id", "chunk_key", "text", "page_numbers"), ["chunk_id"], "chunk_key")
+    found = evidence.where("quote <> ''").join(rows.where("size(page_numbers) > 0"), "chunk_id")
+    parts = F.split("text", "\f")
+    paired = F.arrays_zip(F.col("page_numbers").alias("page"), parts.alias("part"))
+    with_it = F.transform(F.filter(paired, lambda x: F.contains(x["part"], F.col("quote"))), lambda x: x["page"])
+    single = (F.size(parts) == F.size("page_numbers")) & (F.size(with_it) == 1)
+    return found.select("evidence_key", F.when(single, with_it).otherwise(F.col("page_numbers")).alias("pages"))
+
+
+def select_context(chunks: DataFrame, documents: DataFrame, found: DataFrame, small: int = 15_000, front: int = 2) -> DataFrame:
+    """chunk_key and reasons (sorted, comma separated): the chunks that a context may draw on, and why.
+
+    whole: chunks of documents of at most `small` characters; front: chunks on the first `front` pages of larger ones;
+    retrieved: `found` (chunk_key); neighbour and page: what stands next to those or shares a page with them. documents:
+    doc_id and text_chars. Each rule is a plan of its own; their union is grouped once.
+    """
+    sized = chunks.join(documents.select("doc_id", "text_chars"), "doc_id")
+    whole = sized.where(F.col("text_chars") <= small).select("chunk_key", F.lit("whole").alias("reason"))
+    on_front = F.exists("page_numbers", lambda p: p <= front)
+    first = sized.where((F.col("text_chars") > small) & on_front).select("chunk_key", F.lit("front").alias("reason"))
+    asked = chunks.join(found.select("chunk_key"), "chunk_key", "left_semi")
+    retrieved = asked.select("chunk_key", F.lit("retrieved").alias("reason"))
+    near = within(chunks, asked).select(F.col("near_key").alias("chunk_key"), F.lit("neighbour").alias("reason"))
+    paged = same_pages(chunks, asked).select(F.col("near_key").alias("chunk_key"), F.lit("page").alias("reason"))
+    every = whole.unionByName(first).unionByName(retrieved).unionByName(near).unionByName(paged)
+    return every.groupBy("chunk_key").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
+
+
+def follows(chunks: DataFrame, selected: DataFrame) -> DataFrame:
+    """chunk_key, handle and follows: the handle of the chunk before, among the selected ones of its document."""
+    rows = chunks.join(selected.select("chunk_key"), "chunk_key", "left_semi").where("chunk_id IS NOT NULL")
+    rows = rows.select("chunk_key", "doc_id", "chunk_seq", X.handle(F.col("chunk_id")).alias("handle"))
+    return rows.select("chunk_key", "handle", F.lag("handle").over(Window.partitionBy("doc_id").orderBy("chunk_seq", "chunk_key")).alias("follows"))

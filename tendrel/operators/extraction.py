@@ -32,6 +32,33 @@ class Provider(Protocol):
         """The model's reply."""
 
 
+class EmbeddingClient(Protocol):
+    def embed_batch(self, texts: list[str]) -> list[list[float]]:
+        """A vector for every text."""
+
+
+def embed_missing(texts: DataFrame, cache: DataFrame, factory: Callable[[], EmbeddingClient], model: str, batch: int = 100) -> DataFrame:
+    """cache_key and vector of every different text (column text) that the cache (column cache_key) lacks.
+
+    The key is the SHA-256 of `model:text`. Null and empty texts have none. Clients get up to `batch` texts at once; the
+    result is to be appended to the cache table by the caller.
+    """
+    keyed = texts.where("text <> ''").select(F.sha2(F.concat(F.lit(f"{model}:"), "text"), 256).alias("cache_key"), "text")
+    missing = keyed.dropDuplicates(["cache_key"]).join(cache.select("cache_key"), "cache_key", "left_anti")
+    schema = T.StructType([T.StructField("cache_key", T.StringType()), T.StructField("vector", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        client: EmbeddingClient | None = None
+        for rows in batches:
+            for at in range(0, rows.num_rows, batch):
+                part = rows.slice(at, batch)
+                client = client or factory()
+                vectors = client.embed_batch(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(vectors, pa.list_(pa.float64()))], schema.names)
+
+    return missing.mapInArrow(run, schema)
+
+
 class ScriptedProvider:
     """Replays replies, raises exceptions, or calls functions of the prompt, in order; for tests."""
 

@@ -158,29 +158,35 @@ def literal_search(chunks: DataFrame, queries: DataFrame, query: str, k: int = 5
     return top(hits, [query], "score", "chunk_id", k).select(query, "bid_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
-def field_search(chunks: DataFrame, top_k: int = C.TOP_K, floor: int = C.LEXICAL_FLOOR) -> DataFrame:
+def field_search(chunks: DataFrame, top_k: int = C.TOP_K, floor: int = C.LEXICAL_FLOOR, per_document: bool = False) -> DataFrame:
     """The chunks of every bid for each of the 20 fields.
 
     bid_id, field_name, overall_rank, chunk_id, fused_score, lexical_rank, semantic_rank, label_hit, floor_inserted.
     Lexical ranks fuse one BM25 list per alias; the final ranks fuse the lexical, the semantic and the label list. The
-    first `floor` lexical chunks come along even where they miss the first `top_k`.
+    first `floor` lexical chunks come along even where they miss the first `top_k`. With `per_document` every document is
+    searched on its own and doc_id comes out as well; the statistics stay those of the bid.
     """
-    group = ["bid_id", "field_name"]
-    corpus = cut(corpus_of(chunks).select("bid_id", "chunk_id", "source_format", "section_identifier", "words"))
+    group = ["bid_id", "doc_id", "field_name"] if per_document else ["bid_id", "field_name"]
+    corpus = cut(corpus_of(chunks).select("bid_id", "chunk_id", "doc_id", "source_format", "section_identifier", "words"))
+    homes = corpus.select("bid_id", "chunk_id", "doc_id")
+
+    def placed(scores: DataFrame) -> DataFrame:
+        return scores.join(homes, ["bid_id", "chunk_id"]) if per_document else scores
+
     index = build_index(corpus)
     aliases = [(f.name, k, a) for f in C.fields() for k, a in enumerate(f.aliases)]
     every = F.explode(F.array(*[F.struct(F.lit(n).alias("field_name"), F.lit(k).alias("alias_no"), F.lit(a).alias("alias")) for n, k, a in aliases])).alias("a")
     asked = corpus.select("bid_id").distinct().select("bid_id", every).select("bid_id", "a.field_name", "a.alias_no", X.tokens(F.col("a.alias")).alias("words"))
-    by_alias = ranked(cut(bm25(index, asked, ["field_name", "alias_no"])), [*group, "alias_no"], "score", "chunk_id", "rank")
+    by_alias = ranked(cut(placed(bm25(index, asked, ["field_name", "alias_no"]))), [*group, "alias_no"], "score", "chunk_id", "rank")
     lexical = cut(ranked(cut(fused(by_alias, group, "chunk_id", "rank", "lexical")), group, "lexical", "chunk_id", "lexical_rank").drop("lexical"))
     questions = [(f.name, re.sub(_GAP, " ", f.question.lower()).split()) for f in C.fields()]
-    similar = cut(cosine_to(corpus, questions).withColumnRenamed("query", "field_name"))
+    similar = cut(placed(cosine_to(corpus, questions).withColumnRenamed("query", "field_name")))
     semantic = cut(ranked(similar, group, "similarity", "chunk_id", "semantic_rank").drop("similarity"))
     names = F.array(*[F.struct(F.lit(f.name).alias("name"), F.array(*map(F.lit, map(str.lower, f.aliases))).alias("aliases")) for f in C.fields()])
     titled = corpus.where("source_format = 'html'").select("bid_id", "chunk_id", F.lower(F.trim("section_identifier")).alias("s")).where("length(s) >= 3")
     hits = F.filter(names, lambda f: F.exists(f["aliases"], lambda a: F.contains(F.col("s"), a) | F.contains(a, F.col("s"))))
     labelled = titled.select("bid_id", F.explode(hits).alias("f"), "chunk_id").select("bid_id", F.col("f.name").alias("field_name"), "chunk_id", F.lit(1.0).alias("one"))
-    labels = cut(ranked(labelled, group, "one", "chunk_id", "label_rank").drop("one"))
+    labels = cut(ranked(placed(labelled), group, "one", "chunk_id", "label_rank").drop("one"))
     keys = [*group, "chunk_id"]
     lists = lexical.select(*keys, F.col("lexical_rank").alias("rank")).unionByName(semantic.select(*keys, F.col("semantic_rank").alias("rank")))
     scores = cut(fused(lists.unionByName(labels.select(*keys, F.col("label_rank").alias("rank"))), group, "chunk_id", "rank", "fused_score"))

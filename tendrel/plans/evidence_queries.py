@@ -228,6 +228,76 @@ def uncached_texts(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where("source_format = 'html'").select("cache_key").distinct().join(cached, "cache_key", "left_anti")
 
 
+@QUERIES.query(
+    "quote_pages",
+    """WITH texts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY chunk_key) AS rn FROM chunks WHERE chunk_id IS NOT NULL) WHERE rn = 1 AND len(page_numbers) > 0),
+    found AS (SELECT evidence_key, page_numbers, string_split(text, chr(12)) AS parts, quote FROM evidence JOIN texts USING (chunk_id) WHERE quote <> ''),
+    hits AS (SELECT *, list_filter(page_numbers, lambda p, i: contains(parts[i], quote)) AS with_it FROM found)
+    SELECT evidence_key, array_to_string(CASE WHEN len(parts) = len(page_numbers) AND len(with_it) = 1 THEN with_it ELSE page_numbers END, ',') AS pages FROM hits""",
+)
+def quote_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages that every quote can stand on."""
+    return E.quote_pages(table(spark, folder, "evidence"), table(spark, folder, "chunks")).select("evidence_key", F.array_join("pages", ",").alias("pages"))
+
+
+_SIZES = "SELECT doc_id, sum(length(text)) AS text_chars FROM sections GROUP BY doc_id"
+
+
+@QUERIES.query(
+    "context_selection",
+    f"""WITH sized AS (SELECT c.*, text_chars FROM chunks c JOIN ({_SIZES}) USING (doc_id)),
+    asked AS (SELECT * FROM chunks WHERE chunk_key % 20 = 0),
+    picked AS (SELECT chunk_key, 'whole' AS reason FROM sized WHERE text_chars <= 15000
+        UNION SELECT chunk_key, 'front' FROM sized WHERE text_chars > 15000 AND len(list_filter(page_numbers, lambda p: p <= 2)) > 0
+        UNION SELECT chunk_key, 'retrieved' FROM asked
+        UNION SELECT b.chunk_key, 'neighbour' FROM asked a JOIN chunks b ON a.doc_id = b.doc_id AND abs(a.chunk_seq - b.chunk_seq) <= 1 AND a.chunk_key <> b.chunk_key
+        UNION SELECT b.chunk_key, 'page' FROM asked a JOIN chunks b ON a.doc_id = b.doc_id AND list_has_any(a.page_numbers, b.page_numbers) AND a.chunk_key <> b.chunk_key)
+    SELECT chunk_key, string_agg(reason, ',' ORDER BY reason) AS reasons FROM picked GROUP BY chunk_key""",
+)
+def context_selection(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks for a context around every 20th chunk, with the rules that chose them."""
+    chunks = table(spark, folder, "chunks")
+    sizes = table(spark, folder, "sections").groupBy("doc_id").agg(F.sum(F.length("text")).alias("text_chars"))
+    return E.select_context(chunks, sizes, chunks.where("chunk_key % 20 = 0"))
+
+
+@QUERIES.query(
+    "context_order",
+    """SELECT chunk_key, concat('E', substr(sha256(chunk_id), 1, 8)) AS handle, lag(concat('E', substr(sha256(chunk_id), 1, 8))) OVER (PARTITION BY doc_id ORDER BY chunk_seq, chunk_key) AS follows
+    FROM chunks WHERE chunk_id IS NOT NULL AND length(text) > 500""",
+)
+def context_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Which chunk each longer chunk follows, among the longer ones of its document."""
+    chunks = table(spark, folder, "chunks")
+    return E.follows(chunks, chunks.where(F.length("text") > 500))
+
+
+@QUERIES.query(
+    "evidence_by_document",
+    """SELECT e.bid_id, e.field_name, c.doc_id, count(*) AS pieces, count(DISTINCT e.candidate_id) AS candidates, min(e.evidence_key) AS first_key
+    FROM evidence e JOIN (SELECT DISTINCT chunk_id, doc_id FROM chunks WHERE chunk_id IS NOT NULL) c USING (chunk_id) GROUP BY ALL""",
+)
+def evidence_by_document(spark: SparkSession, folder: str) -> DataFrame:
+    """Evidence of a field, apart by document: pieces, candidates and the first piece."""
+    homes = table(spark, folder, "chunks").where("chunk_id IS NOT NULL").select("chunk_id", "doc_id").distinct()
+    joined = table(spark, folder, "evidence").join(homes, "chunk_id")
+    return joined.groupBy("bid_id", "field_name", "doc_id").agg(
+        F.count("*").alias("pieces"), F.countDistinct("candidate_id").alias("candidates"), F.min("evidence_key").alias("first_key")
+    )
+
+
+@QUERIES.query(
+    "record_agreement",
+    f"""WITH forms AS (SELECT bid_id, field_name, {COMPARABLE.format("value")} AS form FROM (UNPIVOT (SELECT bid_id, title, company_name, term_of_bid FROM bid_records) ON title, company_name, term_of_bid INTO NAME field_name VALUE value))
+    SELECT bid_id, field_name, count(*) AS stated, count(DISTINCT form) AS forms, min(form) AS a_form FROM forms GROUP BY ALL""",
+)
+def record_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    """How many different values the records of a bid state for three fields, spelling aside."""
+    long = table(spark, folder, "bid_records").unpivot("bid_id", ["title", "company_name", "term_of_bid"], "field_name", "value").where("value IS NOT NULL")
+    forms = long.select("bid_id", "field_name", X.comparable(F.col("value")).alias("form"))
+    return forms.groupBy("bid_id", "field_name").agg(F.count("*").alias("stated"), F.countDistinct("form").alias("forms"), F.min("form").alias("a_form"))
+
+
 @QUERIES.query("packed_chunks")
 def packed_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks made of the sections of every document: short ones packed together, long ones split with an overlap."""

@@ -16,7 +16,7 @@ from tendrel.sources.tables import table
 QUERIES = Registry()
 
 _INDEX = f"""
-corpus AS (SELECT bid_id, chunk_id, source_format, section_identifier, {TOKENS.format("text")} AS t FROM (
+corpus AS (SELECT bid_id, chunk_id, doc_id, source_format, section_identifier, {TOKENS.format("text")} AS t FROM (
     SELECT *, row_number() OVER (PARTITION BY bid_id, chunk_id ORDER BY chunk_key) AS rn FROM chunks
     WHERE text <> '' AND chunk_id IS NOT NULL AND bid_id IS NOT NULL) WHERE rn = 1),
 lens AS (SELECT bid_id, chunk_id, len(t) AS dl FROM corpus),
@@ -99,17 +99,20 @@ def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(rows, rows.where("vec_id % 20 = 0"), "vec_id", "embedding", 5)
 
 
-@QUERIES.query(
-    "field_search",
-    f"""WITH {_INDEX},
+def _field_search_sql(per_document: bool) -> str:
+    """SQL of the field search; {K} are the columns of a group, {P} attaches the document."""
+    keys = "bid_id, doc_id, field_name" if per_document else "bid_id, field_name"
+    place = "JOIN homes USING (bid_id, chunk_id)" if per_document else ""
+    return f"""WITH {_INDEX},
+    homes AS (SELECT bid_id, chunk_id, doc_id FROM corpus),
     fields(field_name, aliases, question) AS (VALUES {_FIELDS}),
     alias AS (SELECT field_name, generate_subscripts(aliases, 1) AS alias_no, unnest(aliases) AS alias FROM fields),
     asked AS (SELECT field_name, alias_no, token, count(*) AS times FROM (SELECT field_name, alias_no, unnest({TOKENS.format("alias")}) AS token FROM alias) GROUP BY ALL),
-    scored AS (SELECT field_name, alias_no, bid_id, chunk_id, {_GAIN} AS score
-        FROM asked JOIN idfs USING (token) JOIN post USING (bid_id, token) JOIN lens USING (bid_id, chunk_id) JOIN bids USING (bid_id) GROUP BY ALL),
-    by_alias AS (SELECT *, row_number() OVER (PARTITION BY bid_id, field_name, alias_no ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM scored WHERE round(score, 9) > 0),
-    lex AS (SELECT bid_id, field_name, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS s FROM by_alias GROUP BY ALL),
-    lexical AS (SELECT bid_id, field_name, chunk_id, row_number() OVER (PARTITION BY bid_id, field_name ORDER BY round(s, 9) DESC, chunk_id) AS lexical_rank FROM lex),
+    scored AS (SELECT * FROM (SELECT field_name, alias_no, bid_id, chunk_id, {_GAIN} AS score
+        FROM asked JOIN idfs USING (token) JOIN post USING (bid_id, token) JOIN lens USING (bid_id, chunk_id) JOIN bids USING (bid_id) GROUP BY ALL) {place}),
+    by_alias AS (SELECT *, row_number() OVER (PARTITION BY {keys}, alias_no ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM scored WHERE round(score, 9) > 0),
+    lex AS (SELECT {keys}, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS s FROM by_alias GROUP BY ALL),
+    lexical AS (SELECT {keys}, chunk_id, row_number() OVER (PARTITION BY {keys} ORDER BY round(s, 9) DESC, chunk_id) AS lexical_rank FROM lex),
     cw AS (SELECT bid_id, chunk_id, unnest(CASE WHEN len(t) = 0 THEN ['empty'] ELSE t END) AS w FROM corpus),
     cr AS (SELECT bid_id, chunk_id, {_RESIDUE} AS r, count(*) AS n FROM cw GROUP BY ALL),
     cv AS (SELECT bid_id, chunk_id, i, CAST(sum(n * ((r + 17 * i) % 2000 - 1000)) AS DOUBLE) AS v FROM cr, range(256) AS x(i) GROUP BY ALL),
@@ -119,20 +122,28 @@ def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
     cn AS (SELECT bid_id, chunk_id, sqrt(sum(v * v)) AS n FROM cv GROUP BY ALL),
     qn AS (SELECT field_name, sqrt(sum(v * v)) AS n FROM qv GROUP BY ALL),
     dots AS (SELECT bid_id, chunk_id, field_name, sum(cv.v * qv.v) AS dot FROM cv JOIN qv USING (i) GROUP BY ALL),
-    sims AS (SELECT bid_id, chunk_id, field_name, dot / (cn.n * qn.n) AS s FROM dots JOIN cn USING (bid_id, chunk_id) JOIN qn USING (field_name) WHERE dot > 0),
-    semantic AS (SELECT bid_id, field_name, chunk_id, row_number() OVER (PARTITION BY bid_id, field_name ORDER BY round(s, 9) DESC, chunk_id) AS semantic_rank FROM sims),
-    labelled AS (SELECT DISTINCT bid_id, field_name, chunk_id FROM corpus, alias WHERE source_format = 'html' AND length(trim(section_identifier)) >= 3
+    sims AS (SELECT * FROM (SELECT bid_id, chunk_id, field_name, dot / (cn.n * qn.n) AS s FROM dots JOIN cn USING (bid_id, chunk_id) JOIN qn USING (field_name) WHERE dot > 0) {place}),
+    semantic AS (SELECT {keys}, chunk_id, row_number() OVER (PARTITION BY {keys} ORDER BY round(s, 9) DESC, chunk_id) AS semantic_rank FROM sims),
+    labelled AS (SELECT DISTINCT {keys}, chunk_id FROM corpus, alias WHERE source_format = 'html' AND length(trim(section_identifier)) >= 3
         AND (contains(lower(trim(section_identifier)), lower(alias)) OR contains(lower(alias), lower(trim(section_identifier))))),
-    labels AS (SELECT *, row_number() OVER (PARTITION BY bid_id, field_name ORDER BY chunk_id) AS label_rank FROM labelled),
-    lists AS (SELECT bid_id, field_name, chunk_id, lexical_rank AS rank FROM lexical UNION ALL SELECT bid_id, field_name, chunk_id, semantic_rank FROM semantic
-        UNION ALL SELECT bid_id, field_name, chunk_id, label_rank FROM labels),
-    scores AS (SELECT bid_id, field_name, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS fused FROM lists GROUP BY ALL),
-    final AS (SELECT *, row_number() OVER (PARTITION BY bid_id, field_name ORDER BY round(fused, 9) DESC, chunk_id) AS final_rank FROM scores),
-    found AS (SELECT final.*, lexical_rank, semantic_rank, label_rank FROM final LEFT JOIN lexical USING (bid_id, field_name, chunk_id)
-        LEFT JOIN semantic USING (bid_id, field_name, chunk_id) LEFT JOIN labels USING (bid_id, field_name, chunk_id) WHERE final_rank <= 6 OR lexical_rank <= 2)
-    SELECT bid_id, field_name, row_number() OVER (PARTITION BY bid_id, field_name ORDER BY CASE WHEN final_rank <= 6 THEN final_rank ELSE 6 + lexical_rank END) AS overall_rank,
-        chunk_id, round(fused, 9) AS fused_score, lexical_rank, semantic_rank, label_rank IS NOT NULL AS label_hit, final_rank > 6 AS floor_inserted FROM found""",
-)
+    labels AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY chunk_id) AS label_rank FROM labelled),
+    lists AS (SELECT {keys}, chunk_id, lexical_rank AS rank FROM lexical UNION ALL SELECT {keys}, chunk_id, semantic_rank FROM semantic
+        UNION ALL SELECT {keys}, chunk_id, label_rank FROM labels),
+    scores AS (SELECT {keys}, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS fused FROM lists GROUP BY ALL),
+    final AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY round(fused, 9) DESC, chunk_id) AS final_rank FROM scores),
+    found AS (SELECT final.*, lexical_rank, semantic_rank, label_rank FROM final LEFT JOIN lexical USING ({keys}, chunk_id)
+        LEFT JOIN semantic USING ({keys}, chunk_id) LEFT JOIN labels USING ({keys}, chunk_id) WHERE final_rank <= 6 OR lexical_rank <= 2)
+    SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY CASE WHEN final_rank <= 6 THEN final_rank ELSE 6 + lexical_rank END) AS overall_rank,
+        chunk_id, round(fused, 9) AS fused_score, lexical_rank, semantic_rank, label_rank IS NOT NULL AS label_hit, final_rank > 6 AS floor_inserted FROM found"""
+
+
+@QUERIES.query("field_search", _field_search_sql(False))
 def field_search(spark: SparkSession, folder: str) -> DataFrame:
     """The chunks of every bid for each of the 20 fields, by fused lexical, semantic and label ranks."""
     return R.field_search(table(spark, folder, "chunks"))
+
+
+@QUERIES.query("document_field_search", _field_search_sql(True))
+def document_field_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, apart for every document of a bid."""
+    return R.field_search(table(spark, folder, "chunks"), per_document=True)

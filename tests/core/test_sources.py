@@ -105,3 +105,18 @@ def test_extract(spark):
     status = {r.package_id: r.status for r in out.collect()}
     assert status == {1: "ok", 2: "ok", 3: "invalid_output", 4: "provider_error", 5: "provider_error"}
     assert {r.status: r.packages for r in X.group_status(out).collect()} == {"ok": 2, "invalid_output": 1, "provider_error": 2}
+
+
+def test_embed_missing(spark):
+    class Lengths:
+        def embed_batch(self, texts):
+            assert len(texts) <= 2
+            return [[float(len(t))] for t in texts]
+
+    texts = spark.createDataFrame([("a",), ("bb",), ("bb",), ("ccc",), (None,), ("",)], "text string")
+    empty = spark.createDataFrame([], "cache_key string")
+    first = X.embed_missing(texts, empty, Lengths, "m", 2)
+    assert sorted(r.vector for r in first.collect()) == [[1.0], [2.0], [3.0]]
+    cached = first.where("vector[0] < 3").select("cache_key")
+    assert [r.vector for r in X.embed_missing(texts, cached, Lengths, "m", 2).collect()] == [[3.0]]
+    assert X.embed_missing(texts, first, Lengths, "other", 2).count() == 3
