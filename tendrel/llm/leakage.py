@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tendrel.llm.arrowtext import by_batch
 
@@ -104,11 +105,12 @@ class ItemIndex:
         return out
 
 
-def _by_set(documents: DataFrame, items: list[tuple[int, str]], n: int, key: str, item_key: str) -> DataFrame:
+def _by_set(documents: DataFrame, items: list[tuple], kind: T.DataType, n: int) -> DataFrame:
+    """The hits of items (id of type `kind`, text), whose n-grams go along with the function."""
     shared = documents.sparkSession.sparkContext.broadcast(items)
     index: list[ItemIndex] = []
     schema = T.StructType(
-        [documents.schema["_k"], T.StructField("item", T.LongType()), T.StructField("windows", T.IntegerType()), T.StructField("first_word", T.IntegerType())]
+        [documents.schema["_k"], T.StructField("item", kind), T.StructField("windows", T.IntegerType()), T.StructField("first_word", T.IntegerType())]
     )
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -121,7 +123,7 @@ def _by_set(documents: DataFrame, items: list[tuple[int, str]], n: int, key: str
         if not found:
             return None
         at = pa.array([t for t, _ in found])
-        ids = pa.array([index[0].ids[i] for _, i in found], pa.int64())
+        ids = pa.array([index[0].ids[i] for _, i in found], to_arrow_type(kind))
         counts, lows = zip(*found.values(), strict=True)
         return pa.RecordBatch.from_arrays([batch.column(0).take(at), ids, pa.array(counts, pa.int32()), pa.array(lows, pa.int32())], schema.names)
 
@@ -166,11 +168,11 @@ def found_leaks(
     result, except that equal document keys are then counted together.
     """
     rows = documents.select(documents[key].alias("_k"), documents[text].alias("_t")).where("_t IS NOT NULL")
-    of = items.select(items[item_key].cast("long").alias("_k"), items[text].alias("_t")).where("_t IS NOT NULL")
+    of = items.select(items[item_key].alias("_k"), items[text].alias("_t")).where("_t IS NOT NULL")
     # Words are at least one character and a gap apart, so half the characters bounds their number.
     size = of.agg(F.coalesce(F.sum(F.length("_t") / 2 + 1), F.lit(0))).first()[0]
     if size <= max_item_words:
-        found = _by_set(rows, [(r[0], r[1]) for r in of.collect()], n, key, item_key)
+        found = _by_set(rows, [(r[0], r[1]) for r in of.collect()], of.schema["_k"].dataType, n)
     else:
         found = _by_join(rows, of, n)
     return found.select(F.col("_k").alias(key), F.col("item").alias(item_key), "windows", "first_word")

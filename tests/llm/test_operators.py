@@ -195,6 +195,8 @@ def test_leaks_against_brute_force(spark):
         got = leakage.found_leaks(d, e, n=n).select("doc_id", "item_id").collect()
         joined = leakage.found_leaks(d, e, n=n, max_item_words=0).select("doc_id", "item_id").collect()
         assert sorted(map(tuple, got)) == want and sorted(map(tuple, joined)) == want
+    named = leakage.found_leaks(d, e.selectExpr("concat('i', item_id) AS item_id", "text"), n=4).select("doc_id", "item_id").collect()
+    assert sorted(map(tuple, named)) == sorted((a, f"i{b}") for a, b in brute_leaks(docs, items, 4))
     assert leakage.found_leaks(d, e.where("false")).count() == 0 and leakage.found_leaks(d.where("false"), e).count() == 0
 
 
