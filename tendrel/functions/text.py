@@ -129,6 +129,14 @@ def page_number(section: Column, source_format: Column) -> Column:
     return F.when((source_format == "pdf") & low.startswith("page"), F.trim(F.regexp_replace(low, "page", "")).try_cast("int"))
 
 
+def printed_label(text: Column) -> Column:
+    """The first of the first and last three lines that is a page label, as `Page 3 of 12` or `3 | 12`; else null."""
+    lines = F.split(text, "\n")
+    tail = F.slice(lines, F.greatest(F.lit(4), F.size(lines) - 2), F.lit(3))
+    edges = F.transform(F.concat(F.slice(lines, 1, 3), tail), F.trim)
+    return F.get(F.filter(edges, lambda x: x.rlike(r"(?i)^(page\s+)?\d+\s*(of|\|)\s*\d+$")), F.lit(0))
+
+
 def residue(word: Column, modulus: int = 2000) -> Column:
     """The 128-bit MD5 of a word modulo a small number, folded from its four 32-bit pieces."""
     digest, step = F.md5(word), (1 << 32) % modulus

@@ -1,7 +1,7 @@
 """Sequential folds over ordered rows: sections into chunks, chunks into a context of limited size.
 
-Both are folds over one document or one bid, in an order; each group is sorted by Spark and streamed to Python in
-batches, so that a group of any size passes through a task with constant memory.
+Sections are folded document by document: sorted by Spark and streamed to Python in batches, so that a document of any
+length passes through a task with constant memory. A context is folded in rounds over the few next chunks of each bid.
 """
 
 from __future__ import annotations
@@ -10,11 +10,12 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tendrel import catalog as C
+from tendrel.session import cut
 
 MAX_CHARS, MAX_EXCERPTS = 100_000, 120
 
@@ -138,34 +139,62 @@ def pack_sections(sections: DataFrame, limit: int = C.CHUNK_SIZE, overlap: int =
 
 
 def pack_context(chunks: DataFrame, budget: int = MAX_CHARS, most: int = MAX_EXCERPTS) -> DataFrame:
-    """bid_id, doc_id, chunk_key, kept, used: chunks of a bid in order of document, place and key, as far as they fit.
+    """bid_id, place, doc_id, chunk_key, used: the chunks of a bid that fit, in order of document, place and key.
 
     A chunk that would exceed the budget is skipped and later smaller ones may still fit; at most `most` are kept. `used`
-    is the number of characters in use after the chunk.
+    is the number of characters in use after the chunk. Chunks without text take no part.
+
+    What is left of a budget only shrinks, so a chunk larger than that can never fit again. Each round takes, for every
+    bid that is not full, the next `most` chunks that are small enough - a top-k per bid, cut in each task before the
+    shuffle - and folds those few in order. A round keeps at least one chunk of each bid that is left, and most bids
+    are done after the first; no task sees more than `most` rows of a bid, however many it has.
     """
-    rows = chunks.where("text <> '' AND bid_id IS NOT NULL").select("bid_id", "doc_id", "chunk_seq", "chunk_key", F.length("text").alias("size"))
-    schema = T.StructType(
+    rows = cut(
+        chunks.where("text <> '' AND bid_id IS NOT NULL").select("bid_id", F.struct("doc_id", "chunk_seq", "chunk_key").alias("ord"), F.length("text").cast("long").alias("size"))
+    )
+    folded_type = T.StructType(
         [
             T.StructField("bid_id", T.StringType()),
-            T.StructField("doc_id", T.StringType()),
-            T.StructField("chunk_key", T.LongType()),
+            T.StructField("no", T.IntegerType()),
             T.StructField("kept", T.BooleanType()),
             T.StructField("used", T.LongType()),
+            T.StructField("taken", T.IntegerType()),
         ]
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bid, used, taken = None, 0, 0
         for batch in batches:
-            kept, totals = [], []
-            for own, size in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            if not batch.num_rows:
+                continue
+            kept, totals, counts = [], [], []
+            for own, size, before, so_far in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
                 if own != bid:
-                    bid, used, taken = own, 0, 0
+                    bid, used, taken = own, before, so_far
                 fits = used + size <= budget and taken < most
                 used, taken = (used + size, taken + 1) if fits else (used, taken)
                 kept.append(fits)
                 totals.append(used)
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(kept, pa.bool_()), pa.array(totals, pa.int64())], schema.names)
-
-    return _by_group(rows, "bid_id", ["doc_id", "chunk_seq", "chunk_key"]).mapInArrow(run, schema)
+                counts.append(taken)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(kept, pa.bool_()), pa.array(totals, pa.int64()), pa.array(counts, pa.int32())], folded_type.names
+            )
+
+    state = rows.select("bid_id").distinct().select("bid_id", F.lit(0).cast("long").alias("before"), F.lit(0).alias("so_far"), F.lit(None).cast(rows.schema["ord"].dataType).alias("after"))
+    out = None
+    while True:
+        small = rows.join(state, "bid_id").where((F.col("size") <= budget - F.col("before")) & (F.col("after").isNull() | (F.col("ord") > F.col("after"))))
+        number = F.row_number().over(Window.partitionBy("bid_id").orderBy("ord"))
+        next_ones = cut(small.withColumn("no", number).where(F.col("no") <= most))
+        ordered = _by_group(next_ones.select("bid_id", "no", "size", "before", "so_far"), "bid_id", ["no"])
+        folded = cut(ordered.mapInArrow(fold, folded_type).join(next_ones.select("bid_id", "no", "ord"), ["bid_id", "no"]))
+        part = folded.where("kept").select("bid_id", F.col("taken").alias("place"), "ord.doc_id", "ord.chunk_key", "used")
+        out = part if out is None else out.unionByName(part)
+        state = (
+            folded.groupBy("bid_id")
+            .agg(F.max("used").alias("before"), F.max("taken").alias("so_far"), F.max("ord").alias("after"), F.count("*").alias("seen"))
+            .where((F.col("seen") == most) & (F.col("so_far") < most) & (F.col("before") < budget))
+            .drop("seen")
+        )
+        if state.isEmpty():
+            return out

@@ -25,6 +25,8 @@ from tendrel.session import cut
 
 #: Scores are compared to this many decimals, so that the order of summation can't decide a rank.
 EXACT = 9
+#: Rows of a group that one task ranks.
+WHOLE = 200_000
 MODULUS, STEP = 2000, 17
 _GAP = re.compile(r"[^\w]+")
 
@@ -78,13 +80,18 @@ def bm25(index: Index, queries: DataFrame, query: list[str]) -> DataFrame:
     return hits.groupBy(*query, "bid_id", "chunk_id").agg(F.sum(gain).alias("score")).where(F.round("score", EXACT) > 0)
 
 
-def ranked(df: DataFrame, group: list[str], score: str, tie: str, out: str, buckets: int = 1024) -> DataFrame:
+def ranked(df: DataFrame, group: list[str], score: str, tie: str, out: str, buckets: int = 1024, whole: int = WHOLE) -> DataFrame:
     """df with the rank (from 1) of every row in its group, by falling score, then rising tie.
 
-    Rows are numbered within buckets of the group's range of scores (of the tie's first characters where all scores are
-    equal), and the buckets' counts are summed up: a group of any size is ranked by many tasks. df is read three times.
+    Where no group has more than `whole` rows, which is counted first, a window per group gives the ranks. Else rows are
+    numbered within buckets of the group's range of scores (of the tie's first characters where all scores are
+    equal), and the buckets' counts are summed up: a group of any size is ranked by many tasks. df is read twice or
+    more, so it should be cheap to read.
     """
     exact = F.round(score, EXACT)
+    largest = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    if largest <= whole:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(exact.desc(), tie)))
     ends = df.groupBy(*group).agg(F.min(exact).alias("_lo"), F.max(exact).alias("_hi"))
     level = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_hi") - exact) / (F.col("_hi") - F.col("_lo")) * buckets)).otherwise(F.lit(0))
     begin = F.when(F.col("_hi") > F.col("_lo"), "").otherwise(F.substring(F.col(tie).cast("string"), 1, 2))
@@ -124,6 +131,20 @@ def embed(words: list[str] | None, dim: int = C.EMBEDDING_DIM) -> np.ndarray:
     return _components(dim)[[_residue(w) for w in words or ["empty"]]].sum(0, dtype=np.int64)
 
 
+def embeddings(rows: DataFrame, key: str, dim: int = C.EMBEDDING_DIM) -> DataFrame:
+    """key and vector (whole numbers: the sum of hashed word vectors times 1,000) of rows with a column words."""
+    schema = T.StructType([rows.schema[key], T.StructField("vector", T.ArrayType(T.LongType()))])
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                flat = np.concatenate([embed(w, dim) for w in batch.column(1).to_pylist()])
+                offsets = pa.array(np.arange(0, len(flat) + 1, dim, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat))], schema.names)
+
+    return rows.select(key, "words").mapInArrow(run, schema)
+
+
 def cosine_to(corpus: DataFrame, queries: list[tuple[str, list[str]]], dim: int = C.EMBEDDING_DIM) -> DataFrame:
     """bid_id, chunk_id, query, similarity > 0 of every chunk to each of a short list of queries (name, words).
 

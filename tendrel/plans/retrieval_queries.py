@@ -45,9 +45,14 @@ for _k in range(4):
 )
 def term_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """In how many documents every token occurs, and how often in all."""
-    words = table(spark, folder, "documents").select("doc_id", F.explode(X.tokens(F.col("text"))).alias("token"))
-    per = words.groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
-    return per.groupBy("token").agg(F.count("*").alias("documents"), F.sum("tf").alias("occurrences"))
+    # Sorted words, each marked where it is the first of its kind in the document: one shuffle by token is enough.
+    words = table(spark, folder, "documents").select(F.sort_array(X.tokens(F.col("text"))).alias("words"))
+    marked = F.transform("words", lambda x, i: F.struct(x.alias("token"), ((i == 0) | (x != F.get("words", i - 1))).alias("first")))
+    return (
+        words.select(F.explode(marked).alias("w"))
+        .groupBy(F.col("w.token").alias("token"))
+        .agg(F.count_if("w.first").alias("documents"), F.count("*").alias("occurrences"))
+    )
 
 
 @QUERIES.query(
@@ -75,14 +80,9 @@ def literal_search(spark: SparkSession, folder: str) -> DataFrame:
 )
 def hash_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     """Three components (times 1,000, before normalising) of every chunk's hashed embedding."""
-    words = F.explode(F.when(F.size("t") == 0, F.array(F.lit("empty"))).otherwise(F.col("t"))).alias("w")
-    rows = table(spark, folder, "chunks").where("text <> ''").select("chunk_key", X.tokens(F.col("text")).alias("t")).select("chunk_key", words)
-    counts = rows.groupBy("chunk_key", X.residue(F.col("w")).alias("r")).agg(F.count("*").alias("n"))
-
-    def component(i: int) -> F.Column:
-        return F.sum(F.col("n") * ((F.col("r") + R.STEP * i) % R.MODULUS - R.MODULUS // 2)).alias(f"c{i}")
-
-    return counts.groupBy("chunk_key").agg(component(0), component(100), component(255))
+    rows = table(spark, folder, "chunks").where("text <> ''").select("chunk_key", X.tokens(F.col("text")).alias("words"))
+    vectors = R.embeddings(rows, "chunk_key")
+    return vectors.select("chunk_key", *[F.get("vector", F.lit(i)).alias(f"c{i}") for i in (0, 100, 255)])
 
 
 @QUERIES.query(

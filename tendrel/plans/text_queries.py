@@ -237,3 +237,14 @@ def prompt_costs(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "chunks").where("text <> '' AND chunk_id IS NOT NULL")
     size = F.length(F.replace("text", F.lit("</excerpt>"), F.lit("</excerpt_>"))) + 1 + F.length(X.handle(F.col("chunk_id")))
     return rows.groupBy("bid_id").agg(F.count("*").alias("excerpts"), F.sum(size).alias("chars"))
+
+
+@QUERIES.query(
+    "printed_labels",
+    r"""SELECT section_key, list_filter(list_transform(l[1:3] || l[greatest(4, len(l) - 2):], lambda x: trim(x)), lambda x: regexp_full_match(x, '(?i)(page\s+)?\d+\s*(of|\|)\s*\d+'))[1] AS label
+    FROM (SELECT section_key, string_split(text, chr(10)) AS l FROM sections WHERE source_format = 'pdf' AND text IS NOT NULL)""",
+)
+def printed_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """The page label printed among the first or last three lines of a page, as in `Page 3 of 12`."""
+    pages = table(spark, folder, "sections").where("source_format = 'pdf' AND text IS NOT NULL")
+    return pages.select("section_key", X.printed_label(F.col("text")).alias("label"))

@@ -44,11 +44,25 @@ def test_packing_merges_short_and_splits_long(spark):
         packing.pack_sections(df, limit=5, overlap=5)
 
 
-def test_context_skips_what_is_too_large(spark):
-    sizes = [5, 4, 9, 2, 1, 1]
-    df = spark.createDataFrame([("b", "d", k, k, "x" * n) for k, n in enumerate(sizes)], "bid_id string, doc_id string, chunk_seq int, chunk_key long, text string")
-    kept = {r.chunk_key: (r.kept, r.used) for r in packing.pack_context(df, budget=12, most=4).collect()}
-    assert kept == {0: (True, 5), 1: (True, 9), 2: (False, 9), 3: (True, 11), 4: (True, 12), 5: (False, 12)}
+def slow_context(sizes, budget, most):
+    used, out = 0, []
+    for k, size in enumerate(sizes):
+        if used + size <= budget and len(out) < most:
+            used += size
+            out.append((k, len(out) + 1, used))
+    return out
+
+
+def test_context_against_a_plain_fold(spark):
+    rng = random.Random(8)
+    bids = {"b": [5, 4, 9, 2, 1, 1], "one": [30], "many": [rng.randint(1, 9) for _ in range(60)], "late": [11, 12, 10] * 6 + [1]}
+    rows = [(b, "d", k, k, "x" * n) for b, sizes in bids.items() for k, n in enumerate(sizes)] + [("b", "d", 9, 9, None), (None, "d", 9, 9, "x"), ("b", "d", 9, 9, "")]
+    df = spark.createDataFrame(rows, "bid_id string, doc_id string, chunk_seq int, chunk_key long, text string")
+    for budget, most in ((12, 4), (25, 3), (1000, 7)):
+        got = packing.pack_context(df, budget, most).collect()
+        for b, sizes in bids.items():
+            assert [(r.chunk_key, r.place, r.used) for r in sorted((r for r in got if r.bid_id == b), key=lambda r: r.place)] == slow_context(sizes, budget, most)
+    assert packing.pack_context(df.where("false")).count() == 0
 
 
 def slow_bm25(corpus, query):
@@ -85,8 +99,8 @@ def test_ranks_in_buckets_equal_plain_ranks(spark):
     rng = random.Random(4)
     rows = [(g, round(rng.random(), 1) if g == "a" else 1.0, f"{rng.randint(0, 99):02}{k}") for g in "ab" for k in range(200)]
     df = spark.createDataFrame(rows, "g string, s double, t string")
-    for buckets in (1, 7):
-        got = {(r.g, r.t): r["rank"] for r in retrieval.ranked(df, ["g"], "s", "t", "rank", buckets).collect()}
+    for buckets, whole in ((1, 0), (7, 0), (7, 10**6)):
+        got = {(r.g, r.t): r["rank"] for r in retrieval.ranked(df, ["g"], "s", "t", "rank", buckets, whole).collect()}
         for g in "ab":
             want = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))
             assert [got[g, r[2]] for r in want] == list(range(1, 201))
