@@ -140,3 +140,22 @@ def follows(chunks: DataFrame, selected: DataFrame) -> DataFrame:
     rows = chunks.join(selected.select("chunk_key"), "chunk_key", "left_semi").where("chunk_id IS NOT NULL")
     rows = rows.select("chunk_key", "doc_id", "chunk_seq", X.handle(F.col("chunk_id")).alias("handle"))
     return rows.select("chunk_key", "handle", F.lag("handle").over(Window.partitionBy("doc_id").orderBy("chunk_seq", "chunk_key")).alias("follows"))
+
+
+def candidates(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
+    """candidate_id, pieces, accepted, match (exact, semantic or null), reason and failed_key.
+
+    Every piece of evidence must be found; the first that is not, by evidence_key, gives the reason. A match is exact if
+    any piece is found verbatim. Rows with a null candidate_id take no part.
+    """
+    judged = ground(evidence, chunks).join(evidence.where("candidate_id IS NOT NULL").select("evidence_key", "candidate_id"), "evidence_key")
+    bad = F.col("reason").isNotNull()
+    grouped = judged.groupBy("candidate_id").agg(
+        F.count("*").alias("pieces"),
+        F.bool_or(F.col("level") == "L1").alias("verbatim"),
+        F.min_by("reason", F.when(bad, F.col("evidence_key"))).alias("first"),
+        F.min(F.when(bad, F.col("evidence_key"))).alias("failed_key"),
+    )
+    accepted = F.col("failed_key").isNull()
+    match = F.when(accepted, F.when(F.col("verbatim"), "exact").otherwise("semantic"))
+    return grouped.select("candidate_id", "pieces", accepted.alias("accepted"), match.alias("match"), F.when(~accepted, F.col("first")).alias("reason"), "failed_key")

@@ -6,6 +6,7 @@ be sent to the executors. Calls go out row by row within a task; the number of t
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 from collections.abc import Callable, Iterator
@@ -87,6 +88,41 @@ def complete_with_retries(provider: Provider, prompt: str, retries: int = 3, sle
     raise AssertionError("unreachable")
 
 
+def reply_schema(fields: list[str], handles: list[str]) -> dict:
+    """The JSON schema that `parse_reply` accepts, with the names of this package only."""
+    name = {"type": "string", "enum": list(fields)}
+    piece = {
+        "type": "object",
+        "additionalProperties": False,
+        "required": ["evidence_id", "quote"],
+        "properties": {"evidence_id": {"type": "string", "enum": list(handles)}, "quote": {"type": "string", "minLength": 1, "maxLength": MAX_VALUE}},
+    }
+    candidate = {
+        "type": "object",
+        "required": ["field", "value", "evidence"],
+        "properties": {"field": name, "value": {"type": "string", "minLength": 1, "maxLength": MAX_VALUE}, "evidence": {"type": "array", "minItems": 1, "items": piece}},
+    }
+    missing = {"type": "object", "required": ["field"], "properties": {"field": name, "reason": {"type": "string"}}}
+    return {
+        "type": "object",
+        "additionalProperties": False,
+        "required": ["candidates", "not_found"],
+        "properties": {"candidates": {"type": "array", "maxItems": MAX_CANDIDATES, "items": candidate}, "not_found": {"type": "array", "items": missing}},
+    }
+
+
+def prompt_hash(version: str, prompt: str, schema: dict) -> str:
+    """A hash of all that decides a reply, whatever the order of the schema's keys."""
+    text = json.dumps({"version": version, "prompt": prompt, "schema": schema}, sort_keys=True)
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def candidate_id(field: str, chunk_ids: list[str], value: object) -> str:
+    """The id of a candidate: equal for equal field, chunks in any order, and value."""
+    text = f"{field}:{'_'.join(sorted(chunk_ids))}:{json.dumps(value, sort_keys=True)}"
+    return hashlib.sha256(text.encode()).hexdigest()[:12]
+
+
 def parse_reply(text: str, fields: list[str], handles: list[str]) -> list[tuple[str, str | None, str | None, str | None, str | None]]:
     """(kind, field, value, handle, detail) of a reply; kinds: candidate, not_found, rejected, warning, missing, error.
 

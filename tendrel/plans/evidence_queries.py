@@ -129,20 +129,35 @@ _Q2, _T2 = (_q(_SPACED, _q(PUNCTUATION, c), " ") for c in ("quote", "text"))
 _Q4, _T4 = (f"lower({_q(_SPACED, _q(PUNCTUATION, c), '')})" for c in ("quote", "text"))
 
 
-@QUERIES.query(
-    "grounded_evidence",
-    f"""WITH texts AS (SELECT chunk_id, text, TRUE AS there FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY chunk_key) AS rn FROM chunks WHERE chunk_id IS NOT NULL) WHERE rn = 1),
+_GROUNDED = f"""WITH texts AS (SELECT chunk_id, text, TRUE AS there FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY chunk_key) AS rn FROM chunks WHERE chunk_id IS NOT NULL) WHERE rn = 1),
     matched AS (SELECT evidence_key, quote, there, CASE WHEN trim(coalesce(quote, '')) = '' OR contains(quote, '...') OR coalesce(text, '') = '' THEN NULL
         WHEN contains(text, quote) THEN 'L1' WHEN contains({_T2}, {_Q2}) THEN 'L2' WHEN contains(lower({_T2}), lower({_Q2})) THEN 'L3'
         WHEN {_Q4} <> '' AND contains({_T4}, {_Q4}) THEN 'L4' END AS level FROM evidence LEFT JOIN texts USING (chunk_id))
     SELECT evidence_key, level, CASE WHEN trim(coalesce(quote, '')) = '' THEN 'no_evidence' WHEN contains(quote, '...') THEN 'invalid_quote'
-        WHEN there IS NULL THEN 'unknown_evidence_id' WHEN level IS NULL THEN 'quote_not_in_chunk' END AS reason FROM matched""",
+        WHEN there IS NULL THEN 'unknown_evidence_id' WHEN level IS NULL THEN 'quote_not_in_chunk' END AS reason FROM matched"""
+
+
+@QUERIES.query(
+    "grounded_evidence",
+    _GROUNDED,
 )
 def grounded_evidence(spark: SparkSession, folder: str) -> DataFrame:
     """Whether and how every quote is found in its chunk, else the first reason against it."""
     return E.ground(table(spark, folder, "evidence"), table(spark, folder, "chunks"))
 
 
+@QUERIES.query(
+    "candidate_status",
+    f"""WITH judged AS (SELECT candidate_id, evidence_key, level, reason FROM ({_GROUNDED}) JOIN (SELECT evidence_key, candidate_id FROM evidence WHERE candidate_id IS NOT NULL) USING (evidence_key)),
+    grouped AS (SELECT candidate_id, count(*) AS pieces, coalesce(bool_or(level = 'L1'), FALSE) AS verbatim, min(evidence_key) FILTER (WHERE reason IS NOT NULL) AS failed_key FROM judged GROUP BY candidate_id)
+    SELECT g.candidate_id, pieces, failed_key IS NULL AS accepted, CASE WHEN failed_key IS NULL THEN CASE WHEN verbatim THEN 'exact' ELSE 'semantic' END END AS match, reason, failed_key
+    FROM grouped g LEFT JOIN (SELECT evidence_key AS failed_key, reason FROM judged) USING (failed_key)""",
+)
+def candidate_status(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether every candidate is accepted, how it matches, else the first reason against it."""
+    return E.candidates(table(spark, folder, "evidence"), table(spark, folder, "chunks"))
+
+
 @QUERIES.query(
     "supported_claims",
     f"""SELECT e.evidence_key, len(list_filter({TOKENS.format("e.quote")}, lambda t: length(t) > 4 AND NOT contains(lower(c.text), t))) = 0 AS supported

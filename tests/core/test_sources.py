@@ -120,3 +120,12 @@ def test_embed_missing(spark):
     cached = first.where("vector[0] < 3").select("cache_key")
     assert [r.vector for r in X.embed_missing(texts, cached, Lengths, "m", 2).collect()] == [[3.0]]
     assert X.embed_missing(texts, first, Lengths, "other", 2).count() == 3
+
+
+def test_schema_and_ids():
+    schema = X.reply_schema(["title"], ["E1", "E2"])
+    piece = schema["properties"]["candidates"]["items"]["properties"]["evidence"]["items"]
+    assert piece["properties"]["evidence_id"]["enum"] == ["E1", "E2"]
+    turned = dict(reversed(list(schema.items())))
+    assert X.prompt_hash("1", "p", schema) == X.prompt_hash("1", "p", turned) != X.prompt_hash("2", "p", schema)
+    assert X.candidate_id("f", ["b", "a"], {"x": 1, "y": "é"}) == X.candidate_id("f", ["a", "b"], {"y": "é", "x": 1}) != X.candidate_id("f", ["a"], "v")
