@@ -159,3 +159,35 @@ def candidates(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
     accepted = F.col("failed_key").isNull()
     match = F.when(accepted, F.when(F.col("verbatim"), "exact").otherwise("semantic"))
     return grouped.select("candidate_id", "pieces", accepted.alias("accepted"), match.alias("match"), F.when(~accepted, F.col("first")).alias("reason"), "failed_key")
+
+
+def rule_candidates(chunks: DataFrame) -> DataFrame:
+    """doc_id, form, phrase, chunk_key: every form that a document names, where it names it first."""
+    rows = chunks.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "chunk_seq", "chunk_key", F.posexplode(X.named_forms(F.col("text"))).alias("no", "phrase"))
+    rows = rows.withColumn("form", F.lower(X.collapsed(F.col("phrase"))))
+    first = rows.groupBy("doc_id", "form").agg(F.min_by(F.struct("phrase", "chunk_key"), F.struct("chunk_seq", "chunk_key", "no")).alias("first"))
+    return first.select("doc_id", "form", "first.phrase", "first.chunk_key")
+
+
+def all_fields(bids: DataFrame, resolved: DataFrame, names: list[str]) -> DataFrame:
+    """bid_id, position (from 1), field_name, status and value: every bid with all fields, in the order of `names`.
+
+    Status is found, conflicting or not_found; a field that nothing was chosen for has a null value.
+    """
+    every = F.posexplode(F.array(*map(F.lit, names))).alias("at", "field_name")
+    wide = bids.select("bid_id").distinct().select("bid_id", every)
+    joined = wide.join(resolved.select("bid_id", "field_name", "value", "conflicting"), ["bid_id", "field_name"], "left")
+    status = F.when(F.col("conflicting"), "conflicting").when(F.col("value").isNotNull(), "found").otherwise("not_found")
+    return joined.select("bid_id", (F.col("at") + 1).alias("position"), "field_name", status.alias("status"), "value")
+
+
+def context_texts(chunks: DataFrame, packed: DataFrame) -> DataFrame:
+    """bid_id, excerpts and context: the packed chunks of a bid as one text, each under its handle, in order.
+
+    The budget of the packing bounds the text of a bid, so gathering it in one row is safe.
+    """
+    rows = packed.select("bid_id", "place", "chunk_key").join(chunks.select("chunk_key", "chunk_id", "text"), "chunk_key")
+    escaped = F.replace("text", F.lit("</excerpt>"), F.lit("</excerpt_>"))
+    block = F.concat(F.lit("<excerpt id="), F.coalesce(X.handle(F.col("chunk_id")), F.lit("none")), F.lit(">\n"), escaped, F.lit("\n</excerpt>"))
+    gathered = rows.groupBy("bid_id").agg(F.array_sort(F.collect_list(F.struct("place", block.alias("block")))).alias("blocks"))
+    return gathered.select("bid_id", F.size("blocks").alias("excerpts"), F.array_join(F.transform("blocks", lambda x: x["block"]), "\n").alias("context"))

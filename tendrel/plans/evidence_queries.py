@@ -191,9 +191,7 @@ _TIERS = {"direct_upload": 0, "portal_north": 1, "lakes_portal": 1, "county_ftp"
 _TIER_SQL = "CASE feed " + " ".join(f"WHEN '{f}' THEN {t}" for f, t in _TIERS.items()) + " ELSE 3 END"
 
 
-@QUERIES.query(
-    "resolved_fields",
-    f"""WITH long AS (SELECT bid_id, record_id, tier, late, field_name, value, {COMPARABLE.format("value")} AS form FROM (UNPIVOT
+_RESOLVED = f"""WITH long AS (SELECT bid_id, record_id, tier, late, field_name, value, {COMPARABLE.format("value")} AS form FROM (UNPIVOT
         (SELECT bid_id, record_id, {_TIER_SQL} AS tier, epoch_us(extracted_at) AS late, {", ".join(_CHOSEN)} FROM bid_records) ON {", ".join(_CHOSEN)} INTO NAME field_name VALUE value)
         WHERE NOT (trim(value) = '' OR NOT regexp_matches(value, '[\\p{{L}}\\p{{N}}_]') OR contains(value, '___') OR regexp_matches(trim(value), '(?s)^[(\\[{{].*[)\\]}}]$')
             OR lower(trim(value)) IN ('n/a', 'na', 'none', 'null', 'tbd', 'unknown', 'not specified', 'not stated', 'not applicable'))),
@@ -201,14 +199,100 @@ _TIER_SQL = "CASE feed " + " ".join(f"WHEN '{f}' THEN {t}" for f, t in _TIERS.it
         row_number() OVER (PARTITION BY bid_id, field_name ORDER BY tier, late DESC, record_id) AS rn FROM long) WHERE rn = 1),
     rivals AS (SELECT bid_id, field_name, count(*) AS rivals FROM long JOIN best b USING (bid_id, field_name, tier)
         WHERE CASE WHEN long.form = '' OR b.form = '' THEN long.form <> b.form ELSE long.form <> b.form AND NOT contains(long.form, b.form) AND NOT contains(b.form, long.form) END GROUP BY ALL)
-    SELECT bid_id, field_name, value, record_id, candidates, coalesce(rivals, 0) AS rivals, coalesce(rivals, 0) > 0 AS conflicting FROM best LEFT JOIN rivals USING (bid_id, field_name)""",
+    SELECT bid_id, field_name, value, record_id, candidates, coalesce(rivals, 0) AS rivals, coalesce(rivals, 0) > 0 AS conflicting FROM best LEFT JOIN rivals USING (bid_id, field_name)"""
+
+
+@QUERIES.query(
+    "resolved_fields",
+    _RESOLVED,
 )
 def resolved_fields(spark: SparkSession, folder: str) -> DataFrame:
     """The value of six fields of every bid: by the feed's tier, then the latest extraction; with its rivals."""
+    return _resolved(spark, folder)
+
+
+def _resolved(spark: SparkSession, folder: str) -> DataFrame:
     tier = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in _TIERS.items() for x in kv]), F.col("feed")), F.lit(3))
     return E.resolve(table(spark, folder, "bid_records"), _CHOSEN, [tier, (-F.unix_micros(F.col("extracted_at").cast("timestamp"))).alias("_late")])
 
 
+_FIELD_ROWS = ", ".join(f"({k}, '{n}')" for k, n in enumerate(_CHOSEN, 1))
+_ALL_FIELDS = f"""SELECT bid_id, position, field_name, CASE WHEN conflicting THEN 'conflicting' WHEN value IS NOT NULL THEN 'found' ELSE 'not_found' END AS status, value
+    FROM (SELECT DISTINCT bid_id FROM bid_records) CROSS JOIN (VALUES {_FIELD_ROWS}) AS f(position, field_name) LEFT JOIN ({_RESOLVED}) USING (bid_id, field_name)"""
+
+
+def _all_fields(spark: SparkSession, folder: str) -> DataFrame:
+    return E.all_fields(table(spark, folder, "bid_records"), _resolved(spark, folder), _CHOSEN)
+
+
+@QUERIES.query("bid_fields", _ALL_FIELDS)
+def bid_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """Every bid with all chosen fields, found or not."""
+    return _all_fields(spark, folder)
+
+
+@QUERIES.query(
+    "bid_counts",
+    f"""SELECT bid_id, count(*) AS total, count(*) FILTER (WHERE status <> 'not_found') AS found, count(*) FILTER (WHERE status = 'not_found') AS missing,
+        count(*) FILTER (WHERE status = 'conflicting') AS conflicting FROM ({_ALL_FIELDS}) GROUP BY bid_id""",
+)
+def bid_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """How many fields of a bid are found, missing and conflicting; a conflicting one counts as found."""
+    status = F.col("status")
+    return _all_fields(spark, folder).groupBy("bid_id").agg(
+        F.count("*").alias("total"),
+        F.count_if(status != "not_found").alias("found"),
+        F.count_if(status == "not_found").alias("missing"),
+        F.count_if(status == "conflicting").alias("conflicting"),
+    )
+
+
+@QUERIES.query(
+    "bid_json",
+    f"""SELECT bid_id, to_json(list({{'field': field_name, 'status': status, 'value': value}} ORDER BY position))::VARCHAR AS fields FROM ({_ALL_FIELDS}) GROUP BY bid_id""",
+)
+def bid_json(spark: SparkSession, folder: str) -> DataFrame:
+    """A JSON line per bid: its fields in order, with status and value."""
+    entry = F.struct(F.col("field_name").alias("field"), "status", "value")
+    # A bid has a fixed number of fields, so gathering them is bounded.
+    gathered = _all_fields(spark, folder).groupBy("bid_id").agg(F.array_sort(F.collect_list(F.struct("position", entry.alias("entry")))).alias("all"))
+    return gathered.select("bid_id", F.to_json(F.transform("all", lambda x: x["entry"]), {"ignoreNullFields": "false"}).alias("fields"))
+
+
+@QUERIES.query(
+    "rule_candidates",
+    r"""WITH found AS (SELECT doc_id, chunk_seq, chunk_key, generate_subscripts(f, 1) AS no, unnest(f) AS phrase FROM (
+        SELECT doc_id, chunk_seq, chunk_key, list_filter(regexp_extract_all(text, '(?i)\b[a-z][a-z\-]+\s+affidavit\b'),
+            lambda x: NOT regexp_matches(x, '(?i)^(this|the|an?|said|such|each|any|or|and|of|to|for|by|with|is|be|no|not|that|which)\b')) AS f FROM chunks WHERE doc_id IS NOT NULL)),
+    formed AS (SELECT *, lower(trim(regexp_replace(phrase, '[\s\x{00a0}]+', ' ', 'g'))) AS form FROM found)
+    SELECT doc_id, form, phrase, chunk_key FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, form ORDER BY chunk_seq, chunk_key, no) AS rn FROM formed) WHERE rn = 1""",
+)
+def rule_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """The forms that every document names, where it names them first."""
+    return E.rule_candidates(table(spark, folder, "chunks"))
+
+
+@QUERIES.query(
+    "bid_overview",
+    """SELECT bid_id, count(DISTINCT doc_id) AS documents, count(*) AS sections, sum(length(text)) AS chars, count(*) FILTER (WHERE source_format = 'pdf') AS pages FROM sections GROUP BY bid_id""",
+)
+def bid_overview(spark: SparkSession, folder: str) -> DataFrame:
+    """What a bid consists of: documents, sections, characters, pdf pages."""
+    return table(spark, folder, "sections").groupBy("bid_id").agg(
+        F.countDistinct("doc_id").alias("documents"),
+        F.count("*").alias("sections"),
+        F.sum(F.length("text")).alias("chars"),
+        F.count_if(F.col("source_format") == "pdf").alias("pages"),
+    )
+
+
+@QUERIES.query("context_texts")
+def context_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The context of every bid as one text of excerpts."""
+    chunks = table(spark, folder, "chunks")
+    return E.context_texts(chunks, packing.pack_context(chunks))
+
+
 @QUERIES.query(
     "combined_lists",
     rf"""WITH items AS (SELECT bid_id, record_id, generate_subscripts(l, 1) AS place, unnest(l) AS item FROM (SELECT bid_id, record_id, regexp_split_to_array(product, '\s*;\s*') AS l FROM bid_records WHERE product IS NOT NULL)),

@@ -23,6 +23,10 @@ LABEL_TAGS = frozenset("strong b th label".split())
 MAIN = "Main Content"
 _MORE = re.compile(r"See more(\s+description)?", re.I)
 
+#: What a parser yields of a section: name, page, text, truncated, printed label, tables.
+Section = tuple[str, int | None, str, bool, str | None, list | None]
+_KINDS = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.string(), pa.list_(pa.list_(pa.list_(pa.string()))), pa.string())
+
 SECTION = T.StructType(
     [
         T.StructField("bid_id", T.StringType()),
@@ -33,6 +37,8 @@ SECTION = T.StructType(
         T.StructField("page_number", T.IntegerType()),
         T.StructField("text", T.StringType()),
         T.StructField("truncated", T.BooleanType()),
+        T.StructField("printed_label", T.StringType()),
+        T.StructField("tables", T.ArrayType(T.ArrayType(T.ArrayType(T.StringType())))),
         T.StructField("error", T.StringType()),
     ]
 )
@@ -121,40 +127,79 @@ def html_sections(markup: str) -> list[tuple[str, str, bool]]:
     return out
 
 
-def _rows(df: DataFrame, parse: Callable[[bytes], list[tuple[str, int | None, str, bool]]]) -> DataFrame:
+@dataclass
+class PdfPage:
+    """A page as a reader gives it: its text, the label printed on it, and its tables (rows of cells)."""
+
+    text: str
+    label: str | None = None
+    tables: list[list[list[str | None]]] = field(default_factory=list)
+
+
+def _rows(df: DataFrame, parse: Callable[[bytes], list[Section]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bid, name, doc, content in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 try:
-                    rows = [(bid, doc, name, k, title, page, text, more, None) for k, (title, page, text, more) in enumerate(parse(content), 1)]
+                    rows = [(bid, doc, name, k, *section, None) for k, section in enumerate(parse(content), 1)]
                 except Exception as e:  # noqa: BLE001: a broken file must not end the job
-                    rows = [(bid, doc, name, None, None, None, None, None, f"{type(e).__name__}: {e}"[:500])]
+                    rows = [(bid, doc, name, *[None] * 7, f"{type(e).__name__}: {e}"[:500])]
                 if rows:
-                    kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], SECTION.names)
+                    columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, SECTION.names)
 
     return df.select("bid_id", "filename", "doc_id", "content").mapInArrow(run, SECTION)
 
 
 def parse_html(files: DataFrame) -> DataFrame:
     """The sections of the html files of `scan`; bytes that are no UTF-8 make an error row."""
-    return _rows(files.where("kind = 'html'"), lambda content: [(name, None, text, more) for name, text, more in html_sections(content.decode("utf-8"))])
 
+    def sections(content: bytes) -> list[Section]:
+        return [(name, None, text, more, None, None) for name, text, more in html_sections(content.decode("utf-8"))]
 
-def mupdf_pages(content: bytes) -> list[str]:
-    """The text blocks of every page, with the optional MuPDF binding."""
+    return _rows(files.where("kind = 'html'"), sections)
+
+
+def mupdf_pages(content: bytes) -> list[PdfPage]:
+    """The text blocks, the printed label and the tables of every page, with the optional MuPDF binding."""
     import fitz  # not installed everywhere; any reader of the same form can be given instead
 
+    out = []
     with fitz.open(stream=content, filetype="pdf") as document:
-        return ["\n\n".join(b[4].strip() for b in page.get_text("blocks") if b[6] == 0) for page in document]
+        for page in document:
+            blocks = [b[4].strip() for b in page.get_text("blocks") if b[6] == 0]
+            out.append(PdfPage("\n\n".join(blocks), printed_label(blocks), [t.extract() for t in page.find_tables()]))
+    return out
+
+
+_PRINTED = re.compile(r"(?:page\s+)?\d+\s*(?:of|\|)\s*\d+", re.I)
+
+
+def printed_label(blocks: list[str]) -> str | None:
+    """The first line like `Page 3 of 12` or `3 | 12` in the first or last three blocks of a page."""
+    edges = blocks[:3] + blocks[max(3, len(blocks) - 3) :]
+    lines = (line.strip() for block in edges for line in block.split("\n"))
+    return next((line for line in lines if _PRINTED.fullmatch(line)), None)
+
+
+def parse_pdf(files: DataFrame, reader: Callable[[bytes], list[str | PdfPage]] = mupdf_pages) -> DataFrame:
+    """A section for every page of the pdf files of `scan`, named "Page n".
+
+    reader: bytes to the pages, each a text or a PdfPage. Missing cells of tables become empty ones.
+    """
 
+    def sections(content: bytes) -> list[Section]:
+        out: list[Section] = []
+        for n, page in enumerate(reader(content), 1):
+            page = PdfPage(page) if isinstance(page, str) else page
+            tables = [[["" if cell is None else cell for cell in row] for row in table] for table in page.tables]
+            out.append((f"Page {n}", n, page.text, False, page.label, tables))
+        return out
 
-def parse_pdf(files: DataFrame, reader: Callable[[bytes], list[str]] = mupdf_pages) -> DataFrame:
-    """A section for every page of the pdf files of `scan`, named "Page n"; reader: bytes to the text of each page."""
-    return _rows(files.where("kind = 'pdf'"), lambda content: [(f"Page {n}", n, text, False) for n, text in enumerate(reader(content), 1)])
+    return _rows(files.where("kind = 'pdf'"), sections)
 
 
-def parse(files: DataFrame, reader: Callable[[bytes], list[str]] = mupdf_pages) -> DataFrame:
+def parse(files: DataFrame, reader: Callable[[bytes], list[str | PdfPage]] = mupdf_pages) -> DataFrame:
     """The sections of all files."""
     return parse_html(files).unionByName(parse_pdf(files, reader))
 
@@ -167,7 +212,7 @@ def low_text_pages(sections: DataFrame, least: int = 10) -> DataFrame:
 
 
 def write_json(records: DataFrame, folder: str, partition: str = "bid_id") -> None:
-    """Records as JSON lines, one folder per bid; null fields are written."""
+    """Records as JSON lines, one folder per bid (or per file, with partition="filename"); null fields are written."""
     columns = [c for c in records.columns if c != partition]
     lines = records.select(partition, F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("value"))
     lines.write.mode("overwrite").partitionBy(partition).text(folder)

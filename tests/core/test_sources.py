@@ -129,3 +129,12 @@ def test_schema_and_ids():
     turned = dict(reversed(list(schema.items())))
     assert X.prompt_hash("1", "p", schema) == X.prompt_hash("1", "p", turned) != X.prompt_hash("2", "p", schema)
     assert X.candidate_id("f", ["b", "a"], {"x": 1, "y": "é"}) == X.candidate_id("f", ["a", "b"], {"y": "é", "x": 1}) != X.candidate_id("f", ["a"], "v")
+
+
+def test_pdf_pages_with_tables(spark, tmp_path):
+    (tmp_path / "B").mkdir()
+    (tmp_path / "B" / "a.pdf").write_bytes(b"x")
+    page = files.PdfPage("text", files.printed_label(["Title", "body", "more", "rest", "Page 3 of 12"]), [[["a", None], ["b", "c"]]])
+    (row,) = files.parse_pdf(files.scan(spark, str(tmp_path / "B")), reader=lambda content: [page]).collect()
+    assert row.printed_label == "Page 3 of 12" and row.tables == [[["a", ""], ["b", "c"]]] and row.error is None
+    assert files.printed_label([]) is None and files.printed_label(["3 | 9"]) == "3 | 9" and files.printed_label(["on page 3 of 9"]) is None
