@@ -12,7 +12,9 @@ list entry, a table row, a line without a terminator - is compared with the base
   line begins) must be known to end without a terminator, and its last word to be a usual end or a known word. A family
   that never ends without a terminator is running text, which was then cut.
 
-The baseline is counted over all lines of all sections, with partial counts before the shuffle, and joined by key.
+The baseline is counted over all lines of all sections, with partial counts before the shuffle, and joined by key. On top
+of it each source (feed) has its own: where most of a source's running text lacks a terminator at its end, as in feeds
+that strip it, a missing one says nothing there and is no reason.
 """
 
 from __future__ import annotations
@@ -33,6 +35,9 @@ USUAL = 2
 FAMILY, FEW = 8, 3
 #: Lines that a label must have, none of them with a terminator, to be a label of values and not the begin of a sentence.
 LABELLED = 3
+#: A source does without terminators if at least so many of its texts lack one, and more than this share of those that
+#: end in running text.
+LACKING, WITHOUT = 5, 0.5
 
 BLANKS = " \t\r\n\f\u00a0\u200b"
 
@@ -204,7 +209,15 @@ def cut_sections(sections: DataFrame, key: str = "section_key") -> DataFrame:
         .when(strict, "sentence")
         .when((F.col("word") != "") & F.col("known").isNull(), "word")
     )
-    return compared.select(F.col("_key").alias(key), "feed", reason.alias("reason")).where("reason IS NOT NULL")
+    found = cut(compared.select("_key", "feed", reason.alias("reason")).where("reason IS NOT NULL"))
+    # Each source's own baseline: texts that end with a terminator against those that lack one, a row per feed.
+    ended_texts = last.where(F.right("line", F.lit(1)).isin(*".!?。！？'\"”’»)]") & F.col("line").rlike(_ENDED)).groupBy("feed").agg(F.count("*").alias("with_it"))
+    lacking = found.where("reason = 'sentence'").groupBy(F.col("feed").alias("_feed")).agg(F.count("*").alias("without"))
+    same = F.col("feed").eqNullSafe(F.col("_feed"))
+    lacking = lacking.where(F.col("without") >= LACKING)
+    bare = lacking.join(ended_texts, same, "left").where(F.col("without") > WITHOUT * (F.col("without") + F.coalesce("with_it", F.lit(0)))).select("_feed")
+    told = found.join(bare, same & (F.col("reason") == "sentence"), "left_anti")
+    return told.select(F.col("_key").alias(key), "feed", "reason")
 
 
 def cut_rates(sections: DataFrame, key: str = "section_key") -> DataFrame:

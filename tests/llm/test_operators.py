@@ -126,6 +126,13 @@ def test_cut_sections(spark):
     assert truncation.cut_sections(df.where("false")).count() == 0
 
 
+def test_sources_without_terminators(spark):
+    rows = [(k, "bare", f"Offer {k} is kept and the depot stays open") for k in range(6)] + [(9, "bare", "It is kept…")]
+    rows += [(10 + k, "usual", f"Offer {k} is kept and the depot stays open.") for k in range(6)] + [(20, "usual", "Offer 7 is kept and the dep"), (21, None, "Offer 8 is kept and the dep")]
+    df = spark.createDataFrame(rows, "section_key long, feed string, text string")
+    assert {(r.section_key, r.reason) for r in truncation.cut_sections(df).collect()} == {(9, "sign"), (20, "sentence"), (21, "sentence")}
+
+
 def test_unclosed():
     assert truncation.unclosed("as set out (see") and truncation.unclosed("marked “so") and truncation.unclosed("<b bold")
     assert not truncation.unclosed("1) one 2) two") and not truncation.unclosed("(a [b] c) “d”") and not truncation.unclosed("> Home")
