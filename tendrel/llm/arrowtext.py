@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def codepoints(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -31,12 +32,34 @@ def strings(points: np.ndarray, offsets: np.ndarray, valid: np.ndarray) -> pa.Ar
     return pa.LargeStringArray.from_buffers(len(valid), pa.py_buffer(at.tobytes()), pa.py_buffer(raw), mask).cast(pa.string())
 
 
-def by_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A mapInArrow function of a function on one batch; empty batches and results are left out."""
+#: Bytes of text that an operator on whole batches takes at once; its arrays take some 30 times as much.
+SLICE = 4_000_000
+
+
+def slices(batch: pa.RecordBatch, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, in slices of about `limit` bytes of text, of one row at least."""
+    sizes = np.ones(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    group = (np.cumsum(sizes) - sizes) // limit
+    starts = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [batch.num_rows]))
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def by_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], limit: int | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A mapInArrow function of a function on one batch; empty batches and results are left out.
+
+    With a limit, f gets slices of about so many bytes of text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := f(batch)) is not None and out.num_rows:
-                yield out
+            if batch.num_rows:
+                for part in slices(batch, limit) if limit else (batch,):
+                    if (out := f(part)) is not None and out.num_rows:
+                        yield out
 
     return run

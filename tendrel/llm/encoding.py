@@ -201,7 +201,7 @@ def _begin(label: str) -> float:
     return BEGIN_SINGLE if label in _LIKELY else BEGIN_RARE
 
 
-@lru_cache(maxsize=400_000)
+@lru_cache(maxsize=100_000)
 def emissions(word: str) -> tuple[float, ...] | None:
     """Bits of a word in every state, or None where no state is cheaper than the clean one."""
     clean = clean_bits(word)
@@ -218,7 +218,7 @@ def emissions(word: str) -> tuple[float, ...] | None:
     return tuple(out) if min(out[1:]) < clean else None
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=20_000)
 def _within(word: str) -> tuple[float, ...]:
     """Bits, against the clean state, of a word that is clean at its cheapest but may lie within a span of another state."""
     bits, plain = [0.0], clean_bits(word)

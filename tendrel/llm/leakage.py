@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tendrel.llm.arrowtext import by_batch
+from tendrel.llm.arrowtext import SLICE, by_batch
 
 N = 12
 #: The most words of items of which the n-gram set is sent to every executor (about 60 bytes a word).
@@ -127,7 +127,7 @@ def _by_set(documents: DataFrame, items: list[tuple], kind: T.DataType, n: int)
         counts, lows = zip(*found.values(), strict=True)
         return pa.RecordBatch.from_arrays([batch.column(0).take(at), ids, pa.array(counts, pa.int32()), pa.array(lows, pa.int32())], schema.names)
 
-    return documents.mapInArrow(by_batch(run), schema)
+    return documents.mapInArrow(by_batch(run, SLICE), schema)
 
 
 def _by_join(documents: DataFrame, items: DataFrame, n: int) -> DataFrame:
@@ -149,7 +149,7 @@ def _by_join(documents: DataFrame, items: DataFrame, n: int) -> DataFrame:
                 return None
             return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), pa.array(text), pa.array(place, pa.int32())], schema.names)
 
-        return rows.mapInArrow(by_batch(run), schema)
+        return rows.mapInArrow(by_batch(run, SLICE), schema)
 
     of_items = grams(items, "item").select("item", "gram").distinct()
     hits = grams(documents, "_k").join(of_items, "gram")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tendrel.llm.arrowtext import by_batch, codepoints, strings
+from tendrel.llm.arrowtext import SLICE, by_batch, codepoints, strings
 
 # Letters of other scripts that look like a Latin letter, each row "letters: Latin letters".
 LOOKALIKES = """
@@ -202,7 +202,7 @@ def normalise_text(df: DataFrame, columns: dict[str, str]) -> DataFrame:
             [*(batch.column(batch.schema.get_field_index(n)) for n in names), *forms], names + [n for _, n in pairs]
         )
 
-    return df.mapInArrow(by_batch(run), schema)
+    return df.mapInArrow(by_batch(run, SLICE), schema)
 
 
 def respelt_quotes(evidence: DataFrame, chunks: DataFrame) -> DataFrame:

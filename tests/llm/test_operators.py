@@ -27,6 +27,14 @@ def test_codepoints_round_trip(rows):
     assert arrowtext.strings(*arrowtext.codepoints(column.slice(len(rows) // 2))).to_pylist() == rows[len(rows) // 2 :]
 
 
+def test_slices_keep_all_rows():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["a" * 5, None, "b" * 50, "", "c" * 9, "d"])], ["k", "t"])
+    for limit in (1, 10, 1000):
+        parts = list(arrowtext.slices(batch, limit))
+        assert pa.Table.from_batches(parts).to_pylist() == batch.to_pylist() and all(p.num_rows for p in parts)
+    assert len(list(arrowtext.slices(batch, 1000))) == 1 and list(arrowtext.slices(batch.slice(0, 0), 5)) == []
+
+
 # --- problem 1
 
 
