@@ -133,7 +133,7 @@ def printed_label(text: Column) -> Column:
     """The first of the first and last three lines that is a page label, as `Page 3 of 12` or `3 | 12`; else null."""
     lines = F.split(text, "\n")
     tail = F.slice(lines, F.greatest(F.lit(4), F.size(lines) - 2), F.lit(3))
-    edges = F.transform(F.concat(F.slice(lines, 1, 3), tail), F.trim)
+    edges = F.transform(F.concat(F.slice(lines, 1, 3), tail), lambda x: F.trim(x))
     return F.get(F.filter(edges, lambda x: x.rlike(r"(?i)^(page\s+)?\d+\s*(of|\|)\s*\d+$")), F.lit(0))
 
 

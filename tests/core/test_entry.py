@@ -5,6 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tests import oracle
@@ -31,3 +32,18 @@ def test_others_run(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.fixture(scope="module", params=["empty", "null"])
+def bare(spark, request, tmp_path_factory):
+    """The tables without rows, or with three rows of nothing but nulls."""
+    folder = tmp_path_factory.mktemp(request.param)
+    for path in Path(FOLDER).glob("*.parquet"):
+        rows = spark.read.parquet(str(path)).limit(3 if request.param == "null" else 0)
+        rows.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields]).write.parquet(str(folder / path.name))
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_bare_tables(spark, bare, name):
+    assert entry.queries()[name](spark, bare).count() >= 0
