@@ -49,13 +49,16 @@ def slices(batch: pa.RecordBatch, limit: int = SLICE) -> Iterator[pa.RecordBatch
             yield batch.slice(a, b - a)
 
 
-def by_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], limit: int | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+Batches = Iterator[pa.RecordBatch]
+
+
+def by_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], limit: int | None = None) -> Callable[[Batches], Batches]:
     """A mapInArrow function of a function on one batch; empty batches and results are left out.
 
     With a limit, f gets slices of about so many bytes of text.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             if batch.num_rows:
                 for part in slices(batch, limit) if limit else (batch,):

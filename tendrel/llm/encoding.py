@@ -51,7 +51,9 @@ _USUAL = {
 }
 _BITS = {c: bits for bits, chars in _USUAL.items() for c in chars}
 # Russian letters from the most to the least usual, in groups of about equal frequency.
-_CYRILLIC = {3.3: "о", 3.7: "еаи", 4.0: "нтс", 4.5: "рвл", 5.0: "кмдпу", 5.8: "яыьгзб", 6.3: "чйх", 7.0: "жшю", 8.0: "цщэф", 9.0: "ё", 11.0: "ъ"}
+_CYRILLIC = {
+    3.3: "о", 3.7: "еаи", 4.0: "нтс", 4.5: "рвл", 5.0: "кмдпу", 5.8: "яыьгзб", 6.3: "чйх", 7.0: "жшю", 8.0: "цщэф", 9.0: "ё", 11.0: "ъ",
+}
 _LETTER = {c: bits for bits, chars in _CYRILLIC.items() for c in chars}
 _OPENING, _CLOSING = "“„«¿¡‘•§€£", "’”»…°½¼¾²³ºª™®©"
 

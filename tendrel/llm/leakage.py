@@ -109,9 +109,8 @@ def _by_set(documents: DataFrame, items: list[tuple], kind: T.DataType, n: int)
     """The hits of items (id of type `kind`, text), whose n-grams go along with the function."""
     shared = documents.sparkSession.sparkContext.broadcast(items)
     index: list[ItemIndex] = []
-    schema = T.StructType(
-        [documents.schema["_k"], T.StructField("item", kind), T.StructField("windows", T.IntegerType()), T.StructField("first_word", T.IntegerType())]
-    )
+    schema = T.StructType([documents.schema["_k"], T.StructField("item", kind)])
+    schema = schema.add("windows", T.IntegerType()).add("first_word", T.IntegerType())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         if not index:
@@ -125,7 +124,8 @@ def _by_set(documents: DataFrame, items: list[tuple], kind: T.DataType, n: int)
         at = pa.array([t for t, _ in found])
         ids = pa.array([index[0].ids[i] for _, i in found], to_arrow_type(kind))
         counts, lows = zip(*found.values(), strict=True)
-        return pa.RecordBatch.from_arrays([batch.column(0).take(at), ids, pa.array(counts, pa.int32()), pa.array(lows, pa.int32())], schema.names)
+        columns = [batch.column(0).take(at), ids, pa.array(counts, pa.int32()), pa.array(lows, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, schema.names)
 
     return documents.mapInArrow(by_batch(run, SLICE), schema)
 
@@ -147,7 +147,8 @@ def _by_join(documents: DataFrame, items: DataFrame, n: int) -> DataFrame:
                     place.append(i)
             if not own:
                 return None
-            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), pa.array(text), pa.array(place, pa.int32())], schema.names)
+            columns = [batch.column(0).take(pa.array(own)), pa.array(text), pa.array(place, pa.int32())]
+            return pa.RecordBatch.from_arrays(columns, schema.names)
 
         return rows.mapInArrow(by_batch(run, SLICE), schema)
 
@@ -157,7 +158,13 @@ def _by_join(documents: DataFrame, items: DataFrame, n: int) -> DataFrame:
 
 
 def found_leaks(
-    documents: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", n: int = N, max_item_words: int = MAX_ITEM_WORDS
+    documents: DataFrame,
+    items: DataFrame,
+    key: str = "doc_id",
+    item_key: str = "item_id",
+    text: str = "text",
+    n: int = N,
+    max_item_words: int = MAX_ITEM_WORDS,
 ) -> DataFrame:
     """key, item_key, windows (how many windows of n words are shared), first_word (where the first starts, from 0).
 

@@ -57,7 +57,8 @@ def token_counts(documents: DataFrame, key: str = "doc_id", folder: str = TOKENI
     schema = T.StructType([documents.schema[key], documents.schema["source"], T.StructField("tokens", T.LongType())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count_tokens(batch.column(2).to_pylist(), path), pa.int64())], schema.names)
+        tokens = pa.array(count_tokens(batch.column(2).to_pylist(), path), pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), tokens], schema.names)
 
     return rows.mapInArrow(by_batch(run), schema)
 
@@ -105,7 +106,8 @@ def draw(counts: DataFrame, plan: DataFrame, key: str = "doc_id", seed: int = SE
     # Sums in two levels, so that no window holds more than the sizes of a source or the slices of a size.
     sizes = groups.groupBy("source", "_size").agg(F.sum("count").alias("count"))
     up_to = Window.rowsBetween(Window.unboundedPreceding, -1)
-    of_sizes = sizes.select("source", "_size", F.coalesce(F.sum("count").over(up_to.partitionBy("source").orderBy("_size")), F.lit(0)).alias("_of_sizes"))
+    smaller = F.coalesce(F.sum("count").over(up_to.partitionBy("source").orderBy("_size")), F.lit(0))
+    of_sizes = sizes.select("source", "_size", smaller.alias("_of_sizes"))
     of_slices = F.coalesce(F.sum("count").over(up_to.partitionBy("source", "_size").orderBy("_slice")), F.lit(0))
     starts = groups.select("source", "_size", "_slice", of_slices.alias("_of_slices")).join(of_sizes, ["source", "_size"])
     starts = starts.select("source", "_size", "_slice", (F.col("_of_sizes") + F.col("_of_slices")).alias("_before"))
@@ -117,7 +119,14 @@ def draw(counts: DataFrame, plan: DataFrame, key: str = "doc_id", seed: int = SE
     return placed.select(key, "source", "tokens", copies.cast("int").alias("copies"))
 
 
-def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int = SEED, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
+def mix(
+    documents: DataFrame,
+    targets: DataFrame,
+    key: str = "doc_id",
+    seed: int = SEED,
+    folder: str = TOKENIZERS,
+    vocabulary: str = VOCABULARY,
+) -> DataFrame:
     """key, source, tokens and copies of every document in the mix (copies >= 1).
 
     Documents with a null source take no part; blank texts have no tokens and come along with their source's share.
@@ -127,7 +136,14 @@ def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int
     return draw(counts, plan_mix(counts, targets), key, seed).where("copies > 0")
 
 
-def mix_shares(documents: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int = SEED, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
+def mix_shares(
+    documents: DataFrame,
+    targets: DataFrame,
+    key: str = "doc_id",
+    seed: int = SEED,
+    folder: str = TOKENIZERS,
+    vocabulary: str = VOCABULARY,
+) -> DataFrame:
     """source, target_share, reached_share, mixed_tokens, used_documents, most_copies and max_repeats per source."""
     counts = cut(token_counts(documents, key, folder, vocabulary))
     plan = plan_mix(counts, targets)

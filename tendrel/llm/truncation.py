@@ -42,11 +42,18 @@ LACKING, WITHOUT = 5, 0.5
 BLANKS = " \t\r\n\f\u00a0\u200b"
 
 # Signs that stand behind a text that was cut off.
-_SIGN = re.compile(r"(?:\[(?:…|\.{3})\]|…|\.\.+|>>|\((?:more|continued|cont\.?)\)|\[(?:more|truncated|cut)\]|\bsee more(?: description)?|\bread more)\s*$", re.I)
+_SIGN = re.compile(
+    r"(?:\[(?:…|\.{3})\]|…|\.\.+|>>|\((?:more|continued|cont\.?)\)|\[(?:more|truncated|cut)\]"
+    r"|\bsee more(?: description)?|\bread more)\s*$",
+    re.I,
+)
 # Abbreviations and number words after which a full stop does not end a sentence.
 _ABBREVIATION = re.compile(r"(?:^|[\s(])(?:Rev|No|Nos|Nr|Art|Abs|approx|e\.g|i\.e|z\.B|vs|cf|Sec|Fig|núm|nº|ст|п)\.$")
 # Words before a number of the form 9.9.
-_SECTION = re.compile(r"(?:§|\bsection|\bclause|\bartículo|\bcláusula|\bsección|\bseção|\barticle|\bArtikel|\bpunktem|\bpunkcie|\bпунктом|\bпункту|\bпункта) \d+\.$", re.I)
+_SECTION = re.compile(
+    r"(?:§|\b(?:section|clause|artículo|cláusula|sección|seção|article|Artikel|punktem|punkcie|пунктом|пункту|пункта)) \d+\.$",
+    re.I,
+)
 _BROKEN = re.compile(r"(?:&(?:[a-z]{1,8}|#x?[0-9a-f]*)|\\u[0-9a-f]{0,3}|\\x[0-9a-f]?|\\|(?:%[0-9a-f]{2})+%[0-9a-f]?|�)$", re.I)
 _ENTRY = r"^(?:[-*•–]|\(?\d{1,3}[.)])\s"
 _ROW = r"^\d+\s*\|"
@@ -98,6 +105,11 @@ def _shape(line: Column) -> Column:
     return F.regexp_replace(masked, r"(?: \p{Lu}[\p{L}’-]*)+", " X")
 
 
+def _is_ended(line: Column) -> Column:
+    """Whether a line ends with a terminator; the last character is looked at before the pattern."""
+    return F.right(line, F.lit(1)).isin(*".!?。！？'\"”’»)]") & line.rlike(_ENDED)
+
+
 def _label(line: Column) -> Column:
     return F.regexp_extract(line, _LABEL, 1)
 
@@ -159,8 +171,7 @@ def cut_sections(sections: DataFrame, key: str = "section_key") -> DataFrame:
     # label lines, as those often come last. They collapse to few phrases, which are kept for the joins below.
     lines = rows.select(F.split("_text", "\n").alias("all")).select(F.posexplode("all").alias("no", "line"), F.size("all").alias("of"))
     lines = lines.select(F.trim("line").alias("line"), (F.col("no") + 1 < F.col("of")).alias("inner")).where("line <> ''")
-    stop = F.right("line", F.lit(1)).isin(*".!?。！？'\"”’»)]")
-    lines = lines.withColumn("ended", stop & F.col("line").rlike(_ENDED))
+    lines = lines.withColumn("ended", _is_ended(F.col("line")))
     colon = F.instr("line", ": ").between(3, 30)
     lines = lines.where((F.col("inner") & ~F.col("ended")) | (colon & F.col("line").rlike(_LABEL)))
     phrase = (
@@ -182,12 +193,14 @@ def cut_sections(sections: DataFrame, key: str = "section_key") -> DataFrame:
         .groupBy("kind", "inner", "ended", "phrase", "shape", "family", "ending")
         .agg(F.count("*").alias("n"))
     )
-    labels = baseline.where("kind = 'label'").groupBy("family").agg(F.sum("n").alias("labelled"), F.sum(F.when(F.col("ended"), F.col("n")).otherwise(0)).alias("ended"))
+    ended_lines = F.sum(F.when(F.col("ended"), F.col("n")).otherwise(0))
+    labels = baseline.where("kind = 'label'").groupBy("family").agg(F.sum("n").alias("labelled"), ended_lines.alias("ended"))
     whole = baseline.where("inner AND NOT ended")
     shapes = whole.where("shape IS NOT NULL").select("shape").distinct().withColumn("whole", F.lit(True))
     endings = whole.groupBy("family", "ending").agg(F.sum("n").alias("n"))
     families = endings.groupBy("family").agg(F.sum("n").alias("lines"), F.count("*").alias("endings"))
-    words = whole.select(F.explode(F.split("phrase", r"[^\p{L}]+")).alias("word")).where("word <> ''").distinct().withColumn("known", F.lit(True))
+    words = whole.select(F.explode(F.split("phrase", r"[^\p{L}]+")).alias("word")).where("word <> ''").distinct()
+    words = words.withColumn("known", F.lit(True))
     compared = (
         judged.join(shapes, "shape", "left")
         .join(families, "family", "left")
@@ -211,11 +224,12 @@ def cut_sections(sections: DataFrame, key: str = "section_key") -> DataFrame:
     )
     found = cut(compared.select("_key", "feed", reason.alias("reason")).where("reason IS NOT NULL"))
     # Each source's own baseline: texts that end with a terminator against those that lack one, a row per feed.
-    ended_texts = last.where(F.right("line", F.lit(1)).isin(*".!?。！？'\"”’»)]") & F.col("line").rlike(_ENDED)).groupBy("feed").agg(F.count("*").alias("with_it"))
+    ended_texts = last.where(_is_ended(F.col("line"))).groupBy("feed").agg(F.count("*").alias("with_it"))
     lacking = found.where("reason = 'sentence'").groupBy(F.col("feed").alias("_feed")).agg(F.count("*").alias("without"))
     same = F.col("feed").eqNullSafe(F.col("_feed"))
     lacking = lacking.where(F.col("without") >= LACKING)
-    bare = lacking.join(ended_texts, same, "left").where(F.col("without") > WITHOUT * (F.col("without") + F.coalesce("with_it", F.lit(0)))).select("_feed")
+    share = F.col("without") / (F.col("without") + F.coalesce("with_it", F.lit(0)))
+    bare = lacking.join(ended_texts, same, "left").where(share > WITHOUT).select("_feed")
     told = found.join(bare, same & (F.col("reason") == "sentence"), "left_anti")
     return told.select(F.col("_key").alias(key), "feed", "reason")
 
@@ -228,6 +242,5 @@ def cut_rates(sections: DataFrame, key: str = "section_key") -> DataFrame:
     every = sections.groupBy("feed").agg(F.count("*").alias("sections"))
     cut = cut_sections(sections, key).groupBy("feed").agg(F.count("*").alias("cut_sections"))
     joined = every.join(cut.withColumnRenamed("feed", "_feed"), F.col("feed").eqNullSafe(F.col("_feed")), "left").drop("_feed")
-    return joined.select(
-        "feed", "sections", F.coalesce("cut_sections", F.lit(0)).alias("cut_sections"), (F.coalesce("cut_sections", F.lit(0)) / F.col("sections")).alias("cut_share")
-    )
+    number = F.coalesce("cut_sections", F.lit(0))
+    return joined.select("feed", "sections", number.alias("cut_sections"), (number / F.col("sections")).alias("cut_share"))

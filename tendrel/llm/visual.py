@@ -54,7 +54,8 @@ def _expansion(ch: str, seen: int = 0) -> str:
         return ch
     kind, *rest = parts.split() if parts.startswith("<") else ("", *parts.split())
     text = "".join(chr(int(x, 16)) for x in rest)
-    if kind in ("<wide>", "<narrow>", "<font>", "<noBreak>", "") or kind == "<compat>" and not text.startswith(" ") and ch not in "ſ№℡ŉ":
+    same_look = kind in ("<wide>", "<narrow>", "<font>", "<noBreak>", "")
+    if same_look or kind == "<compat>" and not text.startswith(" ") and ch not in "ſ№℡ŉ":
         return "".join(_expansion(x, seen + 1) for x in text)
     return ch
 
