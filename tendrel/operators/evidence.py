@@ -19,11 +19,13 @@ def ground(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
     ellipsis is invalid. One shuffle by chunk_id; levels beyond L1 are computed only for what L1 does not find.
     """
     texts = first_by(chunks.where("chunk_id IS NOT NULL").select("chunk_id", "chunk_key", "text"), ["chunk_id"], "chunk_key")
-    rows = evidence.select("evidence_key", "chunk_id", "quote").join(texts.select("chunk_id", F.col("text").alias("_text"), F.lit(True).alias("_there")), "chunk_id", "left")
-    usable = (F.trim(F.coalesce("quote", F.lit(""))) != "") & ~F.contains(F.coalesce("quote", F.lit("")), F.lit("..."))
+    known = texts.select("chunk_id", F.col("text").alias("_text"), F.lit(True).alias("_there"))
+    rows = evidence.select("evidence_key", "chunk_id", "quote").join(known, "chunk_id", "left")
+    quote = F.coalesce("quote", F.lit(""))
+    usable = (F.trim(quote) != "") & ~F.contains(quote, F.lit("..."))
     level = F.when(usable, X.match_level(F.col("quote"), F.coalesce("_text", F.lit(""))))
     reason = (
-        F.when(F.trim(F.coalesce("quote", F.lit(""))) == "", REASONS[0])
+        F.when(F.trim(quote) == "", REASONS[0])
         .when(~usable, REASONS[1])
         .when(F.col("_there").isNull(), REASONS[2])
         .when(F.col("level").isNull(), REASONS[3])
@@ -40,13 +42,13 @@ def resolve(records: DataFrame, fields: list[str], order: list[Column]) -> DataF
     """
     tier, *rest = order
     long = records.select("bid_id", "record_id", tier.alias("_tier"), F.struct(*rest, F.col("record_id")).alias("_order"), *fields)
-    long = long.unpivot(["bid_id", "record_id", "_tier", "_order"], fields, "field_name", "value").where(F.col("value").isNotNull() & ~X.placeholder(F.col("value")))
-    rows = long.withColumn("_form", X.comparable(F.col("value")))
+    long = long.unpivot(["bid_id", "record_id", "_tier", "_order"], fields, "field_name", "value")
+    stated = long.where(F.col("value").isNotNull() & ~X.placeholder(F.col("value")))
+    rows = stated.withColumn("_form", X.comparable(F.col("value")))
     key = ["bid_id", "field_name"]
     # min_by and conditional counts aggregate before the shuffle, so a bid with very many records is no hot task.
-    best = rows.groupBy(*key).agg(
-        F.min_by(F.struct("record_id", "value", "_form", "_tier"), F.struct("_tier", "_order")).alias("_best"), F.count("*").alias("candidates")
-    )
+    first = F.min_by(F.struct("record_id", "value", "_form", "_tier"), F.struct("_tier", "_order"))
+    best = rows.groupBy(*key).agg(first.alias("_best"), F.count("*").alias("candidates"))
     forms = rows.groupBy(*key, "_tier", "_form").agg(F.count("*").alias("_n"))
     rivals = (
         forms.join(best.select(*key, "_best"), key)
@@ -69,7 +71,8 @@ def combine(records: DataFrame, field: str) -> DataFrame:
     item = F.posexplode(F.split(field, r"\s*;\s*")).alias("at", "item")
     rows = records.where(F.col(field).isNotNull()).select("bid_id", "record_id", item)
     rows = rows.withColumn("form", X.comparable(F.col("item"))).where("form <> ''")
-    first = rows.groupBy("bid_id", "form").agg(F.min_by("item", F.struct("record_id", "at")).alias("item"), F.min(F.struct("record_id", "at")).alias("place"))
+    place = F.struct("record_id", "at")
+    first = rows.groupBy("bid_id", "form").agg(F.min_by("item", place).alias("item"), F.min(place).alias("place"))
     # One entry per different item; sorting the pairs puts them in order of appearance.
     listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "form", "item"))), lambda x: x["item"])
     return first.groupBy("bid_id").agg(F.array_join(listed, "; ").alias("items"))
@@ -89,8 +92,10 @@ def neighbours(chunks: DataFrame) -> DataFrame:
 def within(chunks: DataFrame, asked: DataFrame, reach: int = 1) -> DataFrame:
     """asked chunk_key and near_key: chunks of the same document within `reach` places, by an equi-join on the place."""
     steps = F.explode(F.array(*[F.lit(k) for k in range(-reach, reach + 1)])).alias("step")
-    sought = asked.select("doc_id", F.col("chunk_key").alias("asked_key"), "chunk_seq", steps).select("doc_id", "asked_key", (F.col("chunk_seq") + F.col("step")).alias("chunk_seq"))
-    return sought.join(chunks.select("doc_id", "chunk_seq", F.col("chunk_key").alias("near_key")), ["doc_id", "chunk_seq"]).where("asked_key <> near_key").select("asked_key", "near_key")
+    stepped = asked.select("doc_id", F.col("chunk_key").alias("asked_key"), "chunk_seq", steps)
+    sought = stepped.select("doc_id", "asked_key", (F.col("chunk_seq") + F.col("step")).alias("chunk_seq"))
+    near = chunks.select("doc_id", "chunk_seq", F.col("chunk_key").alias("near_key"))
+    return sought.join(near, ["doc_id", "chunk_seq"]).where("asked_key <> near_key").select("asked_key", "near_key")
 
 
 def same_pages(chunks: DataFrame, asked: DataFrame) -> DataFrame:
@@ -139,7 +144,8 @@ def follows(chunks: DataFrame, selected: DataFrame) -> DataFrame:
     """chunk_key, handle and follows: the handle of the chunk before, among the selected ones of its document."""
     rows = chunks.join(selected.select("chunk_key"), "chunk_key", "left_semi").where("chunk_id IS NOT NULL")
     rows = rows.select("chunk_key", "doc_id", "chunk_seq", X.handle(F.col("chunk_id")).alias("handle"))
-    return rows.select("chunk_key", "handle", F.lag("handle").over(Window.partitionBy("doc_id").orderBy("chunk_seq", "chunk_key")).alias("follows"))
+    order = Window.partitionBy("doc_id").orderBy("chunk_seq", "chunk_key")
+    return rows.select("chunk_key", "handle", F.lag("handle").over(order).alias("follows"))
 
 
 def candidates(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -148,7 +154,8 @@ def candidates(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
     Every piece of evidence must be found; the first that is not, by evidence_key, gives the reason. A match is exact if
     any piece is found verbatim. Rows with a null candidate_id take no part.
     """
-    judged = ground(evidence, chunks).join(evidence.where("candidate_id IS NOT NULL").select("evidence_key", "candidate_id"), "evidence_key")
+    owners = evidence.where("candidate_id IS NOT NULL").select("evidence_key", "candidate_id")
+    judged = ground(evidence, chunks).join(owners, "evidence_key")
     bad = F.col("reason").isNotNull()
     grouped = judged.groupBy("candidate_id").agg(
         F.count("*").alias("pieces"),
@@ -158,14 +165,17 @@ def candidates(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
     )
     accepted = F.col("failed_key").isNull()
     match = F.when(accepted, F.when(F.col("verbatim"), "exact").otherwise("semantic"))
-    return grouped.select("candidate_id", "pieces", accepted.alias("accepted"), match.alias("match"), F.when(~accepted, F.col("first")).alias("reason"), "failed_key")
+    reason = F.when(~accepted, F.col("first"))
+    return grouped.select("candidate_id", "pieces", accepted.alias("accepted"), match.alias("match"), reason.alias("reason"), "failed_key")
 
 
 def rule_candidates(chunks: DataFrame) -> DataFrame:
     """doc_id, form, phrase, chunk_key: every form that a document names, where it names it first."""
-    rows = chunks.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "chunk_seq", "chunk_key", F.posexplode(X.named_forms(F.col("text"))).alias("no", "phrase"))
+    named = F.posexplode(X.named_forms(F.col("text"))).alias("no", "phrase")
+    rows = chunks.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "chunk_seq", "chunk_key", named)
     rows = rows.withColumn("form", F.lower(X.collapsed(F.col("phrase"))))
-    first = rows.groupBy("doc_id", "form").agg(F.min_by(F.struct("phrase", "chunk_key"), F.struct("chunk_seq", "chunk_key", "no")).alias("first"))
+    earliest = F.min_by(F.struct("phrase", "chunk_key"), F.struct("chunk_seq", "chunk_key", "no"))
+    first = rows.groupBy("doc_id", "form").agg(earliest.alias("first"))
     return first.select("doc_id", "form", "first.phrase", "first.chunk_key")
 
 
@@ -188,6 +198,8 @@ def context_texts(chunks: DataFrame, packed: DataFrame) -> DataFrame:
     """
     rows = packed.select("bid_id", "place", "chunk_key").join(chunks.select("chunk_key", "chunk_id", "text"), "chunk_key")
     escaped = F.replace("text", F.lit("</excerpt>"), F.lit("</excerpt_>"))
-    block = F.concat(F.lit("<excerpt id="), F.coalesce(X.handle(F.col("chunk_id")), F.lit("none")), F.lit(">\n"), escaped, F.lit("\n</excerpt>"))
+    name = F.coalesce(X.handle(F.col("chunk_id")), F.lit("none"))
+    block = F.concat(F.lit("<excerpt id="), name, F.lit(">\n"), escaped, F.lit("\n</excerpt>"))
     gathered = rows.groupBy("bid_id").agg(F.array_sort(F.collect_list(F.struct("place", block.alias("block")))).alias("blocks"))
-    return gathered.select("bid_id", F.size("blocks").alias("excerpts"), F.array_join(F.transform("blocks", lambda x: x["block"]), "\n").alias("context"))
+    joined = F.array_join(F.transform("blocks", lambda x: x["block"]), "\n")
+    return gathered.select("bid_id", F.size("blocks").alias("excerpts"), joined.alias("context"))

@@ -91,23 +91,27 @@ def complete_with_retries(provider: Provider, prompt: str, retries: int = 3, sle
 def reply_schema(fields: list[str], handles: list[str]) -> dict:
     """The JSON schema that `parse_reply` accepts, with the names of this package only."""
     name = {"type": "string", "enum": list(fields)}
+    text = {"type": "string", "minLength": 1, "maxLength": MAX_VALUE}
     piece = {
         "type": "object",
         "additionalProperties": False,
         "required": ["evidence_id", "quote"],
-        "properties": {"evidence_id": {"type": "string", "enum": list(handles)}, "quote": {"type": "string", "minLength": 1, "maxLength": MAX_VALUE}},
+        "properties": {"evidence_id": {"type": "string", "enum": list(handles)}, "quote": text},
     }
     candidate = {
         "type": "object",
         "required": ["field", "value", "evidence"],
-        "properties": {"field": name, "value": {"type": "string", "minLength": 1, "maxLength": MAX_VALUE}, "evidence": {"type": "array", "minItems": 1, "items": piece}},
+        "properties": {"field": name, "value": text, "evidence": {"type": "array", "minItems": 1, "items": piece}},
     }
     missing = {"type": "object", "required": ["field"], "properties": {"field": name, "reason": {"type": "string"}}}
     return {
         "type": "object",
         "additionalProperties": False,
         "required": ["candidates", "not_found"],
-        "properties": {"candidates": {"type": "array", "maxItems": MAX_CANDIDATES, "items": candidate}, "not_found": {"type": "array", "items": missing}},
+        "properties": {
+            "candidates": {"type": "array", "maxItems": MAX_CANDIDATES, "items": candidate},
+            "not_found": {"type": "array", "items": missing},
+        },
     }
 
 
@@ -179,7 +183,13 @@ def parse_reply(text: str, fields: list[str], handles: list[str]) -> list[tuple[
     return out + [("missing", name, None, None, None) for name in fields if name not in covered]
 
 
-def extract(packages: DataFrame, factory: Callable[[], Provider], corrections: int = 1, retries: int = 3, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+def extract(
+    packages: DataFrame,
+    factory: Callable[[], Provider],
+    corrections: int = 1,
+    retries: int = 3,
+    sleep: Callable[[float], None] = time.sleep,
+) -> DataFrame:
     """package_id, status, kind, field, value, handle, detail: what the model says to every package.
 
     packages: package_id, prompt, fields (array) and handles (array). An invalid reply is sent back with its error up to
@@ -218,7 +228,8 @@ def extract(packages: DataFrame, factory: Callable[[], Provider], corrections: i
                     rows = [("provider_error", "error", None, None, None, f"{type(e).__name__}: {e}"[:500])]
                 if rows:
                     at = pa.array([k] * len(rows))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *(pa.array(c, pa.string()) for c in zip(*rows, strict=True))], schema.names)
+                    columns = [pa.array(c, pa.string()) for c in zip(*rows, strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *columns], schema.names)
 
     tasks = int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return packages.select("package_id", "prompt", "fields", "handles").repartition(tasks).mapInArrow(run, schema)

@@ -149,9 +149,8 @@ def pack_context(chunks: DataFrame, budget: int = MAX_CHARS, most: int = MAX_EXC
     shuffle - and folds those few in order. A round keeps at least one chunk of each bid that is left, and most bids
     are done after the first; no task sees more than `most` rows of a bid, however many it has.
     """
-    rows = cut(
-        chunks.where("text <> '' AND bid_id IS NOT NULL").select("bid_id", F.struct("doc_id", "chunk_seq", "chunk_key").alias("ord"), F.length("text").cast("long").alias("size"))
-    )
+    place, size = F.struct("doc_id", "chunk_seq", "chunk_key").alias("ord"), F.length("text").cast("long").alias("size")
+    rows = cut(chunks.where("text <> '' AND bid_id IS NOT NULL").select("bid_id", place, size))
     folded_type = T.StructType(
         [
             T.StructField("bid_id", T.StringType()),
@@ -176,14 +175,16 @@ def pack_context(chunks: DataFrame, budget: int = MAX_CHARS, most: int = MAX_EXC
                 kept.append(fits)
                 totals.append(used)
                 counts.append(taken)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(kept, pa.bool_()), pa.array(totals, pa.int64()), pa.array(counts, pa.int32())], folded_type.names
-            )
+            columns = [pa.array(kept, pa.bool_()), pa.array(totals, pa.int64()), pa.array(counts, pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], folded_type.names)
 
-    state = rows.select("bid_id").distinct().select("bid_id", F.lit(0).cast("long").alias("before"), F.lit(0).alias("so_far"), F.lit(None).cast(rows.schema["ord"].dataType).alias("after"))
+    nowhere = F.lit(None).cast(rows.schema["ord"].dataType)
+    state = rows.select("bid_id").distinct()
+    state = state.select("bid_id", F.lit(0).cast("long").alias("before"), F.lit(0).alias("so_far"), nowhere.alias("after"))
     out = None
     while True:
-        small = rows.join(state, "bid_id").where((F.col("size") <= budget - F.col("before")) & (F.col("after").isNull() | (F.col("ord") > F.col("after"))))
+        behind = F.col("after").isNull() | (F.col("ord") > F.col("after"))
+        small = rows.join(state, "bid_id").where((F.col("size") <= budget - F.col("before")) & behind)
         number = F.row_number().over(Window.partitionBy("bid_id").orderBy("ord"))
         next_ones = cut(small.withColumn("no", number).where(F.col("no") <= most))
         ordered = _by_group(next_ones.select("bid_id", "no", "size", "before", "so_far"), "bid_id", ["no"])

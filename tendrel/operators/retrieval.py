@@ -60,9 +60,8 @@ def build_index(corpus: DataFrame) -> Index:
     """
     sized = corpus.select("bid_id", "chunk_id", "words", F.size("words").alias("len"))
     bids = sized.groupBy("bid_id").agg(F.count("*").alias("chunks"), F.avg("len").alias("avg_len"))
-    postings = cut(
-        sized.select("bid_id", "chunk_id", "len", F.explode("words").alias("token")).groupBy("bid_id", "chunk_id", "token", "len").agg(F.count("*").alias("tf"))
-    )
+    words = sized.select("bid_id", "chunk_id", "len", F.explode("words").alias("token"))
+    postings = cut(words.groupBy("bid_id", "chunk_id", "token", "len").agg(F.count("*").alias("tf")))
     spread = postings.groupBy("bid_id", "token").agg(F.count("*").alias("df")).join(bids, "bid_id")
     raw = spread.select("bid_id", "token", (F.log(F.col("chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.groupBy("bid_id").agg(F.avg("raw").alias("mean"))
@@ -72,7 +71,8 @@ def build_index(corpus: DataFrame) -> Index:
 
 def bm25(index: Index, queries: DataFrame, query: list[str]) -> DataFrame:
     """query columns, bid_id, chunk_id and score > 0. queries: query columns, bid_id and words; repeated words count each."""
-    asked = queries.select(*query, "bid_id", F.explode("words").alias("token")).groupBy(*query, "bid_id", "token").agg(F.count("*").alias("times"))
+    words = queries.select(*query, "bid_id", F.explode("words").alias("token"))
+    asked = words.groupBy(*query, "bid_id", "token").agg(F.count("*").alias("times"))
     weighed = asked.join(index.weights, ["bid_id", "token"]).join(index.bids, "bid_id")
     hits = weighed.join(index.postings, ["bid_id", "token"])
     norm = F.col("tf") + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("len") / F.col("avg_len"))
@@ -93,8 +93,9 @@ def ranked(df: DataFrame, group: list[str], score: str, tie: str, out: str, buck
     if largest <= whole:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(exact.desc(), tie)))
     ends = df.groupBy(*group).agg(F.min(exact).alias("_lo"), F.max(exact).alias("_hi"))
-    level = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_hi") - exact) / (F.col("_hi") - F.col("_lo")) * buckets)).otherwise(F.lit(0))
-    begin = F.when(F.col("_hi") > F.col("_lo"), "").otherwise(F.substring(F.col(tie).cast("string"), 1, 2))
+    varied = F.col("_hi") > F.col("_lo")
+    level = F.when(varied, F.floor((F.col("_hi") - exact) / (F.col("_hi") - F.col("_lo")) * buckets)).otherwise(F.lit(0))
+    begin = F.when(varied, "").otherwise(F.substring(F.col(tie).cast("string"), 1, 2))
     rows = df.join(ends, group).withColumn("_level", level.cast("int")).withColumn("_begin", begin).drop("_lo", "_hi")
     counts = rows.groupBy(*group, "_level", "_begin").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_level", "_begin").rowsBetween(Window.unboundedPreceding, -1))
@@ -153,7 +154,7 @@ def cosine_to(corpus: DataFrame, queries: list[tuple[str, list[str]]], dim: int
     names = [n for n, _ in queries]
     matrix = np.stack([embed(w, dim) for _, w in queries]).astype(np.float64)
     lengths = np.sqrt((matrix**2).sum(1))
-    schema = T.StructType([T.StructField("bid_id", T.StringType()), T.StructField("chunk_id", T.StringType()), T.StructField("query", T.StringType()), T.StructField("similarity", T.DoubleType())])
+    columns = ["bid_id", "chunk_id", "query", "similarity"]
 
     def run(batches):
         for batch in batches:
@@ -164,12 +165,11 @@ def cosine_to(corpus: DataFrame, queries: list[tuple[str, list[str]]], dim: int
             both = size[:, None] * lengths[None, :]
             similar = np.divide(vectors @ matrix.T, both, out=np.zeros_like(both), where=both > 0)
             row, column = np.nonzero(similar > 0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array([names[c] for c in column], pa.string()), pa.array(similar[row, column])],
-                schema.names,
-            )
+            keys = [batch.column(k).take(pa.array(row)) for k in (0, 1)]
+            asked = pa.array([names[c] for c in column], pa.string())
+            yield pa.RecordBatch.from_arrays([*keys, asked, pa.array(similar[row, column])], columns)
 
-    return corpus.select("bid_id", "chunk_id", "words").mapInArrow(run, schema)
+    return corpus.select("bid_id", "chunk_id", "words").mapInArrow(run, "bid_id string, chunk_id string, query string, similarity double")
 
 
 def literal_search(chunks: DataFrame, queries: DataFrame, query: str, k: int = 5) -> DataFrame:
@@ -196,25 +196,33 @@ def field_search(chunks: DataFrame, top_k: int = C.TOP_K, floor: int = C.LEXICAL
 
     index = build_index(corpus)
     aliases = [(f.name, k, a) for f in C.fields() for k, a in enumerate(f.aliases)]
-    every = F.explode(F.array(*[F.struct(F.lit(n).alias("field_name"), F.lit(k).alias("alias_no"), F.lit(a).alias("alias")) for n, k, a in aliases])).alias("a")
-    asked = corpus.select("bid_id").distinct().select("bid_id", every).select("bid_id", "a.field_name", "a.alias_no", X.tokens(F.col("a.alias")).alias("words"))
+    literal = [F.struct(F.lit(n).alias("field_name"), F.lit(k).alias("alias_no"), F.lit(a).alias("alias")) for n, k, a in aliases]
+    asked = corpus.select("bid_id").distinct().select("bid_id", F.explode(F.array(*literal)).alias("a"))
+    asked = asked.select("bid_id", "a.field_name", "a.alias_no", X.tokens(F.col("a.alias")).alias("words"))
     by_alias = ranked(cut(placed(bm25(index, asked, ["field_name", "alias_no"]))), [*group, "alias_no"], "score", "chunk_id", "rank")
-    lexical = cut(ranked(cut(fused(by_alias, group, "chunk_id", "rank", "lexical")), group, "lexical", "chunk_id", "lexical_rank").drop("lexical"))
+    by_field = cut(fused(by_alias, group, "chunk_id", "rank", "lexical"))
+    lexical = cut(ranked(by_field, group, "lexical", "chunk_id", "lexical_rank").drop("lexical"))
     questions = [(f.name, re.sub(_GAP, " ", f.question.lower()).split()) for f in C.fields()]
     similar = cut(placed(cosine_to(corpus, questions).withColumnRenamed("query", "field_name")))
     semantic = cut(ranked(similar, group, "similarity", "chunk_id", "semantic_rank").drop("similarity"))
-    names = F.array(*[F.struct(F.lit(f.name).alias("name"), F.array(*map(F.lit, map(str.lower, f.aliases))).alias("aliases")) for f in C.fields()])
-    titled = corpus.where("source_format = 'html'").select("bid_id", "chunk_id", F.lower(F.trim("section_identifier")).alias("s")).where("length(s) >= 3")
+    lowered = {f.name: F.array(*[F.lit(a.lower()) for a in f.aliases]) for f in C.fields()}
+    names = F.array(*[F.struct(F.lit(n).alias("name"), a.alias("aliases")) for n, a in lowered.items()])
+    section = F.lower(F.trim("section_identifier"))
+    titled = corpus.where("source_format = 'html'").select("bid_id", "chunk_id", section.alias("s")).where("length(s) >= 3")
     hits = F.filter(names, lambda f: F.exists(f["aliases"], lambda a: F.contains(F.col("s"), a) | F.contains(a, F.col("s"))))
-    labelled = titled.select("bid_id", F.explode(hits).alias("f"), "chunk_id").select("bid_id", F.col("f.name").alias("field_name"), "chunk_id", F.lit(1.0).alias("one"))
+    labelled = titled.select("bid_id", F.explode(hits).alias("f"), "chunk_id")
+    labelled = labelled.select("bid_id", F.col("f.name").alias("field_name"), "chunk_id", F.lit(1.0).alias("one"))
     labels = cut(ranked(placed(labelled), group, "one", "chunk_id", "label_rank").drop("one"))
     keys = [*group, "chunk_id"]
-    lists = lexical.select(*keys, F.col("lexical_rank").alias("rank")).unionByName(semantic.select(*keys, F.col("semantic_rank").alias("rank")))
-    scores = cut(fused(lists.unionByName(labels.select(*keys, F.col("label_rank").alias("rank"))), group, "chunk_id", "rank", "fused_score"))
+    lists = lexical.select(*keys, F.col("lexical_rank").alias("rank"))
+    lists = lists.unionByName(semantic.select(*keys, F.col("semantic_rank").alias("rank")))
+    lists = lists.unionByName(labels.select(*keys, F.col("label_rank").alias("rank")))
+    scores = cut(fused(lists, group, "chunk_id", "rank", "fused_score"))
     # Only the first top_k and the lexical floor are needed from here on.
     first = top(scores, group, "fused_score", "chunk_id", top_k, "final_rank")
     floored = lexical.where(F.col("lexical_rank") <= floor).join(scores, keys)
-    found = first.select(*keys, "fused_score", "final_rank").join(floored.select(*keys, F.col("fused_score").alias("floor_score"), F.col("lexical_rank").alias("floor_rank")), keys, "full")
+    floored = floored.select(*keys, F.col("fused_score").alias("floor_score"), F.col("lexical_rank").alias("floor_rank"))
+    found = first.select(*keys, "fused_score", "final_rank").join(floored, keys, "full")
     order = Window.partitionBy(*group).orderBy(F.coalesce("final_rank", F.lit(top_k) + F.col("floor_rank")))
     return (
         found.withColumn("overall_rank", F.row_number().over(order))

@@ -21,7 +21,7 @@ BLOCK = 4096
 
 def _blocks(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
     """Blocks of up to `size` rows: their keys, their vectors as bytes of doubles, and the dimension."""
-    schema = T.StructType([T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType()), T.StructField("dim", T.IntegerType())])
+    names = ["ids", "data", "dim"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -32,10 +32,12 @@ def _blocks(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
                     part = same.slice(at, size)
                     flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
                     ids = pa.array([part.column(0).to_pylist()], pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([flat.tobytes()], pa.binary()), pa.array([dim], pa.int32())], schema.names)
+                    data = pa.array([flat.tobytes()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([ids, data, pa.array([dim], pa.int32())], names)
 
     whole = F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull())
-    return df.where(F.col(key).isNotNull() & whole).select(F.col(key).cast("long"), vector).mapInArrow(run, schema)
+    rows = df.where(F.col(key).isNotNull() & whole).select(F.col(key).cast("long"), vector)
+    return rows.mapInArrow(run, "ids array<bigint>, data binary, dim int")
 
 
 def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = BLOCK) -> DataFrame:
@@ -59,9 +61,12 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int,
                 for i in range(len(q_ids)):
                     best = np.lexsort((d_ids, -s[i]))[:k]
                     best = best[np.isfinite(s[i][best])]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), q_ids[i])), pa.array(d_ids[best]), pa.array(s[i][best])], schema.names)
+                    columns = [np.full(len(best), q_ids[i]), d_ids[best], s[i][best]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema.names)
 
-    pairs = b.repartition(spread(rows)).crossJoin(a.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("dim").alias("q_dim"))).where("dim = q_dim")
+    asked = a.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("dim").alias("q_dim"))
+    # Blocks of a stated query set against blocks of all rows: few of either, and never single rows.
+    pairs = b.repartition(spread(rows)).crossJoin(asked).where("dim = q_dim")
     best = pairs.select("q_ids", "q_data", "ids", "data", "dim").mapInArrow(run, schema)
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col("s").desc(), "near_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select(key, "rank", "near_id", F.round("s", 6).alias("similarity"))

@@ -25,7 +25,9 @@ def new_files(spark: SparkSession, folder: str, per_trigger: int = 1000) -> Data
     ).where("kind IS NOT NULL")
 
 
-def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, repeats_within: str = "1 day", available_now: bool = True) -> StreamingQuery:
+def ingest(
+    spark: SparkSession, folder: str, out: str, checkpoint: str, repeats_within: str = "1 day", available_now: bool = True
+) -> StreamingQuery:
     """Appends the sections of new html files to the Parquet table `out`.
 
     The same content of a bid that comes again within `repeats_within` is left out (state is bounded by the watermark).
@@ -33,5 +35,6 @@ def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, repeats_
     all files that are there have been read.
     """
     once = new_files(spark, folder).withWatermark("arrived_at", repeats_within).dropDuplicatesWithinWatermark(["bid_id", "doc_id"])
-    writer = files.parse_html(once).writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint)
+    writer = files.parse_html(once).writeStream.format("parquet").outputMode("append")
+    writer = writer.option("path", out).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
