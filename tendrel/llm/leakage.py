@@ -29,8 +29,9 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str) -> list[str]:
-    """The words of a text, without case."""
-    return _WORDS.findall(text.casefold())
+    """The words of a text, without case. Folding is by word where it changes the length, so that words stay whole."""
+    folded = text.casefold()
+    return _WORDS.findall(folded) if len(folded) == len(text) else [w.casefold() for w in _WORDS.findall(text)]
 
 
 def spread(values: np.ndarray) -> np.ndarray:
@@ -186,14 +187,10 @@ def found_leaks(
 
 
 def remove_leaks(text: str, index: ItemIndex) -> str:
-    """The text without the spans that are windows of an item; the gap becomes one blank."""
+    """The text without the words that windows of an item cover, and what stands between them."""
+    places = [m.span() for m in _WORDS.finditer(text)]
     marked: list[tuple[int, int]] = []
-    folded = text.casefold()
-    same = len(folded) == len(text)
-    places = [m.span() for m in _WORDS.finditer(folded if same else text)]
     for _, _, at in sorted(index.hits([text]), key=lambda h: h[2]):
-        if at + index.n > len(places):
-            continue
         a, b = places[at][0], places[at + index.n - 1][1]
         if marked and a <= marked[-1][1]:
             marked[-1] = (marked[-1][0], max(b, marked[-1][1]))
@@ -203,4 +200,36 @@ def remove_leaks(text: str, index: ItemIndex) -> str:
     for a, b in marked:
         out.append(text[last:a])
         last = b
-    return "".join([*out, text[last:]]) if marked else text
+    return "".join([*out, text[last:]])
+
+
+def without_leaks(
+    documents: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", n: int = N
+) -> DataFrame:
+    """key, cleaned and removed_chars of the documents that hold passages of items: the text without these passages.
+
+    Clean documents do not come out, nor do null texts; what `found_leaks` says of odd rows holds here. The items must be
+    within MAX_ITEM_WORDS, else ValueError: a set beyond that is no held-out set to be cut out by span.
+    """
+    rows = documents.select(documents[key].alias("_k"), documents[text].alias("_t")).where("_t IS NOT NULL")
+    of = items.select(items[item_key].alias("_k"), items[text].alias("_t")).where("_t IS NOT NULL")
+    if of.agg(F.coalesce(F.sum(F.length("_t") / 2 + 1), F.lit(0))).first()[0] > MAX_ITEM_WORDS:
+        raise ValueError(f"the items have more than {MAX_ITEM_WORDS} words")
+    shared = documents.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in of.collect()])
+    index: list[ItemIndex] = []
+    schema = T.StructType([T.StructField(key, documents.schema[key].dataType), T.StructField("cleaned", T.StringType())])
+    schema = schema.add("removed_chars", T.IntegerType())
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        if not index:
+            index.append(ItemIndex(shared.value, n))
+        texts = batch.column(1).to_pylist()
+        hit = sorted({text for text, _, _ in index[0].hits(texts)})
+        if not hit:
+            return None
+        cleaned = [remove_leaks(texts[k], index[0]) for k in hit]
+        removed = [len(texts[k]) - len(c) for k, c in zip(hit, cleaned, strict=True)]
+        columns = [batch.column(0).take(pa.array(hit)), pa.array(cleaned, pa.string()), pa.array(removed, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return rows.mapInArrow(by_batch(run, SLICE), schema)

@@ -41,6 +41,12 @@ def p2_forms(spark: SparkSession, folder: str) -> DataFrame:
     return visual.normalise_text(quotes.unionByName(texts), {"text": "text"})
 
 
+@QUERIES.query("p6_cleaned")
+def p6_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that hold evaluation passages, without them."""
+    return leakage.without_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
 @QUERIES.query("p7_mix")
 def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
     """The documents of the mix, with the copies that each contributes."""

@@ -219,6 +219,18 @@ def test_remove_leaks():
     index = leakage.ItemIndex([(1, "one two three four")], 3)
     assert leakage.remove_leaks("So: One, two THREE four! Then five.", index) == "So: ! Then five."
     assert leakage.remove_leaks("nothing here", index) == "nothing here"
+    assert leakage.remove_leaks("İlk ONE Two three ẞtart", index) == "İlk  ẞtart"
+    assert leakage.words("İlk ẞtart") == ["i̇lk", "sstart"]
+
+
+def test_without_leaks(spark):
+    items = spark.createDataFrame([(1, "one two three four"), (2, None)], "item_id long, text string")
+    rows = [(1, "So: One, two THREE four! Then five.", "x"), (2, "clean", "x"), (3, None, "x"), (4, "", "x"), (1, "one two three", "x"), (5, LONG + "two three four", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, cleaned string")
+    out = sorted((r.doc_id, r.cleaned, r.removed_chars) for r in leakage.without_leaks(df, items, n=3).collect())
+    assert out == [(1, "", 13), (1, "So: ! Then five.", 19), (5, LONG, 14)]
+    again = spark.createDataFrame([(k, t) for k, t, _ in out], "doc_id long, text string")
+    assert leakage.found_leaks(again, items, n=3).count() == 0
 
 
 # --- problem 7
