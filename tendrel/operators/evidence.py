@@ -78,6 +78,28 @@ def combine(records: DataFrame, field: str) -> DataFrame:
     return first.groupBy("bid_id").agg(F.array_join(listed, "; ").alias("items"))
 
 
+#: An item of a list value: up to a semicolon that stands outside brackets, as in `Desk (a@b.example; 555-0100)`.
+ITEM = r"(?:\([^)]*\)|[^;(]+|\()+"
+
+
+def combine_lists(records: DataFrame, fields: list[str], texts: frozenset[str] = frozenset()) -> DataFrame:
+    """bid_id, field_name and items: the different items of every list field over all records of a bid, first spelling first.
+
+    Fields among `texts` hold running text, which is one item whatever its semicolons. Placeholders are no items.
+    """
+    long = records.select("bid_id", "record_id", *fields).unpivot(["bid_id", "record_id"], fields, "field_name", "value")
+    split = F.regexp_extract_all("value", F.lit(ITEM), F.lit(0))
+    items = F.when(F.col("field_name").isin(*texts), F.array("value")).otherwise(split) if texts else split
+    rows = long.where("value IS NOT NULL").select("bid_id", "record_id", "field_name", F.posexplode(items).alias("at", "item"))
+    rows = rows.withColumn("item", F.regexp_replace("item", r"^\s+|\s+$", "")).where(~X.placeholder(F.col("item")))
+    rows = rows.withColumn("form", X.comparable(F.col("item")))
+    place = F.struct("record_id", "at")
+    first = rows.groupBy("bid_id", "field_name", "form").agg(F.min_by("item", place).alias("item"), F.min(place).alias("place"))
+    # One entry per different item; sorting the pairs puts them in order of appearance.
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "form", "item"))), lambda x: x["item"])
+    return first.groupBy("bid_id", "field_name").agg(F.array_join(listed, "; ").alias("items"))
+
+
 def neighbours(chunks: DataFrame) -> DataFrame:
     """chunk_key, position (from 0), previous_id, next_id: the place of a chunk in its document, by chunk_seq then key."""
     order = Window.partitionBy("doc_id").orderBy("chunk_seq", "chunk_key")

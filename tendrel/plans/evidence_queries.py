@@ -191,10 +191,14 @@ _TIERS = {"direct_upload": 0, "portal_north": 1, "lakes_portal": 1, "county_ftp"
 _TIER_SQL = "CASE feed " + " ".join(f"WHEN '{f}' THEN {t}" for f, t in _TIERS.items()) + " ELSE 3 END"
 
 
-_RESOLVED = f"""WITH long AS (SELECT bid_id, record_id, tier, late, field_name, value, {COMPARABLE.format("value")} AS form FROM (UNPIVOT
-        (SELECT bid_id, record_id, {_TIER_SQL} AS tier, epoch_us(extracted_at) AS late, {", ".join(_CHOSEN)} FROM bid_records) ON {", ".join(_CHOSEN)} INTO NAME field_name VALUE value)
-        WHERE NOT (trim(value) = '' OR NOT regexp_matches(value, '[\\p{{L}}\\p{{N}}_]') OR contains(value, '___') OR regexp_matches(trim(value), '(?s)^[(\\[{{].*[)\\]}}]$')
-            OR lower(trim(value)) IN ('n/a', 'na', 'none', 'null', 'tbd', 'unknown', 'not specified', 'not stated', 'not applicable'))),
+_STATED = r"""NOT (trim({0}) = '' OR NOT regexp_matches({0}, '[\p{{L}}\p{{N}}_]') OR contains({0}, '___') OR regexp_matches(trim({0}), '(?s)^[(\[{{].*[)\]}}]$')
+            OR lower(trim({0})) IN ('n/a', 'na', 'none', 'null', 'tbd', 'unknown', 'not specified', 'not stated', 'not applicable'))"""
+
+
+def _resolved_sql(names: list[str]) -> str:
+    return f"""WITH long AS (SELECT bid_id, record_id, tier, late, field_name, value, {COMPARABLE.format("value")} AS form FROM (UNPIVOT
+        (SELECT bid_id, record_id, {_TIER_SQL} AS tier, epoch_us(extracted_at) AS late, {", ".join(names)} FROM bid_records) ON {", ".join(names)} INTO NAME field_name VALUE value)
+        WHERE {_STATED.format("value")}),
     best AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY bid_id, field_name) AS candidates,
         row_number() OVER (PARTITION BY bid_id, field_name ORDER BY tier, late DESC, record_id) AS rn FROM long) WHERE rn = 1),
     rivals AS (SELECT bid_id, field_name, count(*) AS rivals FROM long JOIN best b USING (bid_id, field_name, tier)
@@ -202,18 +206,21 @@ _RESOLVED = f"""WITH long AS (SELECT bid_id, record_id, tier, late, field_name,
     SELECT bid_id, field_name, value, record_id, candidates, coalesce(rivals, 0) AS rivals, coalesce(rivals, 0) > 0 AS conflicting FROM best LEFT JOIN rivals USING (bid_id, field_name)"""
 
 
+_RESOLVED = _resolved_sql(_CHOSEN)
+
+
 @QUERIES.query(
     "resolved_fields",
     _RESOLVED,
 )
 def resolved_fields(spark: SparkSession, folder: str) -> DataFrame:
     """The value of six fields of every bid: by the feed's tier, then the latest extraction; with its rivals."""
-    return _resolved(spark, folder)
+    return _resolved(spark, folder, _CHOSEN)
 
 
-def _resolved(spark: SparkSession, folder: str) -> DataFrame:
+def _resolved(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
     tier = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in _TIERS.items() for x in kv]), F.col("feed")), F.lit(3))
-    return E.resolve(table(spark, folder, "bid_records"), _CHOSEN, [tier, (-F.unix_micros(F.col("extracted_at").cast("timestamp"))).alias("_late")])
+    return E.resolve(table(spark, folder, "bid_records"), names, [tier, (-F.unix_micros(F.col("extracted_at").cast("timestamp"))).alias("_late")])
 
 
 _FIELD_ROWS = ", ".join(f"({k}, '{n}')" for k, n in enumerate(_CHOSEN, 1))
@@ -222,7 +229,7 @@ _ALL_FIELDS = f"""SELECT bid_id, position, field_name, CASE WHEN conflicting THE
 
 
 def _all_fields(spark: SparkSession, folder: str) -> DataFrame:
-    return E.all_fields(table(spark, folder, "bid_records"), _resolved(spark, folder), _CHOSEN)
+    return E.all_fields(table(spark, folder, "bid_records"), _resolved(spark, folder, _CHOSEN), _CHOSEN)
 
 
 @QUERIES.query("bid_fields", _ALL_FIELDS)
@@ -231,15 +238,14 @@ def bid_fields(spark: SparkSession, folder: str) -> DataFrame:
     return _all_fields(spark, folder)
 
 
-@QUERIES.query(
-    "bid_counts",
-    f"""SELECT bid_id, count(*) AS total, count(*) FILTER (WHERE status <> 'not_found') AS found, count(*) FILTER (WHERE status = 'not_found') AS missing,
-        count(*) FILTER (WHERE status = 'conflicting') AS conflicting FROM ({_ALL_FIELDS}) GROUP BY bid_id""",
-)
-def bid_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """How many fields of a bid are found, missing and conflicting; a conflicting one counts as found."""
+_COUNTS = """SELECT bid_id, count(*) AS total, count(*) FILTER (WHERE status <> 'not_found') AS found, count(*) FILTER (WHERE status = 'not_found') AS missing,
+        count(*) FILTER (WHERE status = 'conflicting') AS conflicting FROM ({0}) GROUP BY bid_id"""
+_JSON = """SELECT bid_id, to_json(list({{'field': field_name, 'status': status, 'value': value}} ORDER BY position))::VARCHAR AS fields FROM ({0}) GROUP BY bid_id"""
+
+
+def _counts(fields: DataFrame) -> DataFrame:
     status = F.col("status")
-    return _all_fields(spark, folder).groupBy("bid_id").agg(
+    return fields.groupBy("bid_id").agg(
         F.count("*").alias("total"),
         F.count_if(status != "not_found").alias("found"),
         F.count_if(status == "not_found").alias("missing"),
@@ -247,18 +253,25 @@ def bid_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@QUERIES.query(
-    "bid_json",
-    f"""SELECT bid_id, to_json(list({{'field': field_name, 'status': status, 'value': value}} ORDER BY position))::VARCHAR AS fields FROM ({_ALL_FIELDS}) GROUP BY bid_id""",
-)
-def bid_json(spark: SparkSession, folder: str) -> DataFrame:
-    """A JSON line per bid: its fields in order, with status and value."""
+def _json(fields: DataFrame) -> DataFrame:
     entry = F.struct(F.col("field_name").alias("field"), "status", "value")
     # A bid has a fixed number of fields, so gathering them is bounded.
-    gathered = _all_fields(spark, folder).groupBy("bid_id").agg(F.array_sort(F.collect_list(F.struct("position", entry.alias("entry")))).alias("all"))
+    gathered = fields.groupBy("bid_id").agg(F.array_sort(F.collect_list(F.struct("position", entry.alias("entry")))).alias("all"))
     return gathered.select("bid_id", F.to_json(F.transform("all", lambda x: x["entry"]), {"ignoreNullFields": "false"}).alias("fields"))
 
 
+@QUERIES.query("bid_counts", _COUNTS.format(_ALL_FIELDS))
+def bid_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """How many fields of a bid are found, missing and conflicting; a conflicting one counts as found."""
+    return _counts(_all_fields(spark, folder))
+
+
+@QUERIES.query("bid_json", _JSON.format(_ALL_FIELDS))
+def bid_json(spark: SparkSession, folder: str) -> DataFrame:
+    """A JSON line per bid: its fields in order, with status and value."""
+    return _json(_all_fields(spark, folder))
+
+
 @QUERIES.query(
     "rule_candidates",
     r"""WITH found AS (SELECT doc_id, chunk_seq, chunk_key, generate_subscripts(f, 1) AS no, unnest(f) AS phrase FROM (
@@ -392,7 +405,11 @@ def evidence_by_document(spark: SparkSession, folder: str) -> DataFrame:
 )
 def record_agreement(spark: SparkSession, folder: str) -> DataFrame:
     """How many different values the records of a bid state for three fields, spelling aside."""
-    long = table(spark, folder, "bid_records").unpivot("bid_id", ["title", "company_name", "term_of_bid"], "field_name", "value").where("value IS NOT NULL")
+    return _agreement(spark, folder, ["title", "company_name", "term_of_bid"])
+
+
+def _agreement(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
+    long = table(spark, folder, "bid_records").unpivot("bid_id", names, "field_name", "value").where("value IS NOT NULL")
     forms = long.select("bid_id", "field_name", X.comparable(F.col("value")).alias("form"))
     return forms.groupBy("bid_id", "field_name").agg(F.count("*").alias("stated"), F.countDistinct("form").alias("forms"), F.min("form").alias("a_form"))
 
@@ -407,3 +424,77 @@ def packed_chunks(spark: SparkSession, folder: str) -> DataFrame:
 def packed_context(spark: SparkSession, folder: str) -> DataFrame:
     """What fits into the context of a bid, in order; what is too large is skipped, not a stop."""
     return packing.pack_context(table(spark, folder, "chunks"))
+
+
+#: The fields of one value and those of a list, in catalogue order.
+_SINGLE, _MANY = ([f.name for f in C.fields() if f.many == many] for many in (False, True))
+#: List fields whose value is running text, one item a record.
+_PROSE = frozenset({"product_specification"})
+
+_CATALOGUE_RESOLVED = _resolved_sql(_SINGLE)
+_CATALOGUE_LISTS = rf"""WITH long AS (UNPIVOT (SELECT bid_id, record_id, {", ".join(_MANY)} FROM bid_records) ON {", ".join(_MANY)} INTO NAME field_name VALUE value),
+    split AS (SELECT bid_id, record_id, field_name, CASE WHEN field_name IN ({", ".join(f"'{n}'" for n in sorted(_PROSE))}) THEN [value] ELSE regexp_extract_all(value, '{E.ITEM}') END AS l FROM long),
+    items AS (SELECT bid_id, record_id, field_name, generate_subscripts(l, 1) AS place, regexp_replace(unnest(l), '^\s+|\s+$', '', 'g') AS item FROM split),
+    formed AS (SELECT *, {COMPARABLE.format("item")} AS form FROM items WHERE {_STATED.format("item")}),
+    firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bid_id, field_name, form ORDER BY record_id, place) AS rn FROM formed) WHERE rn = 1)
+    SELECT bid_id, field_name, string_agg(item, '; ' ORDER BY record_id, place) AS items FROM firsts GROUP BY bid_id, field_name"""
+_CATALOGUE_ROWS = ", ".join(f"({f.position}, '{f.name}')" for f in C.fields())
+_CATALOGUE_FIELDS = f"""SELECT bid_id, position, field_name, CASE WHEN conflicting THEN 'conflicting' WHEN value IS NOT NULL THEN 'found' ELSE 'not_found' END AS status, value
+    FROM (SELECT DISTINCT bid_id FROM bid_records) CROSS JOIN (VALUES {_CATALOGUE_ROWS}) AS f(position, field_name)
+    LEFT JOIN (SELECT bid_id, field_name, value, conflicting FROM ({_CATALOGUE_RESOLVED}) UNION ALL SELECT bid_id, field_name, items, FALSE FROM ({_CATALOGUE_LISTS})) USING (bid_id, field_name)"""
+
+
+@QUERIES.query("catalogue_resolved", _CATALOGUE_RESOLVED)
+def catalogue_resolved(spark: SparkSession, folder: str) -> DataFrame:
+    """As resolved_fields, for all 13 fields of one value."""
+    return _resolved(spark, folder, _SINGLE)
+
+
+@QUERIES.query("catalogue_lists", _CATALOGUE_LISTS)
+def catalogue_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """The different items of all seven list fields of every bid, over all its records."""
+    return E.combine_lists(table(spark, folder, "bid_records"), _MANY, _PROSE)
+
+
+def _catalogue_fields(spark: SparkSession, folder: str) -> DataFrame:
+    lists = catalogue_lists(spark, folder).select("bid_id", "field_name", F.col("items").alias("value"), F.lit(False).alias("conflicting"))
+    chosen = _resolved(spark, folder, _SINGLE).select("bid_id", "field_name", "value", "conflicting")
+    return E.all_fields(table(spark, folder, "bid_records"), chosen.unionByName(lists), NAMES)
+
+
+@QUERIES.query("catalogue_fields", _CATALOGUE_FIELDS)
+def catalogue_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """Every bid with all 20 fields in catalogue order, found or not."""
+    return _catalogue_fields(spark, folder)
+
+
+@QUERIES.query("catalogue_counts", _COUNTS.format(_CATALOGUE_FIELDS))
+def catalogue_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """As bid_counts, over all 20 fields."""
+    return _counts(_catalogue_fields(spark, folder))
+
+
+@QUERIES.query("catalogue_json", _JSON.format(_CATALOGUE_FIELDS))
+def catalogue_json(spark: SparkSession, folder: str) -> DataFrame:
+    """As bid_json, with all 20 fields."""
+    return _json(_catalogue_fields(spark, folder))
+
+
+@QUERIES.query(
+    "catalogue_agreement",
+    f"""WITH forms AS (SELECT bid_id, field_name, {COMPARABLE.format("value")} AS form FROM (UNPIVOT (SELECT bid_id, {", ".join(NAMES)} FROM bid_records) ON {", ".join(NAMES)} INTO NAME field_name VALUE value))
+    SELECT bid_id, field_name, count(*) AS stated, count(DISTINCT form) AS forms, min(form) AS a_form FROM forms GROUP BY ALL""",
+)
+def catalogue_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    """As record_agreement, for all 20 fields."""
+    return _agreement(spark, folder, NAMES)
+
+
+@QUERIES.query(
+    "catalogue_placeholders",
+    f"""SELECT record_id, field_name, value FROM (UNPIVOT (SELECT record_id, {", ".join(NAMES)} FROM bid_records) ON {", ".join(NAMES)} INTO NAME field_name VALUE value) WHERE NOT ({_STATED.format("value")})""",
+)
+def catalogue_placeholders(spark: SparkSession, folder: str) -> DataFrame:
+    """As placeholders, for all 20 fields."""
+    rows = table(spark, folder, "bid_records").unpivot("record_id", NAMES, "field_name", "value")
+    return rows.where(X.placeholder(F.col("value")))

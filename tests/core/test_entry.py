@@ -47,3 +47,14 @@ def bare(spark, request, tmp_path_factory):
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_bare_tables(spark, bare, name):
     assert entry.queries()[name](spark, bare).count() >= 0
+
+
+def test_every_bid_has_the_whole_catalogue(spark):
+    from tendrel import catalog
+
+    names = [f.name for f in catalog.fields()]
+    rows = entry.queries()["catalogue_fields"](spark, FOLDER).collect()
+    bids = {r.bid_id for r in rows}
+    assert sorted((r.bid_id, r.position, r.field_name) for r in rows) == sorted((b, k, n) for b in bids for k, n in enumerate(names, 1))
+    assert {n for n in names if any(r.value for r in rows if r.field_name == n)} == set(names)
+    assert {r.total for r in entry.queries()["catalogue_counts"](spark, FOLDER).collect()} == {20}

@@ -157,3 +157,17 @@ def test_ground_reasons(spark):
         1: ("L1", None), 2: (None, "quote_not_in_chunk"), 3: (None, "unknown_evidence_id"), 4: (None, "no_evidence"), 5: (None, "invalid_quote"),
         6: (None, "quote_not_in_chunk"), 7: (None, "unknown_evidence_id"),
     }
+
+
+def test_combine_all_lists(spark):
+    rows = [
+        (1, "b", "Desk (a@b.example; 555-0100)", "AB-1; CD-2", "Rated; the vendor expects 5."),
+        (2, "b", "desk (A@B.example; 555-0100); Ann", "cd 2;; EF-3; N/A", "Rated; the owner expects 6."),
+        (3, "c", "Open (x; y", None, None),
+    ]
+    df = spark.createDataFrame(rows, "record_id long, bid_id string, contact string, model string, text string")
+    out = {(r.bid_id, r.field_name): r["items"] for r in evidence.combine_lists(df, ["contact", "model", "text"], frozenset({"text"})).collect()}
+    assert out == {
+        ("b", "contact"): "Desk (a@b.example; 555-0100); Ann", ("b", "model"): "AB-1; CD-2; EF-3",
+        ("b", "text"): "Rated; the vendor expects 5.; Rated; the owner expects 6.", ("c", "contact"): "Open (x; y",
+    }
