@@ -13,8 +13,9 @@ list entry, a table row, a line without a terminator - is compared with the base
   that never ends without a terminator is running text, which was then cut.
 
 The baseline is counted over all lines of all sections, with partial counts before the shuffle, and joined by key. On top
-of it each source (feed) has its own: where most of a source's running text lacks a terminator at its end, as in feeds
-that strip it, a missing one says nothing there and is no reason.
+of it each source (feed) has its own: where most of a source's inner lines of running text, which are surely whole, lack
+a terminator, as in feeds that strip it, a missing one says nothing there and is no reason. A source without such lines
+has no baseline: there a line is complete that stands elsewhere with a terminator, word for word but for its fillings.
 """
 
 from __future__ import annotations
@@ -35,9 +36,9 @@ USUAL = 2
 FAMILY, FEW = 8, 3
 #: Lines that a label must have, none of them with a terminator, to be a label of values and not the begin of a sentence.
 LABELLED = 3
-#: A source does without terminators if at least so many of its texts lack one, and more than this share of those that
-#: end in running text.
-LACKING, WITHOUT = 5, 0.5
+#: A source does without terminators if more than this share of its inner lines of running text lack one; running text
+#: has lines of at least RUNNING characters.
+WITHOUT, RUNNING = 0.5, 40
 
 BLANKS = " \t\r\n\f\u00a0\u200b"
 
@@ -57,6 +58,8 @@ _SECTION = re.compile(
 _BROKEN = re.compile(r"(?:&(?:[a-z]{1,8}|#x?[0-9a-f]*)|\\u[0-9a-f]{0,3}|\\x[0-9a-f]?|\\|(?:%[0-9a-f]{2})+%[0-9a-f]?|�)$", re.I)
 _ENTRY = r"^(?:[-*•–]|\(?\d{1,3}[.)])\s"
 _ROW = r"^\d+\s*\|"
+# Marks between the links and cells of page furniture.
+_MARKED = r"[|·>•]|\s{3}"
 _LABEL = r"^(\p{Lu}[\p{L}’' -]{1,28}): \S"
 _ENDED = r"[.!?。！？]['\"”’»)\]]*$"
 _STOP, _ROW_START, _ENTRY_START = re.compile(_ENDED), re.compile(_ROW), re.compile(_ENTRY)
@@ -135,6 +138,17 @@ def _family(line: Column, kind: Column) -> Column:
     return F.when(kind == "bare", begins).when(kind == "label", F.concat(F.lit("label:"), _label(line))).otherwise(kind)
 
 
+def _without_terminators(rows: DataFrame) -> DataFrame:
+    """_feed and bare (share of inner lines of running text that lack a terminator; null without such lines) of every feed."""
+    # A line whose next one begins with a small letter is wrapped there and goes on.
+    lines = F.split(F.regexp_replace("_text", r"\n(?=\s*\p{Ll})", " "), "\n")
+    inner = F.transform(F.slice(lines, F.lit(1), F.size(lines) - 1), lambda x: F.trim(x))
+    running = F.filter(inner, lambda x: (F.length(x) >= RUNNING) & (_kind(x) == "bare") & ~x.rlike(_MARKED))
+    ended = rows.select("feed", F.transform(running, _is_ended).alias("ended"))
+    bare = F.sum(F.size(F.filter("ended", lambda x: ~x)))
+    return ended.groupBy(F.col("feed").alias("_feed")).agg(F.try_divide(bare, F.sum(F.size("ended"))).alias("bare"))
+
+
 def cut_sections(sections: DataFrame, key: str = "section_key") -> DataFrame:
     """key, feed and reason of the sections whose text breaks off before its end.
 
@@ -222,15 +236,17 @@ def cut_sections(sections: DataFrame, key: str = "section_key") -> DataFrame:
         .when(strict, "sentence")
         .when((F.col("word") != "") & F.col("known").isNull(), "word")
     )
-    found = cut(compared.select("_key", "feed", reason.alias("reason")).where("reason IS NOT NULL"))
-    # Each source's own baseline: texts that end with a terminator against those that lack one, a row per feed.
-    ended_texts = last.where(_is_ended(F.col("line"))).groupBy("feed").agg(F.count("*").alias("with_it"))
-    lacking = found.where("reason = 'sentence'").groupBy(F.col("feed").alias("_feed")).agg(F.count("*").alias("without"))
-    same = F.col("feed").eqNullSafe(F.col("_feed"))
-    lacking = lacking.where(F.col("without") >= LACKING)
-    share = F.col("without") / (F.col("without") + F.coalesce("with_it", F.lit(0)))
-    bare = lacking.join(ended_texts, same, "left").where(share > WITHOUT).select("_feed")
-    told = found.join(bare, same & (F.col("reason") == "sentence"), "left_anti")
+    found = cut(compared.select("_key", "feed", "shape", reason.alias("reason")).where("reason IS NOT NULL"))
+    # Each source's own baseline, a row per feed; it never rests on the last lines, which are the suspects.
+    same = F.col("feed").eqNullSafe(F.col("_feed")) & (F.col("reason") == "sentence")
+    feeds = cut(_without_terminators(rows))
+    told = found.join(feeds.where(F.col("bare") > WITHOUT), same, "left_anti")
+    unknown = feeds.where("bare IS NULL")
+    if not found.join(unknown, same, "left_semi").isEmpty():
+        every = rows.select(F.explode(F.split("_text", "\n")).alias("line")).select(F.trim("line").alias("line")).where(_is_ended(F.col("line")))
+        ended = every.select(_shape(F.regexp_replace("line", _ENDED, "")).alias("_shape")).distinct()
+        checked = told.join(unknown, same, "left_semi").join(ended, F.col("shape") == F.col("_shape"), "left_anti")
+        told = told.join(unknown, same, "left_anti").unionByName(checked)
     return told.select(F.col("_key").alias(key), "feed", "reason")
 
 

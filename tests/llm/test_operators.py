@@ -141,6 +141,17 @@ def test_sources_without_terminators(spark):
     assert {(r.section_key, r.reason) for r in truncation.cut_sections(df).collect()} == {(9, "sign"), (20, "sentence"), (21, "sentence")}
 
 
+def test_source_that_cuts_most_of_its_texts(spark):
+    inner, end = "The vendor shall deliver all pumps to the depot of the city.", "The owner may reject an offer that is lat"
+    for n in (4, 5, 40):
+        rows = [(k, "cuts", f"{inner}\n{end if k else inner}") for k in range(n)] + [(100 + k, "lone", end) for k in range(n)]
+        rows += [(200 + k, "strips", f"{inner[:-1]}\n{inner[:-1]}\nOffer {k} was opened by them at the town hall") for k in range(n)]
+        df = spark.createDataFrame(rows, "section_key long, feed string, text string")
+        found = {r.section_key for r in truncation.cut_sections(df).collect()}
+        assert found == {*range(1, n), *range(100, 100 + n)}
+        assert {r.feed: r.cut_sections for r in truncation.cut_rates(df).collect()} == {"cuts": n - 1, "lone": n, "strips": 0}
+
+
 def test_unclosed():
     assert truncation.unclosed("as set out (see") and truncation.unclosed("marked “so") and truncation.unclosed("<b bold")
     assert not truncation.unclosed("1) one 2) two") and not truncation.unclosed("(a [b] c) “d”") and not truncation.unclosed("> Home")
