@@ -12,7 +12,7 @@ other, so nothing is shuffled.
 
 The classifier has a fixed part (marks of navigation, words of web sites in the languages at hand, the shapes of
 sentences, lists, tables and label lines) and a fitted part: how much likelier a word is in files that hold no page
-furniture (pdf) than in those that do (html), from a bounded sample of both.
+furniture (pdf) than in those that do (html), counted over all sections of both.
 """
 
 from __future__ import annotations
@@ -29,8 +29,11 @@ from pyspark.sql import types as T
 
 from tendrel.llm.arrowtext import by_batch
 
-#: Sections of each format that the word weights are fitted on; the sample is bounded by this number.
-SAMPLE = 4000
+#: Of so many texts a word or sentence counts once for every time that the thresholds of the line model ask for, at least
+#: once: so what passes is bounded by the length of a text, whatever the number of texts.
+RARE = 40_000
+#: Different words and sentences that a task counts before it passes its counts on.
+COUNTED = 200_000
 #: Bits of smoothness: neighbours in one block, neighbours across a blank line, next but one, siblings.
 NEXT, APART, SECOND, SIBLING = 1.0, 0.3, 0.2, 2.0
 
@@ -99,7 +102,26 @@ def shape(line: str) -> str:
 
 def pattern(sentence: str) -> str:
     """A sentence with numbers and all names but at its start masked: equal for fillings of one phrase."""
-    return _NAME.sub(" X", _AMOUNT.sub("9", _IDENTIFIER.sub("9", sentence.strip())))
+    sentence = sentence.strip()
+    if _DIGITS.search(sentence):
+        if "-" in sentence:
+            sentence = _IDENTIFIER.sub("9", sentence)
+        sentence = _AMOUNT.sub("9", sentence)
+    return _NAME.sub(" X", sentence)
+
+
+def counted(text: str) -> tuple[list[str], set[str]]:
+    """The words of every line, each once a line, and the sentence patterns of all lines but the last, which may be cut off."""
+    lines = [s for x in text.split("\n") if (s := x.strip())]
+    words: list[str] = []
+    for line in lines:
+        words += set(_WORD.findall((_IDENTIFIER.sub("", line) if "-" in line else line).lower()))
+    return words, {pattern(s) for x in lines[:-1] for s in _SENTENCES.split(x)}
+
+
+def least(times: int, texts: float) -> float:
+    """The threshold of `times` among so many texts, a share of them where they are many."""
+    return times * max(1.0, texts / RARE)
 
 
 class LineModel:
@@ -117,30 +139,33 @@ class LineModel:
     def fit(cls, plain: Iterable[str], mixed: Iterable[str], names: list[str]) -> LineModel:
         """Fitted on texts without and with furniture; `names` are the names and addresses of the sites' owners."""
 
-        def count(texts: Iterable[str]) -> tuple[Counter, Counter]:
-            words, patterns = Counter(), Counter()
+        words, patterns, totals, sizes = {}, {}, [0, 0], [0, 0]
+        for k, texts in enumerate((plain, mixed)):
             for text in texts:
-                lines = [s for x in text.split("\n") if (s := x.strip())]
-                for line in lines:
-                    words.update(set(_WORD.findall(_IDENTIFIER.sub("", line).lower())))
-                # The last line may be cut off; the others are whole.
-                patterns.update({pattern(s) for x in lines[:-1] for s in _SENTENCES.split(x)})
-            return words, patterns
-
-        a, known = count(plain)
-        b, mixed_patterns = count(mixed)
-        m, n = sum(a.values()) + 1, sum(b.values()) + 1
+                sizes[k] += 1
+                for found, into in zip(counted(text), (words, patterns), strict=True):
+                    for item in found:
+                        into.setdefault(item, [0, 0])[k] += 1
+        for pair in words.values():
+            totals = [totals[0] + pair[0], totals[1] + pair[1]]
+        return cls.of_counts(words, patterns, totals, sizes, names)
+
+    @classmethod
+    def of_counts(cls, words: dict, patterns: dict, totals: list[int], sizes: list[int], names: list[str]) -> LineModel:
+        """Fitted on how often (plain, mixed) words and sentences occur; totals of all words, sizes in texts."""
+        m, n = totals[0] + 1, totals[1] + 1
+        once, twice, thrice = least(1, sizes[0]), least(2, sizes[0]), least(3, sum(sizes) / 2)
         weights = {}
-        for w in a.keys() | b.keys():
-            x = math.log2((b[w] + 0.5) / n * m / (a[w] + 0.5))
+        for w, (a, b) in words.items():
+            x = math.log2((b + 0.5) / n * m / (a + 0.5))
             # A word of the plain texts speaks for furniture only if it is far more usual in the mixed ones: the languages
             # are not spread evenly over the formats.
-            if a[w] + b[w] >= 3 and (x < -0.5 or x > (4.0 if a[w] else 0.5)):
+            if a + b >= thrice and (x < -0.5 or x > (4.0 if a >= once else 0.5)):
                 weights[w] = max(-1.5, min(2.5, x))
-            elif a[w] >= 2:
+            elif a >= twice:
                 weights[w] = 0.0
-        foreign = {s for s, c in mixed_patterns.items() if c >= 3 and s not in known}
-        return cls(weights, {s for s, c in known.items() if c >= 2}, foreign, names)
+        foreign = {s for s, (a, b) in patterns.items() if b >= least(3, sizes[1]) and a < once}
+        return cls(weights, {s for s, (a, _) in patterns.items() if a >= twice}, foreign, names)
 
     def bits(self, line: str, under: str = "main") -> float:
         """Evidence of one line; `under` is "furniture" for a section named like furniture."""
@@ -301,25 +326,56 @@ def furniture_lines(text: str, identifier: str | None, model: LineModel) -> list
     return [at[i] + 1 for i, cut in enumerate(min_cut(bits, edges)) if cut]
 
 
-def fit_line_model(sections: DataFrame, names: DataFrame | None = None, key: str = "section_key", sample: int = SAMPLE) -> LineModel:
-    """The line model of a corpus: fitted on about `sample` sections of each format, chosen by the hash of their key.
+_COUNTS = T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "what", "item")] + [T.StructField("n", T.LongType())])
+
+
+def _partial_counts(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """Counts of a task's words and sentences by source_format, passed on whenever they are COUNTED different ones."""
+    counts: dict[tuple[str, str], Counter] = {(k, what): Counter() for k in ("pdf", "html") for what in ("word", "pattern", "total")}
+
+    def passed() -> Iterable[pa.RecordBatch]:
+        for (kind, what), own in counts.items():
+            if own:
+                columns = [pa.array([x] * len(own), pa.string()) for x in (kind, what)]
+                columns += [pa.array(own.keys(), pa.string()), pa.array(own.values(), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, _COUNTS.names)
+                own.clear()
+
+    for batch in batches:
+        for kind, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            words, patterns = counted(text)
+            counts[kind, "word"].update(words)
+            counts[kind, "pattern"].update(patterns)
+            counts[kind, "total"][""] += len(words)
+            if sum(map(len, counts.values())) >= COUNTED:
+                yield from passed()
+    yield from passed()
+
+
+def fit_line_model(sections: DataFrame, names: DataFrame | None = None, key: str = "section_key") -> LineModel:
+    """The line model of a corpus: fitted on all its pdf and html sections.
 
-    The driver gets 2 x `sample` texts at most, whatever the size of the corpus; names (columns agency_name and site) is
-    a table of site owners, of which the first 10,000 by name are used.
+    Words and sentences are counted in every task, then by groupBy; the driver gets those only that pass the thresholds,
+    which are shares of the texts. names (columns agency_name and site) is a table of site owners, of which the first
+    10,000 by name are used.
     """
     rows = sections.where(F.col("text").isNotNull() & F.col("source_format").isin("pdf", "html"))
-    sizes = {r[0]: r[1] for r in rows.groupBy("source_format").count().collect()}
-    texts: dict[str, list[str]] = {"pdf": [], "html": []}
-    for kind, own in texts.items():
-        # The share of the hash range that holds `sample` rows if they are many; the limit only bounds its scatter.
-        share = min(1.0, sample / max(sizes.get(kind, 0), 1))
-        chosen = rows.where((F.col("source_format") == kind) & (F.abs(F.xxhash64(key) % 1_000_000_007) < share * 1_000_000_007))
-        own += [r[0] for r in chosen.select("text").limit(2 * sample).collect()]
+    found = {r[0]: r[1] for r in rows.groupBy("source_format").count().collect()}
+    sizes = [found.get("pdf", 0), found.get("html", 0)]
+    partial = rows.select("source_format", "text").mapInArrow(_partial_counts, _COUNTS)
+    plain, mixed = (F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(a) for k, a in (("pdf", "a"), ("html", "b")))
+    counts = partial.groupBy("what", "item").agg(plain, mixed)
+    often = (F.col("a") >= least(2, sizes[0])) | (F.col("what") == "total")
+    word = (F.col("what") == "word") & (F.col("a") + F.col("b") >= least(3, sum(sizes) / 2))
+    foreign = (F.col("what") == "pattern") & (F.col("b") >= least(3, sizes[1])) & (F.col("a") < least(1, sizes[0]))
+    of: dict[str, dict] = {"word": {}, "pattern": {}, "total": {}}
+    for what, item, a, b in counts.where(often | word | foreign).collect():
+        of[what][item] = (a, b)
     owners: list[str] = []
     if names is not None:
         for r in names.select("agency_name", "site").orderBy("agency_name").limit(10_000).collect():
             owners += [x for x in r if x]
-    return LineModel.fit(texts["pdf"], texts["html"], owners)
+    return LineModel.of_counts(of["word"], of["pattern"], of["total"].get("", (0, 0)), sizes, owners)
 
 
 def _labelled(sections: DataFrame, model: LineModel, key: str, name: str, kind: T.DataType, arrow: pa.DataType, made) -> DataFrame:
@@ -346,7 +402,7 @@ def label_lines(sections: DataFrame, model: LineModel, key: str = "section_key")
     """key and furniture (array of line numbers, from 1) of every html section with a text; the array may be empty.
 
     Sections with a null text do not come out; blank lines are counted but never furniture. Repeated rows come out each,
-    texts are read whole, other columns are left aside. No shuffle; the model is bounded by its sample.
+    texts are read whole, other columns are left aside. No shuffle; the model is bounded by its thresholds.
     """
     return _labelled(sections, model, key, "furniture", T.ArrayType(T.IntegerType()), pa.list_(pa.int32()), lambda text, cut: cut)
 

@@ -196,6 +196,17 @@ def test_furniture_lines(spark):
     assert boilerplate.label_lines(empty, boilerplate.fit_line_model(empty)).count() == 0
 
 
+def test_line_model_counts_all_sections(spark):
+    texts = [(k, "pdf", f"Clause {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)} holds.\nEnd.") for k in range(4500)] * 2
+    texts += [(k, "html", f"Link {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)} here\nEnd") for k in range(4500)] * 3
+    df = spark.createDataFrame(texts, "section_key long, source_format string, text string")
+    fitted = boilerplate.fit_line_model(df)
+    assert len(fitted.known) == 4500 and len(fitted.foreign) == 4500
+    plain, mixed = ([t for _, k, t in texts if k == kind] for kind in ("pdf", "html"))
+    want = boilerplate.LineModel.fit(plain, mixed, [])
+    assert (fitted.weights, fitted.known, fitted.foreign) == (want.weights, want.known, want.foreign)
+
+
 # --- problem 6
 
 
