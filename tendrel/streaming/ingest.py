@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,9 +12,14 @@ from tendrel.sources import files
 
 
 def new_files(spark: SparkSession, folder: str, per_trigger: int = 1000) -> DataFrame:
-    """The stream of files under `folder`/<bid>/, as `files.scan` gives them, with arrived_at."""
+    """The stream of files under `folder`/<bid>/, as `files.scan` gives them, with arrived_at.
+
+    That is the time at which the file is taken in, as files may be copied in with any modification time.
+    """
     schema = "path string, modificationTime timestamp, length long, content binary"
-    raw = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", per_trigger).load(f"{folder}/*")
+    # The source forgets and skips files a week older than the newest, unless told otherwise; so it keeps the paths of all.
+    options = {"maxFilesPerTrigger": per_trigger, "maxFileAge": "36500d"}
+    raw = spark.readStream.format("binaryFile").schema(schema).options(**options).load(f"{folder}/*")
     parts = F.split("path", "/")
     kind = F.when(F.lower("path").endswith(".pdf"), "pdf").when(F.lower("path").rlike(r"\.html?$"), "html")
     return raw.select(
@@ -21,20 +28,27 @@ def new_files(spark: SparkSession, folder: str, per_trigger: int = 1000) -> Data
         F.substring(F.sha1("content"), 1, 12).alias("doc_id"),
         kind.alias("kind"),
         "content",
-        F.col("modificationTime").alias("arrived_at"),
+        F.current_timestamp().alias("arrived_at"),
     ).where("kind IS NOT NULL")
 
 
 def ingest(
-    spark: SparkSession, folder: str, out: str, checkpoint: str, repeats_within: str = "1 day", available_now: bool = True
+    spark: SparkSession,
+    folder: str,
+    out: str,
+    checkpoint: str,
+    repeats_within: str = "1 day",
+    available_now: bool = True,
+    reader: Callable[[bytes], list[str | files.PdfPage]] = files.mupdf_pages,
 ) -> StreamingQuery:
-    """Appends the sections of new html files to the Parquet table `out`.
+    """Appends the sections of new files, as `files.parse` gives them, to the Parquet table `out`.
 
-    The same content of a bid that comes again within `repeats_within` is left out (state is bounded by the watermark).
+    The same content of a bid that comes again within `repeats_within`, under any name, is left out (state is bounded by
+    the watermark); a file with new content never is.
     The checkpoint folder makes every file count once, also after a restart. With `available_now` the query ends when
     all files that are there have been read.
     """
-    once = new_files(spark, folder).withWatermark("arrived_at", repeats_within).dropDuplicatesWithinWatermark(["bid_id", "doc_id"])
-    writer = files.parse_html(once).writeStream.format("parquet").outputMode("append")
+    once = new_files(spark, folder).withWatermark("arrived_at", repeats_within).dropDuplicatesWithinWatermark(["bid_id", "doc_id", "kind"])
+    writer = files.parse(once, reader).writeStream.format("parquet").outputMode("append")
     writer = writer.option("path", out).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

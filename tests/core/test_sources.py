@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 
@@ -54,6 +55,25 @@ def test_ingest_counts_every_file_once(spark, tmp_path):
     assert sorted(r.text for r in spark.read.parquet(args[1]).collect()) == ["one", "two"]
 
 
+def test_ingest_gives_the_rows_of_batch(spark, tmp_path):
+    bid = tmp_path / "in" / "Bid1"
+    bid.mkdir(parents=True)
+    args = (str(tmp_path / "in"), str(tmp_path / "table"), str(tmp_path / "checkpoint"))
+
+    def pages(content):
+        return content.decode().split("\f")
+
+    for name, text, date in (("a.html", "<body>one</body>", None), ("a.pdf", "p1\fp2", None), ("old.html", "<body>old</body>", 10**9), ("older.pdf", "p3", 10**8)):
+        (bid / name).write_text(text)
+        if date:
+            os.utime(bid / name, (date, date))
+        ingest(spark, *args, reader=pages).awaitTermination(120)
+    want = files.parse(files.scan(spark, str(bid)), pages)
+    got = spark.read.parquet(args[1]).select(want.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert {(r.filename, r.text) for r in got.collect()} == {("a.html", "one"), ("a.pdf", "p1"), ("a.pdf", "p2"), ("old.html", "old"), ("older.pdf", "p3")}
+
+
 REPLY = {"candidates": [{"field": "title", "value": "T", "evidence": [{"evidence_id": "E1", "quote": "q"}, {"evidence_id": "E1", "quote": "q"}]}], "not_found": [{"field": "due_date", "reason": "r" * 300}]}
 
 
