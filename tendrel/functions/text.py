@@ -89,6 +89,24 @@ def amendment_cue(text: Column) -> Column:
     return F.coalesce(*found)
 
 
+#: Characters on either side of a quote in which a cue of an amendment counts.
+CUE_WINDOW = 300
+ANSWER = r"^\s*answer\s*:"
+
+
+def amendment_window(text: Column, quote: Column) -> Column:
+    """The first place of a quote in a text with what stands around it; the whole text where it is not found."""
+    at = F.instr(text, quote)
+    begin = F.greatest(F.lit(1), at - CUE_WINDOW)
+    return F.when(at == 0, text).otherwise(F.substring(text, begin, at + F.length(quote) + CUE_WINDOW - begin))
+
+
+def amendment_role(window: Column) -> Column:
+    """amendment where a window holds a cue, else clarification where it holds an answer, else baseline."""
+    answered = window.rlike("(?imd)" + ANSWER)
+    return F.when(amendment_cue(window).isNotNull(), "amendment").when(answered, "clarification").otherwise("baseline")
+
+
 def highlighted(text: Column, literal: str) -> Column:
     """The text with every occurrence of the literal between asterisks, whatever its case."""
     if not literal:

@@ -498,3 +498,23 @@ def catalogue_placeholders(spark: SparkSession, folder: str) -> DataFrame:
     """As placeholders, for all 20 fields."""
     rows = table(spark, folder, "bid_records").unpivot("record_id", NAMES, "field_name", "value")
     return rows.where(X.placeholder(F.col("value")))
+
+
+_ROLE_CUE = "coalesce(" + ", ".join(f"nullif(regexp_extract(w, '(?i){cue}', 0), '')" for cue in X.AMENDMENT_CUES) + ")"
+
+
+@QUERIES.query(
+    "amendment_roles",
+    f"""WITH texts AS (SELECT chunk_id, coalesce(text, '') AS text FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY chunk_key) AS rn FROM chunks WHERE chunk_id IS NOT NULL) WHERE rn = 1),
+    placed AS (SELECT evidence_key, text, q, instr(text, q) AS p FROM (SELECT evidence_key, text, coalesce(quote, '') AS q FROM evidence JOIN texts USING (chunk_id))),
+    windows AS (SELECT evidence_key, CASE WHEN p = 0 THEN text ELSE substr(text, greatest(1, p - {X.CUE_WINDOW}), p + length(q) + {X.CUE_WINDOW} - greatest(1, p - {X.CUE_WINDOW})) END AS w FROM placed),
+    cues AS (SELECT evidence_key, w, {_ROLE_CUE} AS cue FROM windows)
+    SELECT evidence_key, CASE WHEN cue IS NOT NULL THEN 'amendment' WHEN regexp_matches(w, '(?im){X.ANSWER}') THEN 'clarification' ELSE 'baseline' END AS role, cue FROM cues""",
+)
+def amendment_roles(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the text around every quote amends, clarifies or only states, and the first cue of an amendment."""
+    texts = first_by(table(spark, folder, "chunks").where("chunk_id IS NOT NULL").select("chunk_id", "chunk_key", "text"), ["chunk_id"], "chunk_key")
+    rows = table(spark, folder, "evidence").join(texts.select("chunk_id", F.coalesce("text", F.lit("")).alias("text")), "chunk_id")
+    around = X.amendment_window(F.col("text"), F.coalesce("quote", F.lit("")))
+    windows = rows.select("evidence_key", around.alias("w"))
+    return windows.select("evidence_key", X.amendment_role(F.col("w")).alias("role"), X.amendment_cue(F.col("w")).alias("cue"))

@@ -62,3 +62,15 @@ def test_pages_and_labels(spark):
 def test_residue(spark):
     words = ["pump", "été", ""]
     assert apply(spark, X.residue, *words) == [int(hashlib.md5(w.encode()).hexdigest(), 16) % 2000 for w in words]
+
+
+def test_amendment_roles(spark):
+    far = "x " * 200
+    rows = [
+        ("The date is hereby changed. Due May 1.", "Due May 1", "amendment", "is hereby changed"), (f"The date is hereby changed. {far}Due May 1.", "Due May 1", "baseline", None),
+        ("Q: when?\n Answer : Due May 1", "Due May 1", "clarification", None), (f"Answer: yes {far}Due May 1", "absent", "clarification", None),
+        (f"Due May 1 {far}amended to read", "Due May 1", "baseline", None), (f"Due {far}amended to read", "absent", "amendment", "amended to read"), ("The answer: Due", "Due", "baseline", None),
+    ]
+    df = spark.createDataFrame(rows, "t string, q string, role string, cue string").withColumn("w", X.amendment_window(F.col("t"), F.col("q")))
+    for r in df.select("*", X.amendment_role(F.col("w")).alias("got"), X.amendment_cue(F.col("w")).alias("found")).collect():
+        assert (r.got, r.found) == (r.role, r.cue)
