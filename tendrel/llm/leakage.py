@@ -4,13 +4,16 @@ Words are maximal runs of letters and digits, compared without case. The items'
 becomes an array of word numbers, in which a word that no item holds is 0 and breaks every window. Only windows without
 a break are hashed, a whole Arrow batch at once, and looked up in the set; hits are verified word by word.
 
-The set travels to the executors only up to MAX_ITEM_WORDS words of items, which bounds it (see `found_leaks`). Beyond
-that, items and documents meet in an equi-join on n-gram hashes instead.
+The set travels to the executors in blocks of whole items, each of at most BLOCK_WORDS words, so what is broadcast is
+bounded whatever the number of items: a small set is one block and one pass over the corpus, a larger one takes a pass
+for every block (a stated query set against all rows, in blocks). The result does not depend on the blocks.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +23,12 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tendrel.llm.arrowtext import SLICE, by_batch
+from tendrel.session import cut
 
 N = 12
-#: The most words of items of which the n-gram set is sent to every executor (about 60 bytes a word).
-MAX_ITEM_WORDS = 2_000_000
+#: The most words of items whose n-grams are sent to every executor at once (about 60 bytes a word); an item is never
+#: divided, so a single longer one is a block of its own.
+BLOCK_WORDS = 2_000_000
 _WORDS = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -72,7 +77,7 @@ class ItemIndex:
         self.hashes, self.owner, self.place = every[order], owner[order], place[order]
 
     def hits(self, texts: list[str]) -> list[tuple[int, int, int]]:
-        """(text, item, first word) of every window of the texts that is an n-gram of an item, verified."""
+        """(text, item, first word) of every window of the texts that is an n-gram of an item, verified; each once."""
         if not len(self.hashes):
             return []
         get, numbers, sizes = self.number.get, [], []
@@ -95,67 +100,59 @@ class ItemIndex:
         hashed = spread(hashed)
         lo, hi = np.searchsorted(self.hashes, hashed, "left"), np.searchsorted(self.hashes, hashed, "right")
         first = np.concatenate(([0], np.cumsum(sizes)))
-        out = []
+        out: dict[tuple[int, int, int], None] = {}
         for k in np.flatnonzero(hi > lo).tolist():
             at = int(starts[k])
             text = int(np.searchsorted(first, at, "right")) - 1
             for e in range(int(lo[k]), int(hi[k])):
                 item, place = int(self.owner[e]), int(self.place[e])
                 if np.array_equal(self.texts[item][place : place + self.n], flat[at : at + self.n]):
-                    out.append((text, item, at - int(first[text])))
-        return out
+                    out[text, item, at - int(first[text])] = None
+        return list(out)
 
 
-def _by_set(documents: DataFrame, items: list[tuple], kind: T.DataType, n: int) -> DataFrame:
-    """The hits of items (id of type `kind`, text), whose n-grams go along with the function."""
-    shared = documents.sparkSession.sparkContext.broadcast(items)
-    index: list[ItemIndex] = []
-    schema = T.StructType([documents.schema["_k"], T.StructField("item", kind)])
-    schema = schema.add("windows", T.IntegerType()).add("first_word", T.IntegerType())
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        if not index:
-            index.append(ItemIndex(shared.value, n))
-        found: dict[tuple[int, int], tuple[int, int]] = {}
-        for text, item, at in index[0].hits(batch.column(1).to_pylist()):
-            count, low = found.get((text, item), (0, at))
-            found[text, item] = (count + 1, min(low, at))
-        if not found:
-            return None
-        at = pa.array([t for t, _ in found])
-        ids = pa.array([index[0].ids[i] for _, i in found], to_arrow_type(kind))
-        counts, lows = zip(*found.values(), strict=True)
-        columns = [batch.column(0).take(at), ids, pa.array(counts, pa.int32()), pa.array(lows, pa.int32())]
-        return pa.RecordBatch.from_arrays(columns, schema.names)
+def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(df[key].alias("_k"), df[text].alias("_t")).where("_t IS NOT NULL")
 
-    return documents.mapInArrow(by_batch(run, SLICE), schema)
 
+def item_blocks(items: DataFrame, most: int = BLOCK_WORDS) -> Iterator[tuple[list[tuple], bool]]:
+    """(block, whether it is the only one) of items (id, text); the driver holds one block and one partition at a time."""
+    block: list[tuple] = []
+    size, made = 0, 0
+    for key, text in items.toLocalIterator():
+        # Words are at least one character and a gap apart, so half the characters bounds their number.
+        own = len(text) // 2 + 1
+        if block and size + own > most:
+            made += 1
+            yield block, False
+            block, size = [], 0
+        block.append((key, text))
+        size += own
+    if block or not made:
+        yield block, made == 0
 
-def _by_join(documents: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """The same by an equi-join: for item sets of any size. Items are cut into n-grams and grouped by hash first."""
 
-    def grams(rows: DataFrame, key: str) -> DataFrame:
-        kind = rows.schema["_k"].dataType
-        schema = T.StructType([T.StructField(key, kind), T.StructField("gram", T.StringType()), T.StructField("at", T.IntegerType())])
+def _by_blocks(rows: DataFrame, items: DataFrame, n: int, most: int, schema: T.StructType, made: Callable) -> list[DataFrame]:
+    """made(index, batch) over all rows, for every block of items: a part each.
 
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            own, text, place = [], [], []
-            for k, value in enumerate(batch.column(1).to_pylist()):
-                w = words(value)
-                for i in range(len(w) - n + 1):
-                    own.append(k)
-                    text.append(" ".join(w[i : i + n]))
-                    place.append(i)
-            if not own:
-                return None
-            columns = [batch.column(0).take(pa.array(own)), pa.array(text), pa.array(place, pa.int32())]
-            return pa.RecordBatch.from_arrays(columns, schema.names)
+    A single block stays a lazy plan. Of several, each part is written before the next block is broadcast.
+    """
+    parts: list[DataFrame] = []
+    for block, alone in item_blocks(items, most):
+        shared = rows.sparkSession.sparkContext.broadcast(block)
+        index: list[ItemIndex] = []
 
-        return rows.mapInArrow(by_batch(run, SLICE), schema)
+        def run(batch: pa.RecordBatch, shared=shared, index=index) -> pa.RecordBatch | None:
+            if not index:
+                index.append(ItemIndex(shared.value, n))
+            return made(index[0], batch)
 
-    of_items = grams(items, "item").select("item", "gram").distinct()
-    hits = grams(documents, "_k").join(of_items, "gram")
-    return hits.groupBy("_k", "item").agg(F.count("*").cast("int").alias("windows"), F.min("at").alias("first_word"))
+        part = rows.mapInArrow(by_batch(run, SLICE), schema)
+        if alone:
+            return [part]
+        parts.append(cut(part))
+        shared.destroy()
+    return parts
 
 
 def found_leaks(
@@ -165,33 +162,41 @@ def found_leaks(
     item_key: str = "item_id",
     text: str = "text",
     n: int = N,
-    max_item_words: int = MAX_ITEM_WORDS,
+    block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """key, item_key, windows (how many windows of n words are shared), first_word (where the first starts, from 0).
 
-    One row per document row and item that share at least n consecutive words. Null and blank texts, items and
-    documents of fewer than n words have none; repeated documents come out each, repeated items under their own id.
-    Other columns are left aside. The size of the items is measured first: up to `max_item_words` words their n-grams go
-    to every executor and the corpus is read once without a shuffle; beyond, an equi-join takes over with the same
-    result, except that equal document keys are then counted together.
+    One row per document row and item row that share at least n consecutive words: repeated documents and repeated items
+    come out each, whether their keys are equal or not. Null and blank texts, items and documents of fewer than n words
+    have none. Other columns are left aside. The items go to every executor in blocks of at most `block_words` words, of
+    one item at least; the corpus is read once for every block and nothing is shuffled.
     """
-    rows = documents.select(documents[key].alias("_k"), documents[text].alias("_t")).where("_t IS NOT NULL")
-    of = items.select(items[item_key].alias("_k"), items[text].alias("_t")).where("_t IS NOT NULL")
-    # Words are at least one character and a gap apart, so half the characters bounds their number.
-    size = of.agg(F.coalesce(F.sum(F.length("_t") / 2 + 1), F.lit(0))).first()[0]
-    if size <= max_item_words:
-        found = _by_set(rows, [(r[0], r[1]) for r in of.collect()], of.schema["_k"].dataType, n)
-    else:
-        found = _by_join(rows, of, n)
-    return found.select(F.col("_k").alias(key), F.col("item").alias(item_key), "windows", "first_word")
-
-
-def remove_leaks(text: str, index: ItemIndex) -> str:
-    """The text without the words that windows of an item cover, and what stands between them."""
+    rows, of = _texts(documents, key, text), _texts(items, item_key, text)
+    kind = of.schema["_k"].dataType
+    schema = T.StructType([T.StructField(key, rows.schema["_k"].dataType), T.StructField(item_key, kind)])
+    schema = schema.add("windows", T.IntegerType()).add("first_word", T.IntegerType())
+
+    def made(index: ItemIndex, batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        for text, item, at in index.hits(batch.column(1).to_pylist()):
+            count, low = found.get((text, item), (0, at))
+            found[text, item] = (count + 1, min(low, at))
+        if not found:
+            return None
+        ids = pa.array([index.ids[i] for _, i in found], to_arrow_type(kind))
+        counts, lows = zip(*found.values(), strict=True)
+        columns = [batch.column(0).take(pa.array([t for t, _ in found])), ids, pa.array(counts, pa.int32()), pa.array(lows, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return reduce(DataFrame.unionByName, _by_blocks(rows, of, n, block_words, schema, made))
+
+
+def without_windows(text: str, starts: Iterable[int], n: int) -> str:
+    """The text without the words of the windows that start at these words, and what stands between them."""
     places = [m.span() for m in _WORDS.finditer(text)]
     marked: list[tuple[int, int]] = []
-    for _, _, at in sorted(index.hits([text]), key=lambda h: h[2]):
-        a, b = places[at][0], places[at + index.n - 1][1]
+    for at in sorted(set(starts)):
+        a, b = places[at][0], places[at + n - 1][1]
         if marked and a <= marked[-1][1]:
             marked[-1] = (marked[-1][0], max(b, marked[-1][1]))
         else:
@@ -204,32 +209,49 @@ def remove_leaks(text: str, index: ItemIndex) -> str:
 
 
 def without_leaks(
-    documents: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", n: int = N
+    documents: DataFrame,
+    items: DataFrame,
+    key: str = "doc_id",
+    item_key: str = "item_id",
+    text: str = "text",
+    n: int = N,
+    block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """key, cleaned and removed_chars of the documents that hold passages of items: the text without these passages.
 
-    Clean documents do not come out, nor do null texts; what `found_leaks` says of odd rows holds here. The items must be
-    within MAX_ITEM_WORDS, else ValueError: a set beyond that is no held-out set to be cut out by span.
+    Clean documents do not come out, nor do null texts; what `found_leaks` says of odd rows and of blocks holds here. The
+    windows that several blocks find in one document are brought together by (key, hash of the text): rows with equal key
+    and text are found alike by every block, so they are as many as any one block says.
     """
-    rows = documents.select(documents[key].alias("_k"), documents[text].alias("_t")).where("_t IS NOT NULL")
-    of = items.select(items[item_key].alias("_k"), items[text].alias("_t")).where("_t IS NOT NULL")
-    if of.agg(F.coalesce(F.sum(F.length("_t") / 2 + 1), F.lit(0))).first()[0] > MAX_ITEM_WORDS:
-        raise ValueError(f"the items have more than {MAX_ITEM_WORDS} words")
-    shared = documents.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in of.collect()])
-    index: list[ItemIndex] = []
+    rows = _texts(documents, key, text)
+    found = T.StructType([T.StructField("_k", rows.schema["_k"].dataType), T.StructField("_t", T.StringType())])
+    found = found.add("_at", T.ArrayType(T.IntegerType()))
+
+    def made(index: ItemIndex, batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        starts: dict[int, list[int]] = {}
+        for own, _, at in index.hits(batch.column(1).to_pylist()):
+            starts.setdefault(own, []).append(at)
+        if not starts:
+            return None
+        hit = pa.array(list(starts))
+        columns = [batch.column(0).take(hit), batch.column(1).take(hit).cast(pa.string()), pa.array(starts.values(), pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays(columns, found.names)
+
+    parts = _by_blocks(rows, _texts(items, item_key, text), n, block_words, found, made)
+    hits = parts[0]
+    if len(parts) > 1:
+        same = ["_k", F.sha2("_t", 256).alias("_h")]
+        once = [p.groupBy(*same).agg(F.any_value("_t").alias("_t"), F.any_value("_at").alias("_at"), F.count("*").alias("_n")) for p in parts]
+        every = reduce(DataFrame.unionByName, once).groupBy("_k", "_h")
+        every = every.agg(F.any_value("_t").alias("_t"), F.array_distinct(F.flatten(F.collect_list("_at"))).alias("_at"), F.max("_n").alias("_n"))
+        hits = every.select("_k", "_t", "_at", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select("_k", "_t", "_at")
     schema = T.StructType([T.StructField(key, documents.schema[key].dataType), T.StructField("cleaned", T.StringType())])
     schema = schema.add("removed_chars", T.IntegerType())
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        if not index:
-            index.append(ItemIndex(shared.value, n))
+    def clean(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(1).to_pylist()
-        hit = sorted({text for text, _, _ in index[0].hits(texts)})
-        if not hit:
-            return None
-        cleaned = [remove_leaks(texts[k], index[0]) for k in hit]
-        removed = [len(texts[k]) - len(c) for k, c in zip(hit, cleaned, strict=True)]
-        columns = [batch.column(0).take(pa.array(hit)), pa.array(cleaned, pa.string()), pa.array(removed, pa.int32())]
-        return pa.RecordBatch.from_arrays(columns, schema.names)
+        cleaned = [without_windows(t, at, n) for t, at in zip(texts, batch.column(2).to_pylist(), strict=True)]
+        removed = [len(t) - len(c) for t, c in zip(texts, cleaned, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(cleaned, pa.string()), pa.array(removed, pa.int32())], schema.names)
 
-    return rows.mapInArrow(by_batch(run, SLICE), schema)
+    return hits.mapInArrow(by_batch(clean, SLICE), schema)
