@@ -21,6 +21,7 @@ import math
 import re
 from collections import Counter, deque
 from collections.abc import Iterable
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +35,10 @@ from tendrel.llm.arrowtext import by_batch
 RARE = 40_000
 #: Different words and sentences that a task counts before it passes its counts on.
 COUNTED = 200_000
+#: Different lines whose evidence a task remembers, the last used ones.
+SEEN = 100_000
+#: The most characters of names and addresses of site owners that go to every executor.
+OWNERS = 50_000_000
 #: Bits of smoothness: neighbours in one block, neighbours across a blank line, next but one, siblings.
 NEXT, APART, SECOND, SIBLING = 1.0, 0.3, 0.2, 2.0
 
@@ -80,6 +85,7 @@ SECTIONS = (
 ).split("|")
 
 _WORD = re.compile(r"[^\W\d_]+(?:[-’'][^\W\d_]+)*")
+_ANY_WORD = re.compile(r"\w+")
 _ENTRY = re.compile(r"^(?:[-*•–]|\(?\d{1,3}[.)])\s+\S")
 # A row begins with its number and a word: a mere list of numbers leads to other pages.
 _ROW = re.compile(r"^\d+\s*\|\s*[^\W\d]")
@@ -95,11 +101,6 @@ _CUT = re.compile(r"\s*(?:\[(?:…|\.\.\.)\]|…|\.\.+|>>|\((?:more|continued)\)
 _IDENTIFIER = re.compile(r"\b[A-Z]{1,4}-\d[\d-]*")
 
 
-def shape(line: str) -> str:
-    """A line with its numbers masked, to recognise it again."""
-    return _DIGITS.sub("9", line.strip())
-
-
 def pattern(sentence: str) -> str:
     """A sentence with numbers and all names but at its start masked: equal for fillings of one phrase."""
     sentence = sentence.strip()
@@ -132,8 +133,13 @@ class LineModel:
         self.words = {w for group in FURNITURE.values() for w in group.split() if not w.endswith("*")}
         self.begins = tuple({w[:-1] for group in FURNITURE.values() for w in group.split() if w.endswith("*")})
         self.address, self.notice = set(ADDRESS), set(NOTICE)
-        self.names = re.compile("|".join(map(re.escape, sorted(names, key=len, reverse=True)))) if names else None
-        self.seen: dict[str, float] = {}
+        #: Names by their first word, so that a line costs the same whatever their number.
+        self.names: dict[str, tuple[str, ...]] = {}
+        for name in dict.fromkeys(names):
+            if m := _ANY_WORD.search(name):
+                self.names[m.group()] = (*self.names.get(m.group(), ()), name[m.start() :])
+        # What a line says rests on the line alone, never on its place or on other lines.
+        self._of_line = lru_cache(SEEN)(self._bits)
 
     @classmethod
     def fit(cls, plain: Iterable[str], mixed: Iterable[str], names: list[str]) -> LineModel:
@@ -169,13 +175,11 @@ class LineModel:
 
     def bits(self, line: str, under: str = "main") -> float:
         """Evidence of one line; `under` is "furniture" for a section named like furniture."""
-        key = shape(line)
-        bits = self.seen.get(key)
-        if bits is None:
-            bits = self._bits(line.strip())
-            if len(self.seen) < 200_000:
-                self.seen[key] = bits
-        return bits + (1.5 if under == "furniture" else 0.0)
+        return self._of_line(line.strip()) + (1.5 if under == "furniture" else 0.0)
+
+    def owned(self, line: str) -> bool:
+        """Whether a line holds the name or address of an owner, beginning at a word."""
+        return any(line.startswith(name, m.start()) for m in _ANY_WORD.finditer(line) for name in self.names.get(m.group(), ()))
 
     def _bits(self, line: str) -> float:
         line = _CUT.sub("", line)
@@ -193,7 +197,7 @@ class LineModel:
         web = 12.0 * (only + 0.4 * (len(site) - only)) / (len(words) + 2)
         address = min(8.0, 4.0 * sum(1 for w in words if w in self.address))
         marks = min(9.0, 3.0 * len(_MARKS.findall(line)))
-        own = 7.0 if self.names and self.names.search(line) else 0.0
+        own = 7.0 if self.names and self.owned(line) else 0.0
         if _ROW.match(line):
             return -9.0 + own
         if _ENTRY.match(line) and marks < 6:
@@ -356,8 +360,8 @@ def fit_line_model(sections: DataFrame, names: DataFrame | None = None, key: str
     """The line model of a corpus: fitted on all its pdf and html sections.
 
     Words and sentences are counted in every task, then by groupBy; the driver gets those only that pass the thresholds,
-    which are shares of the texts. names (columns agency_name and site) is a table of site owners, of which the first
-    10,000 by name are used.
+    which are shares of the texts. names (columns agency_name and site) is a table of site owners, all of which are used;
+    its size is measured first, and ValueError raised beyond OWNERS characters.
     """
     rows = sections.where(F.col("text").isNotNull() & F.col("source_format").isin("pdf", "html"))
     found = {r[0]: r[1] for r in rows.groupBy("source_format").count().collect()}
@@ -373,23 +377,23 @@ def fit_line_model(sections: DataFrame, names: DataFrame | None = None, key: str
         of[what][item] = (a, b)
     owners: list[str] = []
     if names is not None:
-        for r in names.select("agency_name", "site").orderBy("agency_name").limit(10_000).collect():
-            owners += [x for x in r if x]
+        given = names.select(F.explode(F.array("agency_name", "site")).alias("name")).where("name <> ''").distinct()
+        if (given.agg(F.sum(F.length("name"))).first()[0] or 0) > OWNERS:
+            raise ValueError(f"the names of the sites' owners have more than {OWNERS} characters")
+        owners = sorted(r[0] for r in given.collect())
     return LineModel.of_counts(of["word"], of["pattern"], of["total"].get("", (0, 0)), sizes, owners)
 
 
 def _labelled(sections: DataFrame, model: LineModel, key: str, name: str, kind: T.DataType, arrow: pa.DataType, made) -> DataFrame:
     """key and `name`: made(text, numbers of its furniture lines), of every html section with a text."""
-    fitted = (model.weights, model.known, model.foreign, model.names.pattern if model.names else "")
+    fitted = (model.weights, model.known, model.foreign, [name for group in model.names.values() for name in group])
     shared = sections.sparkSession.sparkContext.broadcast(fitted)
     own: list[LineModel] = []
     schema = T.StructType([T.StructField(key, sections.schema[key].dataType), T.StructField(name, kind)])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not own:
-            *learned, names = shared.value
-            own.append(LineModel(*learned, []))
-            own[0].names = re.compile(names) if names else None
+            own.append(LineModel(*shared.value))
         rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
         values = [made(text, furniture_lines(text, identifier, own[0])) for identifier, text in rows]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, arrow)], schema.names)
