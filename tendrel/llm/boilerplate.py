@@ -10,19 +10,23 @@ in every minimum cut, so it is settled at once and its edges become terminal cap
 repeated until nothing changes. Only what is left goes to the max-flow solver, and sections are independent of each
 other, so nothing is shuffled.
 
-The classifier has a fixed part (marks of navigation, words of web sites in the languages at hand, the shapes of
-sentences, lists, tables and label lines) and a fitted part: how much likelier a word is in files that hold no page
-furniture (pdf) than in those that do (html), counted over all sections of both.
+The classifier is a logistic regression over features of a line: how much likelier its words and sentences are in html
+files than in files that hold no page furniture (pdf), counted over all sections of both, and its shape. Its weights are
+fitted on a bounded sample of lines, in which lines of pdf files are main body, and so are html lines of a form that only
+notices have (label lines, rows, entries with numbers, sentences about bids); what the other html lines are is found by
+expectation maximisation, which starts from html against pdf.
 """
 
 from __future__ import annotations
 
 import math
+import operator
 import re
 from collections import Counter, deque
 from collections.abc import Iterable
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,39 +37,24 @@ from tendrel.llm.arrowtext import by_batch
 #: Of so many texts a word or sentence counts once for every time that the thresholds of the line model ask for, at least
 #: once: so what passes is bounded by the length of a text, whatever the number of texts.
 RARE = 40_000
+#: Sections of each format of whose lines the classifier is fitted, chosen by the hash of their key.
+SAMPLE = 4_000
+#: Rounds of expectation maximisation, and the ridge of the regression.
+ROUNDS, RIDGE = 8, 1.0
+#: Times that a sentence must be in html files, and never in plain ones, to speak for furniture: less can be chance.
+TELLING = 10
+#: The most bits that a line's evidence has.
+MOST = 12.0
 #: Different words and sentences that a task counts before it passes its counts on.
 COUNTED = 200_000
 #: Different lines whose evidence a task remembers, the last used ones.
 SEEN = 100_000
 #: The most characters of names and addresses of site owners that go to every executor.
 OWNERS = 50_000_000
-#: Bits of smoothness: neighbours in one block, neighbours across a blank line, next but one, siblings.
-NEXT, APART, SECOND, SIBLING = 1.0, 0.3, 0.2, 2.0
-
-# Words and word beginnings (with *) of web pages about themselves, by language.
-FURNITURE = {
-    "en": "cookie* browser* website webmaster webmail intranet login logout log-in username password signup subscribe unsubscribe "
-    "newsletter menu navigation sitemap breadcrumb* homepage toggle skip jump javascript scripts mobile app download print share "
-    "tweet facebook linkedin youtube social media follow sidebar widget search* filter sort rss disclaimer imprint privacy "
-    "copyright rights accessibility contrast feedback helpful rate poll vote survey visitor viewed best-viewed loading session "
-    "expires guest account basket cart-0 preferences consent analytics decline dismiss settings language* trending popular "
-    "related recently advertisement sponsored mayor weather traffic holidays calendar news directory careers faq switchboard "
-    "hours parking directions map maps powered portal build version modified generated archive sign-in register events tour "
-    "watch watching comments tip alert alerts emergency non-emergency residents departments permits business government services "
-    "help about home next previous results official logo e-mail page",
-    "de": "website cookies akzeptieren einstellungen impressum datenschutz barrierefreiheit startseite rathaus bürgerservice kontakt "
-    "inhalt springen drucken rechte vorbehalten seite teilen anmelden suche menü",
-    "fr": "site cookies accepter personnaliser mentions légales plan accessibilité accueil mairie écrire aller contenu partager "
-    "page droits réservés imprimer connexion recherche menu",
-    "es": "sitio cookies aceptar configurar aviso legal mapa accesibilidad inicio ayuntamiento trámites contacto saltar contenido "
-    "compartir página derechos reservados imprimir buscar menú",
-    "pt": "site cookies aceitar recusar mapa acessibilidade início prefeitura fale conosco ir conteúdo imprimir página direitos "
-    "compartilhar buscar",
-    "pl": "strona cookie plików akceptuję deklaracja dostępności mapa strony główna urząd przejdź treści drukuj stronę prawa "
-    "zastrzeżone szukaj udostępnij",
-    "ru": "сайт сайта cookie куки главная карта поиск вход меню версия печать печати страница страницы права защищены "
-    "контакты поделиться",
-}
+#: Bits of smoothness: neighbours in one block, neighbours across a blank line, next but one, siblings, and the head of a
+#: table with its first row.
+NEXT, APART, SECOND, SIBLING, TABLE = 1.0, 0.3, 0.2, 2.0, 12.0
+
 # Words by which a page speaks to its reader or of its owner.
 ADDRESS = (
     "you your yours we our us i my welcome thank thanks vous votre nos notre nous ihr ihre wir unser uns usted su nuestro "
@@ -78,16 +67,11 @@ NOTICE = (
     "schedule quantity opened licitador contrato oferta ofertas angebot angebote bieter auftragnehmer offre offres "
     "fournisseur titulaire wykonawca oferty zamawiającego contratada fornecedor edital поставщик заявки договора"
 ).split()
-# Section names of page furniture.
-SECTIONS = (
-    "follow us|stay connected|more notices|site tools|navigation|quick links|menu|portal help|footer|header|sidebar|share|"
-    "search|related|breadcrumb"
-).split("|")
-
 _WORD = re.compile(r"[^\W\d_]+(?:[-’'][^\W\d_]+)*")
 _ANY_WORD = re.compile(r"\w+")
 _ENTRY = re.compile(r"^(?:[-*•–]|\(?\d{1,3}[.)])\s+\S")
 # A row begins with its number and a word: a mere list of numbers leads to other pages.
+_ADDRESS, _NOTICE = frozenset(ADDRESS), frozenset(NOTICE)
 _ROW = re.compile(r"^\d+\s*\|\s*[^\W\d]")
 _LABEL = re.compile(r"^[^\W\d_][\w’' /-]{1,28}:\s+\S")
 _STOP = re.compile(r"[.!?]['\"”’)\]]*$")
@@ -111,13 +95,28 @@ def pattern(sentence: str) -> str:
     return _NAME.sub(" X", sentence)
 
 
-def counted(text: str) -> tuple[list[str], set[str]]:
-    """The words of every line, each once a line, and the sentence patterns of all lines but the last, which may be cut off."""
-    lines = [s for x in text.split("\n") if (s := x.strip())]
+def lead(line: str) -> str:
+    """The lead of a label line (`Posted` of `Posted: June 9`), in lower case; empty for other lines."""
+    return line[: line.index(":")].lower() if _LABEL.match(line) and not _MARKS.search(line) else ""
+
+
+def begin(words: list[str]) -> str:
+    """How a line begins, as an entry among the words."""
+    return "^" + " ".join(words[:2])
+
+
+def counted(text: str) -> tuple[list[str], set[str], list[tuple[str, bool]]]:
+    """The words of every line and how it begins, each once a line; the sentence patterns of all lines but the last, which may be cut off;
+    and the leads of label lines, each with whether another label line stands next to it."""
+    lines = [x.strip() for x in text.split("\n")]
     words: list[str] = []
     for line in lines:
-        words += set(_WORD.findall((_IDENTIFIER.sub("", line) if "-" in line else line).lower()))
-    return words, {pattern(s) for x in lines[:-1] for s in _SENTENCES.split(x)}
+        if own := _WORD.findall((_IDENTIFIER.sub("", line) if "-" in line else line).lower()):
+            words += {*own, begin(own)}
+    leads = [lead(x) if ":" in x else "" for x in lines]
+    beside = zip(leads, ["", *leads], [*leads[1:], ""], strict=False)
+    whole = [x for x in lines if x][:-1]
+    return words, {pattern(s) for x in whole for s in _SENTENCES.split(x)}, [(own, bool(up or down)) for own, up, down in beside if own]
 
 
 def least(times: int, texts: float) -> float:
@@ -125,14 +124,51 @@ def least(times: int, texts: float) -> float:
     return times * max(1.0, texts / RARE)
 
 
+#: Features of a line.
+FEATURES = 34
+
+
+class Counts:
+    """How often (plain, mixed) words and sentences occur, and leads of label lines (plain, mixed alone, mixed beside another)."""
+
+    def __init__(self) -> None:
+        self.words: dict[str, list[int]] = {}
+        self.patterns: dict[str, list[int]] = {}
+        self.leads: dict[str, list[int]] = {}
+        self.totals, self.sizes = [0, 0], [0, 0]
+
+    def add(self, kind: int, text: str) -> None:
+        words, patterns, leads = counted(text)
+        self.sizes[kind] += 1
+        self.totals[kind] += len(words)
+        for found, into in ((words, self.words), (patterns, self.patterns)):
+            for item in found:
+                into.setdefault(item, [0, 0])[kind] += 1
+        for own, beside in leads:
+            self.leads.setdefault(own, [0, 0, 0])[kind + (kind and beside)] += 1
+
+
+def _log_odds(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    return np.clip(rows @ weights, -30.0, 30.0)
+
+
+def _regression(rows: np.ndarray, wanted: np.ndarray, times: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Weights of a logistic regression with a ridge, by Newton's method from given ones."""
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-_log_odds(weights, rows)))
+        slope = rows.T @ (times * (p - wanted)) + RIDGE * weights
+        step = np.linalg.solve((rows * (times * p * (1 - p))[:, None]).T @ rows + RIDGE * np.eye(rows.shape[1]), slope)
+        weights = weights - step
+        if np.abs(step).max() < 1e-4:
+            break
+    return weights
+
+
 class LineModel:
     """Evidence, in bits, that a line is furniture (positive) or main body (negative)."""
 
-    def __init__(self, weights: dict[str, float], known: set[str], foreign: set[str], names: list[str]):
-        self.weights, self.known, self.foreign = weights, known, foreign
-        self.words = {w for group in FURNITURE.values() for w in group.split() if not w.endswith("*")}
-        self.begins = tuple({w[:-1] for group in FURNITURE.values() for w in group.split() if w.endswith("*")})
-        self.address, self.notice = set(ADDRESS), set(NOTICE)
+    def __init__(self, words: dict[str, float], known: set[str], foreign: set[str], labels: set[str], spoken: set[str], names: list[str], theta: list[float] | None = None):
+        self.words, self.known, self.foreign, self.labels, self.spoken, self.theta = words, known, foreign, labels, spoken, theta
         #: Names by their first word, so that a line costs the same whatever their number.
         self.names: dict[str, tuple[str, ...]] = {}
         for name in dict.fromkeys(names):
@@ -144,82 +180,87 @@ class LineModel:
     @classmethod
     def fit(cls, plain: Iterable[str], mixed: Iterable[str], names: list[str]) -> LineModel:
         """Fitted on texts without and with furniture; `names` are the names and addresses of the sites' owners."""
-
-        words, patterns, totals, sizes = {}, {}, [0, 0], [0, 0]
-        for k, texts in enumerate((plain, mixed)):
-            for text in texts:
-                sizes[k] += 1
-                for found, into in zip(counted(text), (words, patterns), strict=True):
-                    for item in found:
-                        into.setdefault(item, [0, 0])[k] += 1
-        for pair in words.values():
-            totals = [totals[0] + pair[0], totals[1] + pair[1]]
-        return cls.of_counts(words, patterns, totals, sizes, names)
+        counts = Counts()
+        texts = [list(plain), list(mixed)]
+        for k, own in enumerate(texts):
+            for text in own:
+                counts.add(k, text)
+        return cls.of_counts(counts, names).fitted(*texts)
 
     @classmethod
-    def of_counts(cls, words: dict, patterns: dict, totals: list[int], sizes: list[int], names: list[str]) -> LineModel:
-        """Fitted on how often (plain, mixed) words and sentences occur; totals of all words, sizes in texts."""
-        m, n = totals[0] + 1, totals[1] + 1
+    def of_counts(cls, counts: Counts, names: list[str]) -> LineModel:
+        """What the counts of words, sentences and leads say; without weights yet."""
+        sizes, (m, n) = counts.sizes, (counts.totals[0] + 1, counts.totals[1] + 1)
         once, twice, thrice = least(1, sizes[0]), least(2, sizes[0]), least(3, sum(sizes) / 2)
-        weights = {}
-        for w, (a, b) in words.items():
-            x = math.log2((b + 0.5) / n * m / (a + 0.5))
-            # A word of the plain texts speaks for furniture only if it is far more usual in the mixed ones: the languages
-            # are not spread evenly over the formats.
-            if a + b >= thrice and (x < -0.5 or x > (4.0 if a >= once else 0.5)):
-                weights[w] = max(-1.5, min(2.5, x))
-            elif a >= twice:
-                weights[w] = 0.0
-        foreign = {s for s, (a, b) in patterns.items() if b >= least(3, sizes[1]) and a < once}
-        return cls(weights, {s for s, (a, _) in patterns.items() if a >= twice}, foreign, names)
-
-    def bits(self, line: str, under: str = "main") -> float:
-        """Evidence of one line; `under` is "furniture" for a section named like furniture."""
-        return self._of_line(line.strip()) + (1.5 if under == "furniture" else 0.0)
+        words = {w: max(-2.0, min(6.0, math.log2((b + 0.5) / n * m / (a + 0.5)))) for w, (a, b) in counts.words.items() if a + b >= thrice or a >= twice}
+        foreign = {s for s, (a, b) in counts.patterns.items() if b >= least(TELLING, sizes[1]) and a < once}
+        # A lead is a label of the notice if it mostly stands beside other label lines, as in the head of a notice.
+        labels = {x for x, (_, alone, beside) in counts.leads.items() if beside > alone and beside >= least(3, sizes[1])}
+        spoken = {x for x, (a, *_) in counts.leads.items() if a >= twice}
+        return cls(words, {s for s, (a, _) in counts.patterns.items() if a >= twice}, foreign, labels, spoken, names)
+
+    def fitted(self, plain: list[str], mixed: list[str]) -> LineModel:
+        """This model with weights fitted on the lines of a sample of texts without and with furniture."""
+        lines = [Counter(s for t in texts for x in t.split("\n") if (s := x.strip())) for texts in (plain, mixed)]
+        every = sorted(lines[0] | lines[1])
+        rows = np.array([self.features(x) for x in every] or [[0.0] * FEATURES])
+        times = np.array([lines[0][x] + lines[1][x] for x in every] or [1], float)
+        main = np.array([x in lines[0] or self.of_notice(x) for x in every] or [True])
+        scale = np.maximum(rows.std(0), 1e-3)
+        rows = rows / scale
+        weights = _regression(rows, (~main).astype(float), times, np.zeros(rows.shape[1]))
+        for _ in range(ROUNDS):
+            share = np.where(main, 0.0, 1 / (1 + np.exp(-_log_odds(weights, rows))))
+            weights = _regression(rows, share, times, weights)
+        return LineModel(self.words, self.known, self.foreign, self.labels, self.spoken, self.owners(), (weights / scale / math.log(2)).tolist())
+
+    def owners(self) -> list[str]:
+        return [name for group in self.names.values() for name in group]
+
+    def of_notice(self, line: str) -> bool:
+        """Whether a line has a form that only notices have."""
+        marked, words = _MARKS.search(line), _WORD.findall(line.lower())
+        if lead(line) in self.labels or _ROW.match(line):
+            return True
+        if _ENTRY.match(line):
+            return not marked and bool(re.search(r"\d", line[3:]))
+        told = any(w in _NOTICE for w in words) and not any(w in _ADDRESS for w in words)
+        return bool(told and not marked and len(words) >= 5 and _STOP.search(line))
+
+    def bits(self, line: str) -> float:
+        """Evidence of one line, from its text alone."""
+        return self._of_line(line.strip())
 
     def owned(self, line: str) -> bool:
         """Whether a line holds the name or address of an owner, beginning at a word."""
         return any(line.startswith(name, m.start()) for m in _ANY_WORD.finditer(line) for name in self.names.get(m.group(), ()))
 
-    def _bits(self, line: str) -> float:
+    def features(self, line: str) -> list[float]:
+        """What the regression weighs: a constant, length, words by their log ratios, sentences, shape, and owner."""
         line = _CUT.sub("", line)
-        low = _IDENTIFIER.sub("", line).lower()
+        low = (_IDENTIFIER.sub("", line) if "-" in line else line).lower()
         words = _WORD.findall(low)
+        n, get = len(words), self.words.get
+        ratios = sorted(x for w in words if (x := get(w)) is not None)
+        unknown, per = n - len(ratios), 1 / max(n, 1)
         sentences = [pattern(s) for s in _SENTENCES.split(line)]
-        if all(s in self.known for s in sentences):
-            return -10.0
-        foreign = 3.0 if all(s in self.foreign for s in sentences) else 0.0
-        learned = sum(self.weights.get(w, 0.0) for w in words)
-        learned = max(-6.0, min(8.0, learned * min(1.0, 6 / max(len(words), 1))))
-        # A word of web pages that plain files use as well says less.
-        site = [w for w in words if w in self.words or w.startswith(self.begins)]
-        only = sum(1 for w in site if self.weights.get(w, 9.0) > 0)
-        web = 12.0 * (only + 0.4 * (len(site) - only)) / (len(words) + 2)
-        address = min(8.0, 4.0 * sum(1 for w in words if w in self.address))
-        marks = min(9.0, 3.0 * len(_MARKS.findall(line)))
-        own = 7.0 if self.names and self.owned(line) else 0.0
-        if _ROW.match(line):
-            return -9.0 + own
-        if _ENTRY.match(line) and marks < 6:
-            telling = re.search(r"\d", line[4:]) or "," in line or len(words) > 8
-            return (-8.0 if telling else -4.0) + 0.3 * web + own
-        lead = re.split(r":| – ", low, maxsplit=1)
-        titled = 0.0
-        if len(lead) == 2 and len(lead[0]) < 40:
-            named = (w in self.words or w in self.address or w.startswith(self.begins) for w in _WORD.findall(lead[0]))
-            titled = 7.0 if any(named) else 0.0
-        told = sum(1 for w in words if w in self.notice)
-        if _STOP.search(line) and len(words) >= 5 or len(words) >= 9:
-            lasting = -3.5 - min(4.0, len(words) / 10) - min(8.0, 2.5 * told) + (2.5 if not told and learned > 0 else 0.0)
-            lasting += 0.0 if told else foreign
-            return lasting + learned + 0.7 * web + address + titled + min(marks, 6.0) + own
-        if _LABEL.match(line) and not marks and not address:
-            return -5.0 + 1.2 * web + own + titled + 0.3 * learned
-        known = len(words) >= 2 and all(self.weights.get(w, 9.0) <= 0 for w in words[:-1])
-        if known and not (marks or only or address or own or foreign):
-            return -4.0  # the beginning of a sentence of known words
-        bare = 3.0 if len(words) <= 5 and not _STOP.search(line) else 1.0
-        return bare + learned + web + address + titled + marks + own + foreign
+        known = sum(s in self.known for s in sentences) / len(sentences)
+        foreign = sum(s in self.foreign for s in sentences) / len(sentences)
+        told, address = sum(w in _NOTICE for w in words), sum(w in _ADDRESS for w in words)
+        stop, marks, leads = bool(_STOP.search(line)), min(len(_MARKS.findall(line)), 3), lead(line) if ":" in line else ""
+        return [
+            1.0, min(n, 30) / 10, n == 0, n <= 2, n <= 5, n >= 9,
+            max(sum(x for x in ratios if x < 0), -10.0) / 5, ratios[0] if ratios else 0.0, ratios[-1] if ratios else 0.0, sum(ratios) * per,
+            unknown * per, min(unknown, 5) / 2, sum(x >= 5.0 for x in ratios) * per,
+            get(begin(words), 0.0), known, known == 1, foreign, foreign == 1,
+            stop, stop and n >= 5, bool(_ENTRY.match(line)), bool(_ROW.match(line)), leads in self.labels, bool(leads) and leads not in self.labels and leads not in self.spoken,
+            marks, self.owned(line), bool(_DIGITS.search(line)), line[:1].islower(), line[:1].isupper(), ":" in line, "@" in line or "www." in line or "://" in line,
+            min(told, 3), min(address, 3), told > 0 and stop,
+        ]
+
+    def _bits(self, line: str) -> float:
+        value = sum(map(operator.mul, self.theta, self.features(line)))
+        return max(-MOST, min(MOST, value))
 
 
 def _flow_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -302,19 +343,13 @@ def _form(line: str) -> str:
     return "bare" if len(line) < 24 and not re.search(r"[.:|!?]", line) else ""
 
 
-def furniture_lines(text: str, identifier: str | None, model: LineModel) -> list[int]:
+def furniture_lines(text: str, model: LineModel) -> list[int]:
     """Numbers (from 1) of the lines of a section that are page furniture."""
     lines = text.split("\n")
     at = [k for k, line in enumerate(lines) if line.strip()]
     if not at:
         return []
-    under = "furniture" if (identifier or "").strip().lower() in SECTIONS else "main"
-    bits = [model.bits(lines[k], under) for k in at]
-    # The head of a table stands over its rows and has as many cells.
-    for i in range(len(at) - 1):
-        head, row = lines[at[i]], lines[at[i + 1]]
-        if "|" in head and not _ROW.match(head) and _ROW.match(row) and head.count("|") == row.count("|"):
-            bits[i] = min(bits[i], -9.0)
+    bits = [model.bits(lines[k]) for k in at]
     if max(bits) <= 0:
         return []  # every node is on the main body's side at no cost
     forms = [_form(lines[k].strip()) for k in at]
@@ -324,6 +359,10 @@ def furniture_lines(text: str, identifier: str | None, model: LineModel) -> list
         weight = NEXT if together else APART
         if together and forms[i] and forms[i] == forms[i + 1]:
             weight += SIBLING
+        # The head of a table stands over its rows and has as many cells.
+        head, row = lines[at[i]], lines[at[i + 1]]
+        if "|" in head and not _ROW.match(head) and _ROW.match(row) and head.count("|") == row.count("|"):
+            weight += TABLE
         edges.append((i, i + 1, weight))
         if i + 2 < len(at) and at[i + 2] == at[i] + 2:
             edges.append((i, i + 2, SECOND))
@@ -334,59 +373,85 @@ _COUNTS = T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "what
 
 
 def _partial_counts(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    """Counts of a task's words and sentences by source_format, passed on whenever they are COUNTED different ones."""
-    counts: dict[tuple[str, str], Counter] = {(k, what): Counter() for k in ("pdf", "html") for what in ("word", "pattern", "total")}
+    """Counts of a task's words, sentences and leads by source_format, passed on whenever they are COUNTED different ones;
+    and the texts of the sample."""
+    kinds = ("pdf", "html")
+    counts, size = Counts(), 0
 
     def passed() -> Iterable[pa.RecordBatch]:
-        for (kind, what), own in counts.items():
-            if own:
-                columns = [pa.array([x] * len(own), pa.string()) for x in (kind, what)]
-                columns += [pa.array(own.keys(), pa.string()), pa.array(own.values(), pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, _COUNTS.names)
-                own.clear()
+        rows: list[tuple[str, str, str, int]] = []
+        for what, own in (("word", counts.words), ("pattern", counts.patterns), ("total", {"": counts.totals})):
+            rows += [(k, what, item, n) for item, pair in own.items() for k, n in zip(kinds, pair, strict=True) if n]
+        for item, (plain, alone, beside) in counts.leads.items():
+            rows += [r for r in (("pdf", "lead", item, plain), ("html", "lead", item, alone), ("html", "beside", item, beside)) if r[3]]
+        if rows:
+            yield _counts_batch(rows)
 
     for batch in batches:
-        for kind, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words, patterns = counted(text)
-            counts[kind, "word"].update(words)
-            counts[kind, "pattern"].update(patterns)
-            counts[kind, "total"][""] += len(words)
-            if sum(map(len, counts.values())) >= COUNTED:
-                yield from passed()
+        sampled = []
+        for kind, text, chosen in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            counts.add(kinds.index(kind), text)
+            if chosen:
+                sampled.append((kind, "sample", text, 1))
+        if sampled:
+            yield _counts_batch(sampled)
+        if len(counts.words) + len(counts.patterns) + len(counts.leads) >= COUNTED:
+            yield from passed()
+            counts = Counts()
     yield from passed()
 
 
+def _counts_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], _COUNTS.names)
+
+
 def fit_line_model(sections: DataFrame, names: DataFrame | None = None, key: str = "section_key") -> LineModel:
-    """The line model of a corpus: fitted on all its pdf and html sections.
+    """The line model of a corpus: counts over all its pdf and html sections, weights from a bounded sample of their lines.
 
-    Words and sentences are counted in every task, then by groupBy; the driver gets those only that pass the thresholds,
-    which are shares of the texts. names (columns agency_name and site) is a table of site owners, all of which are used;
-    its size is measured first, and ValueError raised beyond OWNERS characters.
+    Words, sentences and leads are counted in every task, then by groupBy, in one pass over the texts; the driver gets
+    those only that pass the thresholds, which are shares of the texts, and the sample of about SAMPLE sections of each
+    format, chosen by the hash of their key. names (columns agency_name and site) is a table of site owners, all of which
+    are used; its size is measured first, and ValueError raised beyond OWNERS characters.
     """
     rows = sections.where(F.col("text").isNotNull() & F.col("source_format").isin("pdf", "html"))
     found = {r[0]: r[1] for r in rows.groupBy("source_format").count().collect()}
     sizes = [found.get("pdf", 0), found.get("html", 0)]
-    partial = rows.select("source_format", "text").mapInArrow(_partial_counts, _COUNTS)
+    share = F.when(F.col("source_format") == "pdf", min(1.0, SAMPLE / max(sizes[0], 1))).otherwise(min(1.0, SAMPLE / max(sizes[1], 1)))
+    chosen = F.pmod(F.xxhash64(key), F.lit(1_000_003)) < share * 1_000_003
+    partial = rows.select("source_format", "text", chosen.alias("chosen")).mapInArrow(_partial_counts, _COUNTS)
     plain, mixed = (F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(a) for k, a in (("pdf", "a"), ("html", "b")))
-    counts = partial.groupBy("what", "item").agg(plain, mixed)
-    often = (F.col("a") >= least(2, sizes[0])) | (F.col("what") == "total")
-    word = (F.col("what") == "word") & (F.col("a") + F.col("b") >= least(3, sum(sizes) / 2))
-    foreign = (F.col("what") == "pattern") & (F.col("b") >= least(3, sizes[1])) & (F.col("a") < least(1, sizes[0]))
-    of: dict[str, dict] = {"word": {}, "pattern": {}, "total": {}}
-    for what, item, a, b in counts.where(often | word | foreign).collect():
-        of[what][item] = (a, b)
+    counted = partial.groupBy("what", "item").agg(plain, mixed)
+    often = (F.col("a") >= least(2, sizes[0])) | F.col("what").isin("total", "sample")
+    told = F.col("what").isin("word", "lead", "beside") & (F.col("a") + F.col("b") >= least(3, sum(sizes) / 2))
+    foreign = (F.col("what") == "pattern") & (F.col("b") >= least(TELLING, sizes[1])) & (F.col("a") < least(1, sizes[0]))
+    counts = Counts()
+    counts.sizes = sizes
+    sample: list[list[str]] = [[], []]
+    for what, item, a, b in counted.where(often | told | foreign).collect():
+        if what == "sample":
+            sample[0] += [item] * a
+            sample[1] += [item] * b
+        elif what == "total":
+            counts.totals = [a, b]
+        elif what in ("lead", "beside"):
+            own = counts.leads.setdefault(item, [0, 0, 0])
+            own[0] += a
+            own[1 + (what == "beside")] += b
+        else:
+            (counts.words if what == "word" else counts.patterns)[item] = [a, b]
     owners: list[str] = []
     if names is not None:
         given = names.select(F.explode(F.array("agency_name", "site")).alias("name")).where("name <> ''").distinct()
         if (given.agg(F.sum(F.length("name"))).first()[0] or 0) > OWNERS:
             raise ValueError(f"the names of the sites' owners have more than {OWNERS} characters")
         owners = sorted(r[0] for r in given.collect())
-    return LineModel.of_counts(of["word"], of["pattern"], of["total"].get("", (0, 0)), sizes, owners)
+    return LineModel.of_counts(counts, owners).fitted(*sample)
 
 
 def _labelled(sections: DataFrame, model: LineModel, key: str, name: str, kind: T.DataType, arrow: pa.DataType, made) -> DataFrame:
     """key and `name`: made(text, numbers of its furniture lines), of every html section with a text."""
-    fitted = (model.weights, model.known, model.foreign, [name for group in model.names.values() for name in group])
+    fitted = (model.words, model.known, model.foreign, model.labels, model.spoken, model.owners(), model.theta)
     shared = sections.sparkSession.sparkContext.broadcast(fitted)
     own: list[LineModel] = []
     schema = T.StructType([T.StructField(key, sections.schema[key].dataType), T.StructField(name, kind)])
@@ -394,12 +459,11 @@ def _labelled(sections: DataFrame, model: LineModel, key: str, name: str, kind:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not own:
             own.append(LineModel(*shared.value))
-        rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
-        values = [made(text, furniture_lines(text, identifier, own[0])) for identifier, text in rows]
+        values = [made(text, furniture_lines(text, own[0])) for text in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, arrow)], schema.names)
 
     rows = sections.where((F.col("source_format") == "html") & F.col("text").isNotNull())
-    return rows.select(key, "section_identifier", "text").mapInArrow(by_batch(run), schema)
+    return rows.select(key, "text").mapInArrow(by_batch(run), schema)
 
 
 def label_lines(sections: DataFrame, model: LineModel, key: str = "section_key") -> DataFrame:

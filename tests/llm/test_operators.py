@@ -177,34 +177,63 @@ def test_minimum_cut_against_all_labellings():
 
 
 PLAIN = ["The vendor shall deliver 5 pumps to the depot.\n- pumps, AB-1, qty 4\nOffers are opened at noon.", "A bid bond of 5% is required with every offer.\nThe vendor keeps pumps in stock."] * 5
-PAGE = "Home | News | Contact\nSkip to main content\nThe vendor shall deliver 7 pumps to the depot.\n- pumps, AB-9, qty 3\nPosted: June 9, 2024\n\nPrivacy · Cookie Policy\n© 2024 Elm City. All rights reserved."
+PAGE = "Home | News | Contact\nSkip to main content\nThe vendor shall deliver 7 pumps to the depot.\n- pumps, AB-9, qty 3\nPosted: June 9, 2024\nBid Number: AB-7\n\nPrivacy · Cookie Policy\n© 2024 Elm City. All rights reserved."
+
+
+FURNITURE = [1, 2, 8, 9]
 
 
 def test_furniture_lines(spark):
     model = boilerplate.LineModel.fit(PLAIN, [PAGE] * 5, ["Elm City"])
-    assert boilerplate.furniture_lines(PAGE, "Notice", model) == [1, 2, 7, 8]
-    assert boilerplate.furniture_lines("", None, model) == [] and boilerplate.furniture_lines("\n \n", None, model) == []
-    rows = [(k, f, "Notice", t, "x") for k, (f, t) in enumerate([*[("pdf", t) for t in PLAIN], *[("html", PAGE)] * 5, ("html", None), ("html", ""), ("pdf", PAGE)])]
-    df = spark.createDataFrame(rows, "section_key long, source_format string, section_identifier string, text string, furniture string")
+    assert boilerplate.furniture_lines(PAGE, model) == FURNITURE
+    assert boilerplate.furniture_lines("", model) == [] and boilerplate.furniture_lines("\n \n", model) == []
+    rows = [(k, f, t, "x") for k, (f, t) in enumerate([*[("pdf", t) for t in PLAIN], *[("html", PAGE)] * 5, ("html", None), ("html", ""), ("pdf", PAGE)])]
+    df = spark.createDataFrame(rows, "section_key long, source_format string, text string, furniture string")
     names = spark.createDataFrame([("Elm City", None)], "agency_name string, site string")
-    fitted = boilerplate.fit_line_model(df, names)
+    fitted = boilerplate.fit_line_model(df.where("section_key < 17"), names)
     out = {r.section_key: list(r.furniture) for r in boilerplate.label_lines(df, fitted).collect()}
-    assert out == {**{k: [1, 2, 7, 8] for k in range(10, 15)}, 16: []}
+    assert out == {**{k: FURNITURE for k in range(10, 15)}, 16: []}
     bodies = {r.section_key: r.body for r in boilerplate.main_body(df, fitted).collect()}
-    assert bodies[10] == "\n".join(PAGE.split("\n")[2:5]) and bodies[16] is None
+    assert bodies[10] == "\n".join(PAGE.split("\n")[2:6]) and bodies[16] is None
     empty = df.where("false")
     assert boilerplate.label_lines(empty, boilerplate.fit_line_model(empty)).count() == 0
 
 
-def test_line_model_counts_all_sections(spark):
+def test_line_model_counts_all_sections(spark, monkeypatch):
     texts = [(k, "pdf", f"Clause {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)} holds.\nEnd.") for k in range(4500)] * 2
-    texts += [(k, "html", f"Link {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)} here\nEnd") for k in range(4500)] * 3
+    texts += [(k, "html", f"Link {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)} here\nOwner: x\nPosted: y\nEnd") for k in range(4500)] * 3
     df = spark.createDataFrame(texts, "section_key long, source_format string, text string")
+    monkeypatch.setattr(boilerplate, "TELLING", 3)
     fitted = boilerplate.fit_line_model(df)
-    assert len(fitted.known) == 4500 and len(fitted.foreign) == 4500
-    plain, mixed = ([t for _, k, t in texts if k == kind] for kind in ("pdf", "html"))
-    want = boilerplate.LineModel.fit(plain, mixed, [])
-    assert (fitted.weights, fitted.known, fitted.foreign) == (want.weights, want.known, want.foreign)
+    assert len(fitted.known) == 4500 and len(fitted.foreign) == 4502 and fitted.labels == {"owner", "posted"}
+    counts = boilerplate.Counts()
+    for _, kind, text in texts:
+        counts.add(kind == "html", text)
+    want = boilerplate.LineModel.of_counts(counts, [])
+    assert (fitted.words, fitted.known, fitted.foreign, fitted.labels, fitted.spoken) == (want.words, want.known, want.foreign, want.labels, want.spoken)
+
+
+def test_labels_do_not_rest_on_order(spark):
+    """Lines that differ in their numbers only, names of sites with digits, and rows in any order and number of tasks."""
+    pages = [f"{line}\nThe vendor shall deliver {k} pumps to the depot.\nSee www.city{k}.gov or call" for k, line in enumerate(["12) Home page", "1234) Home page"] * 30)]
+    rows = [(k, "html", t) for k, t in enumerate(pages)] + [(100 + k, "pdf", t) for k, t in enumerate(PLAIN * 6)]
+    names = spark.createDataFrame([("City 2", "www.city2.gov"), ("City 3", "www.city3.gov")], "agency_name string, site string")
+    schema = "section_key long, source_format string, text string"
+    random.Random(2).shuffle(mixed := list(rows))
+    results = []
+    for data, tasks in ((rows, 1), (rows[::-1], 1), (mixed, 5)):
+        df = spark.createDataFrame(data, schema).coalesce(1).repartition(tasks) if tasks > 1 else spark.createDataFrame(data, schema).coalesce(1)
+        model = boilerplate.fit_line_model(df, names)
+        results.append((model.theta, sorted((r.section_key, list(r.furniture)) for r in boilerplate.label_lines(df, model).collect())))
+        assert model.owned("at www.city2.gov today") and not model.owned("at www.city4.gov today")
+    assert results[0] == results[1] == results[2]
+
+
+def test_owners_beyond_the_bound_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(boilerplate, "OWNERS", 5)
+    df = spark.createDataFrame([(1, "html", "x")], "section_key long, source_format string, text string")
+    with pytest.raises(ValueError):
+        boilerplate.fit_line_model(df, spark.createDataFrame([("Elm City", None)], "agency_name string, site string"))
 
 
 # --- problem 6
