@@ -83,6 +83,12 @@ def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.cut_rates(table(spark, folder, "sections"))
 
 
+@QUERIES.query("p4_reasons")
+def p4_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    """How many sections of every feed are cut, by what shows it."""
+    return truncation.cut_reasons(table(spark, folder, "sections"))
+
+
 def _line_model(spark: SparkSession, folder: str) -> boilerplate.LineModel:
     return boilerplate.fit_line_model(table(spark, folder, "sections"), table(spark, folder, "agencies"))
 

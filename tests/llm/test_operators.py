@@ -152,6 +152,34 @@ def test_source_that_cuts_most_of_its_texts(spark):
         assert {r.feed: r.cut_sections for r in truncation.cut_rates(df).collect()} == {"cuts": n - 1, "lone": n, "strips": 0}
 
 
+def test_automaton_reads_the_whole_text(spark):
+    open_texts = ["<b>text ends here.", "The owner (see\nthe annex\nof the contract.", 'The "supplier shall.', "<table><tr><td>a</td></tr>\n\nEnd.", "A “quoted\nword.", "„Der Bieter ist."]
+    closed = ["<b>text</b> ends.", "The owner (see\nthe annex) holds.", 'The "supplier" shall.', "(an old note\n\nA new block.", "A 5\" pipe.", "<br>One.", "«Un mot» suit.", "a < b and c.", "<john@x.example> wrote.", "„Der“ Bieter.", "1) one."]
+    for text in open_texts:
+        assert truncation.unclosed(text), text
+    for text in closed:
+        assert not truncation.unclosed(text), text
+    df = spark.createDataFrame([(k, "f", t) for k, t in enumerate([*open_texts, *closed])], "section_key long, feed string, text string")
+    assert {(r.section_key, r.reason) for r in truncation.cut_sections(df).collect()} == {(k, "open") for k in range(len(open_texts))}
+
+
+def test_terminators_by_source(spark):
+    """A family that ends bare in one source and never in another: the second cuts it; a source with few lines follows all."""
+    line, kept = "Questions go to the desk of the", "The vendor shall keep the depot open on all days of the week."
+    ends = "depot town office mayor clerk board school port market station".split()
+    rows = [(k, "bare", f"{line} {w}\n{kept}\nEnd.") for k, w in enumerate(ends)] + [(100 + k, "ends", f"{line} {w}.\nEnd.") for k, w in enumerate(ends)]
+    rows += [(200, "bare", f"{line} dep"), (201, "ends", f"{line} dep"), (202, "few", f"{kept}\n{line} dep")]
+    rows += [(203, "bare", f"{line} depot"), (204, "few", f"{kept}\n{line} depot")]
+    df = spark.createDataFrame(rows, "section_key long, feed string, text string")
+    assert {r.section_key: r.reason for r in truncation.cut_sections(df).collect()} == {200: "word", 201: "sentence", 202: "word"}
+
+
+def test_counts_by_reason(spark):
+    rows = [(1, "a", "It is kept…"), (2, "a", "see (the"), (3, None, "see (the"), (4, "b", "Fine."), (5, "a", None)]
+    df = spark.createDataFrame(rows, "section_key long, feed string, text string")
+    assert sorted(map(tuple, truncation.cut_reasons(df).collect()), key=repr) == sorted([("a", "sign", 1), ("a", "open", 1), (None, "open", 1)], key=repr)
+
+
 def test_unclosed():
     assert truncation.unclosed("as set out (see") and truncation.unclosed("marked “so") and truncation.unclosed("<b bold")
     assert not truncation.unclosed("1) one 2) two") and not truncation.unclosed("(a [b] c) “d”") and not truncation.unclosed("> Home")
