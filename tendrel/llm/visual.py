@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,10 @@ LOOKALIKES = """
 АВСԌЕНІЈКМОРԚЅТХУԜҮ: ABCGEHIJKMOPQSTXYWY
 αιορνγυκχτ: aiopvyukxt
 ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ: ABEZHIKMNOPTYX
+օսհոյցզ: ouhnjgq
+ՕՍՏԼ: OUSL
+ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᎽᏀᏃᏏᏙᏚᏞᏟᏢᏦᏴ: DRTiAJEWMHYGZbVSLCPKB
+ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ: BPDTGKJCZFMNLSRVHWXYAEIOU
 """
 # Pairs above that do not look alike at body-text size.
 _NOT_ALIKE = "вұґакχτγκ".replace("а", "")
@@ -34,6 +39,11 @@ FILLERS = "͏ᅟᅠ឴឵ㅤﾠ"
 
 _KEEP, _DROP, _GAP, _EXPAND, _MARK = range(5)
 _LIMIT = 0x110000
+#: Code points that have a decomposition lie below the first number, or among the ideographs of the second range.
+_LETTERS, _IDEOGRAPHS = 0x20000, range(0x2F800, 0x2FA20)
+# Hangul: first syllable, first leading consonant, vowel and (less one) trailing consonant, and their numbers.
+_SYLLABLE, _LEAD, _VOWEL, _TRAIL = 0xAC00, 0x1100, 0x1161, 0x11A7
+_LEADS, _VOWELS, _TRAILS = 19, 21, 28
 
 
 @lru_cache(maxsize=1)
@@ -48,6 +58,8 @@ def _lookalike_map() -> dict[int, str]:
 def _expansion(ch: str, seen: int = 0) -> str:
     """What stands for one character: its canonical parts, width, font and ligature variants replaced."""
     parts = unicodedata.decomposition(ch)
+    if 0x3131 <= ord(ch) < 0x318F:
+        return ch  # letters that stand alone: taken apart, they would join into syllables
     if alike := _lookalike_map().get(ord(ch)):
         return alike
     if not parts or seen > 8:
@@ -66,9 +78,9 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarra
     kind = np.zeros(_LIMIT, np.uint8)
     at, size, pool = np.zeros(_LIMIT, np.int32), np.zeros(_LIMIT, np.uint8), []
     rank = np.zeros(_LIMIT, np.uint8)
-    for cp in range(0x20000):
+    for cp in chain(range(_LETTERS), _IDEOGRAPHS):
         if 0xD800 <= cp < 0xE000 or 0xAC00 <= cp < 0xD7A4 or 0x3400 <= cp < 0xA000:
-            continue  # surrogates; Hangul syllables and ideographs stay as they are
+            continue  # surrogates; syllables, which the letters are joined to, and ideographs that are their own form
         ch = chr(cp)
         category = unicodedata.category(ch)
         if ch.isspace() or category in ("Zs", "Zl", "Zp"):
@@ -91,7 +103,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarra
 def _compositions() -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys base << 21 | mark and what they compose to."""
     pairs = {}
-    for cp in range(0x20000):
+    for cp in range(_LETTERS):
         parts = unicodedata.decomposition(chr(cp))
         if parts and parts[0] != "<" and " " in parts and unicodedata.normalize("NFC", chr(cp)) == chr(cp):
             base, mark = (int(x, 16) for x in parts.split())
@@ -150,6 +162,25 @@ def _compose(points: np.ndarray, offsets: np.ndarray, rank: np.ndarray) -> tuple
     return points, offsets
 
 
+def _join_hangul(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of Hangul joined to syllables by arithmetic: leading consonant and vowel, then the trailing consonant."""
+    for first, size, second, count in ((_LEAD, _LEADS, _VOWEL, _VOWELS), (_SYLLABLE, _LEADS * _VOWELS * _TRAILS, _TRAIL + 1, _TRAILS - 1)):
+        a, b = points[:-1].astype(np.int64) - first, points[1:].astype(np.int64) - second
+        fits = (a >= 0) & (a < size) & (b >= 0) & (b < count)
+        if first == _SYLLABLE:
+            fits &= a % _TRAILS == 0  # an open syllable
+        inner = np.ones(len(points), bool)
+        inner[offsets[:-1][offsets[:-1] < len(points)]] = False
+        at = np.flatnonzero(fits & inner[1:])
+        if len(at):
+            points = points.copy()
+            points[at] = _SYLLABLE + (a[at] * _VOWELS + b[at]) * _TRAILS if first == _LEAD else points[at] + b[at] + 1
+            keep = np.ones(len(points), bool)
+            keep[at + 1] = False
+            points, offsets = _keep(points, offsets, keep)
+    return points, offsets
+
+
 def consistent(column: pa.Array) -> pa.Array:
     """The consistent form of every row: nothing invisible, one space per gap, composed accents, one letter per shape."""
     points, offsets, valid = codepoints(column)
@@ -173,6 +204,8 @@ def consistent(column: pa.Array) -> pa.Array:
         points = points.copy()
         _order_marks(points, offsets, rank)
         points, offsets = _compose(points, offsets, rank)
+    if ((points >= _VOWEL) & (points < _TRAIL + _TRAILS)).any():
+        points, offsets = _join_hangul(points, offsets)
     space = points == 32
     first = np.zeros(len(points), bool)
     first[offsets[:-1][offsets[:-1] < len(points)]] = True

@@ -107,6 +107,26 @@ def test_consistent_equals_normalisation_by_string(rows):
     assert visual.consistent(out).to_pylist() == out.to_pylist()
 
 
+@given(st.lists(st.text("각가한글ᄀ하ᅵᆨᆫaé ", max_size=10), min_size=1, max_size=5))
+@settings(max_examples=150, deadline=None)
+def test_hangul_equals_nfc(rows):
+    def slow(s):
+        return " ".join(unicodedata.normalize("NFC", s).split())
+
+    column = pa.array(rows, pa.string())
+    assert visual.consistent(column).to_pylist() == [slow(r) for r in rows]
+    assert visual.consistent(pa.array([unicodedata.normalize("NFD", r) for r in rows])).to_pylist() == [slow(r) for r in rows]
+
+
+def test_ideographs_and_lookalikes():
+    def form(*rows):
+        return visual.consistent(pa.array(rows, pa.string())).to_pylist()
+
+    wide = [chr(cp) for cp in (*range(0xF900, 0xFB00), *range(0x2F800, 0x2FA20)) if unicodedata.normalize("NFC", chr(cp)) != chr(cp)]
+    assert len(wide) > 900 and form(*wide) == [unicodedata.normalize("NFC", c) for c in wide]
+    assert form("օսհ", "ՕՍ", "ᎠᎡᎢ", "ꓐꓑꓓ", "ㄱㅏ", "ﾡￂ", "가") == ["ouh", "OU", "DRT", "BPD", "ㄱㅏ", "ㄱㅏ", "가"]
+
+
 def test_respelt_quotes(spark):
     chunks = spark.createDataFrame([("c1", "The café opens at 9."), ("c1", "The café opens at 9."), ("c2", None), (None, "x"), ("c3", LONG)], "chunk_id string, text string")
     rows = [(1, "c1", "café opens"), (2, "c1", "café opens"), (3, "c1", "cafe opens"), (4, "c2", "x"), (5, None, "x"), (6, "c1", None), (7, "c1", "​"), (8, "c9", "café"), (9, "c3", "ｗｉｄｅ text"), (9, "c3", "ｗｉｄｅ text")]
