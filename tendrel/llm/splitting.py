@@ -3,14 +3,16 @@
 The places where a text may be cut form one sorted array per kind of boundary (page, paragraph, line, sentence, clause,
 word), found in one scan. A piece ends at the last boundary under the limit, found by binary search in the arrays from
 the strongest kind to the weakest; the next piece steps back by the overlap. Where a stretch has no boundary at all,
-the cut is hard. Lengths are prefix sums, of characters here or of any other size that is given per character.
+the cut is hard. Sizes are prefix sums over the characters: of 1 each, where the sum is the offset itself, or of any
+sizes that a function gives per character, as the tokens that begin there (`token_sizes`).
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,31 +45,58 @@ def boundaries(text: str) -> list[list[int]]:
     return found
 
 
-def spans(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, str]]:
+def token_sizes(encode: Callable[[str], list[int]], decode: Callable[[list[int]], list[bytes]]) -> Callable[[str], list[int]]:
+    """Sizes in tokens of a tokenizer (its encoder, and the bytes of its tokens): a token counts where it begins."""
+
+    def sizes(text: str) -> list[int]:
+        out, starts = [0] * len(text), {}
+        at = 0
+        for k, c in enumerate(text):
+            starts[at] = k
+            at += len(c.encode("utf-8", "surrogatepass"))
+        at = last = 0
+        for token in decode(encode(text)):
+            last = starts.get(at, last)  # a token that begins within a character counts with it
+            out[last] += 1
+            at += len(token)
+        return out
+
+    return sizes
+
+
+def spans(text: str, limit: int = LIMIT, overlap: int = OVERLAP, sizes: Sequence[int] | None = None) -> list[tuple[int, int, str]]:
     """(start, end, kind of the cut) of the pieces of a text; the kind of the last piece is `end`.
 
-    A text within the limit is one piece. A piece is never longer than the limit, and each piece after the first starts
-    exactly `overlap` characters before its predecessor's end.
+    A text within the limit is one piece. A piece is never larger than the limit, and each piece after the first starts
+    `overlap` before its predecessor's end. sizes: one number per character, not negative, 1 each if left out; then the
+    overlap is as much as fits, and only a single character that is larger than the limit by itself makes a larger piece.
     """
     if not 0 <= overlap < limit:
         raise ValueError("0 <= overlap < limit must hold")
     n = len(text)
-    if n <= limit:
+    upto = range(n + 1) if sizes is None else [0, *accumulate(sizes)]
+    if len(upto) != n + 1:
+        raise ValueError("there must be one size per character")
+    if upto[n] <= limit:
         return [(0, n, "end")] if n else []
     kinds = boundaries(text)
     names = ("page", "paragraph", "line", "sentence", "clause", "word")
     out: list[tuple[int, int, str]] = []
     start = 0
-    while n - start > limit:
-        cut, kind = start + limit, "hard"
+    while upto[n] - upto[start] > limit:
+        last = max(bisect_right(upto, upto[start] + limit) - 1, start + 1)
+        if last == n:
+            break  # a single character is left
+        cut, kind = last, "hard"
         for name, places, filled in zip(names, kinds, FILLED, strict=True):
-            k = bisect_right(places, start + limit) - 1
+            k = bisect_right(places, last) - 1
             # The piece must hold more than the overlap, or the next one would not move on.
-            if k >= 0 and places[k] > start + max(overlap, int(filled * limit)):
+            if k >= 0 and upto[places[k]] - upto[start] > max(overlap, int(filled * limit)):
                 cut, kind = places[k], name
                 break
         out.append((start, cut, kind))
-        start = cut - overlap
+        # Back by the overlap, or by less where a large character behind the cut would not fit beside it.
+        start = bisect_left(upto, max(upto[cut] - overlap, upto[cut + 1] - limit), start + 1, cut)
     out.append((start, n, "end"))
     return out
 
@@ -92,6 +121,7 @@ def split_texts(
     pages: str | None = "page_numbers",
     limit: int = LIMIT,
     overlap: int = OVERLAP,
+    sizes: Callable[[str], Sequence[int]] | None = None,
 ) -> DataFrame:
     """The pieces of every text: key, piece_no (from 1), pieces (their number), piece, cut, start, page_numbers.
 
@@ -117,7 +147,7 @@ def split_texts(
 
     def pieces(keys: pa.Array, texts: list[str], numbers: list) -> Iterator[tuple]:
         for k, (value, own) in enumerate(zip(texts, numbers, strict=True)):
-            cuts = spans(value, limit, overlap)
+            cuts = spans(value, limit, overlap, sizes(value) if sizes else None)
             for no, ((a, b, kind), on) in enumerate(zip(cuts, pages_of(value, cuts, own), strict=True), 1):
                 yield k, no, len(cuts), value[a:b], kind, a, on
 
@@ -128,6 +158,8 @@ def split_texts(
             [batch.column(0).take(pa.array(at)), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], schema.names
         )
 
+    if sizes:
+        return rows.mapInArrow(by_batch(run), schema)
     whole = rows.where(F.length("_t") <= limit).select(
         F.col("_k").alias(key),
         F.lit(1).alias("piece_no"),

@@ -62,6 +62,35 @@ def test_cuts_at_the_strongest_boundary():
         splitting.spans("abc", 10, 10)
 
 
+@given(st.text("ab .,\n", max_size=120), st.integers(3, 20), st.data())
+@settings(max_examples=150, deadline=None)
+def test_pieces_by_other_sizes(text, limit, data):
+    overlap = data.draw(st.integers(0, limit - 1))
+    sizes = data.draw(st.lists(st.integers(0, 4), min_size=len(text), max_size=len(text)))
+    spans = splitting.spans(text, limit, overlap, sizes)
+    for a, b, _ in spans:
+        assert b > a and (sum(sizes[a:b]) <= limit or b == a + 1)
+    for (a, b, _), (c, d, _) in itertools.pairwise(spans):
+        assert a < c <= b < d and sum(sizes[c:b]) <= overlap
+        assert c == a + 1 or sum(sizes[c - 1 : b]) > overlap or sum(sizes[c - 1 : b + 1]) > limit or sizes[c - 1] == 0
+    assert [x[0] for x in spans[:1]] == [0][: len(text)] and [x[1] for x in spans[-1:]] == [len(text)][: len(text)]
+    assert splitting.spans(text, limit, overlap, [1] * len(text)) == splitting.spans(text, limit, overlap)
+
+
+def test_pieces_by_tokens(spark):
+    pytest.importorskip("tiktoken")
+
+    def sizes(text):
+        encoding = mixing._encoding(f"{mixing.TOKENIZERS}/{mixing.VOCABULARY}")
+        return splitting.token_sizes(encoding.encode_ordinary, encoding.decode_tokens_bytes)(text)
+
+    text = "Der Bieter liefert 40 Pumpen; naïve – 日本語 text.\n" * 40
+    assert sum(sizes(text)) == mixing.count_tokens([text], f"{mixing.TOKENIZERS}/{mixing.VOCABULARY}")[0]
+    df = spark.createDataFrame([(1, text, [1]), (2, "short", None), (3, None, None)], "chunk_key long, text string, page_numbers array<int>")
+    rows = sorted(splitting.split_texts(df, limit=100, overlap=20, sizes=sizes).collect())
+    assert rows[-1].piece == "short" and len(rows) > 8 and all(sum(sizes(text)[r.start : r.start + len(r.piece)]) <= 100 for r in rows[:-1])
+
+
 def test_pages_follow_the_pieces():
     text = "a" * 700 + "\f" + "b" * 700
     spans = splitting.spans(text, 1000, 200)
