@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import operator
 import re
+from bisect import bisect_left
 from collections import Counter, deque
 from collections.abc import Iterable
 from functools import lru_cache
@@ -68,7 +69,6 @@ NOTICE = (
     "fournisseur titulaire wykonawca oferty zamawiającego contratada fornecedor edital поставщик заявки договора"
 ).split()
 _WORD = re.compile(r"[^\W\d_]+(?:[-’'][^\W\d_]+)*")
-_ANY_WORD = re.compile(r"\w+")
 _ENTRY = re.compile(r"^(?:[-*•–]|\(?\d{1,3}[.)])\s+\S")
 # A row begins with its number and a word: a mere list of numbers leads to other pages.
 _ADDRESS, _NOTICE = frozenset(ADDRESS), frozenset(NOTICE)
@@ -82,6 +82,7 @@ _SENTENCES = re.compile(r"(?<=[.!?])\s+")
 _AMOUNT = re.compile(r"[£€$]?\d[\d.,:]*\d|[£€$]?\d")
 # Signs behind a text that was cut off.
 _CUT = re.compile(r"\s*(?:\[(?:…|\.\.\.)\]|…|\.\.+|>>|\((?:more|continued)\)|see more(?: description)?)$", re.I)
+_CUT_ENDS = ("]", "…", "..", ">>", "more)", "continued)", "more", "description")
 _IDENTIFIER = re.compile(r"\b[A-Z]{1,4}-\d[\d-]*")
 
 
@@ -111,7 +112,7 @@ def counted(text: str) -> tuple[list[str], set[str], list[tuple[str, bool]]]:
     lines = [x.strip() for x in text.split("\n")]
     words: list[str] = []
     for line in lines:
-        if own := _WORD.findall((_IDENTIFIER.sub("", line) if "-" in line else line).lower()):
+        if own := _WORD.findall(_IDENTIFIER.sub("", line).lower() if "-" in line else line.lower()):
             words += {*own, begin(own)}
     leads = [lead(x) if ":" in x else "" for x in lines]
     beside = zip(leads, ["", *leads], [*leads[1:], ""], strict=False)
@@ -129,23 +130,25 @@ FEATURES = 34
 
 
 class Counts:
-    """How often (plain, mixed) words and sentences occur, and leads of label lines (plain, mixed alone, mixed beside another)."""
+    """How often words and sentences occur in (plain, mixed) texts, and leads of label lines (plain, mixed alone, mixed beside
+    another)."""
 
     def __init__(self) -> None:
-        self.words: dict[str, list[int]] = {}
-        self.patterns: dict[str, list[int]] = {}
-        self.leads: dict[str, list[int]] = {}
+        self.words, self.patterns = (Counter(), Counter()), (Counter(), Counter())
+        self.leads = (Counter(), Counter(), Counter())
         self.totals, self.sizes = [0, 0], [0, 0]
 
     def add(self, kind: int, text: str) -> None:
         words, patterns, leads = counted(text)
         self.sizes[kind] += 1
         self.totals[kind] += len(words)
-        for found, into in ((words, self.words), (patterns, self.patterns)):
-            for item in found:
-                into.setdefault(item, [0, 0])[kind] += 1
+        self.words[kind].update(words)
+        self.patterns[kind].update(patterns)
         for own, beside in leads:
-            self.leads.setdefault(own, [0, 0, 0])[kind + (kind and beside)] += 1
+            self.leads[kind + (kind and beside)][own] += 1
+
+    def __len__(self) -> int:
+        return sum(map(len, (*self.words, *self.patterns, *self.leads)))
 
 
 def _log_odds(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -172,7 +175,7 @@ class LineModel:
         #: Names by their first word, so that a line costs the same whatever their number.
         self.names: dict[str, tuple[str, ...]] = {}
         for name in dict.fromkeys(names):
-            if m := _ANY_WORD.search(name):
+            if m := _WORD.search(name):
                 self.names[m.group()] = (*self.names.get(m.group(), ()), name[m.start() :])
         # What a line says rests on the line alone, never on its place or on other lines.
         self._of_line = lru_cache(SEEN)(self._bits)
@@ -192,12 +195,14 @@ class LineModel:
         """What the counts of words, sentences and leads say; without weights yet."""
         sizes, (m, n) = counts.sizes, (counts.totals[0] + 1, counts.totals[1] + 1)
         once, twice, thrice = least(1, sizes[0]), least(2, sizes[0]), least(3, sum(sizes) / 2)
-        words = {w: max(-2.0, min(6.0, math.log2((b + 0.5) / n * m / (a + 0.5)))) for w, (a, b) in counts.words.items() if a + b >= thrice or a >= twice}
-        foreign = {s for s, (a, b) in counts.patterns.items() if b >= least(TELLING, sizes[1]) and a < once}
+        (plain, mixed), (known, other), (spoken, alone, beside) = counts.words, counts.patterns, counts.leads
+        every = {w: (plain[w], mixed[w]) for w in plain | mixed}
+        words = {w: max(-2.0, min(6.0, math.log2((b + 0.5) / n * m / (a + 0.5)))) for w, (a, b) in every.items() if a + b >= thrice or a >= twice}
+        foreign = {s for s, b in other.items() if b >= least(TELLING, sizes[1]) and known[s] < once}
         # A lead is a label of the notice if it mostly stands beside other label lines, as in the head of a notice.
-        labels = {x for x, (_, alone, beside) in counts.leads.items() if beside > alone and beside >= least(3, sizes[1])}
-        spoken = {x for x, (a, *_) in counts.leads.items() if a >= twice}
-        return cls(words, {s for s, (a, _) in counts.patterns.items() if a >= twice}, foreign, labels, spoken, names)
+        labels = {x for x, n in beside.items() if n > alone[x] and n >= least(3, sizes[1])}
+        own = {s for s, a in known.items() if a >= twice}
+        return cls(words, own, foreign, labels, {x for x, a in spoken.items() if a >= twice}, names)
 
     def fitted(self, plain: list[str], mixed: list[str]) -> LineModel:
         """This model with weights fitted on the lines of a sample of texts without and with furniture."""
@@ -231,30 +236,34 @@ class LineModel:
         """Evidence of one line, from its text alone."""
         return self._of_line(line.strip())
 
-    def owned(self, line: str) -> bool:
-        """Whether a line holds the name or address of an owner, beginning at a word."""
-        return any(line.startswith(name, m.start()) for m in _ANY_WORD.finditer(line) for name in self.names.get(m.group(), ()))
+    def owned(self, line: str, words: list[str] | None = None) -> bool:
+        """Whether a line (of these words) holds the name or address of an owner, beginning at a word."""
+        if self.names.keys().isdisjoint(_WORD.findall(line) if words is None else words):
+            return False
+        return any(line.startswith(name, m.start()) for m in _WORD.finditer(line) for name in self.names.get(m.group(), ()))
 
     def features(self, line: str) -> list[float]:
         """What the regression weighs: a constant, length, words by their log ratios, sentences, shape, and owner."""
-        line = _CUT.sub("", line)
-        low = (_IDENTIFIER.sub("", line) if "-" in line else line).lower()
-        words = _WORD.findall(low)
+        if line[-12:].lower().endswith(_CUT_ENDS):
+            line = _CUT.sub("", line)
+        spelt = _WORD.findall(_IDENTIFIER.sub("", line) if "-" in line else line)
+        words = [w.lower() for w in spelt]
         n, get = len(words), self.words.get
-        ratios = sorted(x for w in words if (x := get(w)) is not None)
+        ratios = sorted([x for w in words if (x := get(w)) is not None])
         unknown, per = n - len(ratios), 1 / max(n, 1)
         sentences = [pattern(s) for s in _SENTENCES.split(line)]
-        known = sum(s in self.known for s in sentences) / len(sentences)
-        foreign = sum(s in self.foreign for s in sentences) / len(sentences)
-        told, address = sum(w in _NOTICE for w in words), sum(w in _ADDRESS for w in words)
-        stop, marks, leads = bool(_STOP.search(line)), min(len(_MARKS.findall(line)), 3), lead(line) if ":" in line else ""
+        known = len([s for s in sentences if s in self.known]) / len(sentences)
+        foreign = len([s for s in sentences if s in self.foreign]) / len(sentences)
+        told, address = len([w for w in words if w in _NOTICE]), len([w for w in words if w in _ADDRESS])
+        marks, leads = min(len(_MARKS.findall(line)), 3), lead(line) if ":" in line else ""
+        stop, first = bool(_STOP.search(line, max(0, len(line) - 8))), line[:1]
         return [
             1.0, min(n, 30) / 10, n == 0, n <= 2, n <= 5, n >= 9,
-            max(sum(x for x in ratios if x < 0), -10.0) / 5, ratios[0] if ratios else 0.0, ratios[-1] if ratios else 0.0, sum(ratios) * per,
-            unknown * per, min(unknown, 5) / 2, sum(x >= 5.0 for x in ratios) * per,
+            max(sum(ratios[: bisect_left(ratios, 0.0)]), -10.0) / 5, ratios[0] if ratios else 0.0, ratios[-1] if ratios else 0.0, sum(ratios) * per,
+            unknown * per, min(unknown, 5) / 2, (len(ratios) - bisect_left(ratios, 5.0)) * per,
             get(begin(words), 0.0), known, known == 1, foreign, foreign == 1,
             stop, stop and n >= 5, bool(_ENTRY.match(line)), bool(_ROW.match(line)), leads in self.labels, bool(leads) and leads not in self.labels and leads not in self.spoken,
-            marks, self.owned(line), bool(_DIGITS.search(line)), line[:1].islower(), line[:1].isupper(), ":" in line, "@" in line or "www." in line or "://" in line,
+            marks, self.owned(line, spelt), bool(_DIGITS.search(line)), first.islower(), first.isupper(), ":" in line, "@" in line or "www." in line or "://" in line,
             min(told, 3), min(address, 3), told > 0 and stop,
         ]
 
@@ -376,14 +385,15 @@ def _partial_counts(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatc
     """Counts of a task's words, sentences and leads by source_format, passed on whenever they are COUNTED different ones;
     and the texts of the sample."""
     kinds = ("pdf", "html")
-    counts, size = Counts(), 0
+    counts = Counts()
 
     def passed() -> Iterable[pa.RecordBatch]:
         rows: list[tuple[str, str, str, int]] = []
-        for what, own in (("word", counts.words), ("pattern", counts.patterns), ("total", {"": counts.totals})):
-            rows += [(k, what, item, n) for item, pair in own.items() for k, n in zip(kinds, pair, strict=True) if n]
-        for item, (plain, alone, beside) in counts.leads.items():
-            rows += [r for r in (("pdf", "lead", item, plain), ("html", "lead", item, alone), ("html", "beside", item, beside)) if r[3]]
+        for what, own in (("word", counts.words), ("pattern", counts.patterns), ("lead", counts.leads[:2])):
+            for kind, items in zip(kinds, own, strict=True):
+                rows += [(kind, what, item, n) for item, n in items.items()]
+        rows += [("html", "beside", item, n) for item, n in counts.leads[2].items()]
+        rows += [(kind, "total", "", n) for kind, n in zip(kinds, counts.totals, strict=True) if n]
         if rows:
             yield _counts_batch(rows)
 
@@ -395,7 +405,7 @@ def _partial_counts(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatc
                 sampled.append((kind, "sample", text, 1))
         if sampled:
             yield _counts_batch(sampled)
-        if len(counts.words) + len(counts.patterns) + len(counts.leads) >= COUNTED:
+        if len(counts) >= COUNTED:
             yield from passed()
             counts = Counts()
     yield from passed()
@@ -434,12 +444,11 @@ def fit_line_model(sections: DataFrame, names: DataFrame | None = None, key: str
             sample[1] += [item] * b
         elif what == "total":
             counts.totals = [a, b]
-        elif what in ("lead", "beside"):
-            own = counts.leads.setdefault(item, [0, 0, 0])
-            own[0] += a
-            own[1 + (what == "beside")] += b
+        elif what == "beside":
+            counts.leads[2][item] = b
         else:
-            (counts.words if what == "word" else counts.patterns)[item] = [a, b]
+            pair = {"word": counts.words, "pattern": counts.patterns, "lead": counts.leads}[what]
+            pair[0][item], pair[1][item] = a, b
     owners: list[str] = []
     if names is not None:
         given = names.select(F.explode(F.array("agency_name", "site")).alias("name")).where("name <> ''").distinct()
