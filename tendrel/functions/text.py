@@ -1,15 +1,19 @@
 """Text functions as Column expressions: everything stays in the JVM.
 
-Word characters are letters, digits and the underscore of Unicode; white space is what the source data has: blanks,
-tabs, line breaks, form feeds and no-break spaces.
+Word characters are letters, digits and the underscore of Unicode; white space is all that Unicode has of it, and the four
+separators of files, groups, records and units.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPACE = r"[\s ]+"
+#: White space beside what `\s` matches in the JVM.
+_SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 #: Words that stand for a missing value.
 PLACEHOLDERS = ("n/a", "na", "none", "null", "tbd", "unknown", "not specified", "not stated", "not applicable")
 #: Cues of an amendment, in the order in which they are tried.
@@ -25,8 +29,16 @@ AMENDMENT_CUES = (
     r"\bdelete\b.{0,80}\binsert\b",
 )
 #: Words before "affidavit" that do not name a form.
-NOT_A_FORM = "this the a an said such each any or and of to for by with is be no not that which".split()
-NAMED_FORM = r"(?i)\b(?!(?:" + "|".join(NOT_A_FORM) + r")\b)[a-z][a-z\-]+\s+affidavit\b"
+NOT_A_FORM = "this|the|an?|said|such|each|any|or|and|of|to|for|by|with|is|be|no|not|that|which"
+#: The name of a form, and its first word, for patterns without lookahead.
+NAMED_FORM = rf"(?i)\b(?!(?:{NOT_A_FORM})\b)[a-z][a-z\-]+\s+affidavit\b"
+#: Shapes of apostrophes, quotation marks and dashes, and the plain character of each shape.
+SHAPES = {"'": "\u2018\u2019\u201b\u2032", '"': "\u201c\u201d\u201f\u2033", "-": "\u2010\u2011\u2012\u2013\u2014\u2015\u2212"}
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: a name in the plan, where plain reuse would copy the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def tokens(text: Column) -> Column:
@@ -40,8 +52,20 @@ def collapsed(text: Column) -> Column:
 
 
 def standard_punctuation(text: Column) -> Column:
-    """Quotes and dashes of any shape as plain ones, one for one."""
-    return F.translate(text, "‘’‚‛“”„‟–—―−", "''''\"\"\"\"----")
+    """Apostrophes, quotation marks and dashes of any shape as plain ones, one for one."""
+    return F.translate(text, "".join(SHAPES.values()), "".join(plain * len(shapes) for plain, shapes in SHAPES.items()))
+
+
+def casefold(text: Column) -> Column:
+    """The text without case, as Unicode folds it: lower case, and what folds further, as the sharp s, is looked up.
+
+    Cherokee, which folds to its capitals, is left in lower case: two texts are equal without case either way.
+    """
+    low = F.lower(text)
+    further = {c: c.casefold() for c in map(chr, range(0x20000)) if c == c.lower() != c.casefold() and not unicodedata.name(c, "").startswith("CHEROKEE")}
+    table = F.create_map(*[F.lit(x) for pair in further.items() for x in pair])
+    folded = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
+    return F.when(low.rlike("[" + "".join(further) + "]"), folded).otherwise(low)
 
 
 def identifier(value: Column) -> Column:
@@ -50,8 +74,46 @@ def identifier(value: Column) -> Column:
 
 
 def comparable(value: Column) -> Column:
-    """The form in which values are compared: lower case, punctuation as gaps, gaps collapsed."""
-    return F.trim(F.regexp_replace(F.lower(value), r"[^\p{L}\p{N}_]+", " "))
+    """The form in which values are compared: without case, punctuation as gaps, gaps collapsed."""
+    return F.trim(F.regexp_replace(casefold(value), r"[^\p{L}\p{N}_]+", " "))
+
+
+#: What makes a date relative, and abbreviations that are written out as zones in all other dates.
+RELATIVE = r"(?i)within\s+\d+\s+days|after\s+award"
+ZONES = {"CST": "America/Chicago", "CDT": "America/Chicago", "EST": "America/New_York", "EDT": "America/New_York"}
+
+
+def relative_date(value: Column) -> Column:
+    """Whether a date counts from an event (`within 30 days`)."""
+    return value.rlike(RELATIVE)
+
+
+def dated(value: Column) -> Column:
+    """A date with its zone written out; a relative one stays as it is."""
+    out = value
+    for short, zone in ZONES.items():
+        out = F.replace(out, F.lit(short), F.lit(zone))
+    return F.when(relative_date(value), value).otherwise(out)
+
+
+def contact(line: Column) -> Column:
+    """struct<name, email, phone> of a contact on one line, as `Desk (555-0100; desk@a.example)`; what is not there is null.
+
+    The name stands before the bracket. In it, parts are separated by semicolons and hold no white space: the first with
+    an @ is the e-mail, the first other one with a digit the phone.
+    """
+    inside = F.regexp_extract(line, r"\(([^)]*)\)", 1)
+    parts = F.filter(F.transform(F.split(inside, ";"), lambda x: F.regexp_replace(x, _SPACE, "")), lambda x: x != "")
+    mail, other = F.filter(parts, lambda x: F.contains(x, F.lit("@"))), F.filter(parts, lambda x: ~F.contains(x, F.lit("@")) & x.rlike("[0-9]"))
+    name = F.nullif(collapsed(F.regexp_extract(line, r"^([^(]*)", 1)), F.lit(""))
+    return F.struct(name.alias("name"), F.get(mail, F.lit(0)).alias("email"), F.get(other, F.lit(0)).alias("phone"))
+
+
+def flat_contact(name: Column, email: Column, phone: Column) -> Column:
+    """A contact on one line: `Name (phone; email)`, without what is null or blank; null if all is."""
+    name, email, phone = (F.nullif(F.regexp_replace(x, f"^{_SPACE}|{_SPACE}$", ""), F.lit("")) for x in (name, email, phone))
+    details = F.concat_ws("; ", phone, email)
+    return F.when(name.isNull(), F.nullif(details, F.lit(""))).when(details == "", name).otherwise(F.concat(name, F.lit(" ("), details, F.lit(")")))
 
 
 def materially_different(a: Column, b: Column) -> Column:
@@ -120,13 +182,50 @@ def supported(claim: Column, excerpt: Column) -> Column:
     return F.forall(F.filter(tokens(claim), lambda t: F.length(t) > 4), lambda t: F.contains(low, t))
 
 
-def match_level(quote: Column, text: Column) -> Column:
-    """How a quote is found: L1 verbatim, L2 with plain punctuation and gaps, L3 without case, L4 without gaps; else null.
+def match(quote: Column, text: Column) -> Column:
+    """How and where a quote is found: struct<level, start, end, matched>; null if nowhere.
 
-    An empty quote or text is never found. Each level is computed only where those before it fail.
+    Levels: L1 verbatim, L2 with plain punctuation and gaps, L3 without case, L4 without gaps. start and end (exclusive)
+    count characters of the text from 0, matched is what stands there. An empty quote or text is never found. Each level is
+    computed only where those before it fail, and places only where one succeeds.
     """
     q2, t2 = (F.regexp_replace(standard_punctuation(x), _SPACE, " ") for x in (quote, text))
     q4, t4 = (F.lower(F.regexp_replace(standard_punctuation(x), _SPACE, "")) for x in (quote, text))
+
+    def placed(level: str, at: Column, size: Column, kept: Callable[[Column, Column], Column] | None) -> Column:
+        """The match at a place (from 1) of a form of the text, of which `kept` tells the characters that stand in it."""
+        if kept is None:
+            first, last = at - 1, at + size - 2
+        else:
+            chars = F.transform(F.split(text, ""), lambda c: c.rlike(_SPACE))
+            places = F.filter(F.transform(chars, lambda s, i: F.when(kept(s, F.get(chars, i - 1)), i)), lambda i: i.isNotNull())
+            first, last = F.get(places, at - 1), F.get(places, at + size - 2)
+        return F.struct(F.lit(level).alias("level"), first.cast("int").alias("start"), (last + 1).cast("int").alias("end"))
+
+    def found(level: str, form: Column, sought: Column, kept: Callable[[Column, Column], Column] | None) -> Column:
+        return _let(F.instr(form, sought), lambda at: F.when(at > 0, placed(level, at, F.length(sought), kept)))
+
+    def collapsed_gap(space: Column, before: Column) -> Column:
+        return ~(space & F.coalesce(before, F.lit(False)))
+
+    levels = F.coalesce(
+        found("L1", text, quote, None),
+        found("L2", t2, q2, collapsed_gap),
+        found("L3", F.lower(t2), F.lower(q2), collapsed_gap),
+        F.when(q4 != "", found("L4", t4, q4, lambda space, _: ~space)),
+    )
+
+    def with_text(h: Column) -> Column:
+        names = ("level", "start", "end")
+        return F.struct(*[h[n].alias(n) for n in names], F.substring(text, h["start"] + 1, h["end"] - h["start"]).alias("matched"))
+
+    return _let(F.when((quote != "") & (text != ""), levels), lambda h: F.when(h.isNotNull(), with_text(h)))
+
+
+def match_level(quote: Column, text: Column) -> Column:
+    """The level at which a quote is found (see `match`), without its place; null if nowhere."""
+    q2, t2 = (F.regexp_replace(standard_punctuation(x), _SPACE, " ") for x in (quote, text))
+    q4, t4 = (F.lower(F.regexp_replace(standard_punctuation(x), _SPACE, "")) for x in (quote, text))
     found = (
         F.when(F.contains(text, quote), "L1")
         .when(F.contains(t2, q2), "L2")
@@ -147,12 +246,16 @@ def page_number(section: Column, source_format: Column) -> Column:
     return F.when((source_format == "pdf") & low.startswith("page"), F.trim(F.regexp_replace(low, "page", "")).try_cast("int"))
 
 
+#: Fixed value: a page label as it is printed.
+PRINTED_LABEL = r"(?i)^(page\s+)?\d+\s+(of|\|)\s+\d+$"
+
+
 def printed_label(text: Column) -> Column:
     """The first of the first and last three lines that is a page label, as `Page 3 of 12` or `3 | 12`; else null."""
     lines = F.split(text, "\n")
     tail = F.slice(lines, F.greatest(F.lit(4), F.size(lines) - 2), F.lit(3))
     edges = F.transform(F.concat(F.slice(lines, 1, 3), tail), lambda x: F.trim(x))
-    return F.get(F.filter(edges, lambda x: x.rlike(r"(?i)^(page\s+)?\d+\s*(of|\|)\s*\d+$")), F.lit(0))
+    return F.get(F.filter(edges, lambda x: x.rlike(PRINTED_LABEL)), F.lit(0))
 
 
 def residue(word: Column, modulus: int = 2000) -> Column:

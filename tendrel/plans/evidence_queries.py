@@ -11,13 +11,13 @@ from tendrel.operators import evidence as E
 from tendrel.operators import packing
 from tendrel.operators.retrieval import first_by
 from tendrel.plans.registry import Registry
-from tendrel.plans.text_queries import COMPARABLE, PUNCTUATION, TOKENS
+from tendrel.plans.text_queries import BLANKS, COMPARABLE, PUNCTUATION, TOKENS
 from tendrel.sources.tables import table
 
 QUERIES = Registry()
 
 NAMES = [f.name for f in C.fields()]
-_SPACED = r"regexp_replace({0}, '[\s\x{{00a0}}]+', '{1}', 'g')"
+_SPACED = f"regexp_replace({{0}}, '{BLANKS}+', '{{1}}', 'g')"
 
 
 def _q(form: str, *args: str) -> str:
@@ -274,10 +274,10 @@ def bid_json(spark: SparkSession, folder: str) -> DataFrame:
 
 @QUERIES.query(
     "rule_candidates",
-    r"""WITH found AS (SELECT doc_id, chunk_seq, chunk_key, generate_subscripts(f, 1) AS no, unnest(f) AS phrase FROM (
+    rf"""WITH found AS (SELECT doc_id, chunk_seq, chunk_key, generate_subscripts(f, 1) AS no, unnest(f) AS phrase FROM (
         SELECT doc_id, chunk_seq, chunk_key, list_filter(regexp_extract_all(text, '(?i)\b[a-z][a-z\-]+\s+affidavit\b'),
-            lambda x: NOT regexp_matches(x, '(?i)^(this|the|an?|said|such|each|any|or|and|of|to|for|by|with|is|be|no|not|that|which)\b')) AS f FROM chunks WHERE doc_id IS NOT NULL)),
-    formed AS (SELECT *, lower(trim(regexp_replace(phrase, '[\s\x{00a0}]+', ' ', 'g'))) AS form FROM found)
+            lambda x: NOT regexp_matches(x, '(?i)^({X.NOT_A_FORM})\b')) AS f FROM chunks WHERE doc_id IS NOT NULL)),
+    formed AS (SELECT *, lower(trim(regexp_replace(phrase, '{BLANKS.format()}+', ' ', 'g'))) AS form FROM found)
     SELECT doc_id, form, phrase, chunk_key FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, form ORDER BY chunk_seq, chunk_key, no) AS rn FROM formed) WHERE rn = 1""",
 )
 def rule_candidates(spark: SparkSession, folder: str) -> DataFrame:

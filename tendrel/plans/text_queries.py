@@ -13,9 +13,13 @@ QUERIES = Registry()
 
 #: SQL of the same functions, for the oracle.
 TOKENS = r"list_filter(string_split(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'), ' '), lambda x: x <> '')"
-COMPARABLE = r"trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))"
-PUNCTUATION = "translate({0}, '‘’‚‛“”„‟–—―−', '''''''''\"\"\"\"----')"
-COLLAPSED = r"trim(regexp_replace({0}, '[\s\x{{00a0}}]+', ' ', 'g'))"
+COMPARABLE = r"trim(regexp_replace(replace(replace(lower({0}), 'ß', 'ss'), 'µ', 'μ'), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))"
+# Apostrophes, quotation marks and dashes, and the plain character of each.
+_SHAPED, _PLAIN = "‘’‛′“”‟″‐‑‒–—―−", "''''''''" + '""""' + "-------"
+PUNCTUATION = f"translate({{0}}, '{_SHAPED}', '{_PLAIN}')"
+# All white space.
+BLANKS = r"[\s\x{{0b}}\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]"
+COLLAPSED = f"trim(regexp_replace({{0}}, '{BLANKS}+', ' ', 'g'))"
 
 
 @QUERIES.query(
@@ -55,12 +59,12 @@ def document_types(spark: SparkSession, folder: str) -> DataFrame:
 @QUERIES.query(
     "stated_facts",
     r"""SELECT section_key, TRY_CAST(nullif(regexp_extract(text, '(?i)ADDENDUM\s+NO\.?\s*(\d+)', 1), '') AS INTEGER) AS addendum_number,
-        nullif(regexp_extract(text, '(?i)(?:date|issued|posted):\s*([A-Za-z]+ \d{1,2}, \d{4}|\d{1,2}/\d{1,2}/\d{4})', 1), '') AS doc_date
+        nullif(regexp_extract(text, '(?i)(?:date|issued):\s*([A-Za-z]+ \d{1,2}, \d{4}|\d{1,2}/\d{1,2}/\d{4})', 1), '') AS doc_date
     FROM sections WHERE text IS NOT NULL""",
 )
 def stated_facts(spark: SparkSession, folder: str) -> DataFrame:
     """The first addendum number and the first labelled date in a section."""
-    date = r"(?i)(?:date|issued|posted):\s*([A-Za-z]+ \d{1,2}, \d{4}|\d{1,2}/\d{1,2}/\d{4})"
+    date = r"(?i)(?:date|issued):\s*([A-Za-z]+ \d{1,2}, \d{4}|\d{1,2}/\d{1,2}/\d{4})"
     return (
         table(spark, folder, "sections")
         .where("text IS NOT NULL")
@@ -104,25 +108,30 @@ def chunk_ids(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# What makes a date relative, and the abbreviations that are written out as zones in all others.
+RELATIVE = r"regexp_matches({0}, '(?i)within\s+\d+\s+days|after\s+award')"
+DATED = (
+    "CASE WHEN " + RELATIVE + " THEN {0} ELSE replace(replace(replace(replace({0}, 'CST', 'America/Chicago'), 'CDT', 'America/Chicago'), "
+    "'EST', 'America/New_York'), 'EDT', 'America/New_York') END"
+)
+
+
 @QUERIES.query(
     "normal_values",
     rf"""SELECT record_id, upper(regexp_replace(bid_number, '[^\p{{L}}\p{{N}}]+', '', 'g')) AS identifier, {COLLAPSED.format("title")} AS title,
-        regexp_matches(due_date, '(?i)within\s+\d+\s+days|after\s+award') AS relative_date,
-        replace(replace(replace(replace(due_date, 'CST', 'America/Chicago'), 'CDT', 'America/Chicago'), 'EST', 'America/New_York'), 'EDT', 'America/New_York') AS dated,
+        {RELATIVE.format("due_date")} AS relative_date,
+        {DATED.format("due_date")} AS dated,
         {PUNCTUATION.format("bid_summary")} AS plain_summary
     FROM bid_records""",
 )
 def normal_values(spark: SparkSession, folder: str) -> DataFrame:
     """Normal forms of identifiers, strings, dates and punctuation of a record."""
-    dated = F.col("due_date")
-    for short, zone in (("CST", "America/Chicago"), ("CDT", "America/Chicago"), ("EST", "America/New_York"), ("EDT", "America/New_York")):
-        dated = F.replace(dated, F.lit(short), F.lit(zone))
     return table(spark, folder, "bid_records").select(
         "record_id",
         X.identifier(F.col("bid_number")).alias("identifier"),
         X.collapsed(F.col("title")).alias("title"),
-        F.col("due_date").rlike(r"(?i)within\s+\d+\s+days|after\s+award").alias("relative_date"),
-        dated.alias("dated"),
+        X.relative_date(F.col("due_date")).alias("relative_date"),
+        X.dated(F.col("due_date")).alias("dated"),
         X.standard_punctuation(F.col("bid_summary")).alias("plain_summary"),
     )
 
@@ -142,27 +151,18 @@ def distinct_lists(spark: SparkSession, folder: str) -> DataFrame:
 
 @QUERIES.query(
     "contacts",
-    r"""SELECT record_id, nullif(trim(regexp_extract(contact_info, '^([^(]*)', 1)), '') AS name,
-        nullif(regexp_replace(regexp_extract(contact_info, '([^\s(;]+@[^\s;)]+)', 1), '\s+', '', 'g'), '') AS email,
-        nullif(regexp_replace(regexp_extract(contact_info, '(\d{3}-\d{4})', 1), '\s+', '', 'g'), '') AS phone
-    FROM bid_records WHERE contact_info IS NOT NULL""",
+    rf"""WITH parts AS (SELECT record_id, contact_info, list_filter(list_transform(string_split(regexp_extract(contact_info, '\(([^)]*)\)', 1), ';'), lambda x: regexp_replace(x, '{BLANKS.format()}+', '', 'g')), lambda x: x <> '') AS p
+        FROM bid_records WHERE contact_info IS NOT NULL),
+    named AS (SELECT record_id, nullif({COLLAPSED.format("regexp_extract(contact_info, '^([^(]*)', 1)")}, '') AS name, list_filter(p, lambda x: contains(x, '@'))[1] AS email,
+        list_filter(p, lambda x: NOT contains(x, '@') AND regexp_matches(x, '[0-9]'))[1] AS phone FROM parts)
+    SELECT record_id, name, email, phone, nullif(CASE WHEN name IS NULL THEN concat_ws('; ', phone, email) WHEN phone IS NULL AND email IS NULL THEN name
+        ELSE concat(name, ' (', concat_ws('; ', phone, email), ')') END, '') AS flat FROM named""",
 )
 def contacts(spark: SparkSession, folder: str) -> DataFrame:
-    """Name, e-mail and phone of a contact that is written on one line."""
-
-    def part(regex: str) -> F.Column:
-        return F.nullif(F.regexp_replace(F.regexp_extract("contact_info", regex, 1), r"\s+", ""), F.lit(""))
-
-    return (
-        table(spark, folder, "bid_records")
-        .where("contact_info IS NOT NULL")
-        .select(
-            "record_id",
-            F.nullif(F.trim(F.regexp_extract("contact_info", r"^([^(]*)", 1)), F.lit("")).alias("name"),
-            part(r"([^\s(;]+@[^\s;)]+)").alias("email"),
-            part(r"(\d{3}-\d{4})").alias("phone"),
-        )
-    )
+    """Name, e-mail and phone of a contact that is written on one line, and the contact written from them again."""
+    rows = table(spark, folder, "bid_records").where("contact_info IS NOT NULL")
+    parted = rows.select("record_id", X.contact(F.col("contact_info")).alias("c")).select("record_id", "c.*")
+    return parted.withColumn("flat", X.flat_contact(F.col("name"), F.col("email"), F.col("phone")))
 
 
 @QUERIES.query(
@@ -192,9 +192,9 @@ def amendment_cues(spark: SparkSession, folder: str) -> DataFrame:
 
 @QUERIES.query(
     "named_forms",
-    r"""WITH found AS (SELECT section_key, unnest(regexp_extract_all(text, '(?i)\b[a-z][a-z\-]+\s+affidavit\b')) AS form FROM sections)
+    rf"""WITH found AS (SELECT section_key, unnest(regexp_extract_all(text, '(?i)\b[a-z][a-z\-]+\s+affidavit\b')) AS form FROM sections)
     SELECT section_key, lower(form) AS form, count(*) AS times FROM found
-    WHERE NOT regexp_matches(form, '(?i)^(this|the|an?|said|such|each|any|or|and|of|to|for|by|with|is|be|no|not|that|which)\b') GROUP BY ALL""",
+    WHERE NOT regexp_matches(form, '(?i)^({X.NOT_A_FORM})\b') GROUP BY ALL""",
 )
 def named_forms(spark: SparkSession, folder: str) -> DataFrame:
     """The affidavits that sections name."""
@@ -241,7 +241,7 @@ def prompt_costs(spark: SparkSession, folder: str) -> DataFrame:
 
 @QUERIES.query(
     "printed_labels",
-    r"""SELECT section_key, list_filter(list_transform(l[1:3] || l[greatest(4, len(l) - 2):], lambda x: trim(x)), lambda x: regexp_full_match(x, '(?i)(page\s+)?\d+\s*(of|\|)\s*\d+'))[1] AS label
+    r"""SELECT section_key, list_filter(list_transform(l[1:3] || l[greatest(4, len(l) - 2):], lambda x: trim(x)), lambda x: regexp_full_match(x, '(?i)(page\s+)?\d+\s+(of|\|)\s+\d+'))[1] AS label
     FROM (SELECT section_key, string_split(text, chr(10)) AS l FROM sections WHERE source_format = 'pdf' AND text IS NOT NULL)""",
 )
 def printed_labels(spark: SparkSession, folder: str) -> DataFrame:

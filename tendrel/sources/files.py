@@ -172,7 +172,7 @@ def mupdf_pages(content: bytes) -> list[PdfPage]:
     return out
 
 
-_PRINTED = re.compile(r"(?:page\s+)?\d+\s*(?:of|\|)\s*\d+", re.I)
+_PRINTED = re.compile(r"(?:page\s+)?\d+\s+(?:of|\|)\s+\d+", re.I)
 
 
 def printed_label(blocks: list[str]) -> str | None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,6 +34,69 @@ def test_forms_of_values(spark):
     assert apply(spark, lambda t: X.distinct_items(F.split(t, ";")), "A b; a  B;c;C ;", None) == [["A b", "c", ""], None]
 
 
+def test_every_shape_of_punctuation(spark):
+    shapes = {0x2018: "'", 0x2019: "'", 0x201B: "'", 0x2032: "'", 0x201C: '"', 0x201D: '"', 0x201F: '"', 0x2033: '"', **dict.fromkeys([*range(0x2010, 0x2016), 0x2212], "-")}
+    others = [0x201A, 0x201E, 0x2039, 0xAB, 0x2D, 0x60, 0xB4, 0x2043, 0x2016]
+    assert apply(spark, X.standard_punctuation, *map(chr, shapes), *map(chr, others)) == [*shapes.values(), *map(chr, others)]
+
+
+def test_case_folds_as_in_unicode(spark):
+    rows = ["Straße ΣΑΣ ς", "ŉ ﬁx ﬃ", "µ İ K ſ", "Ünï", "", None, "ᾳ ǰ"]
+    assert apply(spark, X.casefold, *rows) == [None if r is None else r.casefold() for r in rows]
+    assert apply(spark, X.comparable, "Große-Str. 5", "GROSSE STR 5") == ["grosse str 5"] * 2
+
+
+def test_all_white_space_is_a_gap(spark):
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    assert len(spaces) > 25 and apply(spark, X.collapsed, *[f"a{c}{c}b" for c in spaces]) == ["a b"] * len(spaces)
+
+
+def slow_match(quote, text):
+    """The match by positions of the characters that stand in a form of the text."""
+    plain = str.maketrans({s: p for p, group in X.SHAPES.items() for s in group})
+    if not quote or not text:
+        return None
+    if (at := text.find(quote)) >= 0:
+        return "L1", at, at + len(quote), quote
+
+    def gaps(s):
+        keep = [i for i, c in enumerate(s) if not (c.isspace() and i and s[i - 1].isspace())]
+        return "".join(" " if s[i].isspace() else s[i] for i in keep).translate(plain), keep
+
+    def tight(s):
+        keep = [i for i, c in enumerate(s) if not c.isspace()]
+        return "".join(s[i] for i in keep).translate(plain).lower(), keep
+
+    for level, form, low in (("L2", gaps, False), ("L3", gaps, True), ("L4", tight, False)):
+        (t, keep), (q, _) = form(text), form(quote)
+        at = t.lower().find(q.lower()) if low else t.find(q)
+        if q and at >= 0:
+            a, b = keep[at], keep[at + len(q) - 1] + 1
+            return level, a, b, text[a:b]
+    return None
+
+
+def test_places_of_matches(spark):
+    rng = random.Random(6)
+    rows = [("", "x"), ("x", ""), (None, "x"), ("x", None), ("a@b.com", "mail a@b.\n com now"), ("“so”  it", "he said \"so\"\u3000\u3000it"), ("ÉTÉ", "à l’été"), (" ", "ab"), ("pump", "x " * 30_000 + "PU MP")]
+    rows += [("".join(rng.choices("aB ’\n-", k=rng.randint(1, 4))), "".join(rng.choices("AaBb  '’\n\u2003–-", k=rng.randint(1, 14)))) for _ in range(400)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, q string, t string")
+    got = df.select("k", X.match(F.col("q"), F.col("t")).alias("m"), X.match_level(F.col("q"), F.col("t")).alias("l")).orderBy("k").collect()
+    for (q, t), r in zip(rows, got, strict=True):
+        want = slow_match(q, t)
+        assert (tuple(r.m) if r.m else None) == want and r.l == (want[0] if want else None), (q, t)
+
+
+def test_dates_and_contacts(spark):
+    assert apply(spark, X.dated, "9:00 CST", "within 30 days of EST", "after  award CDT", "EDT", None) == ["9:00 America/Chicago", "within 30 days of EST", "after  award CDT", "America/New_York", None]
+    lines = ["Desk (a @b.example; 555 01 00)", "Ann  Lee", "(555-0100)", "Desk (x@y.example)", "Desk (call; 555)", "", None]
+    parts = [("Desk", "a@b.example", "5550100"), ("Ann Lee", None, None), (None, None, "555-0100"), ("Desk", "x@y.example", None), ("Desk", None, "555"), (None, None, None), (None, None, None)]
+    assert [tuple(r) for r in apply(spark, X.contact, *lines)] == parts
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate([*parts, (" ", "", "1")])], "k int, n string, e string, p string").orderBy("k")
+    flat = [r.x for r in df.select("k", X.flat_contact(F.col("n"), F.col("e"), F.col("p")).alias("x")).collect()]
+    assert flat == ["Desk (5550100; a@b.example)", "Ann Lee", "555-0100", "Desk (x@y.example)", "Desk (555)", None, None, "1"]
+
+
 def test_materially_different(spark):
     pairs = [("a b", "a b"), ("a b", "a"), ("a", "b"), ("", ""), ("", "a")]
     df = spark.createDataFrame(pairs, "a string, b string").select(X.materially_different(F.col("a"), F.col("b")).alias("x"))
@@ -56,7 +120,7 @@ def test_highlight_takes_literals(spark, literal):
 def test_pages_and_labels(spark):
     df = spark.createDataFrame([("Page 7", "pdf"), ("page x", "pdf"), ("Page 7", "html"), (None, "pdf")], "s string, f string")
     assert [r.x for r in df.select(X.page_number(F.col("s"), F.col("f")).alias("x")).collect()] == [7, None, None, None]
-    assert apply(spark, X.printed_label, "Title\nPage 3 of 12\nx", "a\nb\nc\nd\n 3 | 9 ", "see page 3 of 9", "", None) == ["Page 3 of 12", "3 | 9", None, None, None]
+    assert apply(spark, X.printed_label, "Title\nPage 3 of 12\nx", "a\nb\nc\nd\n 3 | 9 ", "Page 3of 9\n3|9", "", None) == ["Page 3 of 12", "3 | 9", None, None, None]
 
 
 def test_residue(spark):
