@@ -13,24 +13,35 @@ REASONS = ("no_evidence", "invalid_quote", "unknown_evidence_id", "quote_not_in_
 
 
 def ground(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
-    """evidence_key, level (L1 to L4 or null) and reason (null where the quote is accepted).
+    """evidence_key, level (L1 to L4 or null), start_at, end_at, matched and reason (null where the quote is accepted).
 
-    A chunk_id that has several rows stands for the first by chunk_key. A null or blank quote is no evidence, one with an
-    ellipsis is invalid. One shuffle by chunk_id; levels beyond L1 are computed only for what L1 does not find.
+    start_at and end_at (exclusive) are the place in the chunk's text, from 0, and matched what stands there. A chunk_id
+    that has several rows stands for the first by chunk_key. A null or blank quote is no evidence, one with an ellipsis is
+    invalid. One shuffle by chunk_id; levels beyond L1 are computed only for what L1 does not find.
     """
-    texts = first_by(chunks.where("chunk_id IS NOT NULL").select("chunk_id", "chunk_key", "text"), ["chunk_id"], "chunk_key")
-    known = texts.select("chunk_id", F.col("text").alias("_text"), F.lit(True).alias("_there"))
+    known = first_texts(chunks).select("chunk_id", F.col("text").alias("_text"), F.lit(True).alias("_there"))
     rows = evidence.select("evidence_key", "chunk_id", "quote").join(known, "chunk_id", "left")
     quote = F.coalesce("quote", F.lit(""))
     usable = (F.trim(quote) != "") & ~F.contains(quote, F.lit("..."))
-    level = F.when(usable, X.match_level(F.col("quote"), F.coalesce("_text", F.lit(""))))
+    rows = rows.withColumn("_m", F.when(usable, X.match(F.col("quote"), F.coalesce("_text", F.lit("")))))
     reason = (
         F.when(F.trim(quote) == "", REASONS[0])
         .when(~usable, REASONS[1])
         .when(F.col("_there").isNull(), REASONS[2])
-        .when(F.col("level").isNull(), REASONS[3])
+        .when(F.col("_m").isNull(), REASONS[3])
     )
-    return rows.withColumn("level", level).select("evidence_key", "level", reason.alias("reason"))
+    places = (F.col(f"_m.{a}").alias(b) for a, b in (("level", "level"), ("start", "start_at"), ("end", "end_at"), ("matched", "matched")))
+    return rows.select("evidence_key", *places, reason.alias("reason"))
+
+
+def first_texts(chunks: DataFrame) -> DataFrame:
+    """The first row by chunk_key of every chunk_id, with what there is of chunk_key, doc_id, page_numbers and text.
+
+    Repeats are few, so nothing is gained by aggregating before the shuffle; the window's partitioning and order by
+    chunk_id serve the join that follows, so texts are moved and sorted once.
+    """
+    columns = [c for c in ("chunk_id", "chunk_key", "doc_id", "page_numbers", "text") if c in chunks.columns]
+    return first_by(chunks.where("chunk_id IS NOT NULL").select(*columns), ["chunk_id"], "chunk_key")
 
 
 def resolve(records: DataFrame, fields: list[str], order: list[Column]) -> DataFrame:
@@ -134,7 +145,7 @@ def quote_pages(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
     One page is that page. Of several, separated by form feeds in the text, it is the only one that contains the quote,
     else all. Chunks without pages, unknown chunks and null quotes give no row; of a repeated chunk_id the first row counts.
     """
-    rows = first_by(chunks.where("chunk_id IS NOT NULL").select("chunk_id", "chunk_key", "text", "page_numbers"), ["chunk_id"], "chunk_key")
+    rows = first_texts(chunks)
     found = evidence.where("quote <> ''").join(rows.where("size(page_numbers) > 0"), "chunk_id")
     parts = F.split("text", "\f")
     paired = F.arrays_zip(F.col("page_numbers").alias("page"), parts.alias("part"))

@@ -129,12 +129,20 @@ _Q2, _T2 = (_q(_SPACED, _q(PUNCTUATION, c), " ") for c in ("quote", "text"))
 _Q4, _T4 = (f"lower({_q(_SPACED, _q(PUNCTUATION, c), '')})" for c in ("quote", "text"))
 
 
-_GROUNDED = f"""WITH texts AS (SELECT chunk_id, text, TRUE AS there FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY chunk_key) AS rn FROM chunks WHERE chunk_id IS NOT NULL) WHERE rn = 1),
-    matched AS (SELECT evidence_key, quote, there, CASE WHEN trim(coalesce(quote, '')) = '' OR contains(quote, '...') OR coalesce(text, '') = '' THEN NULL
+_JUDGED = f"""texts AS (SELECT chunk_id, text, TRUE AS there FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY chunk_key) AS rn FROM chunks WHERE chunk_id IS NOT NULL) WHERE rn = 1),
+    matched AS (SELECT evidence_key, quote, text, there, CASE WHEN trim(coalesce(quote, '')) = '' OR contains(quote, '...') OR coalesce(text, '') = '' THEN NULL
         WHEN contains(text, quote) THEN 'L1' WHEN contains({_T2}, {_Q2}) THEN 'L2' WHEN contains(lower({_T2}), lower({_Q2})) THEN 'L3'
-        WHEN {_Q4} <> '' AND contains({_T4}, {_Q4}) THEN 'L4' END AS level FROM evidence LEFT JOIN texts USING (chunk_id))
-    SELECT evidence_key, level, CASE WHEN trim(coalesce(quote, '')) = '' THEN 'no_evidence' WHEN contains(quote, '...') THEN 'invalid_quote'
-        WHEN there IS NULL THEN 'unknown_evidence_id' WHEN level IS NULL THEN 'quote_not_in_chunk' END AS reason FROM matched"""
+        WHEN {_Q4} <> '' AND contains({_T4}, {_Q4}) THEN 'L4' END AS level FROM evidence LEFT JOIN texts USING (chunk_id)),
+    judged AS (SELECT evidence_key, quote, text, level, CASE WHEN trim(coalesce(quote, '')) = '' THEN 'no_evidence' WHEN contains(quote, '...') THEN 'invalid_quote'
+        WHEN there IS NULL THEN 'unknown_evidence_id' WHEN level IS NULL THEN 'quote_not_in_chunk' END AS reason FROM matched)"""
+_IS_BLANK = f"regexp_full_match(substr(text, CAST({{0}} AS INTEGER), 1), '{BLANKS}')"
+_KEPT = f"""CASE WHEN level IN ('L2', 'L3') THEN list_filter(range(length(text)), lambda i: NOT ({_IS_BLANK.format("i + 1")} AND i > 0 AND {_IS_BLANK.format("i")}))
+        WHEN level = 'L4' THEN list_filter(range(length(text)), lambda i: NOT {_IS_BLANK.format("i + 1")}) ELSE range(length(text)) END"""
+_GROUNDED = f"""WITH {_JUDGED},
+    forms AS (SELECT *, CASE level WHEN 'L1' THEN instr(text, quote) WHEN 'L2' THEN instr({_T2}, {_Q2}) WHEN 'L3' THEN instr(lower({_T2}), lower({_Q2})) WHEN 'L4' THEN instr({_T4}, {_Q4}) END AS p,
+        CASE level WHEN 'L1' THEN length(quote) WHEN 'L4' THEN length({_Q4}) ELSE length({_Q2}) END AS size, {_KEPT} AS kept FROM judged),
+    placed AS (SELECT *, CAST(kept[p] AS INTEGER) AS start_at, CAST(kept[p + size - 1] + 1 AS INTEGER) AS end_at FROM forms)
+    SELECT evidence_key, level, start_at, end_at, substr(text, start_at + 1, end_at - start_at) AS matched, reason FROM placed"""
 
 
 @QUERIES.query(
@@ -148,10 +156,11 @@ def grounded_evidence(spark: SparkSession, folder: str) -> DataFrame:
 
 @QUERIES.query(
     "candidate_status",
-    f"""WITH judged AS (SELECT candidate_id, evidence_key, level, reason FROM ({_GROUNDED}) JOIN (SELECT evidence_key, candidate_id FROM evidence WHERE candidate_id IS NOT NULL) USING (evidence_key)),
-    grouped AS (SELECT candidate_id, count(*) AS pieces, coalesce(bool_or(level = 'L1'), FALSE) AS verbatim, min(evidence_key) FILTER (WHERE reason IS NOT NULL) AS failed_key FROM judged GROUP BY candidate_id)
+    f"""WITH {_JUDGED},
+    owned AS (SELECT candidate_id, evidence_key, level, reason FROM judged JOIN (SELECT evidence_key, candidate_id FROM evidence WHERE candidate_id IS NOT NULL) USING (evidence_key)),
+    grouped AS (SELECT candidate_id, count(*) AS pieces, coalesce(bool_or(level = 'L1'), FALSE) AS verbatim, min(evidence_key) FILTER (WHERE reason IS NOT NULL) AS failed_key FROM owned GROUP BY candidate_id)
     SELECT g.candidate_id, pieces, failed_key IS NULL AS accepted, CASE WHEN failed_key IS NULL THEN CASE WHEN verbatim THEN 'exact' ELSE 'semantic' END END AS match, reason, failed_key
-    FROM grouped g LEFT JOIN (SELECT evidence_key AS failed_key, reason FROM judged) USING (failed_key)""",
+    FROM grouped g LEFT JOIN (SELECT evidence_key AS failed_key, reason FROM owned) USING (failed_key)""",
 )
 def candidate_status(spark: SparkSession, folder: str) -> DataFrame:
     """Whether every candidate is accepted, how it matches, else the first reason against it."""
@@ -166,7 +175,7 @@ def candidate_status(spark: SparkSession, folder: str) -> DataFrame:
 )
 def supported_claims(spark: SparkSession, folder: str) -> DataFrame:
     """Whether every longer word of a quote occurs in its chunk, in any order."""
-    texts = first_by(table(spark, folder, "chunks").where("chunk_id IS NOT NULL"), ["chunk_id"], "chunk_key").select("chunk_id", "text")
+    texts = E.first_texts(table(spark, folder, "chunks")).select("chunk_id", "text")
     rows = table(spark, folder, "evidence").join(texts, "chunk_id").where("quote IS NOT NULL AND text IS NOT NULL")
     return rows.select("evidence_key", X.supported(F.col("quote"), F.col("text")).alias("supported"))
 
@@ -513,7 +522,7 @@ _ROLE_CUE = "coalesce(" + ", ".join(f"nullif(regexp_extract(w, '(?i){cue}', 0),
 )
 def amendment_roles(spark: SparkSession, folder: str) -> DataFrame:
     """Whether the text around every quote amends, clarifies or only states, and the first cue of an amendment."""
-    texts = first_by(table(spark, folder, "chunks").where("chunk_id IS NOT NULL").select("chunk_id", "chunk_key", "text"), ["chunk_id"], "chunk_key")
+    texts = E.first_texts(table(spark, folder, "chunks"))
     rows = table(spark, folder, "evidence").join(texts.select("chunk_id", F.coalesce("text", F.lit("")).alias("text")), "chunk_id")
     around = X.amendment_window(F.col("text"), F.coalesce("quote", F.lit("")))
     windows = rows.select("evidence_key", around.alias("w"))

@@ -152,11 +152,12 @@ def test_resolve_and_combine(spark):
 def test_ground_reasons(spark):
     chunks = spark.createDataFrame([("c", 1, "the text"), ("c", 2, "later"), ("n", 3, None)], "chunk_id string, chunk_key long, text string")
     rows = [(1, "c", "text"), (2, "c", "later"), (3, "z", "x"), (4, "c", None), (5, "c", "a...b"), (6, "n", "x"), (7, None, "x")]
-    out = {r.evidence_key: (r.level, r.reason) for r in evidence.ground(spark.createDataFrame(rows, "evidence_key long, chunk_id string, quote string"), chunks).collect()}
-    assert out == {
+    found = evidence.ground(spark.createDataFrame(rows, "evidence_key long, chunk_id string, quote string"), chunks).collect()
+    assert {r.evidence_key: (r.level, r.reason) for r in found} == {
         1: ("L1", None), 2: (None, "quote_not_in_chunk"), 3: (None, "unknown_evidence_id"), 4: (None, "no_evidence"), 5: (None, "invalid_quote"),
         6: (None, "quote_not_in_chunk"), 7: (None, "unknown_evidence_id"),
     }
+    assert {r.evidence_key: (r.start_at, r.end_at, r.matched) for r in found if r.level} == {1: (4, 8, "text")}
 
 
 def test_combine_all_lists(spark):
