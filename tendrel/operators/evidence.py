@@ -224,6 +224,11 @@ def all_fields(bids: DataFrame, resolved: DataFrame, names: list[str]) -> DataFr
     return joined.select("bid_id", (F.col("at") + 1).alias("position"), "field_name", status.alias("status"), "value")
 
 
+#: What stands around an excerpt in a context, and what an excerpt so adds to its text (the handle has nine characters).
+EXCERPT = ("<excerpt id=", ">\n", "\n</excerpt>")
+EXCERPT_OVERHEAD = sum(map(len, EXCERPT)) + 9 + len("\n")
+
+
 def context_texts(chunks: DataFrame, packed: DataFrame) -> DataFrame:
     """bid_id, excerpts and context: the packed chunks of a bid as one text, each under its handle, in order.
 
@@ -231,8 +236,8 @@ def context_texts(chunks: DataFrame, packed: DataFrame) -> DataFrame:
     """
     rows = packed.select("bid_id", "place", "chunk_key").join(chunks.select("chunk_key", "chunk_id", "text"), "chunk_key")
     escaped = F.replace("text", F.lit("</excerpt>"), F.lit("</excerpt_>"))
-    name = F.coalesce(X.handle(F.col("chunk_id")), F.lit("none"))
-    block = F.concat(F.lit("<excerpt id="), name, F.lit(">\n"), escaped, F.lit("\n</excerpt>"))
+    begin, behind, end = map(F.lit, EXCERPT)
+    block = F.concat(begin, F.coalesce(X.handle(F.col("chunk_id")), F.lit("none")), behind, escaped, end)
     gathered = rows.groupBy("bid_id").agg(F.array_sort(F.collect_list(F.struct("place", block.alias("block")))).alias("blocks"))
     joined = F.array_join(F.transform("blocks", lambda x: x["block"]), "\n")
     return gathered.select("bid_id", F.size("blocks").alias("excerpts"), joined.alias("context"))

@@ -7,7 +7,12 @@ length passes through a task with constant memory. A context is folded in rounds
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
+from itertools import groupby, islice
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -18,64 +23,71 @@ from tendrel import catalog as C
 from tendrel.session import cut
 
 MAX_CHARS, MAX_EXCERPTS = 100_000, 120
+#: What joins sections of one chunk: their texts, their names.
+TEXT_GAP, NAME_GAP = "\n\n", " & "
+#: Chunks that a task gathers before it passes them on.
+GATHERED = 2_000
+_BREAK = re.compile(r"[ \n]")
 
 
-def split_text(text: str, limit: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP, reach: int = C.BREAK_REACH) -> list[str]:
-    """Stripped pieces of at most `limit` characters that end behind a blank or line break if one is within `reach`.
+def split_spans(text: str, limit: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP, reach: int = C.BREAK_REACH) -> Iterator[tuple[int, int]]:
+    """(start, end) of the pieces of a text, of at most `limit` characters.
 
-    The next piece begins `overlap` before the end of the last, but at least one character behind its begin.
+    The places behind blanks and line breaks are found once; a piece ends at the last of them that binary search finds
+    within `reach` of its limit, else at the limit. The next piece begins `overlap` earlier, but moves on by one at least.
     """
     if overlap >= limit:
         raise ValueError("the overlap must be smaller than the limit")
-    pieces, start = [], 0
-    while start < len(text):
-        end = min(start + limit, len(text))
-        if end < len(text):
-            lowest = max(start + 1, end - reach)
-            at = max(text.rfind(" ", lowest, end), text.rfind("\n", lowest, end))
-            end = at + 1 if at >= 0 else end
-        pieces.append(text[start:end].strip())
-        if end == len(text):
-            break
-        start = max(end - overlap, start + 1)
-    return pieces
-
-
-class Packer:
-    """Packs the sections of one document, given in order."""
-
-    def __init__(self, limit: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP):
-        self.limit, self.overlap = limit, overlap
-        self.text, self.names = "", []
-
-    def flush(self) -> Iterator[tuple[str, str]]:
-        if self.text:
-            yield " & ".join(self.names), self.text
-        self.text, self.names = "", []
-
-    def add(self, name: str, text: str | None) -> Iterator[tuple[str, str]]:
-        """Chunks (section names, text) that are complete once this section has come."""
-        text = (text or "").strip()
-        if not text:
-            return
-        if len(text) > self.limit:
-            yield from self.flush()
-            yield from ((name, piece) for piece in split_text(text, self.limit, self.overlap) if piece)
-            return
-        joined = f"{self.text}\n\n{text}" if self.text else text
-        if len(joined) > self.limit:
-            yield from self.flush()
-            joined = text
-        self.text = joined
-        if name not in self.names:
-            self.names.append(name)
+    places = [m.end() for m in _BREAK.finditer(text)] if len(text) > limit else []
+    start = 0
+    while len(text) - start > limit:
+        full = start + limit
+        nearest = places[k - 1] if (k := bisect_right(places, full)) else 0
+        end = nearest if nearest > max(start + 1, full - reach) else full
+        yield start, end
+        start = max(start + 1, end - overlap)
+    if text:
+        yield start, len(text)
+
+
+def split_text(text: str, limit: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP, reach: int = C.BREAK_REACH) -> list[str]:
+    """The pieces of a text (see `split_spans`) without white space at their ends."""
+    return [text[a:b].strip() for a, b in split_spans(text, limit, overlap, reach)]
+
+
+@dataclass(frozen=True)
+class Section:
+    name: str
+    page: int | None
+    text: str
+
+
+def pack(sections: Iterable[Section], limit: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP) -> Iterator[list[Section]]:
+    """The sections of a document in chunks: neighbours whose joined length fits the limit, and pieces of longer ones.
+
+    A fold over lengths: only the sections of the open chunk are held, and their texts are joined by the caller.
+    """
+    held: list[Section] = []
+    size = 0
+    for section in sections:
+        own = len(section.text)
+        if held and size + len(TEXT_GAP) + own > limit:
+            yield held
+            held, size = [], 0
+        if own > limit:
+            pieces = split_text(section.text, limit, overlap)
+            yield from ([replace(section, text=piece)] for piece in pieces if piece)
+        elif own:
+            size += own + (len(TEXT_GAP) if held else 0)
+            held.append(section)
+    if held:
+        yield held
 
 
 def _page(name: str) -> int | None:
-    try:
-        return int(name.lower().replace("page", "").strip())
-    except ValueError:
-        return None
+    """The number of a section that is named as a page."""
+    m = re.fullmatch(r"\s*page\s*(\d+)\s*", name, re.I)
+    return int(m.group(1)) if m else None
 
 
 def _by_group(df: DataFrame, group: str, order: list[str]) -> DataFrame:
@@ -105,51 +117,43 @@ def pack_sections(sections: DataFrame, limit: int = C.CHUNK_SIZE, overlap: int =
         ]
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, packer, seq, is_pdf = None, Packer(limit, overlap), 0, False
-        out: list[tuple] = []
-
-        def made(chunks: Iterator[tuple[str, str]]) -> None:
-            nonlocal seq
-            for names, text in chunks:
-                seq += 1
-                pages = {p for n in names.split(" & ") if is_pdf and n.lower().startswith("page") and (p := _page(n)) is not None}
-                out.append((doc, seq, hashlib.md5(f"{doc}_{names}_{text}".encode()).hexdigest(), names, sorted(pages) or None, text))
-
-        def batch_of() -> pa.RecordBatch:
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string())
-            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], schema.names)
-            out.clear()
-            return batch
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string())
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Section]]:
         for batch in batches:
-            for own, fmt, name, text in zip(*(batch.column(k).to_pylist() for k in (0, 3, 4, 5)), strict=True):
-                if own != doc:
-                    made(packer.flush())
-                    doc, seq = own, 0
-                is_pdf = fmt == "pdf"
-                made(packer.add(name, text))
-            if out:
-                yield batch_of()
-        made(packer.flush())
-        if out:
-            yield batch_of()
+            for doc, fmt, name, text in zip(*(batch.column(k).to_pylist() for k in (0, 3, 4, 5)), strict=True):
+                yield doc, Section(name, _page(name) if fmt == "pdf" else None, (text or "").strip())
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for doc, rows in groupby(read(batches), key=itemgetter(0)):
+            for seq, held in enumerate(pack((section for _, section in rows), limit, overlap), 1):
+                names = NAME_GAP.join(dict.fromkeys(x.name for x in held))
+                text = TEXT_GAP.join(x.text for x in held)
+                pages = sorted({x.page for x in held if x.page is not None})
+                yield doc, seq, hashlib.md5(f"{doc}_{names}_{text}".encode()).hexdigest(), names, pages or None, text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = chunks(batches)
+        while part := list(islice(made, GATHERED)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], schema.names)
 
     return _by_group(rows, "doc_id", ["section_seq", "section_key"]).mapInArrow(run, schema)
 
 
-def pack_context(chunks: DataFrame, budget: int = MAX_CHARS, most: int = MAX_EXCERPTS) -> DataFrame:
+def pack_context(chunks: DataFrame, budget: int = MAX_CHARS, most: int = MAX_EXCERPTS, overhead: int = 0) -> DataFrame:
     """bid_id, place, doc_id, chunk_key, used: the chunks of a bid that fit, in order of document, place and key.
 
-    A chunk that would exceed the budget is skipped and later smaller ones may still fit; at most `most` are kept. `used`
-    is the number of characters in use after the chunk. Chunks without text take no part.
+    A chunk costs its characters and `overhead`, what an excerpt adds around it. A chunk that would exceed the budget is
+    skipped and later smaller ones may still fit; at most `most` are kept. `used` is the cost in use after the chunk.
+    Chunks without text take no part.
 
     What is left of a budget only shrinks, so a chunk larger than that can never fit again. Each round takes, for every
     bid that is not full, the next `most` chunks that are small enough - a top-k per bid, cut in each task before the
-    shuffle - and folds those few in order. A round keeps at least one chunk of each bid that is left, and most bids
-    are done after the first; no task sees more than `most` rows of a bid, however many it has.
+    shuffle - and folds those few in order. A round keeps at least one chunk of each bid that is left, so there are at
+    most `most` rounds; most bids are done after the first, and later rounds read only the rows of those that are not. No
+    task sees more than `most` rows of a bid, however many it has.
     """
-    place, size = F.struct("doc_id", "chunk_seq", "chunk_key").alias("ord"), F.length("text").cast("long").alias("size")
+    place, size = F.struct("doc_id", "chunk_seq", "chunk_key").alias("ord"), (F.length("text").cast("long") + overhead).alias("size")
     rows = cut(chunks.where("text <> '' AND bid_id IS NOT NULL").select("bid_id", place, size))
     folded_type = T.StructType(
         [
@@ -197,5 +201,13 @@ def pack_context(chunks: DataFrame, budget: int = MAX_CHARS, most: int = MAX_EXC
             .where((F.col("seen") == most) & (F.col("so_far") < most) & (F.col("before") < budget))
             .drop("seen")
         )
+        state = cut(state)
         if state.isEmpty():
             return out
+        rows = cut(rows.join(state.select("bid_id"), "bid_id", "left_semi"))
+
+
+def trimmed(chunks: DataFrame, packed: DataFrame) -> DataFrame:
+    """bid_id and chunk_key of the chunks with text that `packed` left out."""
+    rows = chunks.where("text <> '' AND bid_id IS NOT NULL").select("bid_id", "chunk_key")
+    return rows.join(packed.select("bid_id", "chunk_key"), ["bid_id", "chunk_key"], "left_anti").select("bid_id", "chunk_key")

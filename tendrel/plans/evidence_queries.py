@@ -308,13 +308,6 @@ def bid_overview(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@QUERIES.query("context_texts")
-def context_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """The context of every bid as one text of excerpts."""
-    chunks = table(spark, folder, "chunks")
-    return E.context_texts(chunks, packing.pack_context(chunks))
-
-
 @QUERIES.query(
     "combined_lists",
     rf"""WITH items AS (SELECT bid_id, record_id, generate_subscripts(l, 1) AS place, unnest(l) AS item FROM (SELECT bid_id, record_id, regexp_split_to_array(product, '\s*;\s*') AS l FROM bid_records WHERE product IS NOT NULL)),
@@ -429,10 +422,43 @@ def packed_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_sections(table(spark, folder, "sections"))
 
 
-@QUERIES.query("packed_context")
+# A fold in order: every chunk of a bid after the one before it.
+_PACKED = f"""RECURSIVE ordered AS (SELECT bid_id, doc_id, chunk_key, length(text) + {E.EXCERPT_OVERHEAD} AS size, row_number() OVER (PARTITION BY bid_id ORDER BY doc_id NULLS FIRST, chunk_seq NULLS FIRST, chunk_key) AS no
+        FROM chunks WHERE text <> '' AND bid_id IS NOT NULL),
+    folded(bid_id, no, used, taken, kept) AS (
+        SELECT bid_id, 0::BIGINT, 0::BIGINT, 0, FALSE FROM ordered GROUP BY bid_id
+        UNION ALL SELECT f.bid_id, o.no, f.used + CASE WHEN f.used + o.size <= {packing.MAX_CHARS} AND f.taken < {packing.MAX_EXCERPTS} THEN o.size ELSE 0 END,
+            f.taken + CASE WHEN f.used + o.size <= {packing.MAX_CHARS} AND f.taken < {packing.MAX_EXCERPTS} THEN 1 ELSE 0 END,
+            f.used + o.size <= {packing.MAX_CHARS} AND f.taken < {packing.MAX_EXCERPTS}
+        FROM folded f JOIN ordered o ON o.bid_id = f.bid_id AND o.no = f.no + 1),
+    packed AS (SELECT f.bid_id, f.taken AS place, o.doc_id, o.chunk_key, f.used FROM folded f JOIN ordered o USING (bid_id, no) WHERE kept)"""
+
+
+def _packed_context(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_context(table(spark, folder, "chunks"), overhead=E.EXCERPT_OVERHEAD)
+
+
+@QUERIES.query("packed_context", f"WITH {_PACKED} SELECT bid_id, place, doc_id, chunk_key, used FROM packed")
 def packed_context(spark: SparkSession, folder: str) -> DataFrame:
     """What fits into the context of a bid, in order; what is too large is skipped, not a stop."""
-    return packing.pack_context(table(spark, folder, "chunks"))
+    return _packed_context(spark, folder)
+
+
+@QUERIES.query("trimmed_context", f"WITH {_PACKED} SELECT bid_id, chunk_key FROM ordered WHERE chunk_key NOT IN (SELECT chunk_key FROM packed)")
+def trimmed_context(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunks that the context of a bid left out."""
+    return packing.trimmed(table(spark, folder, "chunks"), _packed_context(spark, folder))
+
+
+@QUERIES.query(
+    "context_texts",
+    f"""WITH {_PACKED} SELECT p.bid_id, count(*)::INTEGER AS excerpts,
+        string_agg(concat('{E.EXCERPT[0]}', coalesce(concat('E', substr(sha256(chunk_id), 1, 8)), 'none'), '>', chr(10), replace(text, '</excerpt>', '</excerpt_>'), chr(10), '</excerpt>'), chr(10) ORDER BY place) AS context
+    FROM packed p JOIN chunks USING (chunk_key) GROUP BY p.bid_id""",
+)
+def context_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The context of every bid as one text of excerpts."""
+    return E.context_texts(table(spark, folder, "chunks"), _packed_context(spark, folder))
 
 
 #: The fields of one value and those of a list, in catalogue order.

@@ -29,6 +29,26 @@ def test_split_text(text, limit, data):
         assert pieces == ([text.strip()] if text else [])
 
 
+def slow_pieces(text, limit, overlap, reach):
+    """Pieces by trying every end: the last place behind a blank that is near enough to the limit."""
+    start, out = 0, []
+    while start < len(text):
+        full = min(start + limit, len(text))
+        ends = [e for e in range(max(start + 2, full - reach + 1), full + 1) if text[e - 1] in " \n"] if full < len(text) else []
+        out.append((start, max(ends, default=full)))
+        if full == len(text):
+            return out
+        start = max(start + 1, out[-1][1] - overlap)
+    return out
+
+
+@given(st.text("ab \n", max_size=200), st.integers(2, 40), st.integers(1, 12), st.data())
+@settings(max_examples=200, deadline=None)
+def test_split_spans_against_all_ends(text, limit, reach, data):
+    overlap = data.draw(st.integers(0, limit - 1))
+    assert list(packing.split_spans(text, limit, overlap, reach)) == slow_pieces(text, limit, overlap, reach)
+
+
 def test_packing_merges_short_and_splits_long(spark):
     rows = [
         ("d", 1, 1, "pdf", "Page 1", "one two"), ("d", 2, 2, "pdf", "Page 2", "three"), ("d", 3, 3, "pdf", "Page 3", "x" * 30), ("d", 4, 4, "pdf", "Page 4", " "),
@@ -61,6 +81,8 @@ def test_context_against_a_plain_fold(spark):
     for budget, most in ((12, 4), (25, 3), (1000, 7)):
         got = packing.pack_context(df, budget, most).collect()
         for b, sizes in bids.items():
+            left = {r.chunk_key for r in packing.trimmed(df, packing.pack_context(df, budget, most)).collect() if r.bid_id == b} if budget == 12 else None
+            assert left is None or left == {k for k in range(len(sizes))} - {k for k, *_ in slow_context(sizes, budget, most)}
             assert [(r.chunk_key, r.place, r.used) for r in sorted((r for r in got if r.bid_id == b), key=lambda r: r.place)] == slow_context(sizes, budget, most)
     assert packing.pack_context(df.where("false")).count() == 0
 
