@@ -1,20 +1,21 @@
-"""Retrieval: a BM25 index per bid, hashed embeddings, rank fusion, field search and literal search.
+"""Retrieval: BM25 per bid, hashed embeddings, rank fusion, field search and literal search.
 
-An index is three tables that are made once for all queries: postings, token weights and chunk lengths. All queries of
-all bids run as one plan of equi-joins on (bid_id, token). What is read several times - postings, scores, ranks - is
-written to the checkpoint folder once. Statistics are those of the whole bid, whatever a search
-filters later.
+Statistics are those of the whole bid, whatever a search filters later. They come from one aggregation of (bid, token)
+counts; postings are made within the row of a chunk and never written: literal search keeps those of asked tokens only,
+field search turns every chunk into its counts of the few tokens of the catalogue. All queries of all bids run as one plan.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,66 +44,82 @@ def corpus_of(chunks: DataFrame) -> DataFrame:
     return rows.withColumn("words", X.tokens(F.col("text")))
 
 
-@dataclass(frozen=True)
-class Index:
-    """postings(bid_id, chunk_id, token, tf, len), weights(bid_id, token, idf), bids(bid_id, avg_len)."""
+def term_counts(words: Column) -> Column:
+    """array<struct<token, tf>> of an array of words: runs of equal ones in sorted order, within the row."""
+    ordered = F.sort_array(words)
 
-    postings: DataFrame
-    weights: DataFrame
-    bids: DataFrame
+    def counted(w: Column) -> Column:
+        starts = F.filter(F.transform(w, lambda x, i: F.when((i == 0) | (x != F.get(w, i - 1)), i)), lambda i: i.isNotNull())
 
+        def runs(at: Column) -> Column:
+            return F.transform(at, lambda i, k: F.struct(F.get(w, i).alias("token"), (F.coalesce(F.get(at, k + 1), F.size(w)) - i).cast("long").alias("tf")))
 
-def build_index(corpus: DataFrame) -> Index:
-    """The BM25 index of a corpus with columns bid_id, chunk_id and words.
+        return F.get(F.transform(F.array(starts), runs), F.lit(0))
 
-    A negative weight (a token in more than half of a bid's chunks) is replaced by a quarter of the bid's mean weight.
-    A chunk without words has no postings but counts among the bid's chunks.
-    """
-    sized = corpus.select("bid_id", "chunk_id", "words", F.size("words").alias("len"))
-    bids = sized.groupBy("bid_id").agg(F.count("*").alias("chunks"), F.avg("len").alias("avg_len"))
-    words = sized.select("bid_id", "chunk_id", "len", F.explode("words").alias("token"))
-    postings = cut(words.groupBy("bid_id", "chunk_id", "token", "len").agg(F.count("*").alias("tf")))
-    spread = postings.groupBy("bid_id", "token").agg(F.count("*").alias("df")).join(bids, "bid_id")
-    raw = spread.select("bid_id", "token", (F.log(F.col("chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.groupBy("bid_id").agg(F.avg("raw").alias("mean"))
-    idf = F.when(F.col("raw") < 0, C.BM25_EPSILON * F.col("mean")).otherwise(F.col("raw"))
-    return Index(postings, raw.join(mean, "bid_id").select("bid_id", "token", idf.alias("idf")), bids.select("bid_id", "avg_len"))
-
-
-def bm25(index: Index, queries: DataFrame, query: list[str]) -> DataFrame:
-    """query columns, bid_id, chunk_id and score > 0. queries: query columns, bid_id and words; repeated words count each."""
-    words = queries.select(*query, "bid_id", F.explode("words").alias("token"))
-    asked = words.groupBy(*query, "bid_id", "token").agg(F.count("*").alias("times"))
-    weighed = asked.join(index.weights, ["bid_id", "token"]).join(index.bids, "bid_id")
-    hits = weighed.join(index.postings, ["bid_id", "token"])
-    norm = F.col("tf") + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("len") / F.col("avg_len"))
-    gain = F.col("times") * F.col("idf") * F.col("tf") * (C.BM25_K1 + 1) / norm
-    return hits.groupBy(*query, "bid_id", "chunk_id").agg(F.sum(gain).alias("score")).where(F.round("score", EXACT) > 0)
+    return F.get(F.transform(F.array(ordered), counted), F.lit(0))
 
 
-def ranked(df: DataFrame, group: list[str], score: str, tie: str, out: str, buckets: int = 1024, whole: int = WHOLE) -> DataFrame:
+def postings_of(corpus: DataFrame) -> DataFrame:
+    """bid_id, chunk_id, len, token, tf of a corpus with words; nothing is shuffled."""
+    rows = corpus.select("bid_id", "chunk_id", F.size("words").alias("len"), F.explode(term_counts(F.col("words"))).alias("p"))
+    return rows.select("bid_id", "chunk_id", "len", "p.token", "p.tf")
+
+
+def token_weights(corpus: DataFrame, asked: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(bid_id, token, idf) of asked tokens and (bid_id, avg_len, chunks) of every bid.
+
+    asked restricts a table with bid_id and token to the tokens that a search needs. A negative weight (a token in more than
+    half of a bid's chunks) is replaced by a quarter of the mean weight of all tokens of the bid. A chunk without words
+    counts among the bid's chunks.
+    """
+    bids = corpus.groupBy("bid_id").agg(F.count("*").alias("chunks"), F.avg(F.size("words")).alias("avg_len"))
+    spread = corpus.select("bid_id", F.explode(F.array_distinct("words")).alias("token")).groupBy("bid_id", "token").agg(F.count("*").alias("df"))
+    raw = F.log(F.col("chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    # Tokens of a bid that are in equally many chunks weigh alike, so the mean needs only how many there are of each.
+    alike = spread.groupBy("bid_id", "df").agg(F.count("*").alias("tokens")).join(bids, "bid_id")
+    mean = alike.groupBy("bid_id").agg((F.sum(raw * F.col("tokens")) / F.sum("tokens")).alias("mean"))
+    of_bid = bids.join(mean, "bid_id", "left")
+    weighed = asked(spread).join(of_bid, "bid_id")
+    idf = F.when(raw < 0, C.BM25_EPSILON * F.col("mean")).otherwise(raw)
+    return weighed.select("bid_id", "token", idf.alias("idf")), bids
+
+
+def ranked(df: DataFrame, group: list[str], score: str, tie: str, out: str, largest: int | None = None, whole: int = WHOLE) -> DataFrame:
     """df with the rank (from 1) of every row in its group, by falling score, then rising tie.
 
-    Where no group has more than `whole` rows, which is counted first, a window per group gives the ranks. Else rows are
-    numbered within buckets of the group's range of scores (of the tie's first characters where all scores are
-    equal), and the buckets' counts are summed up: a group of any size is ranked by many tasks. df is read twice or
-    more, so it should be cheap to read.
+    Where no group has more than `whole` rows - the caller's bound `largest` says so, or they are counted - a window per
+    group gives the ranks. Else a group of any size is ranked by many tasks: rows are sorted over all tasks by group,
+    score and tie, each task numbers its stretch of a group, and the stretches' lengths are summed up. That order is
+    total, so many equal or close scores are spread like any others. Both ways give the same ranks.
     """
     exact = F.round(score, EXACT)
-    largest = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    if largest is None:
+        largest = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
     if largest <= whole:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(exact.desc(), tie)))
-    ends = df.groupBy(*group).agg(F.min(exact).alias("_lo"), F.max(exact).alias("_hi"))
-    varied = F.col("_hi") > F.col("_lo")
-    level = F.when(varied, F.floor((F.col("_hi") - exact) / (F.col("_hi") - F.col("_lo")) * buckets)).otherwise(F.lit(0))
-    begin = F.when(varied, "").otherwise(F.substring(F.col(tie).cast("string"), 1, 2))
-    rows = df.join(ends, group).withColumn("_level", level.cast("int")).withColumn("_begin", begin).drop("_lo", "_hi")
-    counts = rows.groupBy(*group, "_level", "_begin").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_level", "_begin").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
-    number = F.row_number().over(Window.partitionBy(*group, "_level", "_begin").orderBy(exact.desc(), tie))
-    placed = rows.withColumn("_no", number).join(starts, [*group, "_level", "_begin"])
-    return placed.withColumn(out, (F.col("_before") + F.col("_no")).cast("int")).drop("_level", "_begin", "_before", "_no")
+    order = [*[F.col(g) for g in group], exact.desc(), F.col(tie)]
+    stretches = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    schema = T.StructType([*stretches.schema.fields, T.StructField("_no", T.LongType())])
+    at = [stretches.columns.index(g) for g in group]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, count = None, 0
+        for batch in batches:
+            numbers = []
+            for own in zip(*(batch.column(k).to_pylist() for k in at), strict=True):
+                count = count + 1 if own == last else 1
+                last = own
+                numbers.append(count)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], schema.names)
+
+    numbered = cut(stretches.mapInArrow(number, schema))
+    counts = numbered.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    names = [f"_group{k}" for k in range(len(group))]
+    starts = counts.select(*[F.col(g).alias(n) for g, n in zip(group, names, strict=True)], F.col("_part").alias("_of"), F.coalesce(before, F.lit(0)).alias("_before"))
+    same = [F.col(g).eqNullSafe(F.col(n)) for g, n in zip(group, names, strict=True)]
+    placed = numbered.join(starts, [*same, F.col("_part") == F.col("_of")])
+    return placed.select(*df.columns, (F.col("_before") + F.col("_no")).cast("int").alias(out))
 
 
 def top(df: DataFrame, group: list[str], score: str, tie: str, k: int, out: str = "rank") -> DataFrame:
@@ -111,11 +128,6 @@ def top(df: DataFrame, group: list[str], score: str, tie: str, k: int, out: str
     return df.withColumn(out, number).where(F.col(out) <= k)
 
 
-def fused(lists: DataFrame, group: list[str], item: str, rank: str, out: str) -> DataFrame:
-    """Reciprocal rank fusion: the sum of 1 / (60 + rank) of an item over the lists of its group."""
-    return lists.groupBy(*group, item).agg(F.round(F.sum(1.0 / (C.RRF_K + F.col(rank))), 12).alias(out))
-
-
 @lru_cache(maxsize=200_000)
 def _residue(word: str) -> int:
     return int(hashlib.md5(word.encode()).hexdigest(), 16) % MODULUS
@@ -146,97 +158,172 @@ def embeddings(rows: DataFrame, key: str, dim: int = C.EMBEDDING_DIM) -> DataFra
     return rows.select(key, "words").mapInArrow(run, schema)
 
 
-def cosine_to(corpus: DataFrame, queries: list[tuple[str, list[str]]], dim: int = C.EMBEDDING_DIM) -> DataFrame:
-    """bid_id, chunk_id, query, similarity > 0 of every chunk to each of a short list of queries (name, words).
+def literal_search(chunks: DataFrame, queries: DataFrame, query: str, k: int = 5) -> DataFrame:
+    """query, bid_id, rank, chunk_id, score: the k best chunks of its bid for every query text (columns query, bid_id, text).
 
-    The queries are a fixed list of the program, 20 at most in field search; their vectors go along with the function.
+    Only postings of asked (bid_id, token) leave their chunk; the weights come from counts that are not kept either.
     """
-    names = [n for n, _ in queries]
-    matrix = np.stack([embed(w, dim) for _, w in queries]).astype(np.float64)
-    lengths = np.sqrt((matrix**2).sum(1))
-    columns = ["bid_id", "chunk_id", "query", "similarity"]
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            vectors = np.stack([embed(w, dim) for w in batch.column(2).to_pylist()]).astype(np.float64)
-            size = np.sqrt((vectors**2).sum(1))
-            both = size[:, None] * lengths[None, :]
-            similar = np.divide(vectors @ matrix.T, both, out=np.zeros_like(both), where=both > 0)
-            row, column = np.nonzero(similar > 0)
-            keys = [batch.column(k).take(pa.array(row)) for k in (0, 1)]
-            asked = pa.array([names[c] for c in column], pa.string())
-            yield pa.RecordBatch.from_arrays([*keys, asked, pa.array(similar[row, column])], columns)
-
-    return corpus.select("bid_id", "chunk_id", "words").mapInArrow(run, "bid_id string, chunk_id string, query string, similarity double")
+    corpus = cut(corpus_of(chunks).select("bid_id", "chunk_id", "words"))
+    words = queries.select(query, "bid_id", F.explode(term_counts(X.tokens(F.col("text")))).alias("_word"))
+    asked = cut(words.select(query, "bid_id", "_word.token", F.col("_word.tf").alias("times")))
+    sought = asked.select("bid_id", "token").distinct()
+    weights, bids = token_weights(corpus, lambda df: df.join(sought, ["bid_id", "token"], "left_semi"))
+    weighed = asked.join(weights, ["bid_id", "token"]).join(bids.select("bid_id", "avg_len"), "bid_id")
+    hits = postings_of(corpus).join(weighed, ["bid_id", "token"])
+    norm = F.col("tf") + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("len") / F.col("avg_len"))
+    gain = F.col("times") * F.col("idf") * F.col("tf") * (C.BM25_K1 + 1) / norm
+    scores = hits.groupBy(query, "bid_id", "chunk_id").agg(F.sum(gain).alias("score")).where(F.round("score", EXACT) > 0)
+    return top(scores, [query], "score", "chunk_id", k).select(query, "bid_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
-def literal_search(chunks: DataFrame, queries: DataFrame, query: str, k: int = 5) -> DataFrame:
-    """query, bid_id, rank, chunk_id, score: the k best chunks of its bid for every query text (columns query, bid_id, text)."""
-    index = build_index(cut(corpus_of(chunks).select("bid_id", "chunk_id", "words")))
-    hits = bm25(index, queries.select(query, "bid_id", X.tokens(F.col("text")).alias("words")), [query])
-    return top(hits, [query], "score", "chunk_id", k).select(query, "bid_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+#: The lists of a field that are not one of an alias: by meaning, and by the section's name.
+SEMANTIC, LABEL = -1, -2
 
 
-def field_search(chunks: DataFrame, top_k: int = C.TOP_K, floor: int = C.LEXICAL_FLOOR, per_document: bool = False) -> DataFrame:
+@dataclass(frozen=True)
+class Catalogue:
+    """The catalogue as arrays: tokens, aliases by token, the question of every field as a vector."""
+
+    tokens: tuple[str, ...]
+    #: (field, number within the field, lowered alias) of every alias.
+    aliases: tuple[tuple[int, int, str], ...]
+    #: How often every token occurs in every alias.
+    times: np.ndarray
+    questions: np.ndarray
+
+    @staticmethod
+    def words(text: str) -> list[str]:
+        return _GAP.sub(" ", text.lower()).split()
+
+    @classmethod
+    def of(cls, fields: list[C.Field], dim: int) -> Catalogue:
+        aliases = tuple((f.position - 1, k, a.lower()) for f in fields for k, a in enumerate(f.aliases))
+        tokens = tuple(sorted({w for *_, a in aliases for w in cls.words(a)}))
+        times = np.array([[cls.words(a).count(t) for t in tokens] for *_, a in aliases], np.float64)
+        return cls(tokens, aliases, times, np.stack([embed(cls.words(f.question), dim) for f in fields]).astype(np.float64))
+
+    def named(self, section: str) -> list[int]:
+        """Fields of which an alias holds, or is held by, the name of a section."""
+        return sorted({f for f, _, a in self.aliases if a in section or section in a}) if len(section) >= 3 else []
+
+
+def _profiles(corpus: DataFrame, catalogue: Catalogue, dim: int) -> DataFrame:
+    """bid_id, chunk_id, doc_id, len, tf (of the catalogue's tokens), similarity and label (by field) of every chunk."""
+    columns = [corpus.schema[c] for c in ("bid_id", "chunk_id", "doc_id")]
+    schema = T.StructType([*columns, T.StructField("len", T.IntegerType()), T.StructField("tf", T.ArrayType(T.IntegerType()))])
+    schema = schema.add("similarity", T.ArrayType(T.DoubleType())).add("labels", T.ArrayType(T.IntegerType()))
+    index = {t: k for k, t in enumerate(catalogue.tokens)}
+    norms = np.sqrt((catalogue.questions**2).sum(1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named = lru_cache(100_000)(catalogue.named)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words = batch.column(3).to_pylist()
+            tf = np.zeros((len(words), len(index)), np.int32)
+            for k, own in enumerate(words):
+                for w in own:
+                    if (at := index.get(w)) is not None:
+                        tf[k, at] += 1
+            vectors = np.stack([embed(w, dim) for w in words]).astype(np.float64)
+            both = np.sqrt((vectors**2).sum(1))[:, None] * norms[None, :]
+            similar = np.divide(vectors @ catalogue.questions.T, both, out=np.zeros_like(both), where=both > 0)
+            labels = [named(x) if x else [] for x in batch.column(4).to_pylist()]
+            sizes = pa.array([len(w) for w in words], pa.int32())
+            arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.array(x.ravel()[:1]).type)) for x in (tf, similar)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], sizes, *arrays, pa.array(labels, pa.list_(pa.int32()))], schema.names)
+
+    section = F.when(F.col("source_format") == "html", F.lower(F.trim("section_identifier")))
+    return corpus.select("bid_id", "chunk_id", "doc_id", "words", section).mapInArrow(run, schema)
+
+
+def _scores(profiles: DataFrame, catalogue: Catalogue) -> DataFrame:
+    """bid_id, chunk_id, doc_id, field, list and score > 0: every list that a chunk stands in, from profiles with idf and avg_len."""
+    columns = [profiles.schema[c] for c in ("bid_id", "chunk_id", "doc_id")]
+    schema = T.StructType([*columns, T.StructField("field", T.IntegerType()), T.StructField("list", T.IntegerType()), T.StructField("score", T.DoubleType())])
+    of_alias = np.array([f for f, *_ in catalogue.aliases], np.int32), np.array([k for _, k, _ in catalogue.aliases], np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size, idf, tf, similar = (batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for k in (7, 8, 4, 5))
+            norm = tf + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * batch.column(3).to_numpy()[:, None] / size)
+            gain = np.divide(idf * tf * (C.BM25_K1 + 1), norm, out=np.zeros(tf.shape), where=tf > 0)
+            lexical = (gain @ catalogue.times.T).round(EXACT + 3)
+            parts = []
+            row, alias = np.nonzero(lexical.round(EXACT) > 0)
+            parts.append((row, of_alias[0][alias], of_alias[1][alias], lexical[row, alias]))
+            row, field = np.nonzero(similar > 0)
+            parts.append((row, field.astype(np.int32), np.full(len(row), SEMANTIC, np.int32), similar[row, field]))
+            labels = batch.column(6)
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(labels).to_numpy(zero_copy_only=False))
+            parts.append((row, labels.flatten().to_numpy(zero_copy_only=False), np.full(len(row), LABEL, np.int32), np.ones(len(row))))
+            row, field, number, score = (np.concatenate(x) for x in zip(*parts, strict=True))
+            keys = [batch.column(k).take(pa.array(row)) for k in range(3)]
+            values = [pa.array(field, pa.int32()), pa.array(number, pa.int32()), pa.array(score, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*keys, *values], schema.names)
+
+    columns = ["bid_id", "chunk_id", "doc_id", "len", "tf", "similarity", "labels", F.array("avg_len"), "idf"]
+    return profiles.select(*columns).mapInArrow(run, schema)
+
+
+def field_search(chunks: DataFrame, top_k: int = C.TOP_K, floor: int = C.LEXICAL_FLOOR, per_document: bool = False, whole: int = WHOLE) -> DataFrame:
     """The chunks of every bid for each of the 20 fields.
 
     bid_id, field_name, overall_rank, chunk_id, fused_score, lexical_rank, semantic_rank, label_hit, floor_inserted.
     Lexical ranks fuse one BM25 list per alias; the final ranks fuse the lexical, the semantic and the label list. The
     first `floor` lexical chunks come along even where they miss the first `top_k`. With `per_document` every document is
     searched on its own and doc_id comes out as well; the statistics stay those of the bid.
+
+    Every chunk first becomes its counts of the catalogue's tokens, its similarity to every question and its labels; with
+    the bid's weights that gives all lists it stands in. One table of (group, list, chunk) is then shuffled by group once:
+    the ranks of all lists are one window over it, and a chunk's ranks are brought together within the group. Groups of
+    more than `whole` chunks are ranked over many tasks instead (see `ranked`).
     """
-    group = ["bid_id", "doc_id", "field_name"] if per_document else ["bid_id", "field_name"]
+    group = ["bid_id", "doc_id", "field"] if per_document else ["bid_id", "field"]
+    catalogue = Catalogue.of(C.fields(), C.EMBEDDING_DIM)
     corpus = cut(corpus_of(chunks).select("bid_id", "chunk_id", "doc_id", "source_format", "section_identifier", "words"))
-    homes = corpus.select("bid_id", "chunk_id", "doc_id")
-
-    def placed(scores: DataFrame) -> DataFrame:
-        return scores.join(homes, ["bid_id", "chunk_id"]) if per_document else scores
-
-    index = build_index(corpus)
-    aliases = [(f.name, k, a) for f in C.fields() for k, a in enumerate(f.aliases)]
-    literal = [F.struct(F.lit(n).alias("field_name"), F.lit(k).alias("alias_no"), F.lit(a).alias("alias")) for n, k, a in aliases]
-    asked = corpus.select("bid_id").distinct().select("bid_id", F.explode(F.array(*literal)).alias("a"))
-    asked = asked.select("bid_id", "a.field_name", "a.alias_no", X.tokens(F.col("a.alias")).alias("words"))
-    by_alias = ranked(cut(placed(bm25(index, asked, ["field_name", "alias_no"]))), [*group, "alias_no"], "score", "chunk_id", "rank")
-    by_field = cut(fused(by_alias, group, "chunk_id", "rank", "lexical"))
-    lexical = cut(ranked(by_field, group, "lexical", "chunk_id", "lexical_rank").drop("lexical"))
-    questions = [(f.name, re.sub(_GAP, " ", f.question.lower()).split()) for f in C.fields()]
-    similar = cut(placed(cosine_to(corpus, questions).withColumnRenamed("query", "field_name")))
-    semantic = cut(ranked(similar, group, "similarity", "chunk_id", "semantic_rank").drop("similarity"))
-    lowered = {f.name: F.array(*[F.lit(a.lower()) for a in f.aliases]) for f in C.fields()}
-    names = F.array(*[F.struct(F.lit(n).alias("name"), a.alias("aliases")) for n, a in lowered.items()])
-    section = F.lower(F.trim("section_identifier"))
-    titled = corpus.where("source_format = 'html'").select("bid_id", "chunk_id", section.alias("s")).where("length(s) >= 3")
-    hits = F.filter(names, lambda f: F.exists(f["aliases"], lambda a: F.contains(F.col("s"), a) | F.contains(a, F.col("s"))))
-    labelled = titled.select("bid_id", F.explode(hits).alias("f"), "chunk_id")
-    labelled = labelled.select("bid_id", F.col("f.name").alias("field_name"), "chunk_id", F.lit(1.0).alias("one"))
-    labels = cut(ranked(placed(labelled), group, "one", "chunk_id", "label_rank").drop("one"))
+    weights, bids = token_weights(corpus, lambda df: df.where(F.col("token").isin(*catalogue.tokens)))
+    known = F.map_from_entries(F.collect_list(F.struct("token", "idf")))
+    tokens = F.array(*map(F.lit, catalogue.tokens))
+    of_bid = bids.join(weights.groupBy("bid_id").agg(known.alias("known")), "bid_id", "left")
+    idf = F.transform(tokens, lambda t: F.coalesce(F.element_at("known", t), F.lit(0.0)))
+    of_bid = of_bid.select("bid_id", "avg_len", "chunks", F.coalesce(idf, F.array_repeat(F.lit(0.0), len(catalogue.tokens))).alias("idf"))
+    largest = bids.agg(F.max("chunks")).first()[0] or 0
+    profiles = _profiles(corpus, catalogue, C.EMBEDDING_DIM).join(of_bid.drop("chunks"), "bid_id")
+    lists = _scores(profiles, catalogue)
+    # A window, and a grouping by chunk, need no other partitioning than that of the group.
+    lists = lists.repartition(*group) if largest <= whole else cut(lists)
+    places = ranked(lists, [*group, "list"], "score", "chunk_id", "rank", largest, whole)
+    gain = 1.0 / (C.RRF_K + F.col("rank"))
     keys = [*group, "chunk_id"]
-    lists = lexical.select(*keys, F.col("lexical_rank").alias("rank"))
-    lists = lists.unionByName(semantic.select(*keys, F.col("semantic_rank").alias("rank")))
-    lists = lists.unionByName(labels.select(*keys, F.col("label_rank").alias("rank")))
-    scores = cut(fused(lists, group, "chunk_id", "rank", "fused_score"))
-    # Only the first top_k and the lexical floor are needed from here on.
-    first = top(scores, group, "fused_score", "chunk_id", top_k, "final_rank")
-    floored = lexical.where(F.col("lexical_rank") <= floor).join(scores, keys)
-    floored = floored.select(*keys, F.col("fused_score").alias("floor_score"), F.col("lexical_rank").alias("floor_rank"))
-    found = first.select(*keys, "fused_score", "final_rank").join(floored, keys, "full")
-    order = Window.partitionBy(*group).orderBy(F.coalesce("final_rank", F.lit(top_k) + F.col("floor_rank")))
-    return (
-        found.withColumn("overall_rank", F.row_number().over(order))
-        .join(lexical, keys, "left")
-        .join(semantic, keys, "left")
-        .join(labels, keys, "left")
-        .select(
-            *group,
-            "overall_rank",
-            "chunk_id",
-            F.round(F.coalesce("fused_score", "floor_score"), 9).alias("fused_score"),
-            "lexical_rank",
-            "semantic_rank",
-            F.col("label_rank").isNotNull().alias("label_hit"),
-            F.col("final_rank").isNull().alias("floor_inserted"),
-        )
+    merged = places.groupBy(*keys).agg(
+        F.round(F.sum(F.when(F.col("list") >= 0, gain)), 12).alias("lexical"),
+        F.max(F.when(F.col("list") == SEMANTIC, F.col("rank"))).alias("semantic_rank"),
+        F.max(F.when(F.col("list") == LABEL, F.col("rank"))).alias("label_rank"),
+    )
+
+    def placed(df: DataFrame, score: str, out: str) -> DataFrame:
+        return ranked(df if largest <= whole else cut(df), group, score, "chunk_id", out, largest, whole)
+
+    # Chunks without a lexical score come last, and have no lexical rank.
+    merged = placed(merged.withColumn("_lexical", F.coalesce("lexical", F.lit(0.0))), "_lexical", "_rank")
+    merged = merged.withColumn("lexical_rank", F.when(F.col("lexical").isNotNull(), F.col("_rank")))
+    fused = sum((F.coalesce(1.0 / (C.RRF_K + F.col(r)), F.lit(0.0)) for r in ("lexical_rank", "semantic_rank", "label_rank")), F.lit(0.0))
+    final = placed(merged.drop("_lexical", "_rank").withColumn("fused", F.round(fused, 12)), "fused", "final_rank")
+    kept = final.where((F.col("final_rank") <= top_k) | (F.col("lexical_rank") <= floor))
+    first = F.when(F.col("final_rank") <= top_k, F.col("final_rank")).otherwise(F.lit(top_k) + F.col("lexical_rank"))
+    names = F.array(*[F.lit(f.name) for f in C.fields()])
+    return kept.withColumn("overall_rank", F.row_number().over(Window.partitionBy(*group).orderBy(first))).select(
+        *group[:-1],
+        F.get(names, F.col("field")).alias("field_name"),
+        "overall_rank",
+        "chunk_id",
+        F.round("fused", 9).alias("fused_score"),
+        "lexical_rank",
+        "semantic_rank",
+        F.col("label_rank").isNotNull().alias("label_hit"),
+        (F.col("final_rank") > top_k).alias("floor_inserted"),
     )

@@ -117,12 +117,13 @@ def test_literal_search_against_plain_bm25(spark):
         assert [r.score for r in got] == pytest.approx([want[c] for c in best], abs=1e-6)
 
 
-def test_ranks_in_buckets_equal_plain_ranks(spark):
+def test_ranks_over_many_tasks_equal_plain_ranks(spark):
     rng = random.Random(4)
     rows = [(g, round(rng.random(), 1) if g == "a" else 1.0, f"{rng.randint(0, 99):02}{k}") for g in "ab" for k in range(200)]
     df = spark.createDataFrame(rows, "g string, s double, t string")
-    for buckets, whole in ((1, 0), (7, 0), (7, 10**6)):
-        got = {(r.g, r.t): r["rank"] for r in retrieval.ranked(df, ["g"], "s", "t", "rank", buckets, whole).collect()}
+    # A bound of the largest group's size, one less, none at all, and a bound given by the caller.
+    for whole, largest in ((200, None), (199, None), (0, None), (10**6, 5), (0, 5)):
+        got = {(r.g, r.t): r["rank"] for r in retrieval.ranked(df, ["g"], "s", "t", "rank", largest, whole).collect()}
         for g in "ab":
             want = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))
             assert [got[g, r[2]] for r in want] == list(range(1, 201))
@@ -194,3 +195,24 @@ def test_combine_all_lists(spark):
         ("b", "contact"): "Desk (a@b.example; 555-0100); Ann", ("b", "model"): "AB-1; CD-2; EF-3",
         ("b", "text"): "Rated; the vendor expects 5.; Rated; the owner expects 6.", ("c", "contact"): "Open (x; y",
     }
+
+
+def test_field_search_over_many_tasks(spark):
+    """One bid with most of the chunks, many equal and close scores: ranks over many tasks give the same rows."""
+    rng = random.Random(9)
+    words = "bid bond due date contract pump model number delivery schedule product form email term of the".split()
+    rows = []
+    for k in range(150):
+        bid = "hot" if k % 10 else f"b{k % 7}"
+        text = " ".join(rng.choices(words, k=rng.randint(1, 6))) if k % 3 else "due date bond"
+        rows.append((k, f"c{k:03}", bid, f"{bid}-{k % 4}", "html" if k % 2 else "pdf", "Due Date" if k % 5 == 1 else None, text))
+    df = spark.createDataFrame(rows, "chunk_key long, chunk_id string, bid_id string, doc_id string, source_format string, section_identifier string, text string")
+    for per_document in (False, True):
+        want = sorted(map(tuple, retrieval.field_search(df, per_document=per_document).collect()), key=repr)
+        assert want and sorted(map(tuple, retrieval.field_search(df, per_document=per_document, whole=20).collect()), key=repr) == want
+
+
+def test_term_counts(spark):
+    df = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, None)], "k int, w array<string>")
+    got = {r.k: r.c for r in df.select("k", retrieval.term_counts(F.col("w")).alias("c")).collect()}
+    assert {k: c and sorted(map(tuple, c)) for k, c in got.items()} == {1: [("a", 1), ("b", 2)], 2: [], 3: None}
