@@ -116,6 +116,39 @@ def flat_contact(name: Column, email: Column, phone: Column) -> Column:
     return F.when(name.isNull(), F.nullif(details, F.lit(""))).when(details == "", name).otherwise(F.concat(name, F.lit(" ("), details, F.lit(")")))
 
 
+def normalised(value: Column, kind: Column) -> Column:
+    """struct<value, data_type> of a value by its kind: identifier, datetime, contact, list (of items after semicolons), else string.
+
+    value is text: the items of a list joined by semicolons, a contact on one line. Null for a null value.
+    """
+    name, email, phone = (contact(value)[n] for n in ("name", "email", "phone"))
+    items = F.filter(distinct_items(F.split(value, ";")), lambda x: x != "")
+
+    def made(form: Column, data_type: Column | str) -> Column:
+        return F.struct(form.alias("value"), (F.lit(data_type) if isinstance(data_type, str) else data_type).alias("data_type"))
+
+    date_type = F.when(relative_date(value), "relative_date").otherwise("datetime")
+    form = (
+        F.when(kind == "identifier", made(identifier(value), "identifier"))
+        .when(kind == "datetime", made(dated(value), date_type))
+        .when(kind == "contact", made(flat_contact(name, email, phone), "contact"))
+        .when(kind == "list", made(F.array_join(items, "; "), "list"))
+        .otherwise(made(collapsed(value), "string"))
+    )
+    return F.when(value.isNotNull(), form)
+
+
+def contact_supported(name: Column, email: Column, phone: Column, excerpt: Column) -> Column:
+    """Whether a contact has a part, and every part of it stands in the excerpt at some level."""
+    parts = F.filter(F.array(name, email, phone), lambda x: F.coalesce(x, F.lit("")) != "")
+    return (F.size(parts) > 0) & F.forall(parts, lambda x: match_level(x, excerpt).isNotNull())
+
+
+def list_supported(items: Column, excerpt: Column) -> Column:
+    """Whether every item of a list stands in the excerpt at some level."""
+    return F.forall(items, lambda x: match_level(x, excerpt).isNotNull())
+
+
 def materially_different(a: Column, b: Column) -> Column:
     """Whether two comparable values differ and neither contains the other; an empty one differs from any other."""
     return F.when((a == "") | (b == ""), a != b).otherwise((a != b) & ~F.contains(a, b) & ~F.contains(b, a))

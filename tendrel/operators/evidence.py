@@ -77,18 +77,6 @@ def resolve(records: DataFrame, fields: list[str], order: list[Column]) -> DataF
     )
 
 
-def combine(records: DataFrame, field: str) -> DataFrame:
-    """bid_id and items: the different items of a list field over all records of a bid, first spelling first."""
-    item = F.posexplode(F.split(field, r"\s*;\s*")).alias("at", "item")
-    rows = records.where(F.col(field).isNotNull()).select("bid_id", "record_id", item)
-    rows = rows.withColumn("form", X.comparable(F.col("item"))).where("form <> ''")
-    place = F.struct("record_id", "at")
-    first = rows.groupBy("bid_id", "form").agg(F.min_by("item", place).alias("item"), F.min(place).alias("place"))
-    # One entry per different item; sorting the pairs puts them in order of appearance.
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "form", "item"))), lambda x: x["item"])
-    return first.groupBy("bid_id").agg(F.array_join(listed, "; ").alias("items"))
-
-
 #: An item of a list value: up to a semicolon that stands outside brackets, as in `Desk (a@b.example; 555-0100)`.
 ITEM = r"(?:\([^)]*\)|[^;(]+|\()+"
 
@@ -224,6 +212,12 @@ def all_fields(bids: DataFrame, resolved: DataFrame, names: list[str]) -> DataFr
     return joined.select("bid_id", (F.col("at") + 1).alias("position"), "field_name", status.alias("status"), "value")
 
 
+def public_contact(contact: Column) -> Column:
+    """map of the parts that a contact has: name, email, phone; empty ones are left out."""
+    entries = F.array(*[F.struct(F.lit(n).alias("k"), contact[n].alias("v")) for n in ("name", "email", "phone")])
+    return F.map_from_entries(F.filter(entries, lambda e: F.coalesce(e["v"], F.lit("")) != ""))
+
+
 #: What stands around an excerpt in a context, and what an excerpt so adds to its text (the handle has nine characters).
 EXCERPT = ("<excerpt id=", ">\n", "\n</excerpt>")
 EXCERPT_OVERHEAD = sum(map(len, EXCERPT)) + 9 + len("\n")

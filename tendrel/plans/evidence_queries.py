@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tendrel import catalog as C
@@ -103,16 +103,6 @@ def near_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return E.within(chunks, asked).unionByName(E.same_pages(chunks, asked)).distinct()
 
 
-@QUERIES.query(
-    "document_labels",
-    "SELECT bid_id, doc_id, concat('D', row_number() OVER (PARTITION BY bid_id ORDER BY doc_id)) AS label FROM (SELECT DISTINCT bid_id, doc_id FROM parsed_docs)",
-)
-def document_labels(spark: SparkSession, folder: str) -> DataFrame:
-    """Short labels of the documents of a bid, in order of their ids."""
-    rows = table(spark, folder, "parsed_docs").select("bid_id", "doc_id").distinct()
-    return rows.withColumn("label", F.concat(F.lit("D"), F.row_number().over(Window.partitionBy("bid_id").orderBy("doc_id"))))
-
-
 @QUERIES.query(
     "chunk_provenance",
     """SELECT c.chunk_key, d.parsed_key, d.metadata.document_type AS document_type, d.metadata.addendum_number AS addendum_number, c.page_numbers[1] AS page
@@ -129,7 +119,7 @@ _Q2, _T2 = (_q(_SPACED, _q(PUNCTUATION, c), " ") for c in ("quote", "text"))
 _Q4, _T4 = (f"lower({_q(_SPACED, _q(PUNCTUATION, c), '')})" for c in ("quote", "text"))
 
 
-_JUDGED = f"""texts AS (SELECT chunk_id, text, TRUE AS there FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY chunk_key) AS rn FROM chunks WHERE chunk_id IS NOT NULL) WHERE rn = 1),
+JUDGED = f"""texts AS (SELECT chunk_id, text, TRUE AS there FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY chunk_key) AS rn FROM chunks WHERE chunk_id IS NOT NULL) WHERE rn = 1),
     matched AS (SELECT evidence_key, quote, text, there, CASE WHEN trim(coalesce(quote, '')) = '' OR contains(quote, '...') OR coalesce(text, '') = '' THEN NULL
         WHEN contains(text, quote) THEN 'L1' WHEN contains({_T2}, {_Q2}) THEN 'L2' WHEN contains(lower({_T2}), lower({_Q2})) THEN 'L3'
         WHEN {_Q4} <> '' AND contains({_T4}, {_Q4}) THEN 'L4' END AS level FROM evidence LEFT JOIN texts USING (chunk_id)),
@@ -138,11 +128,13 @@ _JUDGED = f"""texts AS (SELECT chunk_id, text, TRUE AS there FROM (SELECT *, row
 _IS_BLANK = f"regexp_full_match(substr(text, CAST({{0}} AS INTEGER), 1), '{BLANKS}')"
 _KEPT = f"""CASE WHEN level IN ('L2', 'L3') THEN list_filter(range(length(text)), lambda i: NOT ({_IS_BLANK.format("i + 1")} AND i > 0 AND {_IS_BLANK.format("i")}))
         WHEN level = 'L4' THEN list_filter(range(length(text)), lambda i: NOT {_IS_BLANK.format("i + 1")}) ELSE range(length(text)) END"""
-_GROUNDED = f"""WITH {_JUDGED},
+# The same with the place of every match.
+JUDGED = f"""{JUDGED},
     forms AS (SELECT *, CASE level WHEN 'L1' THEN instr(text, quote) WHEN 'L2' THEN instr({_T2}, {_Q2}) WHEN 'L3' THEN instr(lower({_T2}), lower({_Q2})) WHEN 'L4' THEN instr({_T4}, {_Q4}) END AS p,
         CASE level WHEN 'L1' THEN length(quote) WHEN 'L4' THEN length({_Q4}) ELSE length({_Q2}) END AS size, {_KEPT} AS kept FROM judged),
-    placed AS (SELECT *, CAST(kept[p] AS INTEGER) AS start_at, CAST(kept[p + size - 1] + 1 AS INTEGER) AS end_at FROM forms)
-    SELECT evidence_key, level, start_at, end_at, substr(text, start_at + 1, end_at - start_at) AS matched, reason FROM placed"""
+    spans AS (SELECT *, CAST(kept[p] AS INTEGER) AS start_at, CAST(kept[p + size - 1] + 1 AS INTEGER) AS end_at FROM forms),
+    placed AS (SELECT evidence_key, level, start_at, end_at, substr(text, start_at + 1, end_at - start_at) AS matched, reason FROM spans)"""
+_GROUNDED = f"WITH {JUDGED} SELECT * FROM placed"
 
 
 @QUERIES.query(
@@ -156,7 +148,7 @@ def grounded_evidence(spark: SparkSession, folder: str) -> DataFrame:
 
 @QUERIES.query(
     "candidate_status",
-    f"""WITH {_JUDGED},
+    f"""WITH {JUDGED},
     owned AS (SELECT candidate_id, evidence_key, level, reason FROM judged JOIN (SELECT evidence_key, candidate_id FROM evidence WHERE candidate_id IS NOT NULL) USING (evidence_key)),
     grouped AS (SELECT candidate_id, count(*) AS pieces, coalesce(bool_or(level = 'L1'), FALSE) AS verbatim, min(evidence_key) FILTER (WHERE reason IS NOT NULL) AS failed_key FROM owned GROUP BY candidate_id)
     SELECT g.candidate_id, pieces, failed_key IS NULL AS accepted, CASE WHEN failed_key IS NULL THEN CASE WHEN verbatim THEN 'exact' ELSE 'semantic' END END AS match, reason, failed_key
@@ -194,8 +186,6 @@ def field_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return long.select("field_name", "records", "found", (F.col("records") - F.col("found")).alias("missing"))
 
 
-#: Fields of one value, of which one of several records is chosen.
-_CHOSEN = ["bid_number", "title", "term_of_bid", "payment_terms", "company_name", "bid_bond_requirement"]
 _TIERS = {"direct_upload": 0, "portal_north": 1, "lakes_portal": 1, "county_ftp": 1, "statewide_rss": 2, "mail_gateway": 2, "pdf_drop": 2}
 _TIER_SQL = "CASE feed " + " ".join(f"WHEN '{f}' THEN {t}" for f, t in _TIERS.items()) + " ELSE 3 END"
 
@@ -215,38 +205,11 @@ def _resolved_sql(names: list[str]) -> str:
     SELECT bid_id, field_name, value, record_id, candidates, coalesce(rivals, 0) AS rivals, coalesce(rivals, 0) > 0 AS conflicting FROM best LEFT JOIN rivals USING (bid_id, field_name)"""
 
 
-_RESOLVED = _resolved_sql(_CHOSEN)
-
-
-@QUERIES.query(
-    "resolved_fields",
-    _RESOLVED,
-)
-def resolved_fields(spark: SparkSession, folder: str) -> DataFrame:
-    """The value of six fields of every bid: by the feed's tier, then the latest extraction; with its rivals."""
-    return _resolved(spark, folder, _CHOSEN)
-
-
 def _resolved(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
     tier = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in _TIERS.items() for x in kv]), F.col("feed")), F.lit(3))
     return E.resolve(table(spark, folder, "bid_records"), names, [tier, (-F.unix_micros(F.col("extracted_at").cast("timestamp"))).alias("_late")])
 
 
-_FIELD_ROWS = ", ".join(f"({k}, '{n}')" for k, n in enumerate(_CHOSEN, 1))
-_ALL_FIELDS = f"""SELECT bid_id, position, field_name, CASE WHEN conflicting THEN 'conflicting' WHEN value IS NOT NULL THEN 'found' ELSE 'not_found' END AS status, value
-    FROM (SELECT DISTINCT bid_id FROM bid_records) CROSS JOIN (VALUES {_FIELD_ROWS}) AS f(position, field_name) LEFT JOIN ({_RESOLVED}) USING (bid_id, field_name)"""
-
-
-def _all_fields(spark: SparkSession, folder: str) -> DataFrame:
-    return E.all_fields(table(spark, folder, "bid_records"), _resolved(spark, folder, _CHOSEN), _CHOSEN)
-
-
-@QUERIES.query("bid_fields", _ALL_FIELDS)
-def bid_fields(spark: SparkSession, folder: str) -> DataFrame:
-    """Every bid with all chosen fields, found or not."""
-    return _all_fields(spark, folder)
-
-
 _COUNTS = """SELECT bid_id, count(*) AS total, count(*) FILTER (WHERE status <> 'not_found') AS found, count(*) FILTER (WHERE status = 'not_found') AS missing,
         count(*) FILTER (WHERE status = 'conflicting') AS conflicting FROM ({0}) GROUP BY bid_id"""
 _JSON = """SELECT bid_id, to_json(list({{'field': field_name, 'status': status, 'value': value}} ORDER BY position))::VARCHAR AS fields FROM ({0}) GROUP BY bid_id"""
@@ -269,18 +232,6 @@ def _json(fields: DataFrame) -> DataFrame:
     return gathered.select("bid_id", F.to_json(F.transform("all", lambda x: x["entry"]), {"ignoreNullFields": "false"}).alias("fields"))
 
 
-@QUERIES.query("bid_counts", _COUNTS.format(_ALL_FIELDS))
-def bid_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """How many fields of a bid are found, missing and conflicting; a conflicting one counts as found."""
-    return _counts(_all_fields(spark, folder))
-
-
-@QUERIES.query("bid_json", _JSON.format(_ALL_FIELDS))
-def bid_json(spark: SparkSession, folder: str) -> DataFrame:
-    """A JSON line per bid: its fields in order, with status and value."""
-    return _json(_all_fields(spark, folder))
-
-
 @QUERIES.query(
     "rule_candidates",
     rf"""WITH found AS (SELECT doc_id, chunk_seq, chunk_key, generate_subscripts(f, 1) AS no, unnest(f) AS phrase FROM (
@@ -308,18 +259,6 @@ def bid_overview(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@QUERIES.query(
-    "combined_lists",
-    rf"""WITH items AS (SELECT bid_id, record_id, generate_subscripts(l, 1) AS place, unnest(l) AS item FROM (SELECT bid_id, record_id, regexp_split_to_array(product, '\s*;\s*') AS l FROM bid_records WHERE product IS NOT NULL)),
-    formed AS (SELECT *, {COMPARABLE.format("item")} AS form FROM items),
-    firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bid_id, form ORDER BY record_id, place) AS rn FROM formed WHERE form <> '') WHERE rn = 1)
-    SELECT bid_id, string_agg(item, '; ' ORDER BY record_id, place) AS items FROM firsts GROUP BY bid_id""",
-)
-def combined_lists(spark: SparkSession, folder: str) -> DataFrame:
-    """The different products of every bid, over all its records."""
-    return E.combine(table(spark, folder, "bid_records"), "product")
-
-
 @QUERIES.query(
     "flat_json",
     "SELECT record_id, bid_id, to_json({" + ", ".join(f"'{f.label}': {f.name}" for f in C.fields()) + "})::VARCHAR AS flat FROM bid_records",
@@ -400,16 +339,6 @@ def evidence_by_document(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@QUERIES.query(
-    "record_agreement",
-    f"""WITH forms AS (SELECT bid_id, field_name, {COMPARABLE.format("value")} AS form FROM (UNPIVOT (SELECT bid_id, title, company_name, term_of_bid FROM bid_records) ON title, company_name, term_of_bid INTO NAME field_name VALUE value))
-    SELECT bid_id, field_name, count(*) AS stated, count(DISTINCT form) AS forms, min(form) AS a_form FROM forms GROUP BY ALL""",
-)
-def record_agreement(spark: SparkSession, folder: str) -> DataFrame:
-    """How many different values the records of a bid state for three fields, spelling aside."""
-    return _agreement(spark, folder, ["title", "company_name", "term_of_bid"])
-
-
 def _agreement(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
     long = table(spark, folder, "bid_records").unpivot("bid_id", names, "field_name", "value").where("value IS NOT NULL")
     forms = long.select("bid_id", "field_name", X.comparable(F.col("value")).alias("form"))
@@ -481,7 +410,7 @@ _CATALOGUE_FIELDS = f"""SELECT bid_id, position, field_name, CASE WHEN conflicti
 
 @QUERIES.query("catalogue_resolved", _CATALOGUE_RESOLVED)
 def catalogue_resolved(spark: SparkSession, folder: str) -> DataFrame:
-    """As resolved_fields, for all 13 fields of one value."""
+    """The value of all 13 fields of one value of every bid: by the feed's tier, then the latest extraction; with its rivals."""
     return _resolved(spark, folder, _SINGLE)
 
 
@@ -505,13 +434,13 @@ def catalogue_fields(spark: SparkSession, folder: str) -> DataFrame:
 
 @QUERIES.query("catalogue_counts", _COUNTS.format(_CATALOGUE_FIELDS))
 def catalogue_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """As bid_counts, over all 20 fields."""
+    """How many of the 20 fields of a bid are found, missing and conflicting; a conflicting one counts as found."""
     return _counts(_catalogue_fields(spark, folder))
 
 
 @QUERIES.query("catalogue_json", _JSON.format(_CATALOGUE_FIELDS))
 def catalogue_json(spark: SparkSession, folder: str) -> DataFrame:
-    """As bid_json, with all 20 fields."""
+    """A JSON line per bid: all 20 fields in order, with status and value."""
     return _json(_catalogue_fields(spark, folder))
 
 
@@ -521,7 +450,7 @@ def catalogue_json(spark: SparkSession, folder: str) -> DataFrame:
     SELECT bid_id, field_name, count(*) AS stated, count(DISTINCT form) AS forms, min(form) AS a_form FROM forms GROUP BY ALL""",
 )
 def catalogue_agreement(spark: SparkSession, folder: str) -> DataFrame:
-    """As record_agreement, for all 20 fields."""
+    """How many different values the records of a bid state for each of the 20 fields, spelling aside."""
     return _agreement(spark, folder, NAMES)
 
 
@@ -530,7 +459,7 @@ def catalogue_agreement(spark: SparkSession, folder: str) -> DataFrame:
     f"""SELECT record_id, field_name, value FROM (UNPIVOT (SELECT record_id, {", ".join(NAMES)} FROM bid_records) ON {", ".join(NAMES)} INTO NAME field_name VALUE value) WHERE NOT ({_STATED.format("value")})""",
 )
 def catalogue_placeholders(spark: SparkSession, folder: str) -> DataFrame:
-    """As placeholders, for all 20 fields."""
+    """Values of the 20 fields that only stand in for missing ones."""
     rows = table(spark, folder, "bid_records").unpivot("record_id", NAMES, "field_name", "value")
     return rows.where(X.placeholder(F.col("value")))
 

@@ -165,20 +165,6 @@ def contacts(spark: SparkSession, folder: str) -> DataFrame:
     return parted.withColumn("flat", X.flat_contact(F.col("name"), F.col("email"), F.col("phone")))
 
 
-@QUERIES.query(
-    "placeholders",
-    r"""SELECT record_id, field_name, value FROM (UNPIVOT (SELECT record_id, due_date, pre_bid_meeting, payment_terms, delivery_date FROM bid_records)
-        ON due_date, pre_bid_meeting, payment_terms, delivery_date INTO NAME field_name VALUE value)
-    WHERE trim(value) = '' OR NOT regexp_matches(value, '[\p{L}\p{N}_]') OR contains(value, '___') OR regexp_matches(trim(value), '(?s)^[(\[{].*[)\]}]$')
-        OR lower(trim(value)) IN ('n/a', 'na', 'none', 'null', 'tbd', 'unknown', 'not specified', 'not stated', 'not applicable')""",
-)
-def placeholders(spark: SparkSession, folder: str) -> DataFrame:
-    """Values that only stand in for missing ones."""
-    fields = ["due_date", "pre_bid_meeting", "payment_terms", "delivery_date"]
-    rows = table(spark, folder, "bid_records").unpivot("record_id", fields, "field_name", "value")
-    return rows.where(X.placeholder(F.col("value")))
-
-
 @QUERIES.query(
     "amendment_cues",
     "SELECT doc_id, coalesce("

@@ -168,7 +168,7 @@ def test_resolve_and_combine(spark):
     out = {r.bid_id: r for r in evidence.resolve(df, ["name"], [F.col("tier"), F.lit(0).alias("o")]).collect()}
     assert out["b"].value == "Acme Inc" and out["b"].candidates == 4 and out["b"].rivals == 1 and out["b"].conflicting
     assert set(out) == {"b", "d"} and not out["d"].conflicting
-    items = {r.bid_id: r["items"] for r in evidence.combine(df, "name").collect()}
+    items = {r.bid_id: r["items"] for r in evidence.combine_lists(df, ["name"]).collect()}
     assert items["d"] == "One; two"
 
 
