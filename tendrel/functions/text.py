@@ -215,46 +215,6 @@ def supported(claim: Column, excerpt: Column) -> Column:
     return F.forall(F.filter(tokens(claim), lambda t: F.length(t) > 4), lambda t: F.contains(low, t))
 
 
-def match(quote: Column, text: Column) -> Column:
-    """How and where a quote is found: struct<level, start, end, matched>; null if nowhere.
-
-    Levels: L1 verbatim, L2 with plain punctuation and gaps, L3 without case, L4 without gaps. start and end (exclusive)
-    count characters of the text from 0, matched is what stands there. An empty quote or text is never found. Each level is
-    computed only where those before it fail, and places only where one succeeds.
-    """
-    q2, t2 = (F.regexp_replace(standard_punctuation(x), _SPACE, " ") for x in (quote, text))
-    q4, t4 = (F.lower(F.regexp_replace(standard_punctuation(x), _SPACE, "")) for x in (quote, text))
-
-    def placed(level: str, at: Column, size: Column, kept: Callable[[Column, Column], Column] | None) -> Column:
-        """The match at a place (from 1) of a form of the text, of which `kept` tells the characters that stand in it."""
-        if kept is None:
-            first, last = at - 1, at + size - 2
-        else:
-            chars = F.transform(F.split(text, ""), lambda c: c.rlike(_SPACE))
-            places = F.filter(F.transform(chars, lambda s, i: F.when(kept(s, F.get(chars, i - 1)), i)), lambda i: i.isNotNull())
-            first, last = F.get(places, at - 1), F.get(places, at + size - 2)
-        return F.struct(F.lit(level).alias("level"), first.cast("int").alias("start"), (last + 1).cast("int").alias("end"))
-
-    def found(level: str, form: Column, sought: Column, kept: Callable[[Column, Column], Column] | None) -> Column:
-        return _let(F.instr(form, sought), lambda at: F.when(at > 0, placed(level, at, F.length(sought), kept)))
-
-    def collapsed_gap(space: Column, before: Column) -> Column:
-        return ~(space & F.coalesce(before, F.lit(False)))
-
-    levels = F.coalesce(
-        found("L1", text, quote, None),
-        found("L2", t2, q2, collapsed_gap),
-        found("L3", F.lower(t2), F.lower(q2), collapsed_gap),
-        F.when(q4 != "", found("L4", t4, q4, lambda space, _: ~space)),
-    )
-
-    def with_text(h: Column) -> Column:
-        names = ("level", "start", "end")
-        return F.struct(*[h[n].alias(n) for n in names], F.substring(text, h["start"] + 1, h["end"] - h["start"]).alias("matched"))
-
-    return _let(F.when((quote != "") & (text != ""), levels), lambda h: F.when(h.isNotNull(), with_text(h)))
-
-
 def match_level(quote: Column, text: Column) -> Column:
     """The level at which a quote is found (see `match`), without its place; null if nowhere."""
     q2, t2 = (F.regexp_replace(standard_punctuation(x), _SPACE, " ") for x in (quote, text))
@@ -268,6 +228,52 @@ def match_level(quote: Column, text: Column) -> Column:
     return F.when((quote != "") & (text != ""), found)
 
 
+def matched_text(level: Column, quote: Column, text: Column) -> Column:
+    """What stands in the text where a quote is found at a level; its place is the first of what stands there.
+
+    Beyond L1 the quote becomes a pattern: any shape of its punctuation, any gap of its gaps (of the last one a single
+    character), and for L4 gaps between all characters. What the pattern finds is compared with the quote once more; where
+    letters fold differently in patterns, the characters that stand in the level's form of the text are counted instead.
+    """
+    q2, q4 = (F.regexp_replace(standard_punctuation(quote), _SPACE, gap) for gap in (" ", ""))
+    blank = _SPACE.removesuffix("+")
+    written = blank.replace("\\", "\\\\")
+
+    def escaped(q: Column) -> Column:
+        return F.regexp_replace(q, r"([^\p{L}\p{N} ])", r"\\$1")
+
+    def any_shape(pattern: Column) -> Column:
+        for plain, shapes in SHAPES.items():
+            pattern = F.replace(pattern, F.lit("\\" + plain), F.lit(f"[\\{plain}{shapes}]"))
+        return pattern
+
+    gaps = F.regexp_replace(F.regexp_replace(any_shape(escaped(q2)), " $", written), " ", written + "+")
+    tight = any_shape(F.regexp_replace(F.regexp_replace(escaped(q4), r"(\\\\.|[^\\\\])", f"$1{written}*"), r"\[[^\]]*\]\*$", ""))
+    pattern = F.when(level == "L2", gaps).when(level == "L3", F.concat(F.lit("(?iu)"), gaps)).otherwise(F.concat(F.lit("(?iu)"), tight))
+    hit = F.regexp_substr(text, pattern)
+    again = match_form(level, hit) == match_form(level, quote)
+    return F.when(level == "L1", quote).when(level.isNotNull(), F.coalesce(F.when(again, hit), _counted_match(level, quote, text)))
+
+
+def match_form(level: Column, text: Column) -> Column:
+    """The form of a text that a level compares."""
+    gaps, tight = (F.regexp_replace(standard_punctuation(text), _SPACE, gap) for gap in (" ", ""))
+    return F.when(level == "L1", text).when(level == "L2", gaps).when(level == "L3", F.lower(gaps)).otherwise(F.lower(tight))
+
+
+def _counted_match(level: Column, quote: Column, text: Column) -> Column:
+    """The same by counting the characters of the text that stand in its form."""
+    blanks = F.transform(F.split(text, ""), lambda c: c.rlike(_SPACE))
+
+    def places(b: Column) -> Column:
+        kept = F.when(level == "L4", F.transform(b, lambda x: ~x)).otherwise(F.transform(b, lambda x, i: ~(x & F.coalesce(F.get(b, i - 1), F.lit(False)))))
+        return F.filter(F.transform(kept, lambda k, i: F.when(k, i)), lambda i: i.isNotNull())
+
+    form, size = match_form(level, text), F.length(match_form(level, quote))
+    at = F.instr(form, match_form(level, quote))
+    return _let(_let(blanks, places), lambda p: F.substring(text, F.get(p, at - 1) + 1, F.get(p, at + size - 2) + 1 - F.get(p, at - 1)))
+
+
 def handle(chunk_id: Column, digits: int = 8) -> Column:
     """A short handle of a chunk."""
     return F.concat(F.lit("E"), F.substring(F.sha2(chunk_id, 256), 1, digits))

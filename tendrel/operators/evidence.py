@@ -23,15 +23,18 @@ def ground(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
     rows = evidence.select("evidence_key", "chunk_id", "quote").join(known, "chunk_id", "left")
     quote = F.coalesce("quote", F.lit(""))
     usable = (F.trim(quote) != "") & ~F.contains(quote, F.lit("..."))
-    rows = rows.withColumn("_m", F.when(usable, X.match(F.col("quote"), F.coalesce("_text", F.lit("")))))
+    # A column each, so that none is computed again for the next.
+    rows = rows.withColumn("level", F.when(usable, X.match_level(F.col("quote"), F.coalesce("_text", F.lit("")))))
+    rows = rows.withColumn("matched", X.matched_text(F.col("level"), F.col("quote"), F.col("_text")))
+    rows = rows.withColumn("start_at", F.instr("_text", F.col("matched")) - 1)
     reason = (
         F.when(F.trim(quote) == "", REASONS[0])
         .when(~usable, REASONS[1])
         .when(F.col("_there").isNull(), REASONS[2])
-        .when(F.col("_m").isNull(), REASONS[3])
+        .when(F.col("level").isNull(), REASONS[3])
     )
-    places = (F.col(f"_m.{a}").alias(b) for a, b in (("level", "level"), ("start", "start_at"), ("end", "end_at"), ("matched", "matched")))
-    return rows.select("evidence_key", *places, reason.alias("reason"))
+    end = F.col("start_at") + F.length("matched")
+    return rows.select("evidence_key", "level", "start_at", end.alias("end_at"), "matched", reason.alias("reason"))
 
 
 def first_texts(chunks: DataFrame) -> DataFrame:

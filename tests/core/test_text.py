@@ -78,13 +78,15 @@ def slow_match(quote, text):
 
 def test_places_of_matches(spark):
     rng = random.Random(6)
-    rows = [("", "x"), ("x", ""), (None, "x"), ("x", None), ("a@b.com", "mail a@b.\n com now"), ("“so”  it", "he said \"so\"\u3000\u3000it"), ("ÉTÉ", "à l’été"), (" ", "ab"), ("pump", "x " * 30_000 + "PU MP")]
+    rows = [("", "x"), ("x", ""), (None, "x"), ("x", None), ("a@b.com", "mail a@b.\n com now"), ("“so”  it", "he said \"so\"\u3000\u3000it"), ("ÉTÉ", "à l’été"), (" ", "ab"), ("$5 (a) [b] x.y* \\\\ ", "cost  $5 (A)\u2009[b] X.Y* \\\\  end"), ("\u017fee K", "see k \u017fee  K"), ("a ", "ba\n\nc"), ("pump", "x " * 30_000 + "PU MP")]
     rows += [("".join(rng.choices("aB ’\n-", k=rng.randint(1, 4))), "".join(rng.choices("AaBb  '’\n\u2003–-", k=rng.randint(1, 14)))) for _ in range(400)]
     df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, q string, t string")
-    got = df.select("k", X.match(F.col("q"), F.col("t")).alias("m"), X.match_level(F.col("q"), F.col("t")).alias("l")).orderBy("k").collect()
-    for (q, t), r in zip(rows, got, strict=True):
+    level, quote, text = X.match_level(F.col("q"), F.col("t")), F.col("q"), F.col("t")
+    found = df.withColumn("l", level).withColumn("m", X.matched_text(F.col("l"), quote, text)).withColumn("c", F.when(F.col("l") > "L1", X._counted_match(F.col("l"), quote, text)))
+    for (q, t), r in zip(rows, found.orderBy("k").collect(), strict=True):
         want = slow_match(q, t)
-        assert (tuple(r.m) if r.m else None) == want and r.l == (want[0] if want else None), (q, t)
+        assert (r.l and (r.l, t.find(r.m), t.find(r.m) + len(r.m), r.m)) == want, (q, t)
+        assert r.c is None or r.c == r.m, (q, t)
 
 
 def test_dates_and_contacts(spark):
