@@ -59,16 +59,21 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_shares(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
 
 
+def _repaired(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return encoding.repair_encoding(documents, "doc_id", model=encoding.fit_text_model(documents))
+
+
 @QUERIES.query("p8_found")
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a passage decoded with the wrong encoding."""
-    return encoding.repair_encoding(table(spark, folder, "documents"), "doc_id").select("doc_id")
+    return _repaired(spark, folder).select("doc_id")
 
 
 @QUERIES.query("p8_restored")
 def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
     """The affected documents with their original text, as far as it can be regained."""
-    return encoding.repair_encoding(table(spark, folder, "documents"), "doc_id")
+    return _repaired(spark, folder)
 
 
 @QUERIES.query("p4_found")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 import unicodedata
+from collections import Counter
 
 import pyarrow as pa
 import pytest
@@ -471,6 +472,54 @@ def test_twice_and_lost():
     assert encoding.label("The sum of �14,082 is held") and encoding.label(text.encode().decode("gbk", "replace"))
 
 
+TURKISH = "Şartnamede belirtilen değişiklikler için yüklenici ile görüşülmüştür; işin süresi üç yıldır ve başlangıç tarihi değişmiştir."
+GREEK = "Οι προσφορές υποβάλλονται εγγράφως έως τις δώδεκα Μαρτίου στο πρωτόκολλο της υπηρεσίας."
+
+
+@pytest.mark.parametrize(("written", "read", "text"), [("cp1254", "cp1252", TURKISH), ("cp1253", "cp1252", GREEK), ("iso8859-7", "latin-1", GREEK)])
+def test_further_alphabets(written, read, text):
+    garbled = garble_single(text, written, read)
+    assert encoding.restore(garbled, encoding.label(garbled)) == text
+    for codec in ("cp1253", "cp1254", "cp1255", "cp1256", "cp1257"):
+        assert encoding.restore(garble(text, codec), encoding.label(garble(text, codec))) == text
+    assert encoding.label(text) == []
+
+
+def garble_single(text, written, read):
+    table = {b: c for c, b in encoding._byte_of(read).items()}
+    return "".join(table[b] for b in text.encode(written))
+
+
+def test_labels_are_per_character():
+    text = "the (" + garble("“naïve”", "cp1252") + "), and x" + garble("–", "cp1252") + "y"
+    assert encoding.restore(text, encoding.label(text)) == "the (“naïve”), and x–y"
+    spans = encoding.label(text)
+    assert text[spans[0][0]] == "â" and all(text[a] >= "\x80" for a, _, _ in spans)
+    # A clean word right beside a garbled one, without a blank between.
+    mixed = "café/" + garble("café", "mac_roman") + "/café"
+    assert encoding.restore(mixed, encoding.label(mixed)) == "café/café/café"
+    assert encoding.label("a\xa0b\xa0für\xa0c") == []
+
+
+def test_model_is_fitted_on_clean_texts(spark):
+    clean, bad = [RUSSIAN, *CLEAN], [garble(t, c) for t in CLEAN[:6] for c in ("cp1252", "koi8-r")] + ["lost � here"]
+    rows = [(k, t) for k, t in enumerate([*clean, *bad, None, ""])]
+    model = encoding.fit_text_model(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = Counter(c for t in clean for c in t if c >= "\x80")
+    assert model.characters == dict(want)
+    pairs = Counter()
+    for t in clean:
+        kinds = [encoding._BLANK if c < "\x80" and not c.isalnum() else encoding._kind(c)[0] for c in t]
+        pairs.update(a + b for a, b in itertools.pairwise(kinds))
+    assert model.pairs == dict(pairs)
+    assert encoding.fit_text_model(spark.createDataFrame([], "doc_id long, text string")).of("é") == encoding.TextModel().of("é")
+    many = encoding.TextModel({"é": 500_000, "о": 900_000}, {"la": 1})
+    assert many.of("é") < encoding.TextModel().of("é") and many.of("Ã") > encoding.TextModel().of("Ã")
+    labeller = encoding.Labeller(encoding.TextModel({c: n * 20_000 for c, n in want.items()}, {p: n * 20_000 for p, n in pairs.items()}))
+    assert [labeller.spans(t) for t in clean] == [[]] * len(clean)
+    assert all(encoding.restore(b, labeller.spans(b)) == t for t in CLEAN[:6] for b in [garble(t, "cp1252")])
+
+
 def test_repair_encoding(spark):
     rows = [(1, CLEAN[0], "x"), (2, garble(CLEAN[1], "cp1252"), "x"), (2, garble(CLEAN[1], "cp1252"), "x"), (3, None, "x"), (4, "", "x"), (5, "cost �5", "x"), (6, LONG + garble("café", "cp437"), "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, labels string")
