@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,22 +147,33 @@ def quote_pages(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
     return found.select("evidence_key", F.when(single, with_it).otherwise(F.col("page_numbers")).alias("pages"))
 
 
-def select_context(chunks: DataFrame, documents: DataFrame, found: DataFrame, small: int = 15_000, front: int = 2) -> DataFrame:
+def select_context(chunks: DataFrame, documents: DataFrame, found: DataFrame, paged: list[str], small: int = 15_000, front: int = 2) -> DataFrame:
     """chunk_key and reasons (sorted, comma separated): the chunks that a context may draw on, and why.
 
-    whole: chunks of documents of at most `small` characters; front: chunks on the first `front` pages of larger ones;
-    retrieved: `found` (chunk_key); neighbour and page: what stands next to those or shares a page with them. documents:
-    doc_id and text_chars. Each rule is a plan of its own; their union is grouped once.
+    affidavit: chunks of affidavits that name a form, and nothing else of these; whole: chunks of other documents of at
+    most `small` characters. Of larger ones: front: chunks on the first `front` pages; retrieved: what `found` (bid_id,
+    doc_id, chunk_id, field_name) has; neighbour: what stands next to that; page: what shares a page with what was found
+    for one of the fields of `paged`. documents: doc_id, text_chars and document_type; chunks of other documents are left
+    out. Each rule is a plan of its own; their union is grouped once.
     """
-    sized = chunks.join(documents.select("doc_id", "text_chars"), "doc_id")
-    whole = sized.where(F.col("text_chars") <= small).select("chunk_key", F.lit("whole").alias("reason"))
-    on_front = F.exists("page_numbers", lambda p: p <= front)
-    first = sized.where((F.col("text_chars") > small) & on_front).select("chunk_key", F.lit("front").alias("reason"))
-    asked = chunks.join(found.select("chunk_key"), "chunk_key", "left_semi")
-    retrieved = asked.select("chunk_key", F.lit("retrieved").alias("reason"))
-    near = within(chunks, asked).select(F.col("near_key").alias("chunk_key"), F.lit("neighbour").alias("reason"))
-    paged = same_pages(chunks, asked).select(F.col("near_key").alias("chunk_key"), F.lit("page").alias("reason"))
-    every = whole.unionByName(first).unionByName(retrieved).unionByName(near).unionByName(paged)
+    sized = chunks.join(documents.select("doc_id", "text_chars", "document_type"), "doc_id")
+    is_affidavit = F.coalesce(F.col("document_type") == "affidavit", F.lit(False))
+    other, large = sized.where(~is_affidavit), ~is_affidavit & (F.col("text_chars") > small)
+
+    def why(df: DataFrame, reason: str, key: str = "chunk_key") -> DataFrame:
+        return df.select(F.col(key).alias("chunk_key"), F.lit(reason).alias("reason"))
+
+    named = sized.where(is_affidavit & F.col("text").rlike(X.NAMED_FORM))
+    first = sized.where(large & F.exists("page_numbers", lambda p: p <= front))
+    columns = ["chunk_key", "doc_id", "chunk_seq", "page_numbers", "bid_id", "chunk_id"]
+    bodies = sized.where(large).select(*columns)
+    hits = found.groupBy("bid_id", "doc_id", "chunk_id").agg(F.bool_or(F.col("field_name").isin(*paged)).alias("_paged"))
+    asked = bodies.join(hits, ["bid_id", "doc_id", "chunk_id"])
+    near = within(bodies, asked)
+    on_page = same_pages(bodies, asked.where("_paged"))
+    rules = [why(named, "affidavit"), why(other.where(F.col("text_chars") <= small), "whole"), why(first, "front"), why(asked, "retrieved")]
+    rules += [why(near, "neighbour", "near_key"), why(on_page, "page", "near_key")]
+    every = reduce(DataFrame.unionByName, rules)
     return every.groupBy("chunk_key").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from typing import Protocol
 
 import pyarrow as pa
@@ -76,6 +76,14 @@ class ScriptedProvider:
         return step(prompt) if callable(step) else step
 
 
+def provider_factory(settings: Mapping[str, str], known: Mapping[str, Callable[[], Provider]], default: str | None = None) -> Callable[[], Provider]:
+    """The factory that the setting LLM_PROVIDER names among the known ones; ConfigError for a name that is not there."""
+    name = (settings.get("LLM_PROVIDER") or default or "").strip().lower()
+    if name not in known:
+        raise ConfigError(f"LLM_PROVIDER is {name!r}; known are {sorted(known)}")
+    return known[name]
+
+
 def complete_with_retries(provider: Provider, prompt: str, retries: int = 3, sleep: Callable[[float], None] = time.sleep) -> str:
     """The reply, with up to `retries` more tries after 1, 2, 4 ... seconds for transient errors only."""
     for attempt in range(retries + 1):
@@ -238,3 +246,15 @@ def extract(
 def group_status(results: DataFrame) -> DataFrame:
     """status and packages: how many packages ended how."""
     return results.select("package_id", "status").distinct().groupBy("status").agg(F.count("*").alias("packages"))
+
+
+def coverage(results: DataFrame) -> DataFrame:
+    """package_id, field and state of every field that a reply was asked for: candidates, not_found, both or missing.
+
+    results: what `extract` gives; packages without a valid reply have no rows.
+    """
+    told = results.where(F.col("kind").isin("candidate", "not_found", "missing") & F.col("field").isNotNull())
+    has = [F.bool_or(F.col("kind") == k).alias(k) for k in ("candidate", "not_found")]
+    flags = told.groupBy("package_id", "field").agg(*has)
+    state = F.when(F.col("candidate") & F.col("not_found"), "both").when(F.col("candidate"), "candidates").when(F.col("not_found"), "not_found")
+    return flags.select("package_id", "field", state.otherwise("missing").alias("state"))

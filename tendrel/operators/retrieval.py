@@ -176,6 +176,11 @@ def literal_search(chunks: DataFrame, queries: DataFrame, query: str, k: int = 5
     return top(scores, [query], "score", "chunk_id", k).select(query, "bid_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
+def documents_named(documents: DataFrame, name: str) -> DataFrame:
+    """bid_id and doc_id of the documents (with metadata.source_filename) whose id or file name is `name`."""
+    return documents.where((F.col("doc_id") == name) | (F.col("metadata.source_filename") == name)).select("bid_id", "doc_id").distinct()
+
+
 #: The lists of a field that are not one of an alias: by meaning, and by the section's name.
 SEMANTIC, LABEL = -1, -2
 
@@ -269,13 +274,14 @@ def _scores(profiles: DataFrame, catalogue: Catalogue) -> DataFrame:
     return profiles.select(*columns).mapInArrow(run, schema)
 
 
-def field_search(chunks: DataFrame, top_k: int = C.TOP_K, floor: int = C.LEXICAL_FLOOR, per_document: bool = False, whole: int = WHOLE) -> DataFrame:
+def field_search(chunks: DataFrame, top_k: int = C.TOP_K, floor: int = C.LEXICAL_FLOOR, per_document: bool = False, whole: int = WHOLE, only: DataFrame | None = None) -> DataFrame:
     """The chunks of every bid for each of the 20 fields.
 
     bid_id, field_name, overall_rank, chunk_id, fused_score, lexical_rank, semantic_rank, label_hit, floor_inserted.
     Lexical ranks fuse one BM25 list per alias; the final ranks fuse the lexical, the semantic and the label list. The
     first `floor` lexical chunks come along even where they miss the first `top_k`. With `per_document` every document is
-    searched on its own and doc_id comes out as well; the statistics stay those of the bid.
+    searched on its own and doc_id comes out as well; the statistics stay those of the bid. So they do with `only`
+    (bid_id, doc_id, see `documents_named`): then chunks of these documents alone are ranked.
 
     Every chunk first becomes its counts of the catalogue's tokens, its similarity to every question and its labels; with
     the bid's weights that gives all lists it stands in. One table of (group, list, chunk) is then shuffled by group once:
@@ -294,6 +300,8 @@ def field_search(chunks: DataFrame, top_k: int = C.TOP_K, floor: int = C.LEXICAL
     largest = bids.agg(F.max("chunks")).first()[0] or 0
     profiles = _profiles(corpus, catalogue, C.EMBEDDING_DIM).join(of_bid.drop("chunks"), "bid_id")
     lists = _scores(profiles, catalogue)
+    if only is not None:
+        lists = lists.join(only.select("bid_id", "doc_id").distinct(), ["bid_id", "doc_id"], "left_semi")
     # A window, and a grouping by chunk, need no other partitioning than that of the group.
     lists = lists.repartition(*group) if largest <= whole else cut(lists)
     places = ranked(lists, [*group, "list"], "score", "chunk_id", "rank", largest, whole)

@@ -9,9 +9,12 @@ from tendrel import catalog as C
 from tendrel.functions import text as X
 from tendrel.operators import evidence as E
 from tendrel.operators import packing
+from tendrel.operators import retrieval as R
 from tendrel.operators.retrieval import first_by
 from tendrel.plans.registry import Registry
+from tendrel.plans.retrieval_queries import field_search_sql
 from tendrel.plans.text_queries import BLANKS, COMPARABLE, PUNCTUATION, TOKENS
+from tendrel.session import cut
 from tendrel.sources.tables import table
 
 QUERIES = Registry()
@@ -293,25 +296,34 @@ def quote_pages(spark: SparkSession, folder: str) -> DataFrame:
     return E.quote_pages(table(spark, folder, "evidence"), table(spark, folder, "chunks")).select("evidence_key", F.array_join("pages", ",").alias("pages"))
 
 
-_SIZES = "SELECT doc_id, sum(length(text)) AS text_chars FROM sections GROUP BY doc_id"
+#: Fields for which a context also takes what shares a page with a hit.
+_PAGED = [f.name for g in ("products", "specifications") for f in C.fields(g)]
 
 
 @QUERIES.query(
     "context_selection",
-    f"""WITH sized AS (SELECT c.*, text_chars FROM chunks c JOIN ({_SIZES}) USING (doc_id)),
-    asked AS (SELECT * FROM chunks WHERE chunk_key % 20 = 0),
-    picked AS (SELECT chunk_key, 'whole' AS reason FROM sized WHERE text_chars <= 15000
-        UNION SELECT chunk_key, 'front' FROM sized WHERE text_chars > 15000 AND len(list_filter(page_numbers, lambda p: p <= 2)) > 0
+    f"""WITH hits AS (SELECT bid_id, doc_id, chunk_id, bool_or(field_name IN ({", ".join(f"'{n}'" for n in _PAGED)})) AS paged FROM ({field_search_sql(True)}) GROUP BY ALL),
+    sizes AS (SELECT doc_id, sum(length(text)) AS text_chars FROM sections GROUP BY doc_id),
+    types AS (SELECT doc_id, metadata.document_type AS document_type FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ingested_at DESC, parsed_key DESC) AS rn FROM parsed_docs) WHERE rn = 1),
+    sized AS (SELECT c.*, text_chars, coalesce(document_type = 'affidavit', FALSE) AS affidavit FROM chunks c JOIN sizes USING (doc_id) LEFT JOIN types USING (doc_id)),
+    bodies AS (SELECT * FROM sized WHERE NOT affidavit AND text_chars > 15000),
+    asked AS (SELECT b.*, paged FROM bodies b JOIN hits USING (bid_id, doc_id, chunk_id)),
+    picked AS (SELECT chunk_key, 'affidavit' AS reason FROM sized WHERE affidavit
+            AND len(list_filter(regexp_extract_all(text, '(?i)\\b[a-z][a-z\\-]+\\s+affidavit\\b'), lambda x: NOT regexp_matches(x, '(?i)^({X.NOT_A_FORM})\\b'))) > 0
+        UNION SELECT chunk_key, 'whole' FROM sized WHERE NOT affidavit AND text_chars <= 15000
+        UNION SELECT chunk_key, 'front' FROM bodies WHERE len(list_filter(page_numbers, lambda p: p <= 2)) > 0
         UNION SELECT chunk_key, 'retrieved' FROM asked
-        UNION SELECT b.chunk_key, 'neighbour' FROM asked a JOIN chunks b ON a.doc_id = b.doc_id AND abs(a.chunk_seq - b.chunk_seq) <= 1 AND a.chunk_key <> b.chunk_key
-        UNION SELECT b.chunk_key, 'page' FROM asked a JOIN chunks b ON a.doc_id = b.doc_id AND list_has_any(a.page_numbers, b.page_numbers) AND a.chunk_key <> b.chunk_key)
+        UNION SELECT b.chunk_key, 'neighbour' FROM asked a JOIN bodies b ON a.doc_id = b.doc_id AND abs(a.chunk_seq - b.chunk_seq) <= 1 AND a.chunk_key <> b.chunk_key
+        UNION SELECT b.chunk_key, 'page' FROM asked a JOIN bodies b ON a.doc_id = b.doc_id AND list_has_any(a.page_numbers, b.page_numbers) AND a.chunk_key <> b.chunk_key WHERE a.paged)
     SELECT chunk_key, string_agg(reason, ',' ORDER BY reason) AS reasons FROM picked GROUP BY chunk_key""",
 )
 def context_selection(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks for a context around every 20th chunk, with the rules that chose them."""
+    """The chunks that the contexts of all bids may draw on, with the rules that chose them; what is retrieved is the field search by document."""
     chunks = table(spark, folder, "chunks")
     sizes = table(spark, folder, "sections").groupBy("doc_id").agg(F.sum(F.length("text")).alias("text_chars"))
-    return E.select_context(chunks, sizes, chunks.where("chunk_key % 20 = 0"))
+    latest = first_by(table(spark, folder, "parsed_docs"), ["doc_id"], F.col("ingested_at").desc(), F.col("parsed_key").desc())
+    documents = sizes.join(latest.select("doc_id", F.col("metadata.document_type").alias("document_type")), "doc_id", "left")
+    return E.select_context(chunks, documents, cut(R.field_search(chunks, per_document=True)), _PAGED)
 
 
 @QUERIES.query(

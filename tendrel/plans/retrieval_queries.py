@@ -99,7 +99,7 @@ def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(rows, rows.where("vec_id % 20 = 0"), "vec_id", "embedding", 5)
 
 
-def _field_search_sql(per_document: bool) -> str:
+def field_search_sql(per_document: bool) -> str:
     """SQL of the field search; {K} are the columns of a group, {P} attaches the document."""
     keys = "bid_id, doc_id, field_name" if per_document else "bid_id, field_name"
     place = "JOIN homes USING (bid_id, chunk_id)" if per_document else ""
@@ -137,13 +137,13 @@ def _field_search_sql(per_document: bool) -> str:
         chunk_id, round(fused, 9) AS fused_score, lexical_rank, semantic_rank, label_rank IS NOT NULL AS label_hit, final_rank > 6 AS floor_inserted FROM found"""
 
 
-@QUERIES.query("field_search", _field_search_sql(False))
+@QUERIES.query("field_search", field_search_sql(False))
 def field_search(spark: SparkSession, folder: str) -> DataFrame:
     """The chunks of every bid for each of the 20 fields, by fused lexical, semantic and label ranks."""
     return R.field_search(table(spark, folder, "chunks"))
 
 
-@QUERIES.query("document_field_search", _field_search_sql(True))
+@QUERIES.query("document_field_search", field_search_sql(True))
 def document_field_search(spark: SparkSession, folder: str) -> DataFrame:
     """The same, apart for every document of a bid."""
     return R.field_search(table(spark, folder, "chunks"), per_document=True)

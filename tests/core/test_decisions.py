@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tendrel import catalog as C
 from tendrel.functions import text as X
 from tendrel.operators import decisions as D
+from tendrel.operators import evidence, extraction, retrieval
 from tendrel.plans import decision_queries as Q
 from tendrel.sources import sinks
 
@@ -135,3 +136,48 @@ def test_groups(group):
     fields = C.fields(group)
     assert all(f.group == group for f in fields) and bool(fields) == (group != "unknown")
     assert len(C.aliases(group)) == len(set(C.aliases(group))) and sum(len(C.fields(g)) for g in C.GROUPS) == 20
+
+
+def test_providers_by_name():
+    known = {"fake": lambda: extraction.ScriptedProvider([]), "other": lambda: None}
+    assert extraction.provider_factory({"LLM_PROVIDER": " Fake"}, known) is known["fake"] and extraction.provider_factory({}, known, "other") is known["other"]
+    for settings in ({}, {"LLM_PROVIDER": "absent"}):
+        with pytest.raises(extraction.ConfigError):
+            extraction.provider_factory(settings, known)
+
+
+def test_coverage_of_replies(spark):
+    rows = [("p", "ok", "candidate", "title"), ("p", "ok", "candidate", "title"), ("p", "ok", "not_found", "title"), ("p", "ok", "candidate", "product"), ("p", "ok", "not_found", "due_date"), ("p", "ok", "missing", "installation"), ("p", "ok", "warning", "x"), ("q", "provider_error", "error", None)]
+    df = spark.createDataFrame(rows, "package_id string, status string, kind string, field string")
+    got = {(r.package_id, r.field): r.state for r in extraction.coverage(df).collect()}
+    assert got == {("p", "title"): "both", ("p", "product"): "candidates", ("p", "due_date"): "not_found", ("p", "installation"): "missing"}
+
+
+def test_search_in_named_documents(spark):
+    chunks = spark.createDataFrame(
+        [(k, f"c{k}", "b", f"d{k % 3}", "pdf", None, "bid bond due date " + "pump " * k) for k in range(12)],
+        "chunk_key long, chunk_id string, bid_id string, doc_id string, source_format string, section_identifier string, text string",
+    )
+    files = spark.createDataFrame([("b", "d0", ("main.pdf",)), ("b", "d1", ("x.pdf",)), ("b", "d2", None)], "bid_id string, doc_id string, metadata struct<source_filename string>")
+    for name in ("main.pdf", "d0"):
+        only = retrieval.documents_named(files, name)
+        got = retrieval.field_search(chunks, only=only).collect()
+        assert got and {int(r.chunk_id[1:]) % 3 for r in got} == {0}
+        # The same as the search of that document on its own: the statistics are those of the bid either way.
+        alone = {tuple(r[1:]) for r in retrieval.field_search(chunks, per_document=True).where("doc_id = 'd0'").collect()}
+        assert {tuple(r) for r in got} == {(r[0], *r[1:]) for r in ((("b", *a[1:])) for a in alone)}
+    assert retrieval.field_search(chunks, only=retrieval.documents_named(files, "none")).count() == 0
+
+
+def test_context_rules(spark):
+    chunks = spark.createDataFrame(
+        [
+            (1, "a1", "b", "aff", 0, "The Vendor Affidavit", [1]), (2, "a2", "b", "aff", 1, "this affidavit", [1]), (3, "s1", "b", "small", 0, "x", None),
+            *[(10 + k, f"l{k}", "b", "large", k, "x", [k // 2 + 1]) for k in range(10)], (99, "n", "b", "none", 0, "x", None),
+        ],
+        "chunk_key long, chunk_id string, bid_id string, doc_id string, chunk_seq int, text string, page_numbers array<int>",
+    )
+    documents = spark.createDataFrame([("aff", 10, "affidavit"), ("small", 15_000, None), ("large", 15_001, "rfp_main")], "doc_id string, text_chars long, document_type string")
+    found = spark.createDataFrame([("b", "large", "l7", "title"), ("b", "large", "l9", "product"), ("b", "small", "s1", "product")], "bid_id string, doc_id string, chunk_id string, field_name string")
+    got = {r.chunk_key: r.reasons for r in evidence.select_context(chunks, documents, found, ["product"]).collect()}
+    assert got == {1: "affidavit", 3: "whole", 10: "front", 11: "front", 12: "front", 13: "front", 16: "neighbour", 17: "retrieved", 18: "neighbour,page", 19: "retrieved"}
