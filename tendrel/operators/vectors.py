@@ -59,8 +59,10 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int,
                 q_ids, d_ids = np.array(q_ids), np.array(d_ids)
                 s[q_ids[:, None] == d_ids[None, :]] = -np.inf
                 for i in range(len(q_ids)):
-                    best = np.lexsort((d_ids, -s[i]))[:k]
-                    best = best[np.isfinite(s[i][best])]
+                    # All that reach the k-th best score, and only those are ordered: ties at the border are kept.
+                    border = np.partition(s[i], len(s[i]) - k)[len(s[i]) - k] if k < len(s[i]) else -np.inf
+                    near = np.flatnonzero((s[i] >= border) & np.isfinite(s[i]))
+                    best = near[np.lexsort((d_ids[near], -s[i][near]))[:k]]
                     columns = [np.full(len(best), q_ids[i]), d_ids[best], s[i][best]]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema.names)
 

@@ -39,3 +39,12 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 def p3_instants(spark: SparkSession, folder: str) -> DataFrame:
     """Every due date and document date as a UTC instant or a calendar day; null where it states no date."""
     return _stated(spark, folder).select("field_name", "key", "stated_as", F.col("instant.at").alias("at_utc"), F.col("instant.day").alias("day"))
+
+
+@QUERIES.query("p3_classes")
+def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """The same without pairs: every statement that a bid or document makes in several notations, with its rows and notations."""
+    rows = _stated(spark, folder).select("field_name", "of", "stated_as", F.col("instant.stated").alias("stated"))
+    texts = rows.where("of IS NOT NULL AND stated IS NOT NULL").groupBy("field_name", "of", "stated", "stated_as").agg(F.count("*").alias("n"))
+    classes = texts.groupBy("field_name", "of", "stated").agg(F.sum("n").alias("stated_rows"), F.count("*").alias("notations"))
+    return classes.where("notations > 1")
