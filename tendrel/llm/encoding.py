@@ -118,6 +118,8 @@ _NEXT = {
 #: Weight of the fixed values against counts: characters, and pairs of neighbours.
 PRIOR_CHARACTERS, PRIOR_PAIRS = 20_000.0, 200.0
 _BLANK = "_"
+#: Pairs of characters whose bits a task remembers; the others are computed each time.
+KNOWN = 500_000
 
 
 class TextModel:
@@ -142,6 +144,7 @@ class TextModel:
             # Counts may only add to what a fixed value says of a pair that does not occur.
             self.next[pair] = max(_NEXT.get(pair, 0) - 3.0, min(_NEXT.get(pair, 0) + 4.0, -math.log2(share)))
         self.bits: dict[str, float] = {}
+        self.known: dict[tuple[str, str], float] = {}
 
     def of(self, c: str) -> float:
         """Bits of a character; ASCII costs nothing."""
@@ -158,6 +161,14 @@ class TextModel:
         """Bits of a character behind another one (empty at the begin); nothing between two of ASCII."""
         if c < "\x80" and last < "\x80":
             return 0.0
+        bits = self.known.get((last, c))
+        if bits is None:
+            bits = self._after(last, c)
+            if len(self.known) < KNOWN:
+                self.known[last, c] = bits
+        return bits
+
+    def _after(self, last: str, c: str) -> float:
         kind, before = _kind(c)[0], _kind(last)[0] if last else ""
         total = self.of(c)
         if before:
@@ -306,9 +317,15 @@ TOUCHED, TOUCHED_LOST, PER_LOST, NOT_CLEAN = 1.0, 4.0, 2.0, 40.0
 INSIDE = 6.0
 
 
-def _units(piece: str, state: int) -> list[Unit]:
+@lru_cache(maxsize=200_000)
+def _units(piece: str, state: int) -> tuple[Unit, ...]:
+    """The units of a state at every place of a piece."""
     unit = states()[state][1]
-    return [None if c < "\x80" else unit(piece, k) for k, c in enumerate(piece)]
+    return tuple([None if c < "\x80" else unit(piece, k) for k, c in enumerate(piece)])
+
+
+def _touched(state: int) -> float:
+    return TOUCHED_LOST if states()[state][0] == LOST else TOUCHED
 
 
 def _stand_in(c: str) -> str:
@@ -321,7 +338,7 @@ def _stand_in(c: str) -> str:
 CALM, WITHIN, ENTERING, LEAVING = range(4)
 
 
-def _search(piece: str, units: list[Unit], model: TextModel, start: int, begin: float, end: float, touched: float) -> list[list]:
+def _search(piece: str, units: tuple[Unit, ...], model: TextModel, start: int, begin: float, end: float, touched: float) -> list[list]:
     """best[at][where]: bits, last character of the restored text, way there, whether a span was touched; null if none."""
     n = len(piece)
     best: list[list] = [[None] * 4 for _ in range(n + 1)]
@@ -387,7 +404,8 @@ class Labeller:
     def __init__(self, model: TextModel | None = None):
         self.model = model or TextModel()
         self.ways = lru_cache(200_000)(self._ways)
-        self.gains = lru_cache(400_000)(self._gains)
+        self.gains = lru_cache(100_000)(self._gains)
+        self.saved = lru_cache(200_000)(self._saved)
 
     def _clean(self, piece: str) -> float:
         return self.model.text(piece) + NOT_CLEAN * piece.count("�")
@@ -407,8 +425,8 @@ class Labeller:
                     out.append((s, saved))
         return tuple(out)
 
-    def alive(self, piece: str) -> list[int]:
-        """The states in which some way through a piece, were spans free to begin and end, beats the clean one.
+    def _saved(self, piece: str) -> dict[int, float]:
+        """What the best way through a piece in a state saves against the clean one, were spans free, where it saves anything.
 
         ASCII is emitted alike by all states, so what the runs between it save adds up.
         """
@@ -417,15 +435,32 @@ class Labeller:
             before, behind = piece[m.start() - 1 : m.start()] if m.start() else "", piece[m.end() : m.end() + 1]
             for s, bits in self.gains(_stand_in(before), m.group(), _stand_in(behind)):
                 saved[s] = saved.get(s, 0.0) + bits
-        return [s for s, bits in saved.items() if bits > (TOUCHED_LOST if states()[s][0] == LOST else TOUCHED)]
+        left = ((s, bits - _touched(s)) for s, bits in saved.items())
+        return {s: bits for s, bits in left if bits > 0}
+
+    def alive(self, pieces: list[str]) -> list[int]:
+        """The states that can be on the cheapest path: all that they can save is more than it costs to be in them once.
+
+        Of states that turn all pieces into the same, at the same costs, the first stands for all.
+        """
+        total: dict[int, float] = {}
+        for piece in pieces:
+            for s, bits in self.saved(piece).items():
+                total[s] = total.get(s, 0.0) + bits
+        worth = sorted(s for s, bits in total.items() if bits > _begin(states()[s][0]) + END)
+        if len(worth) < 2:
+            return worth
+        alike = {}
+        for s in worth:
+            alike.setdefault((_begin(states()[s][0]), _touched(s), tuple([_units(piece, s) for piece in pieces])), s)
+        return list(alike.values())
 
     def _ways(self, piece: str, state: int) -> tuple[tuple[tuple[float, float], tuple[float, float]], tuple]:
         """(bits against the clean way, stretches in the state) from clean or the state (0, 1) to clean or the state."""
         begin, units, clean = _begin(states()[state][0]), _units(piece, state), self._clean(piece)
         if not any(units):
             return ((0.0, begin), (END, END + begin)), (((), ()), ((), ()))
-        touched = TOUCHED_LOST if states()[state][0] == LOST else TOUCHED
-        tables = [_search(piece, units, self.model, start, begin, END, touched) for start in (0, 1)]
+        tables = [_search(piece, units, self.model, start, begin, END, _touched(state)) for start in (0, 1)]
         ends = [[_end(best, stop) for stop in (0, 1)] for best in tables]
         bits = tuple(tuple(x - clean for x, _ in own) for own in ends)
         return bits, tuple(tuple(_trace(best, w) for _, w in own) for best, own in zip(tables, ends, strict=True))
@@ -435,7 +470,7 @@ class Labeller:
         if text.isascii():
             return []
         pieces = [m.span() for m in _PIECE.finditer(text)]
-        alive = sorted({s for a, b in pieces for s in self.alive(text[a:b])})
+        alive = self.alive([text[a:b] for a, b in pieces])
         if not alive:
             return []
         # Bits of the best path that ends clean, or in each state; -1 stands for the clean one.
