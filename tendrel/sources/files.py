@@ -7,6 +7,7 @@ A file that cannot be parsed yields one row with `error` and no text, so that no
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -44,12 +45,24 @@ SECTION = T.StructType(
 )
 
 
+def _exists(spark: SparkSession, folder: str) -> bool:
+    """Whether anything is there, by the file system of the path; patterns with wildcards are Spark's to expand."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(path)
+    return found is not None and len(found) > 0
+
+
 def scan(spark: SparkSession, *folders: str) -> DataFrame:
     """bid_id (the folder's name), filename, doc_id (content hash), kind (pdf or html), content of the files of bid folders.
 
-    Only files right in a folder count; other kinds than .pdf, .html and .htm, in any case of letters, are left out.
+    Only files right in a folder count; other kinds than .pdf, .html and .htm, in any case of letters, are left out. A
+    folder that is not there has no files; it is warned of, as it may be a slip.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(list(folders))
+    there = [f for f in folders if _exists(spark, f)]
+    if absent := sorted(set(folders) - set(there)):
+        warnings.warn(f"no such folders: {absent}", stacklevel=2)
+    source = spark.read.format("binaryFile").option("recursiveFileLookup", "false")
+    raw = source.load(there) if there else spark.createDataFrame([], "path string, content binary")
     parts = F.split("path", "/")
     kind = F.when(F.lower("path").endswith(".pdf"), "pdf").when(F.lower("path").rlike(r"\.html?$"), "html")
     return raw.select(

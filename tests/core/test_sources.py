@@ -158,3 +158,13 @@ def test_pdf_pages_with_tables(spark, tmp_path):
     (row,) = files.parse_pdf(files.scan(spark, str(tmp_path / "B")), reader=lambda content: [page]).collect()
     assert row.printed_label == "Page 3 of 12" and row.tables == [[["a", ""], ["b", "c"]]] and row.error is None
     assert files.printed_label([]) is None and files.printed_label(["3 | 9"]) == "3 | 9" and files.printed_label(["on page 3 of 9"]) is None
+
+
+def test_a_missing_folder_has_no_files(spark, tmp_path):
+    (tmp_path / "bid").mkdir()
+    (tmp_path / "bid" / "a.html").write_text("<html><body><p>Test</p></body></html>")
+    with pytest.warns(UserWarning, match="absent"):
+        assert [r.filename for r in files.scan(spark, str(tmp_path / "bid"), str(tmp_path / "absent")).collect()] == ["a.html"]
+    with pytest.warns(UserWarning):
+        empty = files.scan(spark, str(tmp_path / "absent"))
+    assert empty.columns == files.scan(spark, str(tmp_path / "b*")).columns and files.parse(empty, lambda b: []).count() == 0
