@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator, Mapping
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -258,3 +258,25 @@ def coverage(results: DataFrame) -> DataFrame:
     flags = told.groupBy("package_id", "field").agg(*has)
     state = F.when(F.col("candidate") & F.col("not_found"), "both").when(F.col("candidate"), "candidates").when(F.col("not_found"), "not_found")
     return flags.select("package_id", "field", state.otherwise("missing").alias("state"))
+
+
+def resolved(results: DataFrame, handles: DataFrame) -> DataFrame:
+    """results with the chunk_id of every handle; null where a row has none or its package does not know it.
+
+    handles: package_id, handle, chunk_id, doc_label (D1, D2 ...) and excerpt (its place in the package), a row per handle.
+    """
+    return results.join(handles.select("package_id", "handle", "chunk_id"), ["package_id", "handle"], "left")
+
+
+def in_order(results: DataFrame, handles: DataFrame, names: list[str]) -> DataFrame:
+    """package_id, place (from 1), field, value, handle and detail of the candidates of every package, in a fixed order.
+
+    By the field's place in `names`, the number of the document, the first excerpt that the candidate draws on, the value,
+    the handle. Replies are bounded (MAX_CANDIDATES), so a window holds the rows of one.
+    """
+    rows = results.where("kind = 'candidate'").join(handles.select("package_id", "handle", "doc_label", "excerpt"), ["package_id", "handle"], "left")
+    number = F.coalesce(F.regexp_extract("doc_label", r"^.(\d+)$", 1).try_cast("int"), F.lit(0))
+    of = Window.partitionBy("package_id", "field", "value")
+    rows = rows.withColumns({"_field": F.array_position(F.array(*map(F.lit, names)), F.col("field")), "_doc": F.min(number).over(of), "_first": F.min("excerpt").over(of)})
+    order = Window.partitionBy("package_id").orderBy("_field", "_doc", "_first", "value", "excerpt", "handle", "detail")
+    return rows.select("package_id", F.row_number().over(order).alias("place"), "field", "value", "handle", "detail")

@@ -224,6 +224,21 @@ def low_text_pages(sections: DataFrame, least: int = 10) -> DataFrame:
     return low.groupBy("bid_id", "filename").agg(F.array_sort(F.collect_set("page_number")).alias("low_pages"))
 
 
+def parsed_documents(sections: DataFrame) -> DataFrame:
+    """bid_id, stem (file name without extension) and document: JSON of metadata and sections in order, for every file.
+
+    A file that could not be parsed has no document. What `sinks.write_by_bid` takes, with the stem as its name and
+    `_parsed.json` as its suffix.
+    """
+    body = F.struct("section_seq", "section_identifier", "page_number", "text", "printed_label", "tables")
+    whole = sections.where("error IS NULL").groupBy("bid_id", "filename", "doc_id").agg(
+        F.array_sort(F.collect_list(body)).alias("sections"), F.count("*").alias("section_count"), F.bool_or("truncated").alias("truncated_description")
+    )
+    metadata = F.struct("doc_id", F.col("filename").alias("source_filename"), "section_count", "truncated_description")
+    text = F.to_json(F.struct(metadata.alias("metadata"), "sections"), {"ignoreNullFields": "false"})
+    return whole.select("bid_id", F.regexp_replace("filename", r"\.[^.]*$", "").alias("stem"), text.alias("document"))
+
+
 def write_json(records: DataFrame, folder: str, partition: str = "bid_id") -> None:
     """Records as JSON lines, one folder per bid (or per file, with partition="filename"); null fields are written."""
     columns = [c for c in records.columns if c != partition]

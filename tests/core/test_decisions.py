@@ -13,7 +13,7 @@ from tendrel.functions import text as X
 from tendrel.operators import decisions as D
 from tendrel.operators import evidence, extraction, retrieval
 from tendrel.plans import decision_queries as Q
-from tendrel.sources import sinks
+from tendrel.sources import files, sinks
 
 SCORED = "candidate_id string, bid_id string, field_name string, value string, chunk_id string, doc_id string, pieces long, role string, cue string, origin string, document_type string, addendum_number int, doc_label string, tier int"
 
@@ -181,3 +181,25 @@ def test_context_rules(spark):
     found = spark.createDataFrame([("b", "large", "l7", "title"), ("b", "large", "l9", "product"), ("b", "small", "s1", "product")], "bid_id string, doc_id string, chunk_id string, field_name string")
     got = {r.chunk_key: r.reasons for r in evidence.select_context(chunks, documents, found, ["product"]).collect()}
     assert got == {1: "affidavit", 3: "whole", 10: "front", 11: "front", 12: "front", 13: "front", 16: "neighbour", 17: "retrieved", 18: "neighbour,page", 19: "retrieved"}
+
+
+def test_replies_in_order_with_their_chunks(spark):
+    rows = [("p", "ok", "candidate", f, v, h, "q") for f, v, h in (("title", "B", "E3"), ("title", "A", "E1"), ("due_date", "x", "E2"), ("bid_number", "9", "E2"), ("title", "B", "E2"))]
+    rows += [("p", "ok", "not_found", "product", None, None, None), ("p", "ok", "candidate", "title", "C", "E9", "q")]
+    results = spark.createDataFrame(rows, "package_id string, status string, kind string, field string, value string, handle string, detail string")
+    handles = spark.createDataFrame([("p", "E1", "c1", "D10", 0), ("p", "E2", "c2", "D2", 5), ("p", "E3", "c3", "D2", 2), ("q", "E9", "c9", "D1", 0)], "package_id string, handle string, chunk_id string, doc_label string, excerpt int")
+    assert sorted((r.handle or "", r.chunk_id) for r in extraction.resolved(results, handles).collect()) == [("", None), ("E1", "c1"), ("E2", "c2"), ("E2", "c2"), ("E2", "c2"), ("E3", "c3"), ("E9", None)]
+    got = [(r.place, r.field, r.value, r.handle) for r in extraction.in_order(results, handles, [f.name for f in C.fields()]).orderBy("place").collect()]
+    assert got == [(1, "bid_number", "9", "E2"), (2, "title", "C", "E9"), (3, "title", "B", "E3"), (4, "title", "B", "E2"), (5, "title", "A", "E1"), (6, "due_date", "x", "E2")]
+
+
+def test_parsed_documents_as_files(spark, tmp_path):
+    (tmp_path / "bid").mkdir()
+    (tmp_path / "bid" / "a.b.html").write_text("<html><body><p>Test</p><b>Due:</b><p>May</p></body></html>")
+    sections = files.parse_html(files.scan(spark, str(tmp_path / "bid")))
+    documents = files.parsed_documents(sections)
+    assert [(r.bid_id, r.stem) for r in documents.collect()] == [("bid", "a.b")]
+    sinks.write_by_bid(documents.select(F.col("stem").alias("bid_id"), "document"), "document", str(tmp_path / "out"), "_parsed.json")
+    parsed = json.loads((tmp_path / "out" / "a.b_parsed.json").read_text())
+    assert parsed["metadata"]["source_filename"] == "a.b.html" and parsed["metadata"]["section_count"] == 2 and [x["text"] for x in parsed["sections"]] == ["Test", "Due: May"]
+    assert files.parsed_documents(sections.where("false")).count() == 0
