@@ -74,15 +74,16 @@ def literal_search(spark: SparkSession, folder: str) -> DataFrame:
 @QUERIES.query(
     "hash_embeddings",
     f"""WITH w AS (SELECT chunk_key, unnest(CASE WHEN len(t) = 0 THEN ['empty'] ELSE t END) AS w FROM (SELECT chunk_key, {TOKENS.format("text")} AS t FROM chunks WHERE text <> '')),
-    r AS (SELECT chunk_key, {_RESIDUE} AS r, count(*) AS n FROM w GROUP BY ALL)
-    SELECT chunk_key, sum(n * ((r + 17 * 0) % 2000 - 1000)) AS c0, sum(n * ((r + 17 * 100) % 2000 - 1000)) AS c100, sum(n * ((r + 17 * 255) % 2000 - 1000)) AS c255
-    FROM r GROUP BY chunk_key""",
+    r AS (SELECT chunk_key, {_RESIDUE} AS r, count(*) AS n FROM w GROUP BY ALL),
+    v AS (SELECT chunk_key, i, CAST(sum(n * ((r + 17 * i) % 2000 - 1000)) AS BIGINT) AS v FROM r, range(256) AS x(i) GROUP BY ALL)
+    SELECT chunk_key, max(v) FILTER (WHERE i = 0) AS c0, max(v) FILTER (WHERE i = 255) AS c255, md5(string_agg(CAST(v AS VARCHAR), ',' ORDER BY i)) AS digest FROM v GROUP BY chunk_key""",
 )
 def hash_embeddings(spark: SparkSession, folder: str) -> DataFrame:
-    """Three components (times 1,000, before normalising) of every chunk's hashed embedding."""
+    """The hashed embedding (times 1,000, before normalising) of every chunk: its first and last component and a digest of all."""
     rows = table(spark, folder, "chunks").where("text <> ''").select("chunk_key", X.tokens(F.col("text")).alias("words"))
     vectors = R.embeddings(rows, "chunk_key")
-    return vectors.select("chunk_key", *[F.get("vector", F.lit(i)).alias(f"c{i}") for i in (0, 100, 255)])
+    ends = [F.get("vector", F.lit(i)).alias(f"c{i}") for i in (0, 255)]
+    return vectors.select("chunk_key", *ends, F.md5(F.array_join("vector", ",")).alias("digest"))
 
 
 @QUERIES.query(
