@@ -79,7 +79,9 @@ _MARKS = re.compile(r"\s[|·•/>]\s|\S {3,}\S|[▾▼►▶➤↑☰★☆©«
 _DIGITS = re.compile(r"\d+")
 _NAME = re.compile(r"(?: [A-ZÀ-ÖØ-ÞА-Я][\w’-]*)+")
 _SENTENCES = re.compile(r"(?<=[.!?])\s+")
-_AMOUNT = re.compile(r"[£€$]?\d[\d.,:]*\d|[£€$]?\d")
+# Cheap signs that a dearer pattern may match: a sentence that goes on, an identifier, a mark.
+_GOES_ON, _DASHED, _MARKS_OF = re.compile(r"[.!?]\s"), re.compile(r"-\d"), frozenset("|·•/>▾▼►▶➤↑☰★☆©«»[]←→✉☎↓")
+_AMOUNT = re.compile(r"[£€$\d](?:[\d.,:]*\d)?")
 # Signs behind a text that was cut off.
 _CUT = re.compile(r"\s*(?:\[(?:…|\.\.\.)\]|…|\.\.+|>>|\((?:more|continued)\)|see more(?: description)?)$", re.I)
 _CUT_ENDS = ("]", "…", "..", ">>", "more)", "continued)", "more", "description")
@@ -90,7 +92,7 @@ def pattern(sentence: str) -> str:
     """A sentence with numbers and all names but at its start masked: equal for fillings of one phrase."""
     sentence = sentence.strip()
     if _DIGITS.search(sentence):
-        if "-" in sentence:
+        if _DASHED.search(sentence):
             sentence = _IDENTIFIER.sub("9", sentence)
         sentence = _AMOUNT.sub("9", sentence)
     return _NAME.sub(" X", sentence)
@@ -98,7 +100,20 @@ def pattern(sentence: str) -> str:
 
 def lead(line: str) -> str:
     """The lead of a label line (`Posted` of `Posted: June 9`), in lower case; empty for other lines."""
-    return line[: line.index(":")].lower() if _LABEL.match(line) and not _MARKS.search(line) else ""
+    return line[: line.index(":")].lower() if _LABEL.match(line) and not marks_in(line) else ""
+
+
+def sentences(line: str) -> list[str]:
+    return _SENTENCES.split(line) if _GOES_ON.search(line) else [line]
+
+
+def without_identifiers(line: str) -> str:
+    return _IDENTIFIER.sub("", line) if _DASHED.search(line) else line
+
+
+def marks_in(line: str) -> int:
+    """Marks of navigation in a line."""
+    return 0 if _MARKS_OF.isdisjoint(line) and "   " not in line else len(_MARKS.findall(line))
 
 
 def begin(words: list[str]) -> str:
@@ -112,12 +127,12 @@ def counted(text: str) -> tuple[list[str], set[str], list[tuple[str, bool]]]:
     lines = [x.strip() for x in text.split("\n")]
     words: list[str] = []
     for line in lines:
-        if own := _WORD.findall(_IDENTIFIER.sub("", line).lower() if "-" in line else line.lower()):
+        if own := _WORD.findall(without_identifiers(line).lower()):
             words += {*own, begin(own)}
     leads = [lead(x) if ":" in x else "" for x in lines]
     beside = zip(leads, ["", *leads], [*leads[1:], ""], strict=False)
     whole = [x for x in lines if x][:-1]
-    return words, {pattern(s) for x in whole for s in _SENTENCES.split(x)}, [(own, bool(up or down)) for own, up, down in beside if own]
+    return words, {pattern(s) for x in whole for s in sentences(x)}, [(own, bool(up or down)) for own, up, down in beside if own]
 
 
 def least(times: int, texts: float) -> float:
@@ -246,16 +261,16 @@ class LineModel:
         """What the regression weighs: a constant, length, words by their log ratios, sentences, shape, and owner."""
         if line[-12:].lower().endswith(_CUT_ENDS):
             line = _CUT.sub("", line)
-        spelt = _WORD.findall(_IDENTIFIER.sub("", line) if "-" in line else line)
+        spelt = _WORD.findall(without_identifiers(line))
         words = [w.lower() for w in spelt]
         n, get = len(words), self.words.get
         ratios = sorted([x for w in words if (x := get(w)) is not None])
         unknown, per = n - len(ratios), 1 / max(n, 1)
-        sentences = [pattern(s) for s in _SENTENCES.split(line)]
-        known = len([s for s in sentences if s in self.known]) / len(sentences)
-        foreign = len([s for s in sentences if s in self.foreign]) / len(sentences)
+        told_of = [pattern(s) for s in sentences(line)]
+        known = len([s for s in told_of if s in self.known]) / len(told_of)
+        foreign = len([s for s in told_of if s in self.foreign]) / len(told_of)
         told, address = len([w for w in words if w in _NOTICE]), len([w for w in words if w in _ADDRESS])
-        marks, leads = min(len(_MARKS.findall(line)), 3), lead(line) if ":" in line else ""
+        marks, leads = min(marks_in(line), 3), lead(line) if ":" in line else ""
         stop, first = bool(_STOP.search(line, max(0, len(line) - 8))), line[:1]
         return [
             1.0, min(n, 30) / 10, n == 0, n <= 2, n <= 5, n >= 9,
