@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -117,6 +118,50 @@ def test_literal_search_against_plain_bm25(spark):
         assert [r.score for r in got] == pytest.approx([want[c] for c in best], abs=1e-6)
 
 
+def test_literal_search_in_parts_equals_the_whole(spark):
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(30)]
+    chunks = [(k, f"c{k % 180:03}", "large" if k % 5 else f"s{k % 3}", " ".join(rng.choices(words, k=rng.randint(0, 15))) or "-") for k in range(200)]
+    chunks += [(300, "same1", "large", "w1 w2 w3"), (301, "same2", "large", "W1, w2; w3"), (None, "c001", "large", "w1 w1 w1"), (302, "x", None, "w1")]
+    df = spark.createDataFrame(chunks, "chunk_key long, chunk_id string, bid_id string, text string")
+    asked = [(k, "large" if k % 3 else f"s{k % 4}", " ".join(rng.choices(words, k=6))) for k in range(12)]
+    asked += [(20, "none", "w1"), (21, None, "w1"), (22, "large", ""), (23, "large", "w1 w2 w3")]
+    queries = spark.createDataFrame(asked, "q long, bid_id string, text string")
+    want = {}
+    for q, bid, text in asked:
+        corpus = {}
+        for _, c, b, t in sorted((c for c in chunks if c[2] == bid and bid), key=lambda c: (c[0] is None, c[0])):
+            corpus.setdefault(c, re.findall(r"\w+", t.lower()))
+        scores = slow_bm25(corpus, text.split()) if corpus and text else {}
+        for rank, c in enumerate(sorted((c for c in scores if round(scores[c], 9) > 0), key=lambda c: (-round(scores[c], 9), c))[:3], 1):
+            want[q, rank] = (bid, c, pytest.approx(scores[c], abs=1e-6))
+    for part in (1000, 50, 7, 1):
+        got = retrieval.literal_search(df, queries, "q", 3, part).collect()
+        assert {(r.q, r["rank"]): (r.bid_id, r.chunk_id, r.score) for r in got} == want
+        assert len(got) == len(want)
+    assert retrieval.literal_search(df, queries.where("false"), "q").count() == retrieval.literal_search(df.where("false"), queries, "q").count() == 0
+
+
+def test_literal_search_moves_neither_postings_nor_scores(spark):
+    # Every query meets every chunk of its bid: 12,000 scores from 6,000 postings.
+    rows = spark.range(300).selectExpr("id AS chunk_key", "concat('c', id) AS chunk_id", "'b' AS bid_id", "concat('a b c d e f g h i j k l m n o p q r s t', id) AS text")
+    queries = spark.range(40).selectExpr("id AS q", "'b' AS bid_id", "concat('a b c d e f g h i j k l m n o p q r s t', id) AS text")
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def moved() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    before, usual = moved(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where tables are large
+    try:
+        assert retrieval.literal_search(rows, queries, "q", 5).count() == 200
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert moved() - before < 6_000
+
+
 def test_ranks_over_many_tasks_equal_plain_ranks(spark):
     rng = random.Random(4)
     rows = [(g, round(rng.random(), 1) if g == "a" else 1.0, f"{rng.randint(0, 99):02}{k}") for g in "ab" for k in range(200)]
